@@ -108,24 +108,50 @@ def dedup_pairs(df: DataFrame, keys=("src", "tgt"), order: str = "pair_id") -> D
 
 # ---------------------------------------------------------------- funnel
 
+def _code(label: Column) -> Column:
+    expr = None
+    for i, step in enumerate(STEPS, start=1):
+        expr = (F.when(label == step, F.lit(i)) if expr is None
+                else expr.when(label == step, F.lit(i)))
+    return expr
+
+
+def _name(code: Column) -> Column:
+    expr = None
+    for i, step in enumerate(STEPS, start=1):
+        expr = (F.when(code == i, F.lit(step)) if expr is None
+                else expr.when(code == i, F.lit(step)))
+    return expr
+
+
 def pair_groups(df: DataFrame, src: str = "src", tgt: str = "tgt", id_col: str = "pair_id",
                 min_chars: int = 2, max_len_ratio: float = 2.5, max_latin: float = 0.25,
                 normalize: bool = True) -> DataFrame:
     """One row per distinct normalised pair: smallest id, group size, and the
-    first failing step of the ordered funnel (NULL = kept)."""
+    first failing step of the ordered funnel (NULL = kept).
+
+    The step labels are computed per row in their own projection (the
+    normalised text is produced once and referenced, not re-inlined) and
+    carried through the aggregate as ``max`` (they are functions of the
+    grouping key, so max = the group's label).  A filter on them therefore
+    stays above the aggregate instead of being pushed below it with the
+    normalisation expressions duplicated into the predicate."""
     if normalize:
         df = normalize_pairs(df, src, tgt)
+    s, t = F.col(src), F.col(tgt)
     rest = [c for c in df.columns if c not in (src, tgt, id_col)]
-    aggs = [F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n_rows")]
+    # integer step codes (hash-aggregatable, unlike max over strings)
+    labeled = df.select(id_col, src, tgt, *rest,
+                        _code(pre_dedup_fail(s, t, min_chars)).alias("_pre"),
+                        _code(post_dedup_fail(s, t, max_len_ratio, max_latin)).alias("_post"))
+    aggs = [F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n_rows"),
+            F.max("_pre").alias("_pre"), F.max("_post").alias("_post")]
     if rest:
         aggs.append(F.min_by(F.struct(*rest), F.col(id_col)).alias("_rest"))
-    g = df.groupBy(src, tgt).agg(*aggs)
-    s, t = F.col(src), F.col(tgt)
-    g = g.withColumn("first_fail", F.coalesce(pre_dedup_fail(s, t, min_chars),
-                                               post_dedup_fail(s, t, max_len_ratio, max_latin)))
-    # "first_fail" of the group's first row; the other n_rows-1 rows of a group
-    # that passes F01-F03 are the duplicates.
-    g = g.withColumn("pre_ok", pre_dedup_fail(s, t, min_chars).isNull())
+    g = labeled.groupBy(src, tgt).agg(*aggs)
+    g = g.withColumn("first_fail", _name(F.coalesce(F.col("_pre"), F.col("_post"))))
+    # the other n_rows-1 rows of a group that passes F01-F03 are the duplicates
+    g = g.withColumn("pre_ok", F.col("_pre").isNull()).drop("_pre", "_post")
     if rest:
         g = g.select("*", *[F.col(f"_rest.{c}").alias(c) for c in rest]).drop("_rest")
     return g

@@ -24,6 +24,27 @@ SEED = 42
 LATIN_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DEVANAGARI_MAP = "".join(chr(0x0905 + i % 48) for i in range(len(LATIN_LETTERS)))
 
+_MEMO: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def memo(fn):
+    """Materialise a derived fixture once per (application, sf_dir) as a
+    reliable checkpoint in the shared checkpoint folder, so that registered
+    queries measure their operator rather than re-deriving (and, through
+    predicate pushdown, re-evaluating) the fixture text pipeline."""
+    def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, fn.__name__)
+        df = _MEMO.get(key)
+        if df is None:
+            from bitextkit.session import materialize
+            df = materialize(fn(spark, sf_dir))
+            _MEMO[key] = df
+        return df
+    wrapped.__name__ = fn.__name__
+    wrapped.__doc__ = fn.__doc__
+    return wrapped
+
+
 DUP_MOD = 29            # rows with pair_id % 29 = 0 appear twice
 DUP_OFFSET = 1_000_000_000
 DEFECT_MOD = 23
@@ -35,6 +56,7 @@ def _words(text_col):
     return F.split(x, " ")
 
 
+@memo
 def parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1: parallel(pair_id, src, tgt) from ``documents`` with one injected
     defect per ``pair_id % 23`` and duplicated rows for ``pair_id % 29 = 0``."""
@@ -94,6 +116,7 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_parallel(parallel(spark, sf_dir))[0]
 
 
+@memo
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned pairs in both directions (pair_id, source, target, direction)."""
     return expand_directions(clean(spark, sf_dir), SRC_LANG, TGT_LANG)
@@ -119,3 +142,114 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
                               other, sentence))
                .otherwise(F.col("source")))
     return b.select("pair_id", source.alias("source"), text.alias("target"), d.alias("direction"))
+
+
+HYP_EQUAL_MOD = 13      # hyp_a = ref
+HYP_EMPTY_MOD = 17      # hyp_a = '' (wins over 13)
+NULL_DIR_MOD = 19       # direction NULL
+
+
+def drop_every(text_col, k):
+    """Words of ``text`` split on single spaces without every k-th (1-based)."""
+    words = F.split(text_col, " ")
+    return F.array_join(F.filter(words, lambda x, i: (i + 1) % k != 0), " ")
+
+
+@memo
+def hyps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hyps(id, pair_id, source, direction, ref, hyp_a, hyp_b)."""
+    p = pairs(spark, sf_dir)
+    sid = F.col("pair_id") * 2 + F.when(F.col("direction") == "tgt2src", 1).otherwise(0)
+    p = p.withColumn("id", sid)
+    hyp_a = (F.when(F.col("id") % HYP_EMPTY_MOD == 0, F.lit(""))
+              .when(F.col("id") % HYP_EQUAL_MOD == 0, F.col("target"))
+              .otherwise(drop_every(F.col("target"), 5)))
+    return p.select(
+        "id", "pair_id", "source",
+        F.when(F.col("id") % NULL_DIR_MOD == 0, F.lit(None).cast("string"))
+        .otherwise(F.col("direction")).alias("direction"),
+        F.col("target").alias("ref"), hyp_a.alias("hyp_a"),
+        drop_every(F.col("target"), 3).alias("hyp_b"))
+
+
+@memo
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scores(id, score_a, score_b): sentence chrF++ of hyp_a / hyp_b in
+    integer units of 1e-4 (exact sums for the significance tests)."""
+    from bitextkit.operators.mt_metrics import sentence_chrf, sentence_stats
+    h = hyps(spark, sf_dir)
+    both = h.select("id", F.inline(F.array(
+        F.struct(F.lit(0).alias("sys"), F.col("hyp_a").alias("hyp"), F.col("ref").alias("ref")),
+        F.struct(F.lit(1).alias("sys"), F.col("hyp_b").alias("hyp"), F.col("ref").alias("ref")))))
+    both = both.withColumn("sid", F.col("id") * 2 + F.col("sys"))
+    st = sentence_stats(both, "sid", "hyp", "ref", keep=(), bleu=False)
+    st = st.select((F.col("id") / 2).cast("long").alias("id"), (F.col("id") % 2).alias("sys"),
+                   F.round(sentence_chrf(st) * 10000.0).cast("long").alias("score"))
+    return st.groupBy("id").agg(F.max(F.when(F.col("sys") == 0, F.col("score"))).alias("score_a"),
+                                F.max(F.when(F.col("sys") == 1, F.col("score"))).alias("score_b"))
+
+
+@memo
+def vec_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_pairs(vec_id, a, b): each embedding with its successor, plus one
+    row whose ``a`` is a zero vector (vec_id = -1)."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    j = e.join(nxt, "vec_id").select("vec_id", F.col("embedding").alias("a"), "b")
+    zero = e.filter(F.col("vec_id") == 0).select(
+        F.lit(-1).cast("long").alias("vec_id"),
+        F.transform("embedding", lambda x: F.lit(0.0).cast("float")).alias("a"),
+        F.col("embedding").alias("b"))
+    return j.unionByName(zero)
+
+
+LABEL_MASK_MOD = 7
+ALL_MASKED_MOD = 41
+
+
+@memo
+def token_lp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_lp(vec_id, token_lp array<double>, labels array<int>)."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    lp = F.transform("embedding", lambda x: -F.abs(x.cast("double")) * 5.0)
+    labels = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1),
+                         lambda i: F.when((F.col("vec_id") % ALL_MASKED_MOD == 0)
+                                          | (i % LABEL_MASK_MOD == 0), F.lit(-100)).otherwise(i))
+    return e.select("vec_id", lp.alias("token_lp"), labels.alias("labels"))
+
+
+@memo
+def pref_lp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pref_lp(id, pp, rp, pu, ru) = sequence log-probs of vectors id..id+3
+    (ids without all three successors dropped).  One aggregation instead of
+    three self-joins: each vector is emitted under the four ids it serves."""
+    from bitextkit.functions.vector import seq_logprob
+    t = token_lp(spark, sf_dir).select("vec_id", seq_logprob("token_lp", "labels").alias("lp"))
+    x = t.select(F.inline(F.array(*[
+        F.struct((F.col("vec_id") - k).alias("id"), F.lit(k).alias("k"), F.col("lp").alias("lp"))
+        for k in range(4)])))
+    names = ["pp", "rp", "pu", "ru"]
+    return (x.groupBy("id").agg(F.count(F.lit(1)).alias("_c"),
+                                *[F.max(F.when(F.col("k") == k, F.col("lp"))).alias(n)
+                                  for k, n in enumerate(names)])
+            .filter(F.col("_c") == 4).drop("_c"))
+
+
+def tok_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tok_emb(sent_id, side, pos, vec)."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return e.select((F.col("vec_id") / 10).cast("long").alias("sent_id"),
+                    (F.col("vec_id") % 2).cast("int").alias("side"),
+                    ((F.col("vec_id") % 10) / 2).cast("int").alias("pos"),
+                    F.col("embedding").alias("vec"))
+
+
+LEDGER_NULL_MOD = 50
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ledger(iter, track, value) from events; value NULL every 50th iter."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return ev.select(F.col("event_id").alias("iter"), F.col("event_type").alias("track"),
+                     F.when(F.col("event_id") % LEDGER_NULL_MOD == 0, F.lit(None).cast("double"))
+                     .otherwise(F.col("value")).alias("value"))

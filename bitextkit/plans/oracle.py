@@ -93,9 +93,6 @@ LEFT JOIN (SELECT first_fail, count(*) AS n FROM _ff GROUP BY first_fail) c ON c
 ORACLE: dict[str, str] = {}
 
 
-def _pq(x):
-    return x
-
 
 # ------------------------------------------------------------ P
 ORACLE["p01_norm_text"] = build(
@@ -237,3 +234,292 @@ ORACLE["l02_sample_per_direction"] = build(f"""SELECT pair_id, direction, stratu
     UNION ALL
     SELECT *, 'tgt2src' AS stratum FROM prompts WHERE contains(source, '{TGT_LANG} to {SRC_LANG}')))
 WHERE rn <= 5000""", "prompts")
+
+
+# ------------------------------------------------------------ metric fixtures and statistics
+
+from bitextkit.operators import mt_metrics as _M  # noqa: E402
+from bitextkit.operators import meteor as _ME  # noqa: E402
+from bitextkit.plans.fixtures import (ALL_MASKED_MOD, HYP_EMPTY_MOD, HYP_EQUAL_MOD,  # noqa: E402
+                                      LABEL_MASK_MOD, LEDGER_NULL_MOD, NULL_DIR_MOD)
+
+
+def _drop_every(x: str, k) -> str:
+    return f"array_to_string(list_filter(string_split({x}, ' '), lambda w, i: i % {k} <> 0), ' ')"
+
+
+cte("hyps", f"""SELECT id, pair_id, source,
+  CASE WHEN id % {NULL_DIR_MOD} = 0 THEN NULL ELSE direction END AS direction,
+  target AS ref,
+  CASE WHEN id % {HYP_EMPTY_MOD} = 0 THEN '' WHEN id % {HYP_EQUAL_MOD} = 0 THEN target
+       ELSE {_drop_every('target', 5)} END AS hyp_a,
+  {_drop_every('target', 3)} AS hyp_b
+FROM (SELECT *, pair_id * 2 + CASE WHEN direction = 'tgt2src' THEN 1 ELSE 0 END AS id FROM pairs)""",
+    ["pairs"])
+
+
+def stats_ctes(p: str, src: str, id_expr: str, hyp: str, ref: str, keep: list[str],
+               deps: list[str]) -> str:
+    """Register CTEs {p}_u, {p}_g, {p}_m, {p}_stats: per-sentence statistics
+    computed the plain way (lateral ranges over positions, GROUP BY gram)."""
+    kc = "".join(f", {k}" for k in keep)
+    cte(f"{p}_u", f"""SELECT {id_expr} AS id{kc},
+  {S.tokenize_13a(hyp)} AS tok_h, {S.tokenize_13a(ref)} AS tok_r,
+  {S.chrf_chars(hyp)} AS chr_h, {S.chrf_chars(ref)} AS chr_r,
+  {S.chrf_words(hyp)} AS wrd_h, {S.chrf_words(ref)} AS wrd_r FROM {src}""", deps)
+    parts = []
+    for side in ("h", "r"):
+        parts.append(f"""SELECT id, '{side}' AS side, n AS o, array_to_string(tok_{side}[p:p + n - 1], ' ') AS g
+  FROM {p}_u, range(1, len(tok_{side}) + 1) rp(p), range(1, 5) rn(n) WHERE p + n - 1 <= len(tok_{side})""")
+        parts.append(f"""SELECT id, '{side}', 10 + n, substring(chr_{side}, p, n)
+  FROM {p}_u, range(1, length(chr_{side}) + 1) rp(p), range(1, 7) rn(n) WHERE p + n - 1 <= length(chr_{side})""")
+        parts.append(f"""SELECT id, '{side}', 20 + n, array_to_string(wrd_{side}[p:p + n - 1], ' ')
+  FROM {p}_u, range(1, len(wrd_{side}) + 1) rp(p), range(1, 3) rn(n) WHERE p + n - 1 <= len(wrd_{side})""")
+    cte(f"{p}_g", "\nUNION ALL ".join(parts), [f"{p}_u"])
+    codes = _M.BLEU_CODES + _M.CHAR_CODES + _M.WORD_CODES
+    piv = ", ".join(f"sum(least(hc, rc)) FILTER (WHERE o = {c}) AS m{c}" for c in codes)
+    cte(f"{p}_m", f"""SELECT id, {piv} FROM (
+  SELECT id, o, g, count(*) FILTER (WHERE side = 'h') AS hc, count(*) FILTER (WHERE side = 'r') AS rc
+  FROM {p}_g GROUP BY id, o, g) GROUP BY id""", [f"{p}_g"])
+    cols = [f"len(tok_h)::BIGINT AS bleu_hyp_len", f"len(tok_r)::BIGINT AS bleu_ref_len"]
+    for n in _M.BLEU_CODES:
+        cols.append(f"coalesce(m.m{n}, 0)::BIGINT AS bleu_m{n}")
+        cols.append(f"greatest(len(tok_h) - {n} + 1, 0)::BIGINT AS bleu_t{n}")
+    k = 0
+    for hcol, rcol, codes_k, fn in (("chr_h", "chr_r", _M.CHAR_CODES, "length"),
+                                    ("wrd_h", "wrd_r", _M.WORD_CODES, "len")):
+        for code in codes_k:
+            k += 1
+            n = code % 10
+            rc = f"greatest({fn}({rcol}) - {n} + 1, 0)"
+            cols.append(f"(CASE WHEN {rc} > 0 THEN greatest({fn}({hcol}) - {n} + 1, 0) ELSE 0 END)::BIGINT AS chrf_h{k}")
+            cols.append(f"{rc}::BIGINT AS chrf_r{k}")
+            cols.append(f"coalesce(m.m{code}, 0)::BIGINT AS chrf_m{k}")
+    kc2 = "".join(f", u.{kk}" for kk in keep)
+    cte(f"{p}_stats", f"SELECT u.id{kc2}, {', '.join(cols)} FROM {p}_u u LEFT JOIN {p}_m m ON m.id = u.id",
+        [f"{p}_u", f"{p}_m"])
+    return f"{p}_stats"
+
+
+stats_ctes("sa", "hyps", "id", "hyp_a", "ref", ["direction"], ["hyps"])
+stats_ctes("sb", "hyps", "id", "hyp_b", "ref", [], ["hyps"])
+
+_BLEU = _M.bleu_formula()
+_BLEU_EFF = _M.bleu_formula(effective_order=True)
+_CHRF = _M.chrf_formula()
+_SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in _M.STAT_COLS_BLEU + _M.STAT_COLS_CHRF)
+
+ORACLE["a01_corpus_bleu"] = build(f"""SELECT n, round({_BLEU}, 4) AS bleu, round({_BLEU_EFF}, 4) AS bleu_effective
+FROM (SELECT count(*)::BIGINT AS n, {_SUMS} FROM sa_stats)""", "sa_stats")
+ORACLE["a02_corpus_chrf"] = build(f"""SELECT n, round({_CHRF}, 4) AS chrf
+FROM (SELECT count(*)::BIGINT AS n, {_SUMS} FROM sa_stats)""", "sa_stats")
+ORACLE["j03_clipped_matches"] = build(
+    "SELECT id, bleu_hyp_len, bleu_ref_len, " + ", ".join(f"bleu_m{n}" for n in _M.BLEU_CODES)
+    + ", " + ", ".join(f"chrf_m{k}" for k in range(1, 9)) + " FROM sa_stats", "sa_stats")
+ORACLE["a06_evaluate_by_direction"] = build(f"""SELECT direction, n, round({_BLEU}, 4) AS bleu,
+  round({_BLEU_EFF}, 4) AS bleu_eff, round({_CHRF}, 4) AS chrf FROM (
+  SELECT direction, count(*)::BIGINT AS n, {_SUMS} FROM sa_stats WHERE direction IS NOT NULL GROUP BY direction
+  UNION ALL SELECT 'overall', count(*)::BIGINT, {_SUMS} FROM sa_stats)""", "sa_stats")
+ORACLE["a06_evaluate_by_direction_matched"] = build(f"""SELECT direction, n, round({_BLEU}, 4) AS bleu,
+  round({_BLEU_EFF}, 4) AS bleu_eff, round({_CHRF}, 4) AS chrf FROM (
+  SELECT direction, count(*)::BIGINT AS n, {_SUMS} FROM sa_stats WHERE direction IS NOT NULL GROUP BY direction
+  UNION ALL SELECT 'overall', count(*)::BIGINT, {_SUMS} FROM sa_stats WHERE direction IS NOT NULL)""",
+    "sa_stats")
+
+
+# METEOR: exact alignment by k-th-last occurrence, chunks by lag
+def _meteor_ctes(p: str, hyp: str, ref: str, src: str = "hyps"):
+    for side, col in (("h", hyp), ("r", ref)):
+        cte(f"{p}_{side}t", f"""SELECT id, unnest(toks) AS word, generate_subscripts(toks, 1) - 1 AS pos
+FROM (SELECT id, list_transform({S.ws_tokens(f"coalesce({col}, '')")}, lambda t: lower(t)) AS toks FROM {src})""",
+            [src])
+    cte(f"{p}_al", f"""SELECT h.id, h.pos AS hyp_pos, r.pos AS ref_pos FROM
+  (SELECT *, row_number() OVER (PARTITION BY id, word ORDER BY pos DESC) AS k FROM {p}_ht) h
+  JOIN (SELECT *, row_number() OVER (PARTITION BY id, word ORDER BY pos DESC) AS k FROM {p}_rt) r
+  ON h.id = r.id AND h.word = r.word AND h.k = r.k""", [f"{p}_ht", f"{p}_rt"])
+    cte(f"{p}_ch", f"""SELECT id, count(*)::BIGINT AS m,
+  (1 + sum(CASE WHEN hyp_pos <> ph + 1 OR ref_pos <> pr + 1 THEN 1 ELSE 0 END))::BIGINT AS chunks
+FROM (SELECT *, lag(hyp_pos) OVER (PARTITION BY id ORDER BY hyp_pos) AS ph,
+             lag(ref_pos) OVER (PARTITION BY id ORDER BY hyp_pos) AS pr FROM {p}_al) GROUP BY id""",
+        [f"{p}_al"])
+    a, b = repr(_ME.ALPHA), repr(1 - _ME.ALPHA)
+    cte(f"{p}_sent", f"""SELECT s.id, s.direction, s.hyp_len, s.ref_len, coalesce(c.m, 0)::BIGINT AS m,
+  coalesce(c.chunks, 0)::BIGINT AS chunks,
+  CASE WHEN coalesce(c.m, 0) = 0 THEN 0.0::DOUBLE ELSE
+    (1.0::DOUBLE - {_ME.GAMMA!r}::DOUBLE * pow(c.chunks::DOUBLE / c.m, {_ME.BETA!r}::DOUBLE))
+    * ((c.m::DOUBLE / s.hyp_len) * (c.m::DOUBLE / s.ref_len)
+       / ({a}::DOUBLE * (c.m::DOUBLE / s.hyp_len) + {b}::DOUBLE * (c.m::DOUBLE / s.ref_len))) END AS meteor
+FROM (SELECT id, direction, len({S.ws_tokens(f"coalesce({hyp}, '')")})::BIGINT AS hyp_len,
+             len({S.ws_tokens(f"coalesce({ref}, '')")})::BIGINT AS ref_len FROM {src}) s
+LEFT JOIN {p}_ch c ON c.id = s.id""", [f"{p}_ch", src])
+
+
+_meteor_ctes("ma", "hyp_a", "ref")
+ORACLE["a03_corpus_meteor"] = build(
+    "SELECT count(*)::BIGINT AS n, round(avg(meteor) * 100.0, 4) AS meteor FROM ma_sent", "ma_sent")
+ORACLE["j04_meteor_alignment"] = build(
+    "SELECT id, hyp_len, ref_len, m, chunks, round(meteor, 6) AS meteor FROM ma_sent", "ma_sent")
+ORACLE["a05_metric_bundle"] = build(f"""SELECT 'bleu' AS metric, round({_BLEU}, 4) AS score
+  FROM (SELECT {_SUMS} FROM sa_stats)
+UNION ALL SELECT 'chrf', round({_CHRF}, 4) FROM (SELECT {_SUMS} FROM sa_stats)
+UNION ALL SELECT 'meteor', round(avg(meteor) * 100.0, 4) FROM ma_sent""", "sa_stats", "ma_sent")
+ORACLE["j01_pair_predictions"] = build("""SELECT id, prediction, ref, direction,
+  CASE WHEN p.id IS NOT NULL AND r.id IS NOT NULL THEN 'matched'
+       WHEN p.id IS NULL THEN 'missing_prediction' ELSE 'missing_reference' END AS status
+FROM (SELECT id, hyp_a AS prediction FROM hyps WHERE id % 11 <> 0) p
+FULL OUTER JOIN (SELECT id, ref, direction FROM hyps WHERE id % 23 <> 5) r USING (id)""", "hyps")
+
+# ------------------------------------------------------------ embeddings
+
+
+def _cos(a: str, b: str) -> str:
+    A, B = f"{a}::DOUBLE[]", f"{b}::DOUBLE[]"
+    return (f"(list_dot_product({A}, {B}) / (greatest(sqrt(list_dot_product({A}, {A})), 1e-8)"
+            f" * greatest(sqrt(list_dot_product({B}, {B})), 1e-8)))")
+
+
+cte("tok_emb", "SELECT vec_id // 10 AS sent_id, (vec_id % 2)::INTEGER AS side, "
+               "((vec_id % 10) // 2)::INTEGER AS pos, embedding AS vec FROM embeddings")
+cte("_gm", f"""SELECT sent_id, avg(best) FILTER (WHERE side = 0) AS p, avg(best) FILTER (WHERE side = 1) AS r
+FROM (SELECT a.sent_id, a.side, a.pos, max({_cos('a.vec', 'b.vec')}) AS best
+      FROM tok_emb a JOIN tok_emb b ON a.sent_id = b.sent_id AND a.side <> b.side
+      GROUP BY a.sent_id, a.side, a.pos) GROUP BY sent_id""", ["tok_emb"])
+ORACLE["a04_greedy_match"] = build("""SELECT sent_id, round(p, 6) AS precision, round(r, 6) AS recall,
+  round(2 * p * r / (p + r), 6) AS f1 FROM _gm""", "_gm")
+ORACLE["a04_bertscore_f1"] = build(
+    "SELECT count(*)::BIGINT AS n, round(avg(2 * p * r / (p + r)) * 100.0, 4) AS bertscore_f1 FROM _gm",
+    "_gm")
+cte("vec_pairs", """SELECT e1.vec_id, e1.embedding AS a, e2.embedding AS b
+FROM embeddings e1 JOIN embeddings e2 ON e2.vec_id = e1.vec_id + 1
+UNION ALL SELECT -1, list_transform(embedding, lambda x: 0.0::FLOAT), embedding FROM embeddings WHERE vec_id = 0""")
+cte("vp_cos", f"SELECT vec_id, {_cos('a', 'b')} AS c FROM vec_pairs", ["vec_pairs"])
+ORACLE["a08_cosine"] = build("SELECT vec_id, round(c, 6) AS cosine FROM vp_cos", "vp_cos")
+ORACLE["a09_gamma_reward"] = build(
+    "SELECT vec_id, round(c * exp(-1.0::DOUBLE * c), 6) AS reward_phi1, "
+    "round(c * exp(-2.0::DOUBLE * c), 6) AS reward_phi2 FROM vp_cos", "vp_cos")
+ORACLE["u03_with_reward"] = build(
+    "SELECT vec_id, round(c * exp(-1.0::DOUBLE * c), 6) AS reward FROM vp_cos", "vp_cos")
+_PHIS = "[" + ", ".join(f"{p!r}::DOUBLE" for p in (0.1, 0.5, 1.0, 2.0)) + "]"
+cte("phi_rows", f"SELECT vec_id, phi, c * exp(-phi * c) AS reward FROM vp_cos, "
+                f"(SELECT unnest({_PHIS}) AS phi)", ["vp_cos"])
+ORACLE["j07_phi_sweep"] = build("SELECT vec_id, phi, round(reward, 6) AS reward FROM phi_rows",
+                                "phi_rows")
+ORACLE["a10_mean_reward_by_phi"] = build("""SELECT phi, count(*)::BIGINT AS n,
+  round(avg(reward), 6) AS mean_reward, round(avg(reward) + 0.1::DOUBLE, 4) AS weight
+FROM phi_rows GROUP BY phi""", "phi_rows")
+cte("token_lp", f"""SELECT vec_id, list_transform(embedding, lambda x: -abs(x::DOUBLE) * 5.0::DOUBLE) AS token_lp,
+  list_transform(range(0, len(embedding)), lambda i: CASE WHEN vec_id % {ALL_MASKED_MOD} = 0
+     OR i % {LABEL_MASK_MOD} = 0 THEN -100 ELSE i END) AS labels FROM embeddings""")
+cte("seq_lp", """SELECT vec_id, list_sum(list_transform(token_lp, lambda x, i: CASE WHEN labels[i] <> -100
+  THEN x ELSE 0.0::DOUBLE END)) / greatest(len(list_filter(labels, lambda l: l <> -100)), 1)::DOUBLE AS logp
+FROM token_lp""", ["token_lp"])
+ORACLE["a11_seq_logprob"] = build("SELECT vec_id, round(logp, 6) AS logp FROM seq_lp", "seq_lp")
+cte("hgr_rows", f"""SELECT v.vec_id, c * exp(-1.0::DOUBLE * c) AS reward, l.logp,
+  (row_number() OVER (ORDER BY {_key('v.vec_id')}, v.vec_id) - 1) // 8 AS batch_id
+FROM vp_cos v JOIN seq_lp l ON l.vec_id = v.vec_id""", ["vp_cos", "seq_lp"])
+cte("hgr_loss", """SELECT batch_id::BIGINT AS batch_id, count(*)::BIGINT AS n,
+  round(-avg((reward - rbar) * logp), 6) AS hgr_loss
+FROM (SELECT *, avg(reward) OVER (PARTITION BY batch_id) AS rbar FROM hgr_rows) GROUP BY batch_id""",
+    ["hgr_rows"])
+ORACLE["a12_reinforce_loss"] = build("SELECT * FROM hgr_loss", "hgr_loss")
+cte("pref_lp", """SELECT a.vec_id AS id, a.logp AS pp, b.logp AS rp, c.logp AS pu, d.logp AS ru
+FROM seq_lp a JOIN seq_lp b ON b.vec_id = a.vec_id + 1 JOIN seq_lp c ON c.vec_id = a.vec_id + 2
+JOIN seq_lp d ON d.vec_id = a.vec_id + 3""", ["seq_lp"])
+
+
+def _nls(z: str) -> str:
+    return f"(-(least({z}, 0.0::DOUBLE) - ln(1.0::DOUBLE + exp(-abs({z})))))"
+
+
+_Z = "(0.1::DOUBLE * ((pp - rp) - (pu - ru)))"
+cte("dpo_loss", f"""SELECT batch_id::BIGINT AS batch_id, count(*)::BIGINT AS n, round(avg({_nls(_Z)}), 6) AS dpo_loss
+FROM (SELECT *, (row_number() OVER (ORDER BY {_key('id')}, id) - 1) // 8 AS batch_id FROM pref_lp)
+GROUP BY batch_id""", ["pref_lp"])
+ORACLE["a13_dpo_loss"] = build("SELECT * FROM dpo_loss", "dpo_loss")
+ORACLE["a14_combined_loss"] = build("""SELECT d.batch_id, d.dpo_loss, h.hgr_loss,
+  round(0.5::DOUBLE * d.dpo_loss + 0.5::DOUBLE * h.hgr_loss, 6) AS total_loss
+FROM dpo_loss d JOIN hgr_loss h ON h.batch_id = d.batch_id""", "dpo_loss", "hgr_loss")
+ORACLE["a15_epoch_summary"] = build(f"""SELECT epoch, count(*)::BIGINT AS batches, round(avg(l), 6) AS mean_dpo_loss
+FROM (SELECT epoch, batch_id, avg({_nls(_Z)}) AS l FROM (
+  SELECT *, (row_number() OVER (PARTITION BY epoch ORDER BY {_key('id', 'epoch')}, id) - 1) // 8 AS batch_id
+  FROM pref_lp, (SELECT unnest([0, 1]) AS epoch)) GROUP BY epoch, batch_id) GROUP BY epoch""", "pref_lp")
+
+# ------------------------------------------------------------ significance
+cte("scores", """SELECT a.id, a.s AS score_a, b.s AS score_b FROM
+  (SELECT id, round(""" + _CHRF + """ * 10000.0::DOUBLE)::BIGINT AS s FROM sa_stats) a JOIN
+  (SELECT id, round(""" + _CHRF + """ * 10000.0::DOUBLE)::BIGINT AS s FROM sb_stats) b ON a.id = b.id""",
+    ["sa_stats", "sb_stats"])
+ORACLE["j05_paired_scores"] = build("SELECT id, score_a, score_b FROM scores", "scores")
+_bit = ("(((instr('0123456789abcdef', substring(md5(concat_ws(':', '42', trial, id // 128)), "
+        "(id % 128) // 4 + 1, 1)) - 1) // (CASE (id % 128) % 4 WHEN 0 THEN 8 WHEN 1 THEN 4 "
+        "WHEN 2 THEN 2 ELSE 1 END)) % 2)")
+ORACLE["a16_randomization_test"] = build(f"""SELECT hits, trials, hits::DOUBLE / trials AS p_value, observed_abs_sum
+FROM (SELECT count(*) FILTER (WHERE abs(s) >= (SELECT abs(sum(score_a - score_b)) FROM scores))::BIGINT AS hits,
+             count(*)::BIGINT AS trials,
+             (SELECT abs(sum(score_a - score_b)) FROM scores)::BIGINT AS observed_abs_sum
+      FROM (SELECT trial, sum((1 - 2 * {_bit}) * (score_a - score_b)) AS s
+            FROM scores, range(0, 200) t(trial) GROUP BY trial))""", "scores")
+ORACLE["a17_cohens_d"] = build("""SELECT count(*)::BIGINT AS n,
+  round(avg(d) / (stddev_samp(d) + 1e-10), 6) AS cohens_d, round(avg(d), 6) AS mean_diff
+FROM (SELECT (score_a - score_b)::DOUBLE / 10000.0::DOUBLE AS d FROM scores)""", "scores")
+
+# ------------------------------------------------------------ inference
+_sent = "regexp_replace(source, '^translate [^:]*: ', '')"
+cte("gen3", f"""SELECT pair_id, source, target AS preferred, direction,
+  {S.strip_ws(_drop_every(_sent, 3))} AS unpreferred FROM pairs""", ["pairs"])
+ORACLE["u01_generate_rejected"] = build(
+    "SELECT pair_id, source, preferred, direction, unpreferred FROM gen3", "gen3")
+ORACLE["p07_to_dpo"] = build(
+    "SELECT pair_id, direction, source AS prompt, preferred AS chosen, unpreferred AS rejected FROM gen3",
+    "gen3")
+ORACLE["p15_tokenize_pairs"] = build(
+    f"SELECT pair_id, direction, array_to_string(({S.ws_tokens('source')})[1:8], ' ') AS input_tokens, "
+    f"array_to_string(({S.ws_tokens('target')})[1:6], ' ') AS label_tokens FROM pairs", "pairs")
+ORACLE["u05_model_reward"] = build(
+    "SELECT id, round((length(ref) + 1)::DOUBLE / (length(hyp_a) + 1), 6) AS reward FROM hyps", "hyps")
+ORACLE["l03_inspection_sample"] = build(f"""SELECT id, source, ref AS reference, hyp_a AS prediction, direction
+FROM hyps ORDER BY {_key('id')}, id LIMIT 30""", "hyps")
+
+# ------------------------------------------------------------ sweep
+_grid_rows = []
+_cid = 0
+for nb in (4, 6, 8):
+    for ml in (48, 64, 80):
+        for lp in (0.8, 1.0, 1.2):
+            for rp in (1.0, 1.1):
+                _grid_rows.append(f"({_cid}, {nb}, {ml}, {lp!r}::DOUBLE, {rp!r}::DOUBLE)")
+                _cid += 1
+cte("grid", "SELECT * FROM (VALUES " + ", ".join(_grid_rows)
+    + ") AS g(config_id, num_beams, max_length, length_penalty, repetition_penalty)")
+cte("sw_in", f"""SELECT h.id * 54 + g.config_id AS sid, g.config_id, h.ref,
+  {S.strip_ws("array_to_string(CASE WHEN g.length_penalty < 1 AND len(w) > 1 THEN w[1:len(w) - 1] ELSE w END, ' ')")} AS hyp
+FROM (SELECT h.*, g.config_id AS cfg, list_filter(string_split({_sent.replace('source', 'h.source')}, ' '),
+        lambda x, i: i % (g.num_beams // 2 + 1 + CASE WHEN g.repetition_penalty > 1 THEN 1 ELSE 0 END) <> 0)
+        [1:g.max_length // 8] AS w
+      FROM hyps h, grid g) h JOIN grid g ON g.config_id = h.cfg""", ["hyps", "grid"])
+stats_ctes("sw", "sw_in", "sid", "hyp", "ref", ["config_id"], ["sw_in"])
+cte("sweep", f"""SELECT g.config_id, g.num_beams, g.max_length, g.length_penalty, g.repetition_penalty,
+  round({_BLEU_EFF}, 4) AS bleu, round({_CHRF}, 4) AS chrf
+FROM (SELECT config_id, {_SUMS} FROM sw_stats GROUP BY config_id) s JOIN grid g ON g.config_id = s.config_id""",
+    ["sw_stats", "grid"])
+ORACLE["u06_sweep"] = build("SELECT * FROM sweep", "sweep")
+ORACLE["a18_best_run"] = build("SELECT * FROM sweep ORDER BY bleu DESC, config_id LIMIT 1", "sweep")
+ORACLE["l04_top_k"] = build("SELECT * FROM sweep ORDER BY bleu DESC, config_id LIMIT 10", "sweep")
+
+# ------------------------------------------------------------ ledger
+cte("ledger", f"""SELECT event_id AS iter, event_type AS track,
+  CASE WHEN event_id % {LEDGER_NULL_MOD} = 0 THEN NULL ELSE value END AS value FROM events""")
+ORACLE["w06_running_best"] = build("""SELECT iter, track, value, prev_best,
+  CASE WHEN prev_best IS NULL THEN value WHEN value IS NULL THEN prev_best ELSE greatest(prev_best, value) END
+    AS best_so_far,
+  (value IS NOT NULL AND (prev_best IS NULL OR value > prev_best)) AS keep
+FROM (SELECT *, max(value) OVER (PARTITION BY track ORDER BY iter
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_best FROM ledger)""", "ledger")
+ORACLE["w07_gap_to"] = build("""SELECT l.iter, l.track, round(l.value - b.baseline, 6) AS gap_to_baseline,
+  round(l.value - 25.0::DOUBLE, 6) AS gap_to_target
+FROM ledger l LEFT JOIN (SELECT track, arg_min(value, iter) AS baseline FROM ledger
+                         WHERE value IS NOT NULL GROUP BY track) b ON b.track = l.track""", "ledger")
+ORACLE["j08_metric_delta"] = """SELECT metric, round(b, 6) AS baseline, round(c, 6) AS candidate,
+  round(c - b, 6) AS delta
+FROM (SELECT event_type AS metric, avg(value) FILTER (WHERE event_id % 2 = 0) AS b,
+             avg(value) FILTER (WHERE event_id % 2 <> 0) AS c FROM events GROUP BY event_type)"""

@@ -241,3 +241,271 @@ def l01(spark, d):
 def l02(spark, d):
     return P.sample_per_direction(fx.prompts(spark, d), 5000, fx.SRC_LANG, fx.TGT_LANG).select(
         "pair_id", "direction", "stratum", "source")
+
+
+# ------------------------------------------------------------ MT metrics
+
+from bitextkit.operators import infer as U  # noqa: E402
+from bitextkit.operators import ledger as LG  # noqa: E402
+from bitextkit.operators import meteor as ME  # noqa: E402
+from bitextkit.operators import mt_metrics as M  # noqa: E402
+from bitextkit.operators import reward as R  # noqa: E402
+from bitextkit.operators import stats as ST  # noqa: E402
+from bitextkit.functions import vector as V  # noqa: E402
+
+
+def _stats_a(spark, d, keep=("direction",)):
+    return M.sentence_stats(fx.hyps(spark, d), "id", "hyp_a", "ref", keep=keep)
+
+
+@query("a01_corpus_bleu")
+def a01(spark, d):
+    return M.corpus_scores(_stats_a(spark, d, ()), chrf=False).select(
+        "n", "bleu", F.col("bleu_eff").alias("bleu_effective"))
+
+
+@query("a02_corpus_chrf")
+def a02(spark, d):
+    return M.corpus_scores(_stats_a(spark, d, ()), bleu=False)
+
+
+@query("j03_clipped_matches")
+def j03(spark, d):
+    st = _stats_a(spark, d, ())
+    return st.select("id", "bleu_hyp_len", "bleu_ref_len",
+                     *[f"bleu_m{n}" for n in M.BLEU_CODES],
+                     *[f"chrf_m{k}" for k in range(1, 9)])
+
+
+@query("a03_corpus_meteor")
+def a03(spark, d):
+    return ME.corpus_meteor(fx.hyps(spark, d), "hyp_a", "ref")
+
+
+@query("j04_meteor_alignment")
+def j04(spark, d):
+    s = ME.sentence_meteor(fx.hyps(spark, d), "id", "hyp_a", "ref", keep=())
+    return s.select("id", "hyp_len", "ref_len", "m", "chunks",
+                    F.round("meteor", 6).alias("meteor"))
+
+
+@query("a04_bertscore_f1")
+def a04(spark, d):
+    return ME.corpus_greedy_f1(fx.tok_emb(spark, d))
+
+
+@query("a04_greedy_match")
+def a04s(spark, d):
+    return ME.greedy_match_f1(fx.tok_emb(spark, d))
+
+
+@query("a05_metric_bundle")
+def a05(spark, d):
+    h = fx.hyps(spark, d)
+    sc = M.corpus_scores(M.sentence_stats(h, "id", "hyp_a", "ref", keep=()))
+    me = ME.corpus_meteor(h, "hyp_a", "ref")
+    a = sc.select(F.inline(F.array(
+        F.struct(F.lit("bleu").alias("metric"), F.col("bleu").alias("score")),
+        F.struct(F.lit("chrf").alias("metric"), F.col("chrf").alias("score")))))
+    b = me.select(F.lit("meteor").alias("metric"), F.col("meteor").alias("score"))
+    return a.unionByName(b)
+
+
+@query("a06_evaluate_by_direction")
+def a06(spark, d):
+    return M.evaluate_by(_stats_a(spark, d), "direction", overall="all")
+
+
+@query("a06_evaluate_by_direction_matched")
+def a06m(spark, d):
+    return M.evaluate_by(_stats_a(spark, d), "direction", overall="matched")
+
+
+@query("j01_pair_predictions")
+def j01(spark, d):
+    h = fx.hyps(spark, d)
+    preds = h.filter(F.col("id") % 11 != 0).select("id", F.col("hyp_a").alias("prediction"))
+    refs = h.filter(F.col("id") % 23 != 5).select("id", "ref", "direction")
+    return M.pair_predictions(preds, refs, "id")
+
+
+@query("u01_generate_rejected")
+def u01(spark, d):
+    p = fx.pairs(spark, d).withColumnRenamed("target", "preferred")
+    return U.generate_rejected(p, U.dropping_generator(3), batch_size=64)
+
+
+@query("p07_to_dpo")
+def p07(spark, d):
+    p = fx.pairs(spark, d).withColumnRenamed("target", "preferred")
+    g = U.generate_rejected(p, U.dropping_generator(3), batch_size=64)
+    from bitextkit.operators.pairs import to_dpo
+    return to_dpo(g).select("pair_id", "direction", "prompt", "chosen", "rejected")
+
+
+@query("p15_tokenize_pairs")
+def p15(spark, d):
+    t = U.tokenize_pairs(fx.pairs(spark, d), 8, 6)
+    return t.select("pair_id", "direction", F.array_join("input_tokens", " ").alias("input_tokens"),
+                    F.array_join("label_tokens", " ").alias("label_tokens"))
+
+
+# ------------------------------------------------------------ significance
+
+@query("j05_paired_scores")
+def j05(spark, d):
+    return fx.scores(spark, d)
+
+
+@query("a16_randomization_test")
+def a16(spark, d):
+    return ST.randomization_test(fx.scores(spark, d), trials=200, seed=42)
+
+
+@query("a17_cohens_d")
+def a17(spark, d):
+    return ST.cohens_d(fx.scores(spark, d), scale=10000.0)
+
+
+# ------------------------------------------------------------ rewards and losses
+
+@query("a08_cosine")
+def a08(spark, d):
+    return fx.vec_pairs(spark, d).select("vec_id", F.round(V.cosine("a", "b"), 6).alias("cosine"))
+
+
+@query("a09_gamma_reward")
+def a09(spark, d):
+    c = V.cosine("a", "b")
+    return fx.vec_pairs(spark, d).select(
+        "vec_id", F.round(V.gamma_reward(c, 1.0), 6).alias("reward_phi1"),
+        F.round(V.gamma_reward(c, 2.0), 6).alias("reward_phi2"))
+
+
+PHIS = [0.1, 0.5, 1.0, 2.0]
+
+
+@query("j07_phi_sweep")
+def j07(spark, d):
+    x = R.phi_sweep(R.with_cosine(fx.vec_pairs(spark, d)), PHIS)
+    return x.select("vec_id", "phi", F.round("reward", 6).alias("reward"))
+
+
+@query("a10_mean_reward_by_phi")
+def a10(spark, d):
+    return R.mean_reward_by_phi(R.with_cosine(fx.vec_pairs(spark, d)), PHIS)
+
+
+@query("a11_seq_logprob")
+def a11(spark, d):
+    return fx.token_lp(spark, d).select(
+        "vec_id", F.round(V.seq_logprob("token_lp", "labels"), 6).alias("logp"))
+
+
+def _hgr_rows(spark, d):
+    vp = R.with_gamma_reward(R.with_cosine(fx.vec_pairs(spark, d)), "cosine", 1.0)
+    lp = R.with_seq_logprob(fx.token_lp(spark, d)).select("vec_id", "logp")
+    rows = vp.join(lp, "vec_id")
+    return P.assign_batches(rows, 8, 42, ("vec_id",))
+
+
+def _dpo_rows(spark, d):
+    return P.assign_batches(fx.pref_lp(spark, d), 8, 42, ("id",))
+
+
+@query("a12_reinforce_loss")
+def a12(spark, d):
+    return R.reinforce_loss(_hgr_rows(spark, d))
+
+
+@query("a13_dpo_loss")
+def a13(spark, d):
+    return R.dpo_loss(_dpo_rows(spark, d), beta=0.1)
+
+
+@query("a14_combined_loss")
+def a14(spark, d):
+    return R.combined_loss(R.dpo_loss(_dpo_rows(spark, d), 0.1), R.reinforce_loss(_hgr_rows(spark, d)))
+
+
+@query("a15_epoch_summary")
+def a15(spark, d):
+    pl = fx.pref_lp(spark, d).withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1))))
+    b = P.assign_batches(pl, 8, 42, ("id", "epoch"), by=("epoch",))
+    per_batch = b.groupBy("epoch", "batch_id").agg(
+        F.avg(-V.log_sigmoid(V.dpo_margin("pp", "rp", "pu", "ru", 0.1))).alias("dpo_loss"))
+    return R.epoch_summary(per_batch, "dpo_loss")
+
+
+@query("u03_with_reward")
+def u03(spark, d):
+    x = fx.vec_pairs(spark, d).withColumnsRenamed({"a": "hyp_emb", "b": "ref_emb"})
+    return R.with_reward(x, "HGR", phi=1.0).select("vec_id", F.round("reward", 6).alias("reward"))
+
+
+@query("u05_model_reward")
+def u05(spark, d):
+    h = fx.hyps(spark, d).select("id", "source", "hyp_a", "ref")
+    x = U.model_reward(h, U.length_ratio_scorer(), batch_size=8, input_format="triple",
+                       hyp="hyp_a", ref="ref")
+    return x.select("id", F.round("reward", 6).alias("reward"))
+
+
+@query("u02_embed")
+def u02(spark, d):
+    e = U.embed(fx.pairs(spark, d), "target", U.hashing_encoder(32))
+    return e.select("pair_id", "direction", F.size("embedding").alias("dim"),
+                    F.round(V.l2norm("embedding"), 4).alias("norm"))
+
+
+# ------------------------------------------------------------ sweep, ledger
+
+GRID = {"num_beams": [4, 6, 8], "max_length": [48, 64, 80],
+        "length_penalty": [0.8, 1.0, 1.2], "repetition_penalty": [1.0, 1.1]}
+
+
+def _sweep(spark, d):
+    h = fx.hyps(spark, d).select("id", "source", "ref")
+    return U.sweep(h, GRID, U.dropping_generator(3))
+
+
+@query("u06_sweep")
+def u06(spark, d):
+    return _sweep(spark, d)
+
+
+@query("a18_best_run")
+def a18(spark, d):
+    return LG.best_run(_sweep(spark, d), "bleu", "config_id")
+
+
+@query("l04_top_k")
+def l04(spark, d):
+    return LG.top_k(_sweep(spark, d), "bleu", 10, "config_id")
+
+
+@query("l03_inspection_sample")
+def l03(spark, d):
+    h = fx.hyps(spark, d).select("id", "source", F.col("ref").alias("reference"),
+                                 F.col("hyp_a").alias("prediction"), "direction")
+    return P.sample_k(h, 30, 42, ("id",))
+
+
+@query("w06_running_best")
+def w06(spark, d):
+    return LG.running_best(fx.ledger(spark, d), "track", "iter", "value").select(
+        "iter", "track", "value", "prev_best", "best_so_far", "keep")
+
+
+@query("w07_gap_to")
+def w07(spark, d):
+    return LG.gap_to(fx.ledger(spark, d), target=25.0).select(
+        "iter", "track", "gap_to_baseline", "gap_to_target")
+
+
+@query("j08_metric_delta")
+def j08(spark, d):
+    ev = read_table(spark, d, "events").select(
+        F.when(F.col("event_id") % 2 == 0, F.lit("baseline")).otherwise(F.lit("candidate"))
+        .alias("run"), F.col("event_type").alias("metric"), "value")
+    return LG.metric_delta(ev)
