@@ -46,92 +46,104 @@ def prepare(df: DataFrame, id_col: str = "id", hyp: str = "hyp", ref: str = "ref
     return df.select(*cols)
 
 
-def _window_rows(side: str, col: str, base: int, width: int, is_string: bool) -> Column:
-    """Array of struct(side, base, tok, avail, w): one window per start
-    position p = 1..L, ``w`` = the next ``width`` units as a string (token
-    windows joined by single spaces), ``avail`` = L - p + 1.  A single small
-    lambda per unit kind keeps the generated code compact."""
-    c = F.col(col)
-    size = F.length(c) if is_string else F.size(c)
-    seq = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-
-    def win(p):
-        w = F.substring(c, p, width) if is_string else F.array_join(F.slice(c, p, width), " ")
-        return F.struct(F.lit(side).alias("side"), F.lit(base).alias("base"),
-                        F.lit(not is_string).alias("tok"), (size - p + 1).alias("avail"),
-                        w.alias("w"))
-    return F.transform(seq, win)
-
-
-def ngram_matches(units: DataFrame, bleu: bool = True, chrf: bool = True) -> DataFrame:
-    """Clipped matches per (id, order code): sum over grams of
-    min(count in hyp, count in ref).  ``units`` must be partitioned by id."""
+def _char_windows(col: str, width: int) -> Column:
+    """For every code point position: the next up-to-``width`` characters.
+    A capturing lookahead matches once per position, so this is one native
+    regex pass (no lambda, no per-position copy of the string)."""
+    return F.regexp_extract_all(F.col(col), F.lit(f"(?=(.{{1,{width}}}))"), 1)
+
+
+def _token_windows(col: str, width: int) -> Column:
+    """For every token start: the next up-to-``width`` tokens, space-joined
+    (tokens never contain a space)."""
+    joined = F.array_join(F.col(col), " ")
+    pattern = f"(?:^| )(?=([^ ]+(?: [^ ]+){{0,{width - 1}}}))"
+    return F.regexp_extract_all(joined, F.lit(pattern), 1)
+
+
+def ngram_counts(units: DataFrame, keep=(), bleu: bool = True, chrf: bool = True) -> DataFrame:
+    """Per (id, keep..., order code): hyp n-gram total, ref n-gram total
+    and clipped matches sum_g min(hyp count, ref count).  ``units`` must be
+    hash-partitioned by id (then no further exchange is planned).
+
+    Two code-generated Generate steps: (1) one row per (side, unit kind,
+    start position) holding the window string; (2) the <= 6 grams starting
+    there (prefixes of the window).  One marker row per sentence (order 0)
+    keeps sentences without any n-gram in the result."""
+    keep = list(keep)
     kinds = []
     if bleu:
         kinds.append(("tok", 0, BLEU_ORDER, False))
     if chrf:
         kinds += [("chr", 10, CHAR_ORDER, True), ("wrd", 20, WORD_ORDER, False)]
-    arrays = [_window_rows(side, f"{name}_{side}", base, width, is_string)
-              for side in ("h", "r") for name, base, width, is_string in kinds]
-    wins = units.select("id", F.inline(F.concat(*arrays)))
+    entries = [F.struct(F.lit("m").alias("side"), F.lit(-1).alias("base"), F.lit(False).alias("tok"),
+                        F.lit(0).alias("width"), F.array(F.lit("")).alias("wins"))]
+    for side in ("h", "r"):
+        for name, base, width, is_string in kinds:
+            col = f"{name}_{side}"
+            wins = _char_windows(col, width) if is_string else _token_windows(col, width)
+            entries.append(F.struct(F.lit(side).alias("side"), F.lit(base).alias("base"),
+                                    F.lit(not is_string).alias("tok"),
+                                    F.lit(width).alias("width"), wins.alias("wins")))
+    per_kind = units.select("id", *keep, F.inline(F.array(*entries)))
+    wins = per_kind.select("id", *keep, "side", "base", "tok", "width", F.explode("wins").alias("w"))
+    n_units = F.when(F.col("tok"), F.length("w") - F.length(F.replace(F.col("w"), F.lit(" "), F.lit("")))
+                     + 1).otherwise(F.length("w"))
     max_width = max(k[2] for k in kinds)
-    widths = {base: width for _, base, width, _ in kinds}
-    width_of = None
-    for base, width in widths.items():
-        width_of = (F.when(F.col("base") == base, F.lit(width)) if width_of is None
-                    else width_of.when(F.col("base") == base, F.lit(width)))
-    limit = F.least(F.col("avail"), width_of)
-    grams = []
+    grams = [F.when(F.col("base") == -1, F.struct(F.lit(0).alias("o"), F.lit("").alias("g")))]
     for n in range(1, max_width + 1):
         g = F.when(F.col("tok"), F.substring_index(F.col("w"), " ", n)).otherwise(
             F.substring(F.col("w"), 1, n))
-        grams.append(F.when(F.lit(n) <= limit,
+        grams.append(F.when((F.col("base") >= 0) & (F.lit(n) <= n_units) & (F.lit(n) <= F.col("width")),
                             F.struct((F.col("base") + n).alias("o"), g.alias("g"))))
-    per = wins.select("id", "side", F.explode(F.array(*grams)).alias("x")).filter(
-        F.col("x").isNotNull()).select("id", "side", "x.o", "x.g")
-    per_gram = per.groupBy("id", "o", "g").agg(
+    per = wins.select("id", *keep, "side", F.explode(F.array(*grams)).alias("x")).filter(
+        F.col("x").isNotNull()).select("id", *keep, "side", "x.o", "x.g")
+    per_gram = per.groupBy("id", *keep, "o", "g").agg(
         F.count(F.when(F.col("side") == "h", 1)).alias("hc"),
         F.count(F.when(F.col("side") == "r", 1)).alias("rc"))
-    return per_gram.groupBy("id", "o").agg(
+    return per_gram.groupBy("id", *keep, "o").agg(
+        F.sum("hc").cast("long").alias("hyp_total"), F.sum("rc").cast("long").alias("ref_total"),
         F.sum(F.least("hc", "rc")).cast("long").alias("matches"))
 
 
+def ngram_matches(units: DataFrame, bleu: bool = True, chrf: bool = True) -> DataFrame:
+    """J03 (matches only): (id, o, matches)."""
+    return ngram_counts(units, (), bleu, chrf).filter(F.col("o") > 0).select("id", "o", "matches")
+
+
 def sentence_stats(df: DataFrame, id_col: str = "id", hyp: str = "hyp", ref: str = "ref",
                    keep=("direction",), bleu: bool = True, chrf: bool = True,
                    num_partitions: int | None = None) -> DataFrame:
     """Per-sentence sufficient statistics for BLEU and chrF++.
 
     Columns: id, keep..., bleu_hyp_len, bleu_ref_len, bleu_m{n}, bleu_t{n},
-    chrf_h{k}, chrf_r{k}, chrf_m{k} for k = 1..8 (chars 1-6, words 1-2)."""
+    chrf_h{k}, chrf_r{k}, chrf_m{k} for k = 1..8 (chars 1-6, words 1-2).
+
+    One explicit ``repartition(n, id)`` of the (small) sentence table; every
+    later aggregation is keyed by id and reuses that partitioning.  The
+    partition count is explicit because the n-gram explosion multiplies the
+    work ~100x after the shuffle (AQE would otherwise coalesce by the small
+    shuffle size and starve the heavy stage of parallelism)."""
+    keep = list(keep)
     units = prepare(df, id_col, hyp, ref, keep, chrf=chrf, bleu=bleu)
-    units = (units.repartition(num_partitions, "id") if num_partitions
-             else units.repartition("id"))
-    m = ngram_matches(units, bleu, chrf)
-    codes = (BLEU_CODES if bleu else []) + (CHAR_CODES + WORD_CODES if chrf else [])
-    piv = m.groupBy("id").agg(*[F.sum(F.when(F.col("o") == c, F.col("matches"))).alias(f"_m{c}")
-                                for c in codes])
-    out = [F.col("id")] + [F.col(k) for k in keep]
+    n_part = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = units.repartition(n_part, "id")
+    c = ngram_counts(units, keep, bleu, chrf)
+    out = []
+
+    def total(code, field):
+        return F.coalesce(F.sum(F.when(F.col("o") == code, F.col(field))), F.lit(0)).cast("long")
     if bleu:
-        hl, rl = F.size("tok_h"), F.size("tok_r")
-        out += [hl.cast("long").alias("bleu_hyp_len"), rl.cast("long").alias("bleu_ref_len")]
+        out += [total(1, "hyp_total").alias("bleu_hyp_len"), total(1, "ref_total").alias("bleu_ref_len")]
         for n in BLEU_CODES:
-            out.append(F.coalesce(F.col(f"_m{n}"), F.lit(0)).cast("long").alias(f"bleu_m{n}"))
-            out.append(F.greatest(hl - n + 1, F.lit(0)).cast("long").alias(f"bleu_t{n}"))
+            out += [total(n, "matches").alias(f"bleu_m{n}"), total(n, "hyp_total").alias(f"bleu_t{n}")]
     if chrf:
-        k = 0
-        for col_h, col_r, codes_k, is_string in (("chr_h", "chr_r", CHAR_CODES, True),
-                                                 ("wrd_h", "wrd_r", WORD_CODES, False)):
-            lh = F.length(col_h) if is_string else F.size(col_h)
-            lr = F.length(col_r) if is_string else F.size(col_r)
-            for code in codes_k:
-                k += 1
-                n = code % 10
-                rcnt = F.greatest(lr - n + 1, F.lit(0))
-                hcnt = F.when(rcnt > 0, F.greatest(lh - n + 1, F.lit(0))).otherwise(0)
-                out += [hcnt.cast("long").alias(f"chrf_h{k}"), rcnt.cast("long").alias(f"chrf_r{k}"),
-                        F.coalesce(F.col(f"_m{code}"), F.lit(0)).cast("long").alias(f"chrf_m{k}")]
-    # units and piv are both hash-partitioned by id: the join adds no exchange.
-    return units.join(piv, "id", "left").select(*out)
+        for k, code in enumerate(CHAR_CODES + WORD_CODES, start=1):
+            r = total(code, "ref_total")
+            out += [F.when(r > 0, total(code, "hyp_total")).otherwise(F.lit(0)).cast("long")
+                    .alias(f"chrf_h{k}"), r.alias(f"chrf_r{k}"),
+                    total(code, "matches").alias(f"chrf_m{k}")]
+    return c.groupBy("id", *keep).agg(*out)
 
 
 STAT_COLS_BLEU = (["bleu_hyp_len", "bleu_ref_len"]

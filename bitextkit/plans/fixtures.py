@@ -37,7 +37,9 @@ def memo(fn):
         df = _MEMO.get(key)
         if df is None:
             from bitextkit.session import materialize
-            df = materialize(fn(spark, sf_dir))
+            # spread the (small) fixture like a multi-file table would be
+            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            df = materialize(fn(spark, sf_dir).repartition(n))
             _MEMO[key] = df
         return df
     wrapped.__name__ = fn.__name__

@@ -254,19 +254,20 @@ from bitextkit.operators import stats as ST  # noqa: E402
 from bitextkit.functions import vector as V  # noqa: E402
 
 
-def _stats_a(spark, d, keep=("direction",)):
-    return M.sentence_stats(fx.hyps(spark, d), "id", "hyp_a", "ref", keep=keep)
+def _stats_a(spark, d, keep=("direction",), bleu=True, chrf=True):
+    return M.sentence_stats(fx.hyps(spark, d), "id", "hyp_a", "ref", keep=keep, bleu=bleu,
+                            chrf=chrf)
 
 
 @query("a01_corpus_bleu")
 def a01(spark, d):
-    return M.corpus_scores(_stats_a(spark, d, ()), chrf=False).select(
+    return M.corpus_scores(_stats_a(spark, d, (), chrf=False), chrf=False).select(
         "n", "bleu", F.col("bleu_eff").alias("bleu_effective"))
 
 
 @query("a02_corpus_chrf")
 def a02(spark, d):
-    return M.corpus_scores(_stats_a(spark, d, ()), bleu=False)
+    return M.corpus_scores(_stats_a(spark, d, (), bleu=False), bleu=False)
 
 
 @query("j03_clipped_matches")
