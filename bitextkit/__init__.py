@@ -10,6 +10,17 @@ Subpackages:
   streaming  stateless cleaning on streaming DataFrames
 """
 
+import sys as _sys
+
 from bitextkit.session import get_session, ensure_checkpoint_dir, materialize
 
+# Ship this package's functions and classes (test generators, scorers,
+# mapInPandas bodies) to Python workers by value, so executors need no
+# installed copy of bitextkit.
+try:
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass
+
 __all__ = ["get_session", "ensure_checkpoint_dir", "materialize"]

@@ -39,14 +39,16 @@ class DroppingGenerator:
         self.k = k
 
     def __call__(self, prompts: pd.Series, config: pd.DataFrame | None = None) -> pd.Series:
+        n = len(prompts)
+        if config is None:
+            ks, caps, drops = [self.k] * n, [None] * n, [False] * n
+        else:
+            ks = (config["num_beams"].astype(int) // 2 + 1
+                  + (config["repetition_penalty"] > 1).astype(int)).tolist()
+            caps = (config["max_length"].astype(int) // 8).tolist()
+            drops = (config["length_penalty"] < 1).tolist()
         out = []
-        for i, p in enumerate(prompts.tolist()):
-            k, cap, drop_last = self.k, None, False
-            if config is not None:
-                row = config.iloc[i]
-                k = int(row["num_beams"]) // 2 + 1 + (1 if row["repetition_penalty"] > 1 else 0)
-                cap = int(row["max_length"]) // 8
-                drop_last = row["length_penalty"] < 1
+        for p, k, cap, drop_last in zip(prompts.tolist(), ks, caps, drops):
             words = _PY_PROMPT.sub("", p or "").split(" ")
             kept = [w for j, w in enumerate(words, start=1) if j % k != 0]
             if cap is not None:
@@ -202,7 +204,11 @@ def sweep(df: DataFrame, grid: dict[str, list], generator_factory, input: str =
     gen = generate_rejected(x, generator_factory, batch_size, input=input, output="_hyp",
                             config_cols=names)
     gen = gen.withColumn("_sid", F.col("_rid") * F.lit(n_cfg) + F.col("config_id"))
-    st = sentence_stats(gen, "_sid", "_hyp", ref, keep=("config_id",))
+    # the grid multiplies the rows by n_cfg: scale the statistics stage's
+    # partition count with it so per-task aggregation state stays constant
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    st = sentence_stats(gen, "_sid", "_hyp", ref, keep=("config_id",),
+                        num_partitions=base * max(1, n_cfg // 4))
     res = corpus_scores(st, by=("config_id",))
     cfgs = df.sparkSession.range(1).select(F.inline(grid_array(grid)))
     return cfgs.join(res, "config_id").select("config_id", *names, F.col("bleu_eff").alias("bleu"),

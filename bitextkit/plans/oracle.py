@@ -523,3 +523,21 @@ ORACLE["j08_metric_delta"] = """SELECT metric, round(b, 6) AS baseline, round(c,
   round(c - b, 6) AS delta
 FROM (SELECT event_type AS metric, avg(value) FILTER (WHERE event_id % 2 = 0) AS b,
              avg(value) FILTER (WHERE event_id % 2 <> 0) AS c FROM events GROUP BY event_type)"""
+
+# ------------------------------------------------------------ B2 dialogue funnel
+cte("dialogue", """SELECT u.conv_id * 1000 + u.turn AS pair_id, u.text AS src, a.text AS tgt
+FROM conversations u JOIN conversations a
+  ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+WHERE u.role = 'user'""")
+cte("dnorm", f"SELECT pair_id, {S.norm_text('src')} AS src, {S.norm_text('tgt')} AS tgt FROM dialogue",
+    ["dialogue"])
+cte("_dff", f"""SELECT pair_id, src, tgt,
+  CASE WHEN pre IS NOT NULL THEN pre WHEN rn > 1 THEN 'duplicate' ELSE post END AS first_fail
+FROM (SELECT *, {S.pre_fail()} AS pre, {S.post_fail()} AS post,
+        row_number() OVER (PARTITION BY src, tgt ORDER BY pair_id) AS rn FROM dnorm)""", ["dnorm"])
+ORACLE["f07_dialogue_funnel"] = build(f"""SELECT st.step_no::BIGINT AS step_no, st.step,
+  coalesce(c.n, 0)::BIGINT AS dropped,
+  ((SELECT count(*) FROM _dff) - sum(coalesce(c.n, 0)) OVER (ORDER BY st.step_no))::BIGINT AS remaining
+FROM {STEPS_VALUES}
+LEFT JOIN (SELECT first_fail, count(*) AS n FROM _dff GROUP BY first_fail) c ON c.first_fail = st.step""",
+                                      "_dff")

@@ -510,3 +510,9 @@ def j08(spark, d):
         F.when(F.col("event_id") % 2 == 0, F.lit("baseline")).otherwise(F.lit("candidate"))
         .alias("run"), F.col("event_type").alias("metric"), "value")
     return LG.metric_delta(ev)
+
+
+@query("f07_dialogue_funnel")
+def f07_dialogue(spark, d):
+    """F07 on the second, unmodified input (B2: user turn -> next assistant turn)."""
+    return C.clean_parallel(fx.dialogue(spark, d))[1]

@@ -67,3 +67,18 @@ def test_greedy_match_identical_tokens(spark):
     df = spark.createDataFrame(rows, "sent_id long, side int, pos int, vec array<double>")
     r = ME.greedy_match_f1(df).first()
     assert r.f1 == pytest.approx(1.0)
+
+
+def test_meteor_stem_and_synonym_stages(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(1, "cats run fast", "cat runs quickly")],
+                               "id long, hyp string, ref string")
+    exact = ME.sentence_meteor(df, keep=()).first()
+    assert exact.m == 0 and exact.meteor == 0.0
+    stemmed = ME.sentence_meteor(df, keep=(), stems=lambda w: F.regexp_replace(w, "s$", "")).first()
+    assert stemmed.m == 2
+    syn = spark.createDataFrame([("fast", "quickly")], "word string, synonym string")
+    both = ME.sentence_meteor(df, keep=(), stems=lambda w: F.regexp_replace(w, "s$", ""),
+                              synonyms=syn).first()
+    assert both.m == 3 and both.chunks == 1
+    assert both.meteor == pytest.approx(1 - 0.5 / 27)
