@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitextkit.functions.text import WS_RUN, strip_ws, ws_tokens
+from bitextkit.functions.text import ws_tokens
 from bitextkit.operators.ledger import grid_array
 
 PROMPT_RE = r"^translate [^:]*: "
@@ -243,5 +243,4 @@ def tokenize_pairs(df: DataFrame, max_source: int, max_target: int, source: str
 
 
 __all__ = ["generate_rejected", "embed", "model_reward", "sweep", "tokenize_pairs",
-           "dropping_generator", "hashing_encoder", "length_ratio_scorer", "strip_ws",
-           "WS_RUN"]
+           "dropping_generator", "hashing_encoder", "length_ratio_scorer"]

@@ -13,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitextkit.operators.clean import (_code, normalize_pairs, post_dedup_fail, pre_dedup_fail,
-                                       STEPS)
+from bitextkit.operators.clean import normalize_pairs, post_dedup_fail, pre_dedup_fail
 
 
 def label_stream(df: DataFrame, src: str = "src", tgt: str = "tgt", min_chars: int = 2,
@@ -46,4 +45,4 @@ def dedup_stream(df: DataFrame, event_time: str, delay: str = "1 hour",
     return df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-__all__ = ["label_stream", "clean_stream", "funnel_counts_stream", "dedup_stream", "STEPS", "_code"]
+__all__ = ["label_stream", "clean_stream", "funnel_counts_stream", "dedup_stream"]
