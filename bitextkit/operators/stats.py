@@ -52,6 +52,10 @@ def randomization_test(df: DataFrame, a: str = "score_a", b: str = "score_b", id
     blocks = d.groupBy((F.col("id") / BLOCK).cast("long").alias("blk")).agg(
         F.collect_list(F.struct((F.col("id") % BLOCK).cast("int").alias("j"), "d")).alias("xs"))
     n_trials, seed_s = int(trials), str(seed)
+    # The block table is small but each row fans out to `trials` md5s: an
+    # explicit partition count keeps AQE from coalescing it into a few tasks.
+    n_part = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(n_part, "blk")
 
     def run(batches):
         import hashlib
