@@ -55,7 +55,7 @@ def randomization_test(df: DataFrame, a: str = "score_a", b: str = "score_b", id
     # The block table is small but each row fans out to `trials` md5s: an
     # explicit partition count keeps AQE from coalescing it into a few tasks.
     n_part = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.repartition(n_part, "blk")
+    blocks = blocks.repartition(n_part)  # round-robin: not merged into the groupBy exchange
 
     def run(batches):
         import hashlib
