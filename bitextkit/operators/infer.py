@@ -83,15 +83,18 @@ def generate_rejected(df: DataFrame, generator_factory, batch_size: int = 64,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = generator_factory()
         for pdf in batches:
+            outs = []
             for start in range(0, len(pdf), batch_size):
                 chunk = pdf.iloc[start:start + batch_size]
                 if cfg:
                     gen = model(chunk[input], chunk[cfg].reset_index(drop=True))
                 else:
                     gen = model(chunk[input])
-                chunk = chunk.copy()
-                chunk[output] = _py_strip(pd.Series(list(gen), index=chunk.index))
-                yield chunk
+                outs.extend(list(gen))
+            pdf = pdf.copy()
+            # one Arrow batch out per Arrow batch in (model calls stay batch_size)
+            pdf[output] = _py_strip(pd.Series(outs, index=pdf.index, dtype=object))
+            yield pdf
 
     return df.mapInPandas(run, schema)
 
@@ -159,15 +162,18 @@ def model_reward(df: DataFrame, scorer_factory, batch_size: int = 8, input_forma
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
         for pdf in batches:
+            vals = []
             for start in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[start:start + batch_size].copy()
+                chunk = pdf.iloc[start:start + batch_size]
                 if input_format == "concat":
                     scores = scorer(chunk["_in"].tolist())
                 else:
                     scores = scorer(chunk[in_cols].rename(
                         columns={"_in_src": "src", "_in_mt": "mt", "_in_ref": "ref"}))
-                chunk[out] = [float(v) for v in scores]
-                yield chunk
+                vals.extend(float(v) for v in scores)
+            pdf = pdf.copy()
+            pdf[out] = vals
+            yield pdf
 
     return x.mapInPandas(run, schema).drop(*in_cols)
 
