@@ -12,7 +12,6 @@ from bitextkit.session import read_table, scratch_path
 UPPER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_AZ = UPPER_AZ.lower()
 WS_RUN = "[\\x20\\x09-\\x0D]+"          # ASCII white space
-WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,3 +54,20 @@ def worker_cache(key, build):
     if key not in store:
         store[key] = build()
     return store[key]
+
+
+#: A small side is broadcast up to this many rows (counted), else joined salted.
+BROADCAST_ROWS = 20_000
+SALTS = 32
+
+
+def attach(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``df`` to a table with one row a key (a written table: it is counted
+    first).  Up to ``BROADCAST_ROWS`` rows it is broadcast; beyond, both sides
+    get a salt, so that a key with a third of all rows meets its row in
+    ``SALTS`` tasks.  Keys must not be null."""
+    if table.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table), keys, how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = df.withColumn("_salt", F.floor(F.rand(17) * SALTS).cast("int"))
+    return rows.join(salted, [*keys, "_salt"], how).drop("_salt")

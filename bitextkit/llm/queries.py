@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from bitextkit.llm import license_scan, packing, secret_scan, token_counts
+from bitextkit.llm import decontaminate, license_scan, line_dedup, packing, quality_rules, secret_scan, token_counts
 from bitextkit.llm.common import documents
+from bitextkit.session import read_table
 
 
 def op2_secret_scan(spark, sf_dir):
     return secret_scan.secret_report(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark, sf_dir):
+    found = decontaminate.contaminated(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("th")
+
+
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules.quality_report(documents(spark, sf_dir))
+
+
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -22,4 +36,6 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op8_token_counts, op9_packing, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (
+    op2_secret_scan, op3_decontamination, op4_quality_rules, op7_line_dedup, op8_token_counts, op9_packing,
+    op10_license_scan)}
