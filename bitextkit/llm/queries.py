@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from bitextkit.llm import decontaminate, license_scan, line_dedup, packing, quality_rules, secret_scan, token_counts
+from bitextkit.llm import (
+    decontaminate, license_scan, line_dedup, lm_scores, near_dedup, packing, quality_rules, secret_scan,
+    token_counts, toxicity)
 from bitextkit.llm.common import documents
 from bitextkit.session import read_table
 
 
+def op1_lm_scores(spark, sf_dir):
+    return lm_scores.lm_scores(documents(spark, sf_dir))
+
+
 def op2_secret_scan(spark, sf_dir):
     return secret_scan.secret_report(documents(spark, sf_dir))
 
@@ -20,6 +26,14 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
+def op6_minhash_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_line_dedup(spark, sf_dir):
     return line_dedup.line_report(documents(spark, sf_dir))
 
@@ -37,5 +51,5 @@ def op10_license_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_secret_scan, op3_decontamination, op4_quality_rules, op7_line_dedup, op8_token_counts, op9_packing,
-    op10_license_scan)}
+    op1_lm_scores, op2_secret_scan, op3_decontamination, op4_quality_rules, op5_toxicity, op6_minhash_dedup, op7_line_dedup,
+    op8_token_counts, op9_packing, op10_license_scan)}
