@@ -18,8 +18,8 @@
    a pair inside a component cannot change the result).
 
 A link can only be missed when a sketch misjudges it: at the threshold itself
-the shared values would have to fall from a mean of .85 K to ``SAFE`` K, five
-standard deviations; sets that fit in a sketch are exact.
+the shared values would have to fall ``SIGMAS`` standard deviations below their
+mean (see :func:`safe_share`); sets that fit in a sketch are exact.
 
 Defined results: null and empty texts and texts without words have an empty
 set, are linked with nothing and are kept; texts under five words have one
@@ -29,6 +29,8 @@ count as one document.  Other columns pass through :func:`drop_near_duplicates`.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ from bitextkit.llm.common import cut, lower_az, text_of, ws_words
 
 WIDTH = 5
 K = 64
-SAFE = 0.625
+SIGMAS = 5
 BROADCAST_IDS = 500_000
 
 
@@ -56,10 +58,16 @@ def with_set(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         "doc_id", grams.alias("set"))
 
 
+def safe_share(percent: int, k: int) -> float:
+    """Share of a union sketch that similar sets have in common all but surely."""
+    p = percent / 100
+    return p - SIGMAS * math.sqrt(p * (1 - p) / k)
+
+
 def needed(n: Column, m: Column, percent: int, k: int) -> Column:
     """How many values two sketches must share: n set size, m sketch size."""
     whole = F.ceil(n * percent / F.lit(100))
-    return F.when(n <= k * percent // 100, whole).otherwise(F.floor(m * SAFE)).cast("int")
+    return F.when(n <= k * percent // 100, whole).otherwise(F.floor(m * safe_share(percent, k))).cast("int")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -92,7 +100,7 @@ def linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k:
     p = p.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     p = p.withColumn("_u", F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, k))
     p = p.withColumn("_x", F.size(F.array_intersect("_u", F.array_intersect("sketch_a", "sketch_b"))))
-    p = cut(p.filter(F.col("_x") >= F.floor(F.size("_u") * SAFE)).select("a", "b", "n_a", "n_b"), "estimated")
+    p = cut(p.filter(F.col("_x") >= F.floor(F.size("_u") * safe_share(percent, k))).select("a", "b", "n_a", "n_b"), "estimated")
     p = p.join(side(sets, ["set"], "a"), "a").join(side(sets, ["set"], "b"), "b")
     p = p.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("x"))
     return p.filter(100 * F.col("x") >= percent * (F.col("n_a") + F.col("n_b") - F.col("x"))).select("a", "b")
