@@ -38,6 +38,14 @@ def id_bucket(mod: int, col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def packed(docs: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
+    """(_row, doc_id, text, more): every column of ``docs`` inside one struct,
+    so that no name of theirs can clash; ``select("_row.*")`` brings them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+                       *[c.alias(k) for k, c in more.items()])
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read
     it back: the lineage ends at files every executor can see, so a lost

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitextkit.llm.common import cut, text_of
+from bitextkit.llm.common import cut, packed, text_of
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -131,5 +131,6 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id
     """The rows of ``docs`` that re-use no item, with their columns as they are."""
     bad = cut(contaminated(docs, bench, id_col, text_col).select("doc_id", "th").distinct(), "contaminated").select(
         F.col("doc_id").alias("_bad_id"), F.col("th").alias("_bad_th"))
-    return docs.join(bad, (F.xxhash64(text_of(text_col)) == F.col("_bad_th"))
-                     & F.col(id_col).eqNullSafe(F.col("_bad_id")), "left_anti")
+    rows = packed(docs, id_col, text_col)
+    return rows.join(bad, (F.xxhash64(text_of()) == F.col("_bad_th"))
+                     & F.col("doc_id").eqNullSafe(F.col("_bad_id")), "left_anti").select("_row.*")

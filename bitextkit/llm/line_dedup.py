@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitextkit.llm.common import cut, text_of, ws_words
+from bitextkit.llm.common import cut, packed, text_of, ws_words
 
 MIN_TOKENS = 3
 MIN_FAMILIES = 3
@@ -112,18 +112,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ~F.col("doc_id").eqNullSafe(F.col("first_id")))
     gone = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).agg(
         F.collect_set("line").alias("_gone"))
-    text = F.col(f"`{text_col}`")
+    text = F.col("text")
     all_lines = F.split(text, "\n")
-    out = docs.join(gone, (F.xxhash64(text_of(text_col)) == F.col("_gone_th"))
-                    & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left")
-    out = out.withColumn("_n_lines", F.when(text.isNull() | (text == ""), 0).otherwise(F.size(all_lines)))
-    kept = F.array_except(F.sequence(F.lit(0), F.col("_n_lines") - 1), "_gone")
-    out = out.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    out = out.withColumn("_l", F.when(F.col("_gone").isNotNull(), all_lines))
-    new = F.when(F.col("_gone").isNull(), text).otherwise(
-        F.array_join(F.transform("_kept", lambda i: F.get("_l", i)), "\n"))
-    return out.withColumns({text_col: new, "_n_dropped": F.coalesce(F.size("_gone"), F.lit(0))}).withColumn(
-        "_n_dropped", F.greatest("_n_dropped", F.lit(0))).drop("_gone_id", "_gone_th", "_gone", "_kept", "_l")
+    out = packed(docs, id_col, text_col).join(gone, (F.xxhash64(text_of()) == F.col("_gone_th"))
+                                              & F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left")
+    out = out.withColumn("_n", F.when(text.isNull() | (text == ""), 0).otherwise(F.size(all_lines)))
+    some = F.col("_gone").isNotNull()
+    out = out.withColumns({"_l": F.when(some, all_lines), "_kept": F.when(some, F.array_except(
+        F.sequence(F.lit(0), F.col("_n") - 1), "_gone"))})
+    new = F.when(some, F.array_join(F.transform("_kept", lambda i: F.get("_l", i)), "\n")).otherwise(text)
+    names = [c for c in docs.columns if c != text_col]
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], new.alias(text_col),
+                      F.col("_n").alias("_n_lines"), F.when(some, F.size("_gone")).otherwise(0).alias("_n_dropped"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

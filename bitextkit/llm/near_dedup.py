@@ -34,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitextkit.llm.common import cut, lower_az, text_of, ws_words
+from bitextkit.llm.common import cut, lower_az, packed, text_of, ws_words
 
 WIDTH = 5
 K = 64
@@ -164,4 +164,5 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_
     """``docs`` without the documents that are not the least id of their component."""
     gone = cut(near_duplicates(docs, percent, id_col=id_col, text_col=text_col).filter("not kept").select(
         F.col("doc_id").alias("_gone_id")).distinct(), "near-duplicates")
-    return docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left_anti")
+    rows = packed(docs, id_col, text_col).drop("text")
+    return rows.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti").select("_row.*")
