@@ -42,9 +42,9 @@ MAX_BROADCAST = 500_000          # recurring templates: two longs each
 VARIABLE = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+"
 
 
-def mask(text: Column) -> Column:
+def mask(line: Column) -> Column:
     """Words with a digit become the variable token."""
-    return F.regexp_replace(text, VARIABLE, "<*>")
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
 
 
 def template_keys(tokens: Column) -> Column:
@@ -56,8 +56,8 @@ def template_keys(tokens: Column) -> Column:
     exact = F.array(F.xxhash64(F.lit(-1), n, tokens))
 
     def without(p):
-        a = LEAD + F.floor(tail * p / PARTS).cast("int")          # tokens before the variable part
-        b = LEAD + F.floor(tail * (p + 1) / PARTS).cast("int")    # tokens up to its end
+        a = LEAD + (tail * p / PARTS).cast("int")          # tokens before the variable part
+        b = LEAD + (tail * (p + 1) / PARTS).cast("int")    # tokens up to its end
         return F.xxhash64(F.lit(p), n, F.slice(tokens, F.lit(1), a), F.slice(tokens, b + 1, F.greatest(n - b, F.lit(0))))
 
     return F.when(tail >= PARTS * MIN_PART, F.concat(exact, F.array(*[without(p) for p in range(PARTS)]))).otherwise(exact)
@@ -67,15 +67,16 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, line, keys, family) of every line of ``MIN_TOKENS`` tokens;
     equal rows of ``docs`` (doc_id, text) once."""
     d = docs.select("doc_id", text_of().alias("_t")).select(
-        "doc_id", F.xxhash64("_t").alias("th"), F.split(mask(F.col("_t")), "\n").alias("_l"))
+        "doc_id", F.xxhash64("_t").alias("th"), F.split("_t", "\n").alias("_l"))
     d = d.select("doc_id", "th", F.filter(
-        F.transform("_l", lambda x, i: F.struct(i.alias("line"), ws_words(x).alias("w"))),
+        F.transform("_l", lambda x, i: F.struct(i.alias("line"), ws_words(mask(x)).alias("w"))),
         lambda s: F.size(s["w"]) >= MIN_TOKENS).alias("_l"))
     d = d.select("doc_id", "th", F.transform("_l", lambda s: F.struct(
         s["line"].alias("line"), template_keys(s["w"]).alias("keys"))).alias("_l"))
-    d = d.withColumn("_least", F.slice(F.array_sort(F.array_distinct(
+    d = d.withColumn("_least", F.slice(F.sort_array(F.array_distinct(
         F.transform("_l", lambda s: s["keys"][0]))), 1, 2))
-    d = d.select("doc_id", "th", "_least", F.explode("_l").alias("_l")).select(
+    # outer: an inner explode would first filter by the size of the array, and so parse twice
+    d = d.select("doc_id", "th", "_least", F.explode_outer("_l").alias("_l")).filter(F.col("_l").isNotNull()).select(
         "doc_id", "th", "_l.line", "_l.keys",
         F.when(F.col("_l.keys")[0] != F.col("_least")[0], F.col("_least")[0])
         .otherwise(F.coalesce(F.get("_least", F.lit(1)), F.col("th"))).alias("family"))
@@ -114,7 +115,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.collect_set("line").alias("_gone"))
     text = F.col("text")
     all_lines = F.split(text, "\n")
-    out = packed(docs, id_col, text_col).join(gone, (F.xxhash64(text_of()) == F.col("_gone_th"))
+    out = packed(docs, id_col, text_col).join(gone.hint("shuffle_hash"), (F.xxhash64(text_of()) == F.col("_gone_th"))
                                               & F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left")
     out = out.withColumn("_n", F.when(text.isNull() | (text == ""), 0).otherwise(F.size(all_lines)))
     some = F.col("_gone").isNotNull()
