@@ -102,6 +102,8 @@ def dedup_pairs(df: DataFrame, keys=("src", "tgt"), order: str = "pair_id") -> D
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
+    if rest == [order]:      # a plain minimum aggregates by hash
+        return df.groupBy(*keys).agg(F.min(order).alias(order)).select(*df.columns)
     agg = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
     return agg.select(*[F.col(f"_first.{c}").alias(c) for c in rest], *keys).select(*df.columns)
 

@@ -7,15 +7,11 @@ callable).  It runs once per Arrow batch stream inside ``mapInPandas`` /
 an iterator ``pandas_udf``, never per row, and the row key travels through
 the same pandas frame -- the reference's positional re-attachment of
 outputs (J02) becomes impossible to get wrong.
-
-``dropping_generator`` is the deterministic stand-in model used in tests and
-registered queries: it removes every k-th word of the prompt's sentence.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,44 +21,6 @@ from pyspark.sql import types as T
 from bitextkit.functions.text import ws_tokens
 from bitextkit.operators.ledger import grid_array
 
-PROMPT_RE = r"^translate [^:]*: "
-_PY_PROMPT = re.compile(PROMPT_RE)
-
-
-# ------------------------------------------------------------ deterministic test model
-
-class DroppingGenerator:
-    """Drops every k-th word (1-based, single-space split) of the prompt's
-    sentence; optional decode-config columns change k and the word budget."""
-
-    def __init__(self, k: int = 3):
-        self.k = k
-
-    def __call__(self, prompts: pd.Series, config: pd.DataFrame | None = None) -> pd.Series:
-        n = len(prompts)
-        if config is None:
-            ks, caps, drops = [self.k] * n, [None] * n, [False] * n
-        else:
-            ks = (config["num_beams"].astype(int) // 2 + 1
-                  + (config["repetition_penalty"] > 1).astype(int)).tolist()
-            caps = (config["max_length"].astype(int) // 8).tolist()
-            drops = (config["length_penalty"] < 1).tolist()
-        out = []
-        for p, k, cap, drop_last in zip(prompts.tolist(), ks, caps, drops):
-            words = _PY_PROMPT.sub("", p or "").split(" ")
-            kept = [w for j, w in enumerate(words, start=1) if j % k != 0]
-            if cap is not None:
-                kept = kept[:cap]
-            if drop_last and len(kept) > 1:
-                kept = kept[:-1]
-            out.append(" ".join(kept))
-        return pd.Series(out, index=prompts.index)
-
-
-def dropping_generator(k: int = 3) -> Callable[[], DroppingGenerator]:
-    return lambda: DroppingGenerator(k)
-
-
 def _py_strip(s: pd.Series) -> pd.Series:
     # Python str.strip() == P05 strip_ws on the engine side
     return s.map(lambda x: x.strip() if isinstance(x, str) else x)
@@ -116,29 +74,6 @@ def embed(df: DataFrame, col: str, encoder_factory, out: str = "embedding",
     return df.withColumn(out, enc(F.col(col)))
 
 
-class HashingEncoder:
-    """Deterministic test encoder: L2-normalised hashed character-trigram counts."""
-
-    def __init__(self, dim: int = 32):
-        self.dim = dim
-
-    def __call__(self, texts: list[str]):
-        import zlib
-        import numpy as np
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            s = f"  {t} "
-            for j in range(len(s) - 2):
-                out[i, zlib.crc32(s[j:j + 3].encode("utf-8")) % self.dim] += 1.0
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        norms[norms == 0] = 1.0
-        return list(out / norms)
-
-
-def hashing_encoder(dim: int = 32):
-    return lambda: HashingEncoder(dim)
-
-
 # ------------------------------------------------------------ U05
 
 def model_reward(df: DataFrame, scorer_factory, batch_size: int = 8, input_format: str = "triple",
@@ -178,20 +113,6 @@ def model_reward(df: DataFrame, scorer_factory, batch_size: int = 8, input_forma
     return x.mapInPandas(run, schema).drop(*in_cols)
 
 
-class LengthRatioScorer:
-    """Deterministic test scorer: (len(ref)+1)/(len(mt)+1) for triples, or
-    len(text)/1000 for concatenated strings."""
-
-    def __call__(self, batch):
-        if isinstance(batch, list):
-            return [len(t) / 1000.0 for t in batch]
-        return [(len(r or "") + 1) / (len(m or "") + 1) for m, r in zip(batch["mt"], batch["ref"])]
-
-
-def length_ratio_scorer():
-    return lambda: LengthRatioScorer()
-
-
 # ------------------------------------------------------------ U06
 
 def sweep(df: DataFrame, grid: dict[str, list], generator_factory, input: str = "source",
@@ -248,5 +169,4 @@ def tokenize_pairs(df: DataFrame, max_source: int, max_target: int, source: str
     return df.mapInPandas(run, schema)
 
 
-__all__ = ["generate_rejected", "embed", "model_reward", "sweep", "tokenize_pairs",
-           "dropping_generator", "hashing_encoder", "length_ratio_scorer"]
+__all__ = ["generate_rejected", "embed", "model_reward", "sweep", "tokenize_pairs"]

@@ -16,7 +16,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitextkit.operators.ranking import bounded_broadcast
+from bitextkit.operators.ranking import bounded_broadcast, join_null_safe
 
 
 def running_best(df: DataFrame, by: str = "track", order: str = "iter", value: str = "value",
@@ -28,7 +28,7 @@ def running_best(df: DataFrame, by: str = "track", order: str = "iter", value: s
     bmax = x.groupBy(by, "_blk").agg(F.max(value).alias("_bmax"))
     wb = Window.partitionBy(by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     bprev = bmax.select(by, "_blk", F.max("_bmax").over(wb).alias("_before_blk"))
-    x = x.join(bounded_broadcast(bprev), [by, "_blk"], "left")
+    x = join_null_safe(x, bounded_broadcast(bprev), [by, "_blk"], "left")
     wi = Window.partitionBy(by, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     prev = F.greatest(F.col("_before_blk"), F.max(value).over(wi))
     x = x.withColumn("prev_best", prev)
@@ -45,7 +45,7 @@ def gap_to(df: DataFrame, target: float | None = None, by: str = "track", order:
     first non-NULL value of the track)."""
     base = (df.filter(F.col(value).isNotNull()).groupBy(by)
               .agg(F.min_by(value, order).alias("baseline")))
-    x = df.join(bounded_broadcast(base), by, "left")
+    x = join_null_safe(df, bounded_broadcast(base), [by], "left")
     out = x.withColumn("gap_to_baseline", F.round(F.col(value) - F.col("baseline"), digits))
     if target is not None:
         out = out.withColumn("gap_to_target", F.round(F.col(value) - F.lit(float(target)), digits))

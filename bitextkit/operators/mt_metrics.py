@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitextkit.functions.text import chrf_chars, chrf_words, tokenize_13a
+from bitextkit.session import input_bytes
 
 BLEU_ORDER = 4      # fixed value: max n-gram order of BLEU
 CHAR_ORDER = 6      # fixed values: chrF++ character and word orders, beta
@@ -48,9 +49,10 @@ def prepare(df: DataFrame, id_col: str = "id", hyp: str = "hyp", ref: str = "ref
 
 def _char_windows(col: str, width: int) -> Column:
     """For every code point position: the next up-to-``width`` characters.
-    A capturing lookahead matches once per position, so this is one native
-    regex pass (no lambda, no per-position copy of the string)."""
-    return F.regexp_extract_all(F.col(col), F.lit(f"(?=(.{{1,{width}}}))"), 1)
+    The match looks ahead and then consumes one character, so it stands once
+    at each code point (a match of no width would also stand inside a surrogate
+    pair); one native regex pass, no lambda."""
+    return F.regexp_extract_all(F.col(col), F.lit(f"(?s)(?=(.{{1,{width}}}))."), 1)
 
 
 def _token_windows(col: str, width: int) -> Column:
@@ -111,6 +113,16 @@ def ngram_matches(units: DataFrame, bleu: bool = True, chrf: bool = True) -> Dat
     return ngram_counts(units, (), bleu, chrf).filter(F.col("o") > 0).select("id", "o", "matches")
 
 
+#: Bytes of estimated input for each partition behind the sentence exchange.
+PARTITION_BYTES = 8 << 20
+
+
+def partitions_for(df: DataFrame) -> int:
+    """``spark.sql.shuffle.partitions``, or more if the size of the input asks for it."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, input_bytes(df) // PARTITION_BYTES)
+
+
 def sentence_stats(df: DataFrame, id_col: str = "id", hyp: str = "hyp", ref: str = "ref",
                    keep=("direction",), bleu: bool = True, chrf: bool = True,
                    num_partitions: int | None = None) -> DataFrame:
@@ -119,15 +131,18 @@ def sentence_stats(df: DataFrame, id_col: str = "id", hyp: str = "hyp", ref: str
     Columns: id, keep..., bleu_hyp_len, bleu_ref_len, bleu_m{n}, bleu_t{n},
     chrf_h{k}, chrf_r{k}, chrf_m{k} for k = 1..8 (chars 1-6, words 1-2).
 
-    One explicit ``repartition(n, id)`` of the (small) sentence table; every
-    later aggregation is keyed by id and reuses that partitioning.  The
-    partition count is explicit because the n-gram explosion multiplies the
-    work ~100x after the shuffle (AQE would otherwise coalesce by the small
-    shuffle size and starve the heavy stage of parallelism)."""
+    One explicit ``repartition(n, id)`` of the sentences as they are (the texts
+    travel once, units are made behind the exchange); every later aggregation
+    is keyed by id and row and reuses that partitioning.  Rows that share an id
+    stay apart.  The partition count is explicit because the n-gram explosion
+    multiplies the work ~100x after the shuffle (AQE would otherwise coalesce
+    by the small shuffle size); it follows the estimated input size."""
     keep = list(keep)
-    units = prepare(df, id_col, hyp, ref, keep, chrf=chrf, bleu=bleu)
-    n_part = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = units.repartition(n_part, "id")
+    rows = df.select(F.col(id_col).alias("id"), *keep, F.col(hyp).alias("_hyp"), F.col(ref).alias("_ref"),
+                     F.monotonically_increasing_id().alias("_row"))
+    rows = rows.repartition(num_partitions or partitions_for(df), "id")
+    units = prepare(rows, "id", "_hyp", "_ref", [*keep, "_row"], chrf=chrf, bleu=bleu)
+    keep.append("_row")
     c = ngram_counts(units, keep, bleu, chrf)
     out = []
 
@@ -143,7 +158,7 @@ def sentence_stats(df: DataFrame, id_col: str = "id", hyp: str = "hyp", ref: str
             out += [F.when(r > 0, total(code, "hyp_total")).otherwise(F.lit(0)).cast("long")
                     .alias(f"chrf_h{k}"), r.alias(f"chrf_r{k}"),
                     total(code, "matches").alias(f"chrf_m{k}")]
-    return c.groupBy("id", *keep).agg(*out)
+    return c.groupBy("id", *keep).agg(*out).drop("_row")
 
 
 STAT_COLS_BLEU = (["bleu_hyp_len", "bleu_ref_len"]
@@ -240,9 +255,9 @@ def corpus_chrf(df: DataFrame, hyp: str = "hyp", ref: str = "ref", id_col: str =
     return corpus_scores(st, by, bleu=False, chrf=True)
 
 
-def sentence_chrf(stats: DataFrame, digits: int | None = None) -> Column:
-    c = F.expr(chrf_formula())
-    return F.round(c, digits) if digits is not None else c
+def sentence_chrf() -> Column:
+    """chrF++ of one row of :func:`sentence_stats`."""
+    return F.expr(chrf_formula())
 
 
 def evaluate_by(stats: DataFrame, by: str = "direction", overall: str = "all",

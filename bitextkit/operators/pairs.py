@@ -1,6 +1,6 @@
 """Preference-set construction: bidirectional expansion (B01), prompts (P06),
 DPO view (P07), direction filter (F09), splits (W02/W03), batches (W04),
-seeded samples (L01-L03), top-k (L04), direction counts (A07), unions (B02).
+seeded samples (L01-L03), direction counts (A07), unions (B02).
 """
 
 from __future__ import annotations
@@ -10,12 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitextkit.functions.hashing import hash_key
 from bitextkit.functions.text import direction_of, prompt_prefix
 from bitextkit.operators.ranking import assign_by_thresholds, global_rank
 
-TOPK_IN_MEMORY = 100_000   # above this, a hash-threshold select instead of a heap top-k
-
 
 def expand_directions(df: DataFrame, src_lang: str, tgt_lang: str, both: bool = True,
                       src: str = "src", tgt: str = "tgt", id_col: str = "pair_id") -> DataFrame:
@@ -57,7 +54,7 @@ def filter_direction(df: DataFrame, direction: str, src_lang: str, tgt_lang: str
 
 def split_by(df: DataFrame, by=("direction",), ratios=(0.8, 0.1, 0.1), seed=42,
              id_cols=("pair_id", "direction"), labels=None, out: str = "split",
-             bucket_hex: int = 4) -> DataFrame:
+             bucket_hex: int | None = None) -> DataFrame:
     """Per-stratum seeded split with the reference's exact sizes:
     train = floor(n*r1), val = floor(n*r2), test = the rest."""
     ratios = list(ratios)
@@ -88,15 +85,12 @@ def sample_k(df: DataFrame, k: int, seed=42, id_cols=("pair_id",), by=()) -> Dat
     """The first ``k`` rows in md5(seed:id) order (per stratum when
     ``by`` is given); ``k <= 0`` keeps all rows; ``k`` above the size keeps all.
 
-    Small ``k`` without strata: ``orderBy(key).limit(k)`` plans as
-    TakeOrderedAndProject (a k-row heap per task).  Otherwise a hash-threshold
-    select: whole buckets below the cut, inner rank only at the cut."""
+    A hash-threshold select, the same for every ``k`` and size: whole buckets
+    below the cut pass, those above go, and only the bucket at the cut is
+    ranked."""
     ids = list(id_cols)
     if k <= 0:
         return df
-    if not by and k <= TOPK_IN_MEMORY:
-        key = hash_key(seed, *ids)
-        return df.orderBy(key, *ids).limit(k)
     tagged = assign_by_thresholds(df, seed, ids, list(by), lambda n: [F.least(n, F.lit(k))],
                                   ["in", "out"], "_sample")
     return tagged.filter(F.col("_sample") == "in").drop("_sample")
@@ -114,11 +108,6 @@ def sample_per_direction(df: DataFrame, k: int, src_lang: str, tgt_lang: str, se
     return sample_k(tagged, k, seed, list(id_cols) + ["stratum"], by=("stratum",))
 
 
-def top_k(df: DataFrame, metric: str, k: int = 10, order: str = "config_id") -> DataFrame:
-    """The ``k`` best rows by ``metric`` (desc), ties by ``order`` (asc)."""
-    return df.orderBy(F.col(metric).desc_nulls_last(), F.col(order).asc()).limit(k)
-
-
 def count_by_direction(df: DataFrame, direction: str = "direction") -> DataFrame:
     """A07."""
     return df.groupBy(direction).agg(F.count(F.lit(1)).alias("n"))

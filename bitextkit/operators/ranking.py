@@ -6,7 +6,7 @@ global ``row_number()`` over a seeded key reproduces that but runs in ONE
 task.  Instead rows are ordered by ``md5(seed:id)`` and ranked in two phases:
 
 1. ``bucket`` = first ``bucket_hex`` hex digits of the key (16^k buckets, equal
-   size by construction).  Count rows per (stratum, bucket): a partial
+   size by construction; k follows the size of the data).  Count rows per (stratum, bucket): a partial
    aggregate, tiny output.
 2. Prefix-sum the bucket counts per stratum (window over the small table)
    -> ``bucket_offset``; the table has at most strata x 16^k rows, is
@@ -20,13 +20,18 @@ task.  Instead rows are ordered by ``md5(seed:id)`` and ranked in two phases:
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitextkit.functions.hashing import hash_key
-from bitextkit.session import materialize
+from bitextkit.session import input_bytes, materialize
 
 MAX_BROADCAST_ROWS = 2_000_000
+BUCKET_ROWS = 1 << 16     # rows a bucket should hold
+ROW_BYTES = 64            # what the size estimate of a plan is divided by for rows
 
 
 def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -36,6 +41,20 @@ def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> D
     return F.broadcast(small) if small.count() <= max_rows else small
 
 
+def join_null_safe(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where a NULL key matches a NULL key."""
+    own = [f"_on_{i}" for i in range(len(keys))]
+    small = small.withColumnsRenamed(dict(zip(keys, own)))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)])
+    return df.join(small, on, how).drop(*own)
+
+
+def bucket_digits(df: DataFrame) -> int:
+    """Hex digits of the bucket so that buckets keep their size when the data
+    grow (2 to 6, from the size of the input; ranks do not depend on it)."""
+    return min(6, max(2, math.ceil(math.log(max(input_bytes(df) / ROW_BYTES / BUCKET_ROWS, 1), 16))))
+
+
 def with_hash_key(df: DataFrame, seed, id_cols, key: str = "_hkey",
                   bucket_hex: int = 4) -> DataFrame:
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
@@ -56,7 +75,7 @@ def bucket_offsets(keyed: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _join_offsets(keyed: DataFrame, offsets: DataFrame, by: list[str]) -> DataFrame:
-    return keyed.join(bounded_broadcast(offsets), [*by, "_bucket"])
+    return join_null_safe(keyed, bounded_broadcast(offsets), [*by, "_bucket"])
 
 
 def _inner_rank(df: DataFrame, by: list[str], id_cols: list[str], key: str) -> DataFrame:
@@ -65,14 +84,14 @@ def _inner_rank(df: DataFrame, by: list[str], id_cols: list[str], key: str) -> D
 
 
 def global_rank(df: DataFrame, seed, id_cols, by=(), rank_col: str = "rank",
-                bucket_hex: int = 4) -> DataFrame:
+                bucket_hex: int | None = None) -> DataFrame:
     """Exact 1-based rank of every row in md5(seed:ids) order within ``by``.
 
     One balanced shuffle by bucket (16^k equal buckets), never one task per
     stratum."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     by = list(by)
-    keyed = with_hash_key(df, seed, ids, bucket_hex=bucket_hex)
+    keyed = with_hash_key(df, seed, ids, bucket_hex=bucket_hex or bucket_digits(df))
     joined = _join_offsets(keyed, bucket_offsets(keyed, by), by)
     ranked = _inner_rank(joined, by, ids, "_hkey")
     return ranked.withColumn(rank_col, F.col("_rank").cast("long")).drop(
@@ -80,7 +99,7 @@ def global_rank(df: DataFrame, seed, id_cols, by=(), rank_col: str = "rank",
 
 
 def assign_by_thresholds(df: DataFrame, seed, id_cols, by, cuts, labels, out: str,
-                         bucket_hex: int = 4) -> DataFrame:
+                         bucket_hex: int | None = None) -> DataFrame:
     """Label each row by where its rank falls among per-stratum cut points.
 
     ``cuts(n)`` maps the stratum size column to a list of Column thresholds
@@ -90,7 +109,7 @@ def assign_by_thresholds(df: DataFrame, seed, id_cols, by, cuts, labels, out: st
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     by = list(by)
-    keyed = with_hash_key(df, seed, ids, bucket_hex=bucket_hex)
+    keyed = with_hash_key(df, seed, ids, bucket_hex=bucket_hex or bucket_digits(df))
     offsets = bucket_offsets(keyed, by)
     n = F.col("_n")
     cut_cols = cuts(n)

@@ -4,9 +4,9 @@ DPO (A13), combined loss (A14), epoch summary (A15), and the reward column
 by name (U03).
 
 Batch losses are aggregates keyed by ``batch_id`` (from W04), so they run
-with partial aggregation; the batch-mean baseline of REINFORCE uses the
-identity mean((r - mean r) * lp) = mean(r * lp) - mean(r) * mean(lp), which
-keeps it a single aggregate instead of a window over each batch.
+with partial aggregation; REINFORCE with the batch-mean baseline is minus the
+population covariance of reward and log-probability, one built-in aggregate.
+Nothing is rounded here, so losses may be added.
 """
 
 from __future__ import annotations
@@ -43,11 +43,11 @@ def phi_sweep(df: DataFrame, phis, rho: str = "cosine") -> DataFrame:
         "reward", gamma_reward(F.col(rho), F.col("phi")))
 
 
-def mean_reward_by_phi(df: DataFrame, phis, rho: str = "cosine", digits: int = 6) -> DataFrame:
+def mean_reward_by_phi(df: DataFrame, phis, rho: str = "cosine") -> DataFrame:
     """A10: mean reward per phi and the printed weight (mean + 0.1)."""
     s = phi_sweep(df, phis, rho).groupBy("phi").agg(F.avg("reward").alias("_m"),
                                                       F.count(F.lit(1)).cast("long").alias("n"))
-    return s.select("phi", "n", F.round("_m", digits).alias("mean_reward"),
+    return s.select("phi", "n", F.col("_m").alias("mean_reward"),
                     F.round(F.col("_m") + PRINTED_WEIGHT_OFFSET, 4).alias("weight"))
 
 
@@ -58,41 +58,36 @@ def with_seq_logprob(df: DataFrame, token_lp: str = "token_lp", labels: str = "l
 
 
 def reinforce_loss(df: DataFrame, reward: str = "reward", logp: str = "logp",
-                   by: str = "batch_id", digits: int = 6) -> DataFrame:
-    """Per batch -mean((r - mean_batch(r)) * logp)."""
-    r, lp = F.col(reward), F.col(logp)
-    g = df.groupBy(by).agg(F.avg(r * lp).alias("_rl"), F.avg(r).alias("_r"),
-                           F.avg(lp).alias("_lp"), F.count(F.lit(1)).cast("long").alias("n"))
-    return g.select(by, "n", F.round(-(F.col("_rl") - F.col("_r") * F.col("_lp")), digits)
-                    .alias("hgr_loss"))
+                   by: str = "batch_id") -> DataFrame:
+    """Per batch -mean((r - mean_batch(r)) * logp), over the rows that have
+    both values."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).cast("long").alias("n"),
+                              (-F.covar_pop(reward, logp)).alias("hgr_loss"))
 
 
 def dpo_loss(df: DataFrame, beta: float = DEFAULT_BETA, by: str | None = "batch_id",
-             pp: str = "pp", rp: str = "rp", pu: str = "pu", ru: str = "ru",
-             digits: int = 6) -> DataFrame:
+             pp: str = "pp", rp: str = "rp", pu: str = "pu", ru: str = "ru") -> DataFrame:
     """-mean(logsigmoid(beta * ((pp - rp) - (pu - ru)))) per batch (or overall)."""
     per_row = -log_sigmoid(dpo_margin(pp, rp, pu, ru, beta))
     g = df.groupBy(by) if by else df.groupBy()
     out = g.agg(F.avg(per_row).alias("_l"), F.count(F.lit(1)).cast("long").alias("n"))
-    cols = ([by] if by else []) + ["n", F.round("_l", digits).alias("dpo_loss")]
+    cols = ([by] if by else []) + ["n", F.col("_l").alias("dpo_loss")]
     return out.select(*cols)
 
 
 def combined_loss(dpo: DataFrame, hgr: DataFrame, alpha: float = DEFAULT_ALPHA,
-                  gamma: float = DEFAULT_GAMMA, by: str = "batch_id", digits: int = 6) -> DataFrame:
+                  gamma: float = DEFAULT_GAMMA, by: str = "batch_id") -> DataFrame:
     """Alpha * DPO + gamma * HGR per batch (batches present in both)."""
     j = dpo.select(by, "dpo_loss").join(hgr.select(by, "hgr_loss"), by)
     return j.select(by, "dpo_loss", "hgr_loss",
-                    F.round(F.lit(alpha) * F.col("dpo_loss") + F.lit(gamma) * F.col("hgr_loss"),
-                            digits).alias("total_loss"))
+                    (F.lit(alpha) * F.col("dpo_loss") + F.lit(gamma) * F.col("hgr_loss")).alias("total_loss"))
 
 
-def epoch_summary(batch_losses: DataFrame, loss: str = "dpo_loss", epoch: str = "epoch",
-                  digits: int = 6) -> DataFrame:
+def epoch_summary(batch_losses: DataFrame, loss: str = "dpo_loss", epoch: str = "epoch") -> DataFrame:
     """Mean of batch losses per epoch (a short last batch weighs the same)."""
     return batch_losses.groupBy(epoch).agg(
         F.count(F.lit(1)).cast("long").alias("batches"),
-        F.round(F.avg(loss), digits).alias(f"mean_{loss}"))
+        F.avg(loss).alias(f"mean_{loss}"))
 
 
 REWARDS = ("hgr", "bleurt", "comet")
@@ -117,7 +112,6 @@ def with_reward(df: DataFrame, reward: str = "hgr", out: str = "reward", **param
     if factory is None:
         raise ValueError(f"reward {name!r} needs scorer_factory")
     fmt = "concat" if name == "bleurt" else "triple"
-    bs = 1 if name == "bleurt" else params.get("batch_size", 8)
-    return model_reward(df, factory, batch_size=bs, input_format=fmt, out=out,
+    return model_reward(df, factory, batch_size=params.get("batch_size", 8), input_format=fmt, out=out,
                         src=params.get("src", "source"), hyp=params.get("hyp", "hyp"),
                         ref=params.get("ref", "ref"))

@@ -6,21 +6,20 @@ sentence from a global unseeded RNG.  Here the coin of (trial, id) is bit
 ``id mod 128`` (most significant first) of ``md5(seed:trial:id div 128)``:
 reproducible, independent of partitioning, portable to SQL, and one md5
 serves 128 sentences.  Sentences are grouped into blocks of 128 consecutive
-ids (at most 128 rows per block because ids are unique); the trials x block
+ids (at most 128 cells per block: rows of one id are summed); the trials x block
 sign matrix is applied with numpy inside ``mapInPandas``; ``groupBy(trial)``
 sums the per-task partial vectors (shuffle = trials x tasks rows) and the
 p-value is one global count.
-Score differences should be integers (e.g. scores in 1e-4 units) so that the
-``>=`` comparison of sums is exact.
+Score differences are integers (a scale turns fractional scores into units),
+so the ``>=`` comparison of sums is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 128
-HEX_DIGITS = "0123456789abcdef"  # fixed value: hex alphabet
 
 
 def paired_scores(a: DataFrame, b: DataFrame, on: str = "id", a_col: str = "score",
@@ -30,27 +29,47 @@ def paired_scores(a: DataFrame, b: DataFrame, on: str = "id", a_col: str = "scor
         b.select(on, F.col(b_col).alias("score_b")), on)
 
 
-def coin_bit(hexcol: Column, j: Column) -> Column:
-    """Bit j (0..127, most significant first) of a 32-digit hex string."""
-    digit = F.instr(F.lit(HEX_DIGITS), F.substring(hexcol, (j / 4).cast("int") + 1, 1)) - 1
-    pow2 = (F.when(j % 4 == 0, 8).when(j % 4 == 1, 4).when(j % 4 == 2, 2).otherwise(1))
-    return ((digit / pow2).cast("int")) % 2
+def _blocks(df: DataFrame, a: str, b: str, id_col: str, scale: int | None) -> DataFrame:
+    """(blk string, xs array<struct<j, d>>): at most ``BLOCK`` sentences each,
+    with integer differences."""
+    types = dict(df.dtypes)
+    diff = F.col(a) - F.col(b)
+    if scale is not None:
+        diff = F.round(diff * F.lit(scale))
+    elif any(types[c] in ("float", "double") or types[c].startswith("decimal") for c in (a, b)):
+        raise ValueError("fractional scores need scale, e.g. 10_000 for units of 1e-4")
+    d = df.select(F.col(id_col).alias("id"), diff.cast("long").alias("d"))
+    if types[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        # arithmetic shift and mask: right for negative ids and beyond 2^53
+        x = F.col("id").cast("long")
+        cells = d.groupBy(F.shiftright(x, 7).cast("string").alias("blk"),
+                          x.bitwiseAND(F.lit(BLOCK - 1)).cast("int").alias("j")).agg(F.sum("d").alias("d"))
+        return cells.groupBy("blk").agg(F.collect_list(F.struct("j", "d")).alias("xs"))
+    # other ids are numbered inside hash buckets of about half a block
+    n = max(1, d.count() // (BLOCK // 2))
+    k = F.col("id").cast("string")
+    cells = d.groupBy(F.pmod(F.xxhash64(k), F.lit(n)).alias("h"), k.alias("k")).agg(F.sum("d").alias("d"))
+    at = F.row_number().over(Window.partitionBy("h").orderBy("k")) - 1
+    cells = cells.select(F.concat_ws(":", "h", F.floor(at / BLOCK)).alias("blk"), (at % BLOCK).cast("int").alias("j"), "d")
+    return cells.groupBy("blk").agg(F.collect_list(F.struct("j", "d")).alias("xs"))
 
 
 def randomization_test(df: DataFrame, a: str = "score_a", b: str = "score_b", id_col: str = "id",
-                       trials: int = 10_000, seed=42) -> DataFrame:
+                       trials: int = 10_000, seed=42, scale: int | None = None) -> DataFrame:
     """p = #{trials with |sum s_i d_i| >= |sum d_i|} / trials (no +1),
     where swapping a pair flips the sign of its difference.
 
+    Sums are exact integers.  Scores that are not integers need ``scale``: their
+    differences are rounded to units of 1 / scale.  Ids may be of any type; rows
+    that share an id share a coin.
+
     The inner loop (trials x sentences sign flips) runs as numpy inside
     ``mapInPandas``: per block of 128 ids, the ``trials`` md5 digests are
     computed once, unpacked to a trials x 128 bit matrix, and multiplied with
     the block's differences.  Each task emits one partial sum per trial, so
     the shuffle is trials x tasks rows whatever the corpus size."""
     import pandas as pd
-    d = df.select(F.col(id_col).alias("id"), (F.col(a) - F.col(b)).cast("long").alias("d"))
-    blocks = d.groupBy((F.col("id") / BLOCK).cast("long").alias("blk")).agg(
-        F.collect_list(F.struct((F.col("id") % BLOCK).cast("int").alias("j"), "d")).alias("xs"))
+    blocks = _blocks(df, a, b, id_col, scale)
     n_trials, seed_s = int(trials), str(seed)
     # The block table is small but each row fans out to `trials` md5s: an
     # explicit partition count keeps AQE from coalescing it into a few tasks.
@@ -86,33 +105,6 @@ def randomization_test(df: DataFrame, a: str = "score_a", b: str = "score_b", id
              "observed_abs_sum")
 
 
-def randomization_test_native(df: DataFrame, a: str = "score_a", b: str = "score_b",
-                              id_col: str = "id", trials: int = 10_000, seed=42) -> DataFrame:
-    """A16 with only built-in expressions (same coins): blocks x trials via a
-    Generate, the block's signed sum via ``aggregate``.  Kept as the
-    JVM-only reference plan; the default above is faster because Spark
-    evaluates lambda functions without code generation."""
-    d = df.select(F.col(id_col).alias("id"), (F.col(a) - F.col(b)).alias("d"))
-    blocks = d.groupBy((F.col("id") / BLOCK).cast("long").alias("blk")).agg(
-        F.collect_list(F.struct((F.col("id") % BLOCK).cast("int").alias("j"), F.col("d"))).alias("xs"),
-        F.sum("d").alias("dsum"))
-    per = blocks.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    hexcol = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("trial").cast("string"),
-                               F.col("blk").cast("string")))
-    per = per.withColumn("_h", hexcol)
-    signed = F.aggregate(
-        F.col("xs"), F.lit(0).cast(d.schema["d"].dataType),
-        lambda acc, x: acc + (F.lit(1) - 2 * coin_bit(F.col("_h"), x["j"])) * x["d"])
-    per = per.select("trial", signed.alias("s"), "dsum")
-    by_trial = per.groupBy("trial").agg(F.sum("s").alias("s"), F.sum("dsum").alias("obs"))
-    return by_trial.agg(
-        F.count(F.when(F.abs("s") >= F.abs("obs"), 1)).cast("long").alias("hits"),
-        F.count(F.lit(1)).cast("long").alias("trials"),
-        F.first(F.abs("obs")).alias("observed_abs_sum"),
-    ).select("hits", "trials", (F.col("hits") / F.col("trials")).alias("p_value"),
-             "observed_abs_sum")
-
-
 def cohens_d(df: DataFrame, a: str = "score_a", b: str = "score_b", scale: float = 1.0,
              digits: int = 6) -> DataFrame:
     """mean(diff) / (stddev_samp(diff) + 1e-10); NULL for one row."""

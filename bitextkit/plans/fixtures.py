@@ -50,8 +50,11 @@ def memo(fn):
 
 
 DUP_MOD = 29            # rows with pair_id % 29 = 0 appear twice
-DUP_OFFSET = 1_000_000_000
+DUP_OFFSET = 10 ** 15
+PER_DOC = 1_000_000      # pair_id = doc_id * PER_DOC + number of the pair in its document
+SEGMENT = 12             # words on each side of a pair
 DEFECT_MOD = 23
+BEYOND_BMP = "\U0001f600\U0001f601"   # characters that are surrogate pairs in UTF-16
 
 
 def _words(text_col):
@@ -62,14 +65,17 @@ def _words(text_col):
 
 @memo
 def parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1: parallel(pair_id, src, tgt) from ``documents`` with one injected
-    defect per ``pair_id % 23`` and duplicated rows for ``pair_id % 29 = 0``."""
+    """B1: parallel(pair_id, src, tgt) from all words of ``documents``: segments
+    of 12 words, segment 2i paired with 2i + 1, with one injected defect per
+    ``pair_id % 23`` and duplicated rows for ``pair_id % 29 = 0``."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     w = _words(F.col("text"))
-    base = docs.select(
-        F.col("doc_id").alias("pair_id"),
-        F.array_join(F.slice(w, 1, 12), " ").alias("s0"),
-        F.array_join(F.slice(w, 13, 12), " ").alias("t0"),
+    cut = docs.select("doc_id", w.alias("w")).select("doc_id", "w", F.explode(F.sequence(
+        F.lit(0), F.greatest(F.ceil(F.size("w") / (2 * SEGMENT)) - 1, F.lit(0)).cast("int"))).alias("i"))
+    base = cut.select(
+        (F.col("doc_id") * PER_DOC + F.col("i")).alias("pair_id"),
+        F.array_join(F.slice("w", F.col("i") * 2 * SEGMENT + 1, SEGMENT), " ").alias("s0"),
+        F.array_join(F.slice("w", F.col("i") * 2 * SEGMENT + SEGMENT + 1, SEGMENT), " ").alias("t0"),
     ).withColumns({
         "s": F.translate("s0", LATIN_LETTERS, DEVANAGARI_MAP),
         "t": F.translate("t0", LATIN_LETTERS, DEVANAGARI_MAP),
@@ -87,6 +93,7 @@ def parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(r == 5, F.concat(F.lit("{"), t, F.lit("}")))
             .when(r == 6, F.col("t0"))
             .when(r == 7, F.concat_ws(" ", t, t, t, t))
+           .when(r == 10, F.concat(t, F.lit(f" {BEYOND_BMP}")))
             .otherwise(t))
     rows = base.select("pair_id", src.alias("src"), tgt.alias("tgt"))
     dups = rows.filter(F.col("pair_id") % DUP_MOD == 0).withColumn(
@@ -177,9 +184,9 @@ def hyps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @memo
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """scores(id, score_a, score_b): sentence chrF++ of hyp_a / hyp_b in
-    integer units of 1e-4 (exact sums for the significance tests)."""
+def system_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, sys, score): sentence chrF++ of hyp_a (0) and hyp_b (1) in integer
+    units of 1e-4 (exact sums for the significance tests)."""
     from bitextkit.operators.mt_metrics import sentence_chrf, sentence_stats
     h = hyps(spark, sf_dir)
     both = h.select("id", F.inline(F.array(
@@ -187,10 +194,15 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(1).alias("sys"), F.col("hyp_b").alias("hyp"), F.col("ref").alias("ref")))))
     both = both.withColumn("sid", F.col("id") * 2 + F.col("sys"))
     st = sentence_stats(both, "sid", "hyp", "ref", keep=(), bleu=False)
-    st = st.select((F.col("id") / 2).cast("long").alias("id"), (F.col("id") % 2).alias("sys"),
-                   F.round(sentence_chrf(st) * 10000.0).cast("long").alias("score"))
-    return st.groupBy("id").agg(F.max(F.when(F.col("sys") == 0, F.col("score"))).alias("score_a"),
-                                F.max(F.when(F.col("sys") == 1, F.col("score"))).alias("score_b"))
+    return st.select(F.shiftright("id", 1).alias("id"), (F.col("id") % 2).alias("sys"),
+                     F.round(sentence_chrf() * 10000.0).cast("long").alias("score"))
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scores(id, score_a, score_b): both systems' scores joined by J05."""
+    from bitextkit.operators.stats import paired_scores
+    s = system_scores(spark, sf_dir)
+    return paired_scores(s.filter("sys = 0"), s.filter("sys = 1"))
 
 
 @memo
@@ -249,11 +261,21 @@ def tok_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEDGER_NULL_MOD = 50
+LEDGER_NO_TRACK_MOD = 37
+
+# The decode grid of the reference's sweep (54 configurations).
+GRID = {"num_beams": [4, 6, 8], "max_length": [48, 64, 80],
+        "length_penalty": [0.8, 1.0, 1.2], "repetition_penalty": [1.0, 1.1]}
+# The registered sweep runs over whole texts, with a grid of four.
+SWEEP_GRID = {"num_beams": [4, 8], "max_length": [64], "length_penalty": [0.8, 1.0],
+              "repetition_penalty": [1.0]}
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ledger(iter, track, value) from events; value NULL every 50th iter."""
+    """ledger(iter, track, value) from events; value NULL every 50th iter,
+    track NULL every 37th."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    return ev.select(F.col("event_id").alias("iter"), F.col("event_type").alias("track"),
+    return ev.select(F.col("event_id").alias("iter"),
+                     F.when(F.col("event_id") % LEDGER_NO_TRACK_MOD != 0, F.col("event_type")).alias("track"),
                      F.when(F.col("event_id") % LEDGER_NULL_MOD == 0, F.lit(None).cast("double"))
                      .otherwise(F.col("value")).alias("value"))

@@ -9,8 +9,10 @@ checks the Spark design, not just the expressions.
 
 from __future__ import annotations
 
+import itertools
+
 from bitextkit.plans import sqlfrag as S
-from bitextkit.plans.fixtures import (DEFECT_MOD, DUP_MOD, DUP_OFFSET, PROMPT_BARE_MOD,
+from bitextkit.plans.fixtures import (BEYOND_BMP, DEFECT_MOD, PER_DOC, SEGMENT, DUP_MOD, DUP_OFFSET, PROMPT_BARE_MOD,
                                       PROMPT_CROSS_MOD, SEED, SRC_LANG, TGT_LANG)
 
 CTES: dict[str, tuple[str, list[str]]] = {}
@@ -45,8 +47,12 @@ def _key(*cols: str, seed=SEED) -> str:
 
 _words = S.rr(S.rr("coalesce(text, '')", S.WSR, " "), "^ +| +$", "")
 cte("_pw", f"SELECT doc_id AS pair_id, string_split({_words}, ' ') AS w FROM documents")
-cte("_pb", "SELECT pair_id, array_to_string(w[1:12], ' ') AS s0, "
-           "array_to_string(w[13:24], ' ') AS t0 FROM _pw", ["_pw"])
+cte("_ps", f"SELECT pair_id AS doc_id, w, unnest(range(0, greatest((len(w) + {2 * SEGMENT - 1}) "
+           f"// {2 * SEGMENT}, 1))) AS i FROM _pw", ["_pw"])
+cte("_pb", f"SELECT doc_id * {PER_DOC} + i AS pair_id, "
+           f"array_to_string(w[{2 * SEGMENT} * i + 1:{2 * SEGMENT} * i + {SEGMENT}], ' ') AS s0, "
+           f"array_to_string(w[{2 * SEGMENT} * i + {SEGMENT + 1}:{2 * SEGMENT} * i + {2 * SEGMENT}], ' ') AS t0 "
+           f"FROM _ps", ["_ps"])
 cte("_pc", f"SELECT pair_id, s0, t0, {S.translit('s0')} AS s, {S.translit('t0')} AS t FROM _pb",
     ["_pb"])
 cte("_pe", f"""SELECT pair_id,
@@ -54,7 +60,7 @@ cte("_pe", f"""SELECT pair_id,
     WHEN 4 THEN s || ' ....' WHEN 6 THEN s0
     WHEN 8 THEN '"' || chr(8203) || s || chr(160) || '"' WHEN 9 THEN NULL ELSE s END AS src,
   CASE pair_id % {DEFECT_MOD} WHEN 3 THEN s WHEN 5 THEN '{{' || t || '}}' WHEN 6 THEN t0
-    WHEN 7 THEN concat_ws(' ', t, t, t, t) ELSE t END AS tgt
+    WHEN 7 THEN concat_ws(' ', t, t, t, t) WHEN 10 THEN t || ' {BEYOND_BMP}' ELSE t END AS tgt
 FROM _pc""", ["_pc"])
 cte("parallel_fx", f"SELECT pair_id, src, tgt FROM _pe UNION ALL "
                    f"SELECT pair_id + {DUP_OFFSET}, src, tgt FROM _pe WHERE pair_id % {DUP_MOD} = 0",
@@ -233,15 +239,15 @@ ORACLE["l02_sample_per_direction"] = build(f"""SELECT pair_id, direction, stratu
     SELECT *, 'src2tgt' AS stratum FROM prompts WHERE contains(source, '{SRC_LANG} to {TGT_LANG}')
     UNION ALL
     SELECT *, 'tgt2src' AS stratum FROM prompts WHERE contains(source, '{TGT_LANG} to {SRC_LANG}')))
-WHERE rn <= 5000""", "prompts")
+WHERE rn <= 100""", "prompts")
 
 
 # ------------------------------------------------------------ metric fixtures and statistics
 
 from bitextkit.operators import mt_metrics as _M  # noqa: E402
-from bitextkit.operators import meteor as _ME  # noqa: E402
 from bitextkit.plans.fixtures import (ALL_MASKED_MOD, HYP_EMPTY_MOD, HYP_EQUAL_MOD,  # noqa: E402
-                                      LABEL_MASK_MOD, LEDGER_NULL_MOD, NULL_DIR_MOD)
+                                      LABEL_MASK_MOD, LEDGER_NO_TRACK_MOD, LEDGER_NULL_MOD,
+                                      NULL_DIR_MOD, SWEEP_GRID)
 
 
 def _drop_every(x: str, k) -> str:
@@ -304,9 +310,27 @@ def stats_ctes(p: str, src: str, id_expr: str, hyp: str, ref: str, keep: list[st
 stats_ctes("sa", "hyps", "id", "hyp_a", "ref", ["direction"], ["hyps"])
 stats_ctes("sb", "hyps", "id", "hyp_b", "ref", [], ["hyps"])
 
-_BLEU = _M.bleu_formula()
-_BLEU_EFF = _M.bleu_formula(effective_order=True)
-_CHRF = _M.chrf_formula()
+
+def _list(name: str, ks) -> str:
+    return "[" + ", ".join(f"{name}{k}::DOUBLE" for k in ks) + "]"
+
+
+# The published definitions, written for DuckDB's lists apart from the engine's formulas.
+_m, _t = _list("bleu_m", range(1, 5)), _list("bleu_t", range(1, 5))
+_bp = ("CASE WHEN bleu_hyp_len >= bleu_ref_len THEN 1.0 WHEN bleu_hyp_len > 0 "
+       "THEN exp(1.0 - bleu_ref_len::DOUBLE / bleu_hyp_len) ELSE 0.0 END")
+_logs = (f"list_sum(list_transform([1, 2, 3, 4], lambda n: CASE WHEN ({_t})[n] = 0 THEN 0.0::DOUBLE "
+         f"WHEN ({_m})[n] > 0 THEN ln(100 * ({_m})[n] / ({_t})[n]) "
+         f"ELSE ln(100 / (pow(2::DOUBLE, len(list_filter(({_m})[1:n], lambda x: x = 0))) * ({_t})[n])) END))")
+_BLEU_EFF = (f"(CASE WHEN list_sum({_m}) = 0 THEN 0.0::DOUBLE ELSE ({_bp}) * exp({_logs} "
+             f"/ len(list_filter({_t}, lambda x: x > 0))) END)")
+_BLEU = (f"(CASE WHEN list_sum({_m}) = 0 OR bleu_t4 = 0 THEN 0.0::DOUBLE ELSE ({_bp}) * exp({_logs} / 4) END)")
+_h, _r, _c = (_list(f"chrf_{x}", range(1, 9)) for x in "hrm")
+_used = f"list_filter(range(1, 9), lambda k: ({_h})[k] > 0 AND ({_r})[k] > 0)"
+_prec = f"list_avg(list_transform({_used}, lambda k: ({_c})[k] / ({_h})[k]))"
+_rec = f"list_avg(list_transform({_used}, lambda k: ({_c})[k] / ({_r})[k]))"
+_CHRF = (f"(CASE WHEN len({_used}) = 0 OR {_prec} + {_rec} = 0 THEN 0.0::DOUBLE "
+         f"ELSE 100 * 5 * {_prec} * {_rec} / (4 * {_prec} + {_rec}) END)")
 _SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in _M.STAT_COLS_BLEU + _M.STAT_COLS_CHRF)
 
 ORACLE["a01_corpus_bleu"] = build(f"""SELECT n, round({_BLEU}, 4) AS bleu, round({_BLEU_EFF}, 4) AS bleu_effective
@@ -342,11 +366,11 @@ FROM (SELECT id, list_transform({S.ws_tokens(f"coalesce({col}, '')")}, lambda t:
 FROM (SELECT *, lag(hyp_pos) OVER (PARTITION BY id ORDER BY hyp_pos) AS ph,
              lag(ref_pos) OVER (PARTITION BY id ORDER BY hyp_pos) AS pr FROM {p}_al) GROUP BY id""",
         [f"{p}_al"])
-    a, b = repr(_ME.ALPHA), repr(1 - _ME.ALPHA)
+    a, b = '0.9', '0.1'
     cte(f"{p}_sent", f"""SELECT s.id, s.direction, s.hyp_len, s.ref_len, coalesce(c.m, 0)::BIGINT AS m,
   coalesce(c.chunks, 0)::BIGINT AS chunks,
   CASE WHEN coalesce(c.m, 0) = 0 THEN 0.0::DOUBLE ELSE
-    (1.0::DOUBLE - {_ME.GAMMA!r}::DOUBLE * pow(c.chunks::DOUBLE / c.m, {_ME.BETA!r}::DOUBLE))
+    (1.0::DOUBLE - 0.5::DOUBLE * pow(c.chunks::DOUBLE / c.m, 3.0::DOUBLE))
     * ((c.m::DOUBLE / s.hyp_len) * (c.m::DOUBLE / s.ref_len)
        / ({a}::DOUBLE * (c.m::DOUBLE / s.hyp_len) + {b}::DOUBLE * (c.m::DOUBLE / s.ref_len))) END AS meteor
 FROM (SELECT id, direction, len({S.ws_tokens(f"coalesce({hyp}, '')")})::BIGINT AS hyp_len,
@@ -385,9 +409,9 @@ FROM (SELECT a.sent_id, a.side, a.pos, max({_cos('a.vec', 'b.vec')}) AS best
       FROM tok_emb a JOIN tok_emb b ON a.sent_id = b.sent_id AND a.side <> b.side
       GROUP BY a.sent_id, a.side, a.pos) GROUP BY sent_id""", ["tok_emb"])
 ORACLE["a04_greedy_match"] = build("""SELECT sent_id, round(p, 6) AS precision, round(r, 6) AS recall,
-  round(2 * p * r / (p + r), 6) AS f1 FROM _gm""", "_gm")
+  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM _gm""", "_gm")
 ORACLE["a04_bertscore_f1"] = build(
-    "SELECT count(*)::BIGINT AS n, round(avg(2 * p * r / (p + r)) * 100.0, 4) AS bertscore_f1 FROM _gm",
+    "SELECT count(*)::BIGINT AS n, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) * 100.0, 4) AS bertscore_f1 FROM _gm",
     "_gm")
 cte("vec_pairs", """SELECT e1.vec_id, e1.embedding AS a, e2.embedding AS b
 FROM embeddings e1 JOIN embeddings e2 ON e2.vec_id = e1.vec_id + 1
@@ -418,10 +442,11 @@ cte("hgr_rows", f"""SELECT v.vec_id, c * exp(-1.0::DOUBLE * c) AS reward, l.logp
   (row_number() OVER (ORDER BY {_key('v.vec_id')}, v.vec_id) - 1) // 8 AS batch_id
 FROM vp_cos v JOIN seq_lp l ON l.vec_id = v.vec_id""", ["vp_cos", "seq_lp"])
 cte("hgr_loss", """SELECT batch_id::BIGINT AS batch_id, count(*)::BIGINT AS n,
-  round(-avg((reward - rbar) * logp), 6) AS hgr_loss
+  -avg((reward - rbar) * logp) AS hgr_loss
 FROM (SELECT *, avg(reward) OVER (PARTITION BY batch_id) AS rbar FROM hgr_rows) GROUP BY batch_id""",
     ["hgr_rows"])
-ORACLE["a12_reinforce_loss"] = build("SELECT * FROM hgr_loss", "hgr_loss")
+ORACLE["a12_reinforce_loss"] = build(
+    "SELECT batch_id, n, round(hgr_loss, 6) AS hgr_loss FROM hgr_loss", "hgr_loss")
 cte("pref_lp", """SELECT a.vec_id AS id, a.logp AS pp, b.logp AS rp, c.logp AS pu, d.logp AS ru
 FROM seq_lp a JOIN seq_lp b ON b.vec_id = a.vec_id + 1 JOIN seq_lp c ON c.vec_id = a.vec_id + 2
 JOIN seq_lp d ON d.vec_id = a.vec_id + 3""", ["seq_lp"])
@@ -432,11 +457,12 @@ def _nls(z: str) -> str:
 
 
 _Z = "(0.1::DOUBLE * ((pp - rp) - (pu - ru)))"
-cte("dpo_loss", f"""SELECT batch_id::BIGINT AS batch_id, count(*)::BIGINT AS n, round(avg({_nls(_Z)}), 6) AS dpo_loss
+cte("dpo_loss", f"""SELECT batch_id::BIGINT AS batch_id, count(*)::BIGINT AS n, avg({_nls(_Z)}) AS dpo_loss
 FROM (SELECT *, (row_number() OVER (ORDER BY {_key('id')}, id) - 1) // 8 AS batch_id FROM pref_lp)
 GROUP BY batch_id""", ["pref_lp"])
-ORACLE["a13_dpo_loss"] = build("SELECT * FROM dpo_loss", "dpo_loss")
-ORACLE["a14_combined_loss"] = build("""SELECT d.batch_id, d.dpo_loss, h.hgr_loss,
+ORACLE["a13_dpo_loss"] = build(
+    "SELECT batch_id, n, round(dpo_loss, 6) AS dpo_loss FROM dpo_loss", "dpo_loss")
+ORACLE["a14_combined_loss"] = build("""SELECT d.batch_id, round(d.dpo_loss, 6) AS dpo_loss, round(h.hgr_loss, 6) AS hgr_loss,
   round(0.5::DOUBLE * d.dpo_loss + 0.5::DOUBLE * h.hgr_loss, 6) AS total_loss
 FROM dpo_loss d JOIN hgr_loss h ON h.batch_id = d.batch_id""", "dpo_loss", "hgr_loss")
 ORACLE["a15_epoch_summary"] = build(f"""SELECT epoch, count(*)::BIGINT AS batches, round(avg(l), 6) AS mean_dpo_loss
@@ -450,15 +476,17 @@ cte("scores", """SELECT a.id, a.s AS score_a, b.s AS score_b FROM
   (SELECT id, round(""" + _CHRF + """ * 10000.0::DOUBLE)::BIGINT AS s FROM sb_stats) b ON a.id = b.id""",
     ["sa_stats", "sb_stats"])
 ORACLE["j05_paired_scores"] = build("SELECT id, score_a, score_b FROM scores", "scores")
-_bit = ("(((instr('0123456789abcdef', substring(md5(concat_ws(':', '42', trial, id // 128)), "
-        "(id % 128) // 4 + 1, 1)) - 1) // (CASE (id % 128) % 4 WHEN 0 THEN 8 WHEN 1 THEN 4 "
-        "WHEN 2 THEN 2 ELSE 1 END)) % 2)")
+_bit = ("(((instr('0123456789abcdef', substring(h, j // 4 + 1, 1)) - 1) // (CASE j % 4 WHEN 0 THEN 8 "
+        "WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END)) % 2)")
 ORACLE["a16_randomization_test"] = build(f"""SELECT hits, trials, hits::DOUBLE / trials AS p_value, observed_abs_sum
 FROM (SELECT count(*) FILTER (WHERE abs(s) >= (SELECT abs(sum(score_a - score_b)) FROM scores))::BIGINT AS hits,
              count(*)::BIGINT AS trials,
              (SELECT abs(sum(score_a - score_b)) FROM scores)::BIGINT AS observed_abs_sum
-      FROM (SELECT trial, sum((1 - 2 * {_bit}) * (score_a - score_b)) AS s
-            FROM scores, range(0, 200) t(trial) GROUP BY trial))""", "scores")
+      FROM (SELECT trial, sum((1 - 2 * {_bit}) * d) AS s
+            FROM (SELECT blk, trial, md5(concat_ws(':', '42', trial, blk)) AS h
+                  FROM (SELECT DISTINCT id // 128 AS blk FROM scores), range(0, 10000) t(trial)) c
+            JOIN (SELECT id // 128 AS blk, id % 128 AS j, score_a - score_b AS d FROM scores) x USING (blk)
+            GROUP BY trial))""", "scores")
 ORACLE["a17_cohens_d"] = build("""SELECT count(*)::BIGINT AS n,
   round(avg(d) / (stddev_samp(d) + 1e-10), 6) AS cohens_d, round(avg(d), 6) AS mean_diff
 FROM (SELECT (score_a - score_b)::DOUBLE / 10000.0::DOUBLE AS d FROM scores)""", "scores")
@@ -481,17 +509,11 @@ ORACLE["l03_inspection_sample"] = build(f"""SELECT id, source, ref AS reference,
 FROM hyps ORDER BY {_key('id')}, id LIMIT 30""", "hyps")
 
 # ------------------------------------------------------------ sweep
-_grid_rows = []
-_cid = 0
-for nb in (4, 6, 8):
-    for ml in (48, 64, 80):
-        for lp in (0.8, 1.0, 1.2):
-            for rp in (1.0, 1.1):
-                _grid_rows.append(f"({_cid}, {nb}, {ml}, {lp!r}::DOUBLE, {rp!r}::DOUBLE)")
-                _cid += 1
+_grid_rows = [f"({i}, {nb}, {ml}, {lp!r}::DOUBLE, {rp!r}::DOUBLE)"
+              for i, (nb, ml, lp, rp) in enumerate(itertools.product(*SWEEP_GRID.values()))]
 cte("grid", "SELECT * FROM (VALUES " + ", ".join(_grid_rows)
     + ") AS g(config_id, num_beams, max_length, length_penalty, repetition_penalty)")
-cte("sw_in", f"""SELECT h.id * 54 + g.config_id AS sid, g.config_id, h.ref,
+cte("sw_in", f"""SELECT h.id * {len(_grid_rows)} + g.config_id AS sid, g.config_id, h.ref,
   {S.strip_ws("array_to_string(CASE WHEN g.length_penalty < 1 AND len(w) > 1 THEN w[1:len(w) - 1] ELSE w END, ' ')")} AS hyp
 FROM (SELECT h.*, g.config_id AS cfg, list_filter(string_split({_sent.replace('source', 'h.source')}, ' '),
         lambda x, i: i % (g.num_beams // 2 + 1 + CASE WHEN g.repetition_penalty > 1 THEN 1 ELSE 0 END) <> 0)
@@ -503,12 +525,13 @@ cte("sweep", f"""SELECT g.config_id, g.num_beams, g.max_length, g.length_penalty
 FROM (SELECT config_id, {_SUMS} FROM sw_stats GROUP BY config_id) s JOIN grid g ON g.config_id = s.config_id""",
     ["sw_stats", "grid"])
 ORACLE["u06_sweep"] = build("SELECT * FROM sweep", "sweep")
-ORACLE["a18_best_run"] = build("SELECT * FROM sweep ORDER BY bleu DESC, config_id LIMIT 1", "sweep")
-ORACLE["l04_top_k"] = build("SELECT * FROM sweep ORDER BY bleu DESC, config_id LIMIT 10", "sweep")
 
 # ------------------------------------------------------------ ledger
-cte("ledger", f"""SELECT event_id AS iter, event_type AS track,
+cte("ledger", f"""SELECT event_id AS iter,
+  CASE WHEN event_id % {LEDGER_NO_TRACK_MOD} = 0 THEN NULL ELSE event_type END AS track,
   CASE WHEN event_id % {LEDGER_NULL_MOD} = 0 THEN NULL ELSE value END AS value FROM events""")
+ORACLE["a18_best_run"] = build("SELECT * FROM ledger ORDER BY value DESC NULLS LAST, iter LIMIT 1", "ledger")
+ORACLE["l04_top_k"] = build("SELECT * FROM ledger ORDER BY value DESC NULLS LAST, iter LIMIT 10", "ledger")
 ORACLE["w06_running_best"] = build("""SELECT iter, track, value, prev_best,
   CASE WHEN prev_best IS NULL THEN value WHEN value IS NULL THEN prev_best ELSE greatest(prev_best, value) END
     AS best_so_far,
@@ -518,7 +541,7 @@ FROM (SELECT *, max(value) OVER (PARTITION BY track ORDER BY iter
 ORACLE["w07_gap_to"] = build("""SELECT l.iter, l.track, round(l.value - b.baseline, 6) AS gap_to_baseline,
   round(l.value - 25.0::DOUBLE, 6) AS gap_to_target
 FROM ledger l LEFT JOIN (SELECT track, arg_min(value, iter) AS baseline FROM ledger
-                         WHERE value IS NOT NULL GROUP BY track) b ON b.track = l.track""", "ledger")
+                         WHERE value IS NOT NULL GROUP BY track) b ON b.track IS NOT DISTINCT FROM l.track""", "ledger")
 ORACLE["j08_metric_delta"] = """SELECT metric, round(b, 6) AS baseline, round(c, 6) AS candidate,
   round(c - b, 6) AS delta
 FROM (SELECT event_type AS metric, avg(value) FILTER (WHERE event_id % 2 = 0) AS b,

@@ -239,7 +239,7 @@ def l01(spark, d):
 
 @query("l02_sample_per_direction")
 def l02(spark, d):
-    return P.sample_per_direction(fx.prompts(spark, d), 5000, fx.SRC_LANG, fx.TGT_LANG).select(
+    return P.sample_per_direction(fx.prompts(spark, d), 100, fx.SRC_LANG, fx.TGT_LANG).select(
         "pair_id", "direction", "stratum", "source")
 
 
@@ -251,6 +251,7 @@ from bitextkit.operators import meteor as ME  # noqa: E402
 from bitextkit.operators import mt_metrics as M  # noqa: E402
 from bitextkit.operators import reward as R  # noqa: E402
 from bitextkit.operators import stats as ST  # noqa: E402
+from bitextkit.plans import standins as SI  # noqa: E402
 from bitextkit.functions import vector as V  # noqa: E402
 
 
@@ -333,13 +334,13 @@ def j01(spark, d):
 @query("u01_generate_rejected")
 def u01(spark, d):
     p = fx.pairs(spark, d).withColumnRenamed("target", "preferred")
-    return U.generate_rejected(p, U.dropping_generator(3), batch_size=64)
+    return U.generate_rejected(p, SI.dropping_generator(3), batch_size=64)
 
 
 @query("p07_to_dpo")
 def p07(spark, d):
     p = fx.pairs(spark, d).withColumnRenamed("target", "preferred")
-    g = U.generate_rejected(p, U.dropping_generator(3), batch_size=64)
+    g = U.generate_rejected(p, SI.dropping_generator(3), batch_size=64)
     from bitextkit.operators.pairs import to_dpo
     return to_dpo(g).select("pair_id", "direction", "prompt", "chosen", "rejected")
 
@@ -360,7 +361,7 @@ def j05(spark, d):
 
 @query("a16_randomization_test")
 def a16(spark, d):
-    return ST.randomization_test(fx.scores(spark, d), trials=200, seed=42)
+    return ST.randomization_test(fx.scores(spark, d), trials=10_000, seed=42)
 
 
 @query("a17_cohens_d")
@@ -394,7 +395,8 @@ def j07(spark, d):
 
 @query("a10_mean_reward_by_phi")
 def a10(spark, d):
-    return R.mean_reward_by_phi(R.with_cosine(fx.vec_pairs(spark, d)), PHIS)
+    m = R.mean_reward_by_phi(R.with_cosine(fx.vec_pairs(spark, d)), PHIS)
+    return m.withColumn("mean_reward", F.round("mean_reward", 6))
 
 
 @query("a11_seq_logprob")
@@ -416,17 +418,18 @@ def _dpo_rows(spark, d):
 
 @query("a12_reinforce_loss")
 def a12(spark, d):
-    return R.reinforce_loss(_hgr_rows(spark, d))
+    return R.reinforce_loss(_hgr_rows(spark, d)).withColumn("hgr_loss", F.round("hgr_loss", 6))
 
 
 @query("a13_dpo_loss")
 def a13(spark, d):
-    return R.dpo_loss(_dpo_rows(spark, d), beta=0.1)
+    return R.dpo_loss(_dpo_rows(spark, d), beta=0.1).withColumn("dpo_loss", F.round("dpo_loss", 6))
 
 
 @query("a14_combined_loss")
 def a14(spark, d):
-    return R.combined_loss(R.dpo_loss(_dpo_rows(spark, d), 0.1), R.reinforce_loss(_hgr_rows(spark, d)))
+    both = R.combined_loss(R.dpo_loss(_dpo_rows(spark, d), 0.1), R.reinforce_loss(_hgr_rows(spark, d)))
+    return both.withColumns({c: F.round(c, 6) for c in ("dpo_loss", "hgr_loss", "total_loss")})
 
 
 @query("a15_epoch_summary")
@@ -435,7 +438,8 @@ def a15(spark, d):
     b = P.assign_batches(pl, 8, 42, ("id", "epoch"), by=("epoch",))
     per_batch = b.groupBy("epoch", "batch_id").agg(
         F.avg(-V.log_sigmoid(V.dpo_margin("pp", "rp", "pu", "ru", 0.1))).alias("dpo_loss"))
-    return R.epoch_summary(per_batch, "dpo_loss")
+    return R.epoch_summary(per_batch, "dpo_loss").withColumn(
+        "mean_dpo_loss", F.round("mean_dpo_loss", 6))
 
 
 @query("u03_with_reward")
@@ -447,42 +451,34 @@ def u03(spark, d):
 @query("u05_model_reward")
 def u05(spark, d):
     h = fx.hyps(spark, d).select("id", "source", "hyp_a", "ref")
-    x = U.model_reward(h, U.length_ratio_scorer(), batch_size=8, input_format="triple",
+    x = U.model_reward(h, SI.length_ratio_scorer(), batch_size=8, input_format="triple",
                        hyp="hyp_a", ref="ref")
     return x.select("id", F.round("reward", 6).alias("reward"))
 
 
 @query("u02_embed")
 def u02(spark, d):
-    e = U.embed(fx.pairs(spark, d), "target", U.hashing_encoder(32))
+    e = U.embed(fx.pairs(spark, d), "target", SI.hashing_encoder(32))
     return e.select("pair_id", "direction", F.size("embedding").alias("dim"),
                     F.round(V.l2norm("embedding"), 4).alias("norm"))
 
 
 # ------------------------------------------------------------ sweep, ledger
 
-GRID = {"num_beams": [4, 6, 8], "max_length": [48, 64, 80],
-        "length_penalty": [0.8, 1.0, 1.2], "repetition_penalty": [1.0, 1.1]}
-
-
-def _sweep(spark, d):
-    h = fx.hyps(spark, d).select("id", "source", "ref")
-    return U.sweep(h, GRID, U.dropping_generator(3))
-
-
 @query("u06_sweep")
 def u06(spark, d):
-    return _sweep(spark, d)
+    h = fx.hyps(spark, d).select("id", "source", "ref")
+    return U.sweep(h, fx.SWEEP_GRID, SI.dropping_generator(3))
 
 
 @query("a18_best_run")
 def a18(spark, d):
-    return LG.best_run(_sweep(spark, d), "bleu", "config_id")
+    return LG.best_run(fx.ledger(spark, d), "value", "iter")
 
 
 @query("l04_top_k")
 def l04(spark, d):
-    return LG.top_k(_sweep(spark, d), "bleu", 10, "config_id")
+    return LG.top_k(fx.ledger(spark, d), "value", 10, "iter")
 
 
 @query("l03_inspection_sample")
@@ -494,7 +490,7 @@ def l03(spark, d):
 
 @query("w06_running_best")
 def w06(spark, d):
-    return LG.running_best(fx.ledger(spark, d), "track", "iter", "value").select(
+    return LG.running_best(fx.ledger(spark, d), "track", "iter", "value", block=1024).select(
         "iter", "track", "value", "prev_best", "best_so_far", "keep")
 
 

@@ -1,16 +1,16 @@
 """Readers (S01-S08).
 
-All readers declare their schema (no inference pass over 100 TB) and return
-lazy DataFrames.  Line-numbered reads (S06, S08) use ``zipWithIndex`` /
-``monotonically_increasing_id`` because a text file's line order is the
-only key those formats have.
+CSV and JSON Lines readers declare their schema (names come from the first
+line, no inference pass); a JSON array is inferred, one task a file.
+Line-numbered reads (S06, S08) order lines by the place of their split in the
+file, the only key those formats have.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,47 +19,67 @@ PANDAS_DEFAULT_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN
                      "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
                      "nan", "null"]
 
-CORRUPT = "_corrupt_record"
+EXTRA = "_extra_field"
 
 
-def _csv_reader(spark: SparkSession, mode: str, schema: T.StructType):
-    return (spark.read.schema(schema).option("header", True).option("mode", mode)
-            .option("multiLine", True).option("quote", '"').option("escape", '"')
-            .option("encoding", "UTF-8"))
+def _csv_reader(spark: SparkSession, multi_line: bool):
+    # a cell can hold any string but this one, so that a blank cell stays ""
+    return (spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"')
+            .option("escape", '"').option("encoding", "UTF-8").option("nullValue", "\x00\x01")
+            .option("emptyValue", ""))
 
 
 def read_parallel_csv(spark: SparkSession, path: str, src: str = "src", tgt: str = "tgt",
-                      tolerant: bool = True, na_values=PANDAS_DEFAULT_NA) -> DataFrame:
-    """Two-column CSV (header, UTF-8, quoted newlines, doubled quotes).
-
-    tolerant=True: a row with too many fields is skipped; a row with too few
-    is kept with NULLs (pandas ``on_bad_lines='skip'``).  Spark's PERMISSIVE
-    mode flags both kinds in the corrupt-record column; a flagged row whose
-    last field parsed is a long row and is dropped.
+                      tolerant: bool = True, na_values=PANDAS_DEFAULT_NA,
+                      multi_line: bool = True) -> DataFrame:
+    """CSV with header (UTF-8, doubled quotes), columns by name.
+
+    The header's names are read first (one line); ``src`` and ``tgt`` must be
+    among them, in any place beside any other columns.  A column after the
+    header's own catches what stands beyond them.
+    tolerant=True: a row with too many fields is skipped; a row with too few is
+    kept with NULLs (pandas ``on_bad_lines='skip'``).
     tolerant=False: FAILFAST (stricter than pandas: short rows fail too).
-    ``na_values`` cells become NULL, as in pandas."""
-    fields = [T.StructField(src, T.StringType(), True), T.StructField(tgt, T.StringType(), True)]
+    ``na_values`` cells become NULL, as in pandas.  ``multi_line`` allows line
+    breaks inside quotes and makes a file one task; without it large files are
+    split."""
+    names = _csv_reader(spark, False).csv(path).columns
+    missing = [c for c in (src, tgt) if c not in names]
+    if missing:
+        raise ValueError(f"missing columns {missing}; found {names}")
+    fields = [T.StructField(c, T.StringType(), True) for c in names]
+    reader = _csv_reader(spark, multi_line)
     if tolerant:
-        schema = T.StructType(fields + [T.StructField(CORRUPT, T.StringType(), True)])
-        df = _csv_reader(spark, "PERMISSIVE", schema).option(
-            "columnNameOfCorruptRecord", CORRUPT).load(path, format="csv")
-        long_row = F.col(CORRUPT).isNotNull() & F.col(tgt).isNotNull()
-        df = df.filter(~long_row).drop(CORRUPT)
+        df = reader.schema(T.StructType([*fields, T.StructField(EXTRA, T.StringType(), True)])).option(
+            "mode", "PERMISSIVE").csv(path).filter(F.col(EXTRA).isNull())
     else:
-        df = _csv_reader(spark, "FAILFAST", T.StructType(fields)).load(path, format="csv")
+        df = reader.schema(T.StructType(fields)).option("mode", "FAILFAST").csv(path)
+    df = df.select(src, tgt)
     if na_values:
-        na = [v for v in na_values]
+        na = list(na_values)
         df = df.select(*[F.when(F.col(c).isin(na), F.lit(None).cast("string")).otherwise(F.col(c))
                          .alias(c) for c in (src, tgt)])
     return df
 
 
 def with_row_ids(df: DataFrame, id_col: str = "pair_id") -> DataFrame:
-    """Stable ids in file order (the reference relies on list order for
-    'first wins' dedup): zipWithIndex keeps the scan's row order."""
-    schema = T.StructType(df.schema.fields + [T.StructField(id_col, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1],))
-    return df.sparkSession.createDataFrame(rdd, schema).select(id_col, *df.columns)
+    """Ids that grow in scan order (the reference relies on list order for
+    'first wins' dedup); unique, and dense within a partition."""
+    return df.select(F.monotonically_increasing_id().alias(id_col), *df.columns)
+
+
+def numbered_lines(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
+    """(line_no, name): lines of one text file, numbered from 0 in file order.
+    A split knows its place in the file; the lines before it are counted."""
+    from bitextkit.operators.ranking import bounded_broadcast
+    lines = spark.read.text(path).select(
+        F.col("value").alias(name), F.col("_metadata.file_path").alias("_f"),
+        F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    splits = lines.groupBy("_f", "_b").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_f", "_b")) - F.col("_n")     # one row a split
+    splits = splits.select("_f", "_b", "_first", before.alias("_before"))
+    return lines.join(bounded_broadcast(splits), ["_f", "_b"]).select(
+        (F.col("_before") + F.col("_i") - F.col("_first")).alias("line_no"), name)
 
 
 def csv_quality(spark: SparkSession, path: str, src: str = "src", tgt: str = "tgt") -> DataFrame:
@@ -82,8 +102,13 @@ def load_parallel(spark: SparkSession, path: str, src_col: str = "source",
     if ext == ".csv":
         df = spark.read.option("header", True).option("multiLine", True).option(
             "escape", '"').csv(path)
-    elif ext in (".json", ".jsonl"):
-        df = spark.read.option("multiLine", ext == ".json").json(path)
+    elif ext == ".jsonl":
+        first = spark.read.text(path).filter(F.trim("value") != "").select(
+            F.json_object_keys("value").alias("k")).first()
+        names = list(first["k"] or []) if first else [src_col, tgt_col]
+        df = spark.read.schema(T.StructType([T.StructField(c, T.StringType(), True) for c in names])).json(path)
+    elif ext == ".json":
+        df = spark.read.option("multiLine", True).json(path)
     elif ext == ".parquet":
         df = spark.read.parquet(path)
     else:
@@ -117,14 +142,9 @@ def read_line_pairs(spark: SparkSession, preds_path: str, refs_path: str,
     file, each stripped.  ``check`` fails on a line-count mismatch (the
     reference's zip would silently truncate)."""
     from bitextkit.functions.text import strip_ws
-
-    def numbered(path, name):
-        rdd = spark.sparkContext.textFile(path).zipWithIndex().map(lambda r: (r[1], r[0]))
-        df = spark.createDataFrame(rdd, T.StructType([T.StructField("line_no", T.LongType()),
-                                                      T.StructField(name, T.StringType())]))
-        return df.withColumn(name, strip_ws(name))
-    j = numbered(preds_path, "prediction").join(numbered(refs_path, "reference"), "line_no",
-                                                "full_outer")
+    sides = [numbered_lines(spark, path, name).withColumn(name, strip_ws(name))
+             for path, name in ((preds_path, "prediction"), (refs_path, "reference"))]
+    j = sides[0].join(sides[1], "line_no", "full_outer")
     if check:
         bad = j.filter(F.col("prediction").isNull() | F.col("reference").isNull()).limit(1).count()
         if bad:

@@ -5,7 +5,7 @@ from bitextkit.plans import fixtures as fx
 from conftest import SF001
 
 # FIXTURES.md table: sf 0.001 counts per step and kept rows
-EXPECTED_SF001 = [26, 9, 11, 10, 9, 18, 9]
+EXPECTED_SF001 = [393, 149, 193, 158, 183, 283, 138]
 
 
 def test_funnel_counts_match_fixture_table(spark):
@@ -13,8 +13,8 @@ def test_funnel_counts_match_fixture_table(spark):
     clean, funnel = C.clean_parallel(p)
     rows = funnel.orderBy("step_no").collect()
     assert [r.dropped for r in rows] == EXPECTED_SF001
-    assert rows[-1].remaining == 115 == clean.count()
-    assert p.count() == sum(EXPECTED_SF001) + 115
+    assert rows[-1].remaining == 2013 == clean.count()
+    assert p.count() == sum(EXPECTED_SF001) + 2013
 
 
 def test_fast_path_same_rows(spark):
@@ -49,5 +49,5 @@ def test_sequential_semantics_small(spark):
 def test_quality_profile_independent(spark):
     g = fx.groups(spark, SF001)
     r = C.quality_profile(g).first()
-    assert r.rows == 207
+    assert r.rows == 3510
     assert 0 < r.pct_ratio_outlier < 100

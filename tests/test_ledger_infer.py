@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from bitextkit.operators import infer as U
 from bitextkit.operators import ledger as LG
+from bitextkit.plans import standins as SI
 
 LEDGER_BLEU = [2.3526, 2.3430, 2.8155, 2.5885, 2.8368, 2.9293, 2.8361, 2.7836, 2.9295, 3.8672, 3.7504,
                3.8987, 3.8926, 3.8995, 3.8874, 3.8984, 4.0740, 4.0024, 5.2567]
@@ -32,7 +33,7 @@ def test_grid_and_topk(spark):
 def test_generate_rejected_keeps_key(spark):
     df = spark.createDataFrame([(i, f"translate a to b: w1 w2 w3 w4 w{i}") for i in range(50)],
                                "pair_id long, source string").repartition(3)
-    out = U.generate_rejected(df, U.dropping_generator(3), batch_size=7)
+    out = U.generate_rejected(df, SI.dropping_generator(3), batch_size=7)
     got = {r.pair_id: r.unpreferred for r in out.collect()}
     assert got[5] == "w1 w2 w4 w5"
     assert len(got) == 50
@@ -40,11 +41,11 @@ def test_generate_rejected_keeps_key(spark):
 
 def test_model_reward_and_embed(spark):
     df = spark.createDataFrame([(1, "s", "abc", "abcd")], "id long, source string, hyp string, ref string")
-    r = U.model_reward(df, U.length_ratio_scorer()).first()
+    r = U.model_reward(df, SI.length_ratio_scorer()).first()
     assert r.reward == 5 / 4
-    r2 = U.model_reward(df, U.length_ratio_scorer(), input_format="concat").first()
+    r2 = U.model_reward(df, SI.length_ratio_scorer(), input_format="concat").first()
     assert r2.reward == len("s abcd abc") / 1000.0
-    e = U.embed(df, "hyp", U.hashing_encoder(8)).first()
+    e = U.embed(df, "hyp", SI.hashing_encoder(8)).first()
     assert len(e.embedding) == 8
 
 

@@ -82,3 +82,16 @@ def test_meteor_stem_and_synonym_stages(spark):
                               synonyms=syn).first()
     assert both.m == 3 and both.chunks == 1
     assert both.meteor == pytest.approx(1 - 0.5 / 27)
+
+
+def test_chrf_beyond_the_bmp_and_repeated_ids(spark):
+    rows = [(1, "\U0001f600\U0001f601", "\U0001f600\U0001f602"), (1, "a b c d", "a b c d"), (2, "", "x y")]
+    st = {(r.chrf_h1, r.chrf_r1): r for r in M.sentence_stats(
+        spark.createDataFrame(rows, "id long, hyp string, ref string"), keep=()).collect()}
+    assert len(st) == 3 and st[2, 2].chrf_m1 == 1 and st[2, 2].chrf_h2 == 1 and st[4, 4].chrf_m1 == 4
+
+
+def test_greedy_f1_of_orthogonal_tokens_is_zero(spark):
+    rows = [(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0])]
+    t = spark.createDataFrame(rows, "sent_id long, side int, vec array<float>")
+    assert ME.greedy_match_f1(t).first().f1 == 0.0

@@ -2,6 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from bitextkit.functions.hashing import hash_key
 from bitextkit.operators import pairs as P
 from bitextkit.plans import fixtures as fx
 from conftest import SF01
@@ -30,17 +31,14 @@ def test_split_invariant_under_repartition(spark):
     assert a == b
 
 
-def test_sample_k_both_paths_agree(spark):
+def test_sample_k_is_the_least_keys(spark):
     p = fx.pairs(spark, SF01)
-    small = {(r.pair_id, r.direction) for r in P.sample_k(p, 100, 42, ("pair_id", "direction")).collect()}
-    P_TOPK = P.TOPK_IN_MEMORY
-    try:
-        P.TOPK_IN_MEMORY = 0
-        big = {(r.pair_id, r.direction) for r in
-               P.sample_k(p.repartition(5), 100, 42, ("pair_id", "direction")).collect()}
-    finally:
-        P.TOPK_IN_MEMORY = P_TOPK
-    assert small == big and len(small) == 100
+    got = {(r.pair_id, r.direction) for r in P.sample_k(p, 100, 42, ("pair_id", "direction")).collect()}
+    again = {(r.pair_id, r.direction) for r in
+             P.sample_k(p.repartition(5), 100, 42, ("pair_id", "direction")).collect()}
+    rows = p.select("pair_id", "direction", hash_key(42, "pair_id", "direction").alias("k")).collect()
+    least = sorted(rows, key=lambda r: (r.k, r.pair_id, r.direction))[:100]
+    assert got == again == {(r.pair_id, r.direction) for r in least}
     assert P.sample_k(p, 10 ** 9).count() == p.count()
     assert P.sample_k(p, 0).count() == p.count()
 
@@ -61,3 +59,14 @@ def test_expand_directions_one_scan(spark):
         ("translate kangri to hindi: a", "b", "src2tgt"), ("translate hindi to kangri: b", "a", "tgt2src")]
     one = P.expand_directions(df, "kangri", "hindi", both=False)
     assert one.count() == 1
+
+
+def test_null_stratum_is_split_and_batched(spark):
+    rows = [(i, [None, "a", "b"][i % 3]) for i in range(90)]
+    d = spark.createDataFrame(rows, "pair_id long, direction string")
+    got = P.split_by(d, id_cols=("pair_id",)).groupBy("direction", "split").count().collect()
+    assert {(r.direction, r.split): r["count"] for r in got} == {
+        (k, s): n for k in (None, "a", "b") for s, n in (("train", 24), ("val", 3), ("test", 3))}
+    b = P.assign_batches(d, 8, 42, ("pair_id",), by=("direction",)).collect()
+    assert len(b) == 90 and {r.batch_id for r in b if r.direction is None} == {0, 1, 2, 3}
+    assert P.sample_k(d, 5, 42, ("pair_id",), by=("direction",)).count() == 15

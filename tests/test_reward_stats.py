@@ -67,3 +67,21 @@ def test_randomization_partition_independent(spark):
     a = ST.randomization_test(df, trials=100).first()
     b = ST.randomization_test(df.repartition(11), trials=100).first()
     assert a == b
+
+
+def test_randomization_of_fractional_scores_and_any_ids(spark):
+    rows = [(i - 20, f"s{i}", 0.9, 0.1) for i in range(40)]
+    d = spark.createDataFrame(rows, "id long, name string, score_a double, score_b double")
+    with pytest.raises(ValueError):
+        ST.randomization_test(d, trials=10)
+    for key in ("id", "name"):
+        r = ST.randomization_test(d, id_col=key, trials=500, scale=10_000).first()
+        assert r.observed_abs_sum == 320_000 and r.p_value == 0.0 and r.trials == 500
+    far = d.withColumn("id", F.col("id") + F.lit(2 ** 60))
+    assert ST.randomization_test(far, trials=200, scale=10_000).first().p_value == 0.0
+
+
+def test_reinforce_loss_does_not_cancel(spark):
+    rows = [(0, 1e9 + x, y) for x, y in ((1.0, -3.0), (2.0, -9.0), (3.0, -24.0))]
+    d = spark.createDataFrame(rows + [(0, None, 5.0)], "batch_id long, reward double, logp double")
+    assert abs(R.reinforce_loss(d).first().hgr_loss - 7.0) < 1e-6

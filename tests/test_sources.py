@@ -34,6 +34,29 @@ def test_tolerant_csv(spark, csv_file):
     assert (q.raw_lines, q.parsed, q.malformed) == (7, 5, 2)
 
 
+def test_csv_columns_by_name(spark, tmp_path):
+    p = tmp_path / "n.csv"
+    p.write_text("id,tgt,src\n1,T,S\n2,U\n4,V,W,x\n5,,\n")
+    rows = [(r.src, r.tgt) for r in SRC.read_parallel_csv(spark, str(p)).collect()]
+    assert rows == [("S", "T"), (None, "U"), (None, None)]
+    p.write_text("source,target\na,b\n")
+    with pytest.raises(ValueError):
+        SRC.read_parallel_csv(spark, str(p))
+    assert SRC.read_parallel_csv(spark, str(p), "source", "target", tolerant=False).count() == 1
+
+
+def test_numbered_lines_over_splits(spark, tmp_path):
+    p = tmp_path / "many.txt"
+    p.write_text("".join(f"line {i}\n" for i in range(20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = SRC.readers.numbered_lines(spark, str(p)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 20_000 and all(r.value == f"line {r.line_no}" for r in rows)
+
+
 def test_strict_csv_fails(spark, csv_file):
     with pytest.raises(Exception):
         SRC.read_parallel_csv(spark, csv_file, tolerant=False).collect()
