@@ -120,10 +120,9 @@ class Vocabulary:
         # log10 of what a count is divided by: inside a class, and in the whole vocabulary
         self.inside = np.where(np.arange(self.size) < len(single), 0.0, np.log10(self.mass + self.kinds + 1))
         self.whole = math.log10(self.n + self.v + 1)
-        self.local = {}
-        for r in top:
-            w = bytes(r["word"])
-            self.local[w] = (self.output(w), r["c"])
+        self.local = {bytes(r["word"]): i for i, r in enumerate(top)}
+        self.local_output = np.array([self.output(w) for w in self.local], np.int32)
+        self.local_log = np.log10(np.array([r["c"] for r in top], float) + 1)
 
     def output(self, word: bytes) -> int:
         k = self.single.get(word)
@@ -133,6 +132,17 @@ class Vocabulary:
                 k = self.rest + zlib.crc32(word[-3:]) % self.n_rest
         return k
 
+    def outputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Outputs of the words, places in the local table (-1: not there), and
+        where those are that are not."""
+        get = self.local.get
+        place = np.array([get(w, -1) for w in words], np.int32)
+        rare = np.flatnonzero(place < 0)
+        out = self.local_output[place] if len(self.local) else np.zeros(len(words), np.int32)
+        for i in rare.tolist():
+            out[i] = self.output(words[i])
+        return out, place, rare
+
 
 class Model:
     """Parameters: Q output vectors, R context vectors, C position weights (the
@@ -160,60 +170,71 @@ class Model:
 
     @staticmethod
     def places(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of outputs before each token in its document, and each
-        token's document start."""
+        """Number of outputs before each row in its document, and each row's
+        document start; documents begin with ``CONTEXT`` padding rows."""
         starts = np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
-        return np.arange(len(starts)) - starts, starts
+        return np.maximum(np.arange(len(starts)) - starts - CONTEXT, 0), starts
 
     def context(self, x: np.ndarray, before: np.ndarray, starts: np.ndarray):
-        """Prediction vectors, shifted context vectors and means of a batch."""
-        rx = self.r[x]
-        near = []
-        for i in range(1, CONTEXT + 1):
-            s = np.zeros_like(rx)
-            s[i:] = rx[:-i]
-            s[before < i] = 0
-            near.append(s)
-        total = np.zeros((len(x) + 1, DIM), np.float64)
-        np.cumsum(rx, axis=0, out=total[1:], dtype=np.float64)
-        mean = ((total[:-1] - total[starts]) / np.maximum(before, 1)[:, None]).astype(np.float32)
+        """Prediction vectors, context vectors and means of a batch.  The
+        padding has a zero vector, so neighbours never cross documents."""
+        rx = np.concatenate([np.zeros((CONTEXT, DIM), np.float32),
+                             np.concatenate([self.r, np.zeros((1, DIM), np.float32)])[x]])
+        near = [rx[CONTEXT - i:len(rx) - i] for i in range(1, CONTEXT + 1)]
+        total = np.cumsum(rx[CONTEXT - 1:], axis=0)          # row t: the sum before t
+        mean = total[:-1] - total[starts]
+        mean /= np.maximum(before, 1)[:, None].astype(np.float32)
         vec = mean * self.c[-1]
         for i, s in enumerate(near):
-            vec = vec + s * self.c[i]
+            vec += s * self.c[i]
         return vec, near, mean
 
     def log10_probs(self, x: np.ndarray, lengths: list[int]) -> np.ndarray:
-        """log10 P(output) of every token, normalised over all outputs."""
+        """log10 P(output) of every row, normalised over all outputs (0 for padding)."""
         before, starts = self.places(lengths)
         vec, _, _ = self.context(x, before, starts)
+        vec = np.concatenate([vec, np.ones((len(vec), 1), np.float32)], axis=1)
+        q = np.ascontiguousarray(np.concatenate([self.q, self.b[:, None]], axis=1).T)
+        ones = np.ones(q.shape[1], np.float32)
+        longest = float(np.sqrt((q * q).sum(axis=0).max()))
+        pad = x == len(self.b)
+        y = np.where(pad, 0, x)
         out = np.empty(len(x))
         for a in range(0, len(x), 1024):
-            z = vec[a:a + 1024] @ self.q.T
-            z += self.b
-            top = z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(z)), x[a:a + 1024]]
-            z -= top
+            v = vec[a:a + 1024]
+            z = v @ q
+            own = z[np.arange(len(z)), y[a:a + 1024]]
+            top = 0.0
+            if longest * float(np.sqrt((v * v).sum(axis=1).max())) > 80:     # exp could leave float32
+                top = z.max(axis=1)
+                z -= top[:, None]
             np.exp(z, out=z)
-            out[a:a + 1024] = own - top[:, 0] - np.log(z.sum(axis=1))
+            out[a:a + 1024] = own - top - np.log(z @ ones)
+        out[pad] = 0
         return out / math.log(10)
 
     def train(self, x: np.ndarray, lengths: list[int], rng, sums: dict):
-        """One NCE step over the tokens ``x`` of whole documents (or parts)."""
+        """One NCE step over the rows ``x`` of whole documents (or parts)."""
         before, starts = self.places(lengths)
         vec, near, mean = self.context(x, before, starts)
+        pad = x == len(self.b)
+        y = np.where(pad, 0, x)
         noise = rng.choice(len(self.b), NOISE, p=self.noise_p)
         k = math.log(NOISE)
-        pos = (vec * self.q[x]).sum(axis=1) + self.b[x] - self.log_p[x] - k
+        pos = (vec * self.q[y]).sum(axis=1) + self.b[y] - self.log_p[y] - k
         neg = vec @ self.q[noise].T + self.b[noise] - self.log_p[noise] - k
         gp = -1 / (1 + np.exp(np.clip(pos, -30, 30)))
         gn = 1 / (1 + np.exp(-np.clip(neg, -30, 30)))
-        dvec = gp[:, None] * self.q[x] + gn @ self.q[noise]
+        gp[pad] = 0
+        gn[pad] = 0
+        dvec = gp[:, None] * self.q[y] + gn @ self.q[noise]
         order = np.argsort(x, kind="stable")
         xs = x[order]
         cuts = np.flatnonzero(np.diff(xs, prepend=-1))
         used = xs[cuts]
-        dq, dr = np.zeros_like(self.q), np.zeros_like(self.r)
-        db = np.zeros_like(self.b)
+        size = len(self.b)
+        dq, dr = np.zeros((size + 1, DIM), np.float32), np.zeros((size + 1, DIM), np.float32)   # the last row: padding
+        db = np.zeros(size + 1, np.float32)
         dq[used] = np.add.reduceat((gp[:, None] * vec)[order], cuts, axis=0)
         np.add.at(dq, noise, gn.T @ vec)
         db[used] = np.add.reduceat(gp[order], cuts)
@@ -223,18 +244,13 @@ class Model:
         dc = np.empty_like(self.c)
         for i, s in enumerate(near, 1):
             dc[i - 1] = (dvec * s).sum(axis=0)
-            part = dvec * self.c[i - 1]
-            part[before < i] = 0
-            back[:-i] += part[i:]
+            back[:-i] += (dvec * self.c[i - 1])[i:]
         dc[-1] = (dvec * mean).sum(axis=0)
-        part = dvec * self.c[-1] / np.maximum(before, 1)[:, None]
-        part[before == 0] = 0
-        total = np.zeros((len(x) + 1, DIM), np.float64)
-        np.cumsum(part, axis=0, out=total[1:], dtype=np.float64)
-        ends = starts + np.repeat(lengths, lengths)
-        back += (total[ends] - total[1:]).astype(np.float32)
+        part = dvec * self.c[-1] / np.maximum(before, 1)[:, None].astype(np.float32)
+        total = np.concatenate([np.zeros((1, DIM), np.float32), np.cumsum(part, axis=0)])
+        back += total[starts + np.repeat(lengths, lengths)] - total[1:]
         dr[used] = np.add.reduceat(back[order], cuts, axis=0)
-        for name, value, grad in (("q", self.q, dq), ("r", self.r, dr), ("c", self.c, dc), ("b", self.b, db)):
+        for name, value, grad in (("q", self.q, dq[:-1]), ("r", self.r, dr[:-1]), ("c", self.c, dc), ("b", self.b, db[:-1])):
             s = sums.setdefault(name, np.full_like(value, 1e-2))
             s += grad * grad
             value -= RATE * grad / np.sqrt(s)
@@ -243,19 +259,20 @@ class Model:
 def _batches(texts, vocabulary):
     """Output numbers of whole documents, some ``BATCH`` tokens at a time; a
     longer document is cut into parts of ``BATCH``."""
-    local, output = vocabulary.local, vocabulary.output
-    ids, lengths = [], []
+    padding = np.full(CONTEXT, vocabulary.size, np.int32)
+    parts, lengths, held = [], [], 0
     for t in texts:
-        doc = [local[w][0] if w in local else output(w) for w in words_of(t)]
+        doc = vocabulary.outputs(words_of(t))[0]
         for a in range(0, len(doc), BATCH):
             part = doc[a:a + BATCH]
-            if ids and len(ids) + len(part) > BATCH:
-                yield np.array(ids, np.int32), lengths
-                ids, lengths = [], []
-            ids += part
-            lengths.append(len(part))
-    if ids:
-        yield np.array(ids, np.int32), lengths
+            if held and held + len(part) > BATCH:
+                yield np.concatenate(parts), lengths
+                parts, lengths, held = [], [], 0
+            parts += [padding, part]
+            lengths.append(len(part) + CONTEXT)
+            held += lengths[-1]
+    if held:
+        yield np.concatenate(parts), lengths
 
 
 def train_model(train: DataFrame, vocabulary, rounds: int = 2) -> Model:
@@ -309,50 +326,41 @@ def lm_scores(docs: DataFrame, mod: int = MOD, held_out: int = HELD_OUT, id_col:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, m = shared.value
-        local, output, inside = v.local, v.output, v.inside
-        n_single = len(v.single)
+        n_single, inside = len(v.single), v.inside
+        padding = np.full(CONTEXT, v.size, np.int32)
         first = TaskContext.get().partitionId() << 40
         for df in batches:
             # a row for the document (its word cannot occur: it holds a space), and one for each rare word
-            key, word, n, fixed = [], [], [], []
-            sums, ids, lengths, places = np.zeros((len(df), 4)), [], [], []
+            key, word, n = [], [], []
+            sums, parts, lengths, places = np.zeros((len(df), 4)), [], [], []
 
             def flush():
-                if ids:
-                    x = np.array(ids, np.int32)
-                    p = m.log10_probs(x, lengths)
-                    np.add.at(sums[:, 3], np.repeat(places, lengths), p)
-                    ids.clear(), lengths.clear(), places.clear()
+                if parts:
+                    p = m.log10_probs(np.concatenate(parts), lengths)
+                    np.add.at(sums[:, 3], places, np.add.reduceat(p, np.cumsum([0, *lengths[:-1]])))
+                    parts.clear(), lengths.clear(), places.clear()
 
+            held = 0
             for row, t in enumerate(df["_t"]):
                 words = words_of(t)
-                doc, rare, known, add = [], [], 0, 0.0
-                for w in words:
-                    seen = local.get(w)
-                    if seen is None:
-                        doc.append(output(w))
-                        rare.append(w)
-                    else:
-                        doc.append(seen[0])
-                        known += 1
-                x = np.array(doc, np.int32)
-                logs = np.array([math.log10(c + 1) if c else 0.0 for c in (local[w][1] if w in local else 0 for w in words)])
-                in_class = x >= n_single
-                sums[row, 0] = len(words)
-                sums[row, 1] = known
-                sums[row, 2] = logs.sum() - len(words) * whole
-                sums[row, 3] = logs[in_class].sum() - inside[x].sum()
-                for w, times in Counter(rare).items():
+                doc, place, rare = v.outputs(words)
+                known = place >= 0
+                logs = v.local_log[place[known]].sum()
+                alone = known & (doc < n_single)        # the model needs no share inside a class
+                sums[row] = (len(words), known.sum(), logs - len(words) * whole,
+                             logs - v.local_log[place[alone]].sum() - inside[doc].sum())
+                for w, times in Counter([words[i] for i in rare.tolist()]).items():
                     key.append(first + row)
                     word.append(w)
                     n.append(times)
                 for a in range(0, len(doc), PART):
-                    part = doc[a:a + PART]
-                    ids += part
-                    lengths.append(len(part))
+                    parts += [padding, doc[a:a + PART]]
+                    lengths.append(CONTEXT + len(parts[-1]))
                     places.append(row)
-                    if len(ids) >= 4 * BATCH:
+                    held += lengths[-1]
+                    if held >= 4 * BATCH:
                         flush()
+                        held = 0
             flush()
             rows = np.arange(len(df))
             yield pd.DataFrame({

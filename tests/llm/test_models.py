@@ -43,10 +43,14 @@ def test_lm_beats_its_base_on_held_out_documents(scored):
     assert sum(r.score > r.base_score for r in held) > 0.8 * len(held)
 
 
+def padded(x, size=40):
+    return np.concatenate([np.full(lm_scores.CONTEXT, size), x]).astype(np.int32)
+
+
 def test_lm_probabilities_sum_to_one():
     m = lm_scores.Model(np.arange(1.0, 41.0))
     context = np.array([3, 7, 7], np.int32)
-    p = [10 ** m.log10_probs(np.append(context, k).astype(np.int32), [4])[-1] for k in range(40)]
+    p = [10 ** m.log10_probs(padded(np.append(context, k)), [7])[-1] for k in range(40)]
     assert abs(sum(p) - 1) < 1e-4
 
 
@@ -59,25 +63,57 @@ def test_lm_training_raises_the_likelihood():
 
     def doc():
         return (rng.integers(0, 10, 200) + 10 * rng.integers(0, 2)).astype(np.int32)    # two topics
-    before = m.log10_probs(doc(), [200]).sum()
+    n = 200 + lm_scores.CONTEXT
+    before = m.log10_probs(padded(doc(), 20), [n]).sum()
     for _ in range(150):
-        x = np.concatenate([doc() for _ in range(10)])
-        m.train(x, [200] * 10, rng, sums)
-    after = np.mean([m.log10_probs(doc(), [200]).sum() for _ in range(20)])
+        x = np.concatenate([padded(doc(), 20) for _ in range(10)])
+        m.train(x, [n] * 10, rng, sums)
+    after = np.mean([m.log10_probs(padded(doc(), 20), [n]).sum() for _ in range(20)])
     assert after > before + 200 * 0.15           # a topic halves the choice: 0.30 a token at most
 
 
 def test_lm_gradient_of_context_matches_differences():
     rng = np.random.default_rng(1)
     m = lm_scores.Model(np.full(6, 5.0))
-    x, lengths = np.array([0, 1, 2, 3, 1, 5, 4], np.int32), [4, 3]
+    x, lengths = np.concatenate([padded([0, 1, 2, 3], 6), padded([1, 5, 4], 6)]), [7, 6]
     before, starts = m.places(lengths)
     m.r = rng.normal(0, 1, m.r.shape).astype(np.float32)
     vec, _, _ = m.context(x, before, starts)
-    one = m.context(x[4:], *m.places([3]))[0]
-    assert np.allclose(vec[4:], one, atol=1e-5)                          # documents do not mix
+    one = m.context(x[7:], *m.places([6]))[0]
+    assert np.allclose(vec[7:], one, atol=1e-5)                          # documents do not mix
     want = m.c[0] * m.r[2] + m.c[1] * m.r[1] + m.c[2] * m.r[0] + m.c[3] * m.r[[0, 1, 2]].mean(axis=0)
-    assert np.allclose(vec[3], want, atol=1e-5) and np.allclose(vec[0], 0)
+    assert np.allclose(vec[6], want, atol=1e-5) and np.allclose(vec[3], 0)
+
+
+def test_lm_gradient_matches_differences():
+    """The gradient step of the context vectors against finite differences of
+    the same noise-contrastive loss."""
+    rng = np.random.default_rng(4)
+    m = lm_scores.Model(np.full(6, 5.0))
+    m.noise_p = np.full(6, 1 / 6)
+    m.q, m.r = (rng.normal(0, 1, m.q.shape).astype(np.float32) for _ in range(2))
+    x, lengths = np.concatenate([padded([0, 1, 2, 3], 6), padded([1, 5, 4, 4, 2], 6)]), [7, 8]
+    noise = np.random.default_rng(9).choice(6, lm_scores.NOISE, p=m.noise_p)
+
+    def loss():
+        vec, _, _ = m.context(x, *m.places(lengths))
+        vec, y = vec[x < 6].astype(float), x[x < 6]
+        k = math.log(lm_scores.NOISE)
+        pos = (vec * m.q[y]).sum(axis=1) + m.b[y] - m.log_p[y] - k
+        neg = vec @ m.q[noise].T + m.b[noise] - m.log_p[noise] - k
+        return np.logaddexp(0, -pos).sum() + np.logaddexp(0, neg).sum()
+
+    r0, step = m.r.copy(), 1e-2
+    want = np.zeros_like(r0)
+    for i in np.ndindex(*r0.shape):
+        m.r[i] = r0[i] + step
+        up = loss()
+        m.r[i] = r0[i] - step
+        want[i] = (up - loss()) / (2 * step)
+        m.r[i] = r0[i]
+    sums = {}
+    m.train(x, lengths, np.random.default_rng(9), sums)
+    assert np.allclose(np.sqrt(sums["r"] - 1e-2), np.abs(want), rtol=0.02, atol=0.02)
 
 
 def test_lm_edges(plain_edge, empty):
