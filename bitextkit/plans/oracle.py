@@ -383,10 +383,28 @@ ORACLE["a03_corpus_meteor"] = build(
     "SELECT count(*)::BIGINT AS n, round(avg(meteor) * 100.0, 4) AS meteor FROM ma_sent", "ma_sent")
 ORACLE["j04_meteor_alignment"] = build(
     "SELECT id, hyp_len, ref_len, m, chunks, round(meteor, 6) AS meteor FROM ma_sent", "ma_sent")
+def _unit_tokens(col: str) -> str:
+    vec = ("list_transform(range(0, 8), lambda k: len(list_filter(string_split(tok, ''), "
+           "lambda c: unicode(c) % 8 = k))::DOUBLE)")
+    return (f"SELECT id, pos, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM ("
+            f"SELECT id, pos, {vec} AS v FROM (SELECT id, unnest(t) AS tok, generate_subscripts(t, 1) AS pos "
+            f"FROM (SELECT id, {S.ws_tokens(f"coalesce({col}, '')")} AS t FROM hyps)))")
+
+
+cte("_be", f"""SELECT h.id, h.pos AS hp, r.pos AS rp, list_dot_product(h.v, r.v) AS s
+FROM ({_unit_tokens("hyp_a")}) h JOIN ({_unit_tokens("ref")}) r ON h.id = r.id""", ["hyps"])
+cte("_bf", """SELECT id, p, q FROM (SELECT id, avg(m) AS p FROM (
+  SELECT id, hp, max(s) AS m FROM _be GROUP BY id, hp) GROUP BY id) JOIN (SELECT id, avg(m) AS q FROM (
+  SELECT id, rp, max(s) AS m FROM _be GROUP BY id, rp) GROUP BY id) USING (id)""", ["_be"])
+_bert = """SELECT 'bertscore' AS metric, round(avg(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END) * 100.0, 4)
+  AS score FROM hyps LEFT JOIN _bf USING (id)"""
 ORACLE["a05_metric_bundle"] = build(f"""SELECT 'bleu' AS metric, round({_BLEU}, 4) AS score
   FROM (SELECT {_SUMS} FROM sa_stats)
 UNION ALL SELECT 'chrf', round({_CHRF}, 4) FROM (SELECT {_SUMS} FROM sa_stats)
-UNION ALL SELECT 'meteor', round(avg(meteor) * 100.0, 4) FROM ma_sent""", "sa_stats", "ma_sent")
+UNION ALL SELECT 'meteor', round(avg(meteor) * 100.0, 4) FROM ma_sent
+UNION ALL {_bert}""", "sa_stats", "ma_sent", "_bf")
+ORACLE["a05_metric_subset"] = build(f"""SELECT 'chrf' AS metric, round({_CHRF}, 4) AS score
+  FROM (SELECT {_SUMS} FROM sa_stats) UNION ALL {_bert}""", "sa_stats", "_bf")
 ORACLE["j01_pair_predictions"] = build("""SELECT id, prediction, ref, direction,
   CASE WHEN p.id IS NOT NULL AND r.id IS NOT NULL THEN 'matched'
        WHEN p.id IS NULL THEN 'missing_prediction' ELSE 'missing_reference' END AS status

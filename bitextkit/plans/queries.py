@@ -246,6 +246,7 @@ def l02(spark, d):
 # ------------------------------------------------------------ MT metrics
 
 from bitextkit.operators import infer as U  # noqa: E402
+from bitextkit.operators.evaluate import METRICS, evaluate  # noqa: E402
 from bitextkit.operators import ledger as LG  # noqa: E402
 from bitextkit.operators import meteor as ME  # noqa: E402
 from bitextkit.operators import mt_metrics as M  # noqa: E402
@@ -301,16 +302,19 @@ def a04s(spark, d):
     return ME.greedy_match_f1(fx.tok_emb(spark, d))
 
 
+def _bundle(spark, d, metrics):
+    x = evaluate(fx.hyps(spark, d), metrics, "hyp_a", "ref", encoder_factory=SI.code_point_encoder())
+    return x.select("metric", F.round("score", 4).alias("score"))
+
+
 @query("a05_metric_bundle")
 def a05(spark, d):
-    h = fx.hyps(spark, d)
-    sc = M.corpus_scores(M.sentence_stats(h, "id", "hyp_a", "ref", keep=()))
-    me = ME.corpus_meteor(h, "hyp_a", "ref")
-    a = sc.select(F.inline(F.array(
-        F.struct(F.lit("bleu").alias("metric"), F.col("bleu").alias("score")),
-        F.struct(F.lit("chrf").alias("metric"), F.col("chrf").alias("score")))))
-    b = me.select(F.lit("meteor").alias("metric"), F.col("meteor").alias("score"))
-    return a.unionByName(b)
+    return _bundle(spark, d, METRICS)
+
+
+@query("a05_metric_subset")
+def a05_subset(spark, d):
+    return _bundle(spark, d, ("chrf", "bertscore"))
 
 
 @query("a06_evaluate_by_direction")

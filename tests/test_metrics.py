@@ -2,6 +2,8 @@ import pytest
 
 from bitextkit.operators import meteor as ME
 from bitextkit.operators import mt_metrics as M
+from bitextkit.operators.evaluate import evaluate
+from bitextkit.plans import standins
 
 GOLDEN = [  # (hyp, ref, bleu, chrf++, meteor exact) from SURVEY 2.11
     ("The dog bit the man.", "The dog bit the man.", 100.0, 100.0, 0.996),
@@ -95,3 +97,23 @@ def test_greedy_f1_of_orthogonal_tokens_is_zero(spark):
     rows = [(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0])]
     t = spark.createDataFrame(rows, "sent_id long, side int, vec array<float>")
     assert ME.greedy_match_f1(t).first().f1 == 0.0
+
+
+def test_synonym_pairs_do_not_carry_over(spark):
+    syn = spark.createDataFrame([("fast", "quickly"), ("quickly", "rapidly")], "word string, synonym string")
+    rows = [(1, "he ran quickly", "he ran rapidly"), (2, "he ran fast", "he ran rapidly"),
+            (3, "quickly fast", "rapidly quickly")]
+    d = spark.createDataFrame(rows, "id long, hyp string, ref string")
+    got = {r.id: r.m for r in ME.sentence_meteor(d, keep=(), synonyms=syn).collect()}
+    assert got == {1: 3, 2: 2, 3: 1}
+
+
+def test_metric_subsets(spark):
+    d = spark.createDataFrame([(1, "a b", "a b"), (2, "", "x")], "id long, hyp string, ref string")
+    enc = standins.code_point_encoder()
+    got = {r.metric: r.score for r in evaluate(d, encoder_factory=enc).collect()}
+    assert set(got) == {"bleu", "chrf", "meteor", "bertscore"} and abs(got["bertscore"] - 50) < 1e-9
+    assert [r.metric for r in evaluate(d, ("meteor",)).collect()] == ["meteor"]
+    for bad in (("bertscore",), ("rouge",), ()):
+        with pytest.raises(ValueError):
+            evaluate(d, bad)
