@@ -582,3 +582,22 @@ ORACLE["f07_dialogue_funnel"] = build(f"""SELECT st.step_no::BIGINT AS step_no,
 FROM {STEPS_VALUES}
 LEFT JOIN (SELECT first_fail, count(*) AS n FROM _dff GROUP BY first_fail) c ON c.first_fail = st.step""",
                                       "_dff")
+
+# ------------------------------------------------------------ sources and sinks
+_NA = "('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', " \
+      "'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')"
+ORACLE["s01_read_tolerant_csv"] = build(
+    f"SELECT CASE WHEN src IN {_NA} THEN NULL ELSE src END AS src, CASE WHEN tgt IN {_NA} THEN NULL ELSE tgt END AS tgt "
+    f"FROM parallel_fx", "parallel_fx")
+ORACLE["s02_read_strict_csv"] = build("SELECT src, tgt FROM parallel_fx", "parallel_fx")
+ORACLE["s03_csv_quality"] = build(
+    "SELECT count(*)::BIGINT AS raw_lines, count(*)::BIGINT AS parsed, 0::BIGINT AS malformed FROM parallel_fx",
+    "parallel_fx")
+ORACLE["s04_load_jsonl"] = build("SELECT src AS source, tgt AS target FROM clean", "clean")
+ORACLE["s05_triplet_round_trip"] = build("SELECT source, preferred, unpreferred, direction FROM gen3", "gen3")
+ORACLE["s06_line_pairs"] = build(
+    f"SELECT {S.strip_ws('hyp_a')} AS prediction, {S.strip_ws('ref')} AS reference FROM hyps", "hyps")
+ORACLE["s07_read_ledger"] = build("SELECT iter, coalesce(track, 'main') AS track, value AS score FROM ledger", "ledger")
+ORACLE["s08_scrape_metric"] = build("""SELECT arg_max(round(abs(value)::DECIMAL(24, 8), 2)::DOUBLE, iter) AS final_bleu,
+  count(*)::BIGINT AS occurrences FROM ledger WHERE value IS NOT NULL""", "ledger")
+ORACLE["s13_split_round_trip"] = build("SELECT pair_id, direction, split FROM split3", "split3")

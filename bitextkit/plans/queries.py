@@ -516,3 +516,79 @@ def j08(spark, d):
 def f07_dialogue(spark, d):
     """F07 on the second, unmodified input (B2: user turn -> next assistant turn)."""
     return C.clean_parallel(fx.dialogue(spark, d))[1]
+
+
+# ------------------------------------------------------------ sources and sinks: round trips of the given tables
+# Each writes a table with a sink into the shared checkpoint folder and reads it with a source.
+
+from bitextkit import sources as IO  # noqa: E402
+from bitextkit.session import scratch_path  # noqa: E402
+
+
+def _written(spark, name, write):
+    path = scratch_path(spark, name)
+    write(path)
+    return path
+
+
+def _csv(spark, d):
+    return _written(spark, "csv", lambda p: IO.write_csv(
+        fx.parallel(spark, d).select("pair_id", "tgt", "src"), p))     # other column, other order
+
+
+@query("s01_read_tolerant_csv")
+def s01(spark, d):
+    return IO.read_parallel_csv(spark, _csv(spark, d), multi_line=False)
+
+
+@query("s02_read_strict_csv")
+def s02(spark, d):
+    return IO.read_parallel_csv(spark, _csv(spark, d), tolerant=False, na_values=())
+
+
+@query("s03_csv_quality")
+def s03(spark, d):
+    path = _written(spark, "one-csv", lambda p: IO.write_csv(
+        fx.parallel(spark, d).select("src", "tgt").coalesce(1), p))     # one file: one header line
+    return IO.csv_quality(spark, path)
+
+
+@query("s04_load_jsonl")
+def s04(spark, d):
+    pairs = fx.clean(spark, d).select(F.col("src").alias("kangri"), F.col("tgt").alias("hindi"))
+    path = _written(spark, "pairs", lambda p: pairs.write.json(p + "/pairs.jsonl")) + "/pairs.jsonl"
+    return IO.load_parallel(spark, path, "kangri", "hindi").select("source", "target")
+
+
+@query("s05_triplet_round_trip")
+def s05(spark, d):
+    t = u01(spark, d).select("source", "preferred", "unpreferred", "direction")
+    path = _written(spark, "triplets", lambda p: IO.write_triplets(t, p + "/t.jsonl")) + "/t.jsonl"
+    return IO.read_triplets(spark, path)
+
+
+@query("s06_line_pairs")
+def s06(spark, d):
+    h = fx.hyps(spark, d).repartition(4, "id").sortWithinPartitions("id")
+    a, b = (_written(spark, c, lambda p, c=c: h.select(c).write.text(p)) for c in ("hyp_a", "ref"))
+    return IO.read_line_pairs(spark, a, b).select("prediction", "reference")
+
+
+@query("s07_read_ledger")
+def s07(spark, d):
+    path = _written(spark, "ledger", lambda p: fx.ledger(spark, d).write.json(p))
+    return IO.read_ledger(spark, path).select("iter", "track", "score")
+
+
+@query("s08_scrape_metric")
+def s08(spark, d):
+    line = F.concat(F.lit("step FINAL_BLEU="), F.abs("value").cast("decimal(18,2)").cast("string"))
+    log = fx.ledger(spark, d).orderBy("iter").select(F.coalesce(line, F.lit("no value")).alias("value"))
+    return IO.scrape_metric(spark, _written(spark, "log", lambda p: log.write.text(p)))
+
+
+@query("s13_split_round_trip")
+def s13(spark, d):
+    s = P.split_by(fx.pairs(spark, d)).select("pair_id", "direction", "split")
+    return spark.read.parquet(_written(spark, "split", lambda p: IO.write_split(s, p))).select(
+        "pair_id", "direction", "split")

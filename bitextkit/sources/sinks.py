@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with header, UTF-8, doubled-quote escaping, no index column."""
+    """CSV with header, UTF-8, doubled-quote escaping, no index column; cells
+    as they are (the writer would trim them by default)."""
     (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
-       .option("encoding", "UTF-8").csv(path))
+       .option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", False)
+       .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_triplets(df: DataFrame, path: str, fmt: str = "jsonl", mode: str = "overwrite") -> None:
