@@ -92,7 +92,7 @@ class Lexicon:
         for a, b in harmless:
             for at in [x for x in words if a <= x < b]:
                 del words[at]
-        return sum(words.values()), t.count(" ") - 1
+        return sum(words.values()), t.count(" ") - 1 if len(t) > 2 else 0
 
 
 def training_documents(docs: DataFrame, labels: DataFrame, mod: int = 4, held_out: int = 2,
