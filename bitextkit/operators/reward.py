@@ -62,7 +62,7 @@ def reinforce_loss(df: DataFrame, reward: str = "reward", logp: str = "logp",
     """Per batch -mean((r - mean_batch(r)) * logp), over the rows that have
     both values."""
     return df.groupBy(by).agg(F.count(F.lit(1)).cast("long").alias("n"),
-                              (-F.covar_pop(reward, logp)).alias("hgr_loss"))
+                              (-F.covar_pop(reward, logp)).alias("reinforce_loss"))
 
 
 def dpo_loss(df: DataFrame, beta: float = DEFAULT_BETA, by: str | None = "batch_id",
@@ -75,12 +75,12 @@ def dpo_loss(df: DataFrame, beta: float = DEFAULT_BETA, by: str | None = "batch_
     return out.select(*cols)
 
 
-def combined_loss(dpo: DataFrame, hgr: DataFrame, alpha: float = DEFAULT_ALPHA,
+def combined_loss(dpo: DataFrame, reinforce: DataFrame, alpha: float = DEFAULT_ALPHA,
                   gamma: float = DEFAULT_GAMMA, by: str = "batch_id") -> DataFrame:
-    """Alpha * DPO + gamma * HGR per batch (batches present in both)."""
-    j = dpo.select(by, "dpo_loss").join(hgr.select(by, "hgr_loss"), by)
-    return j.select(by, "dpo_loss", "hgr_loss",
-                    (F.lit(alpha) * F.col("dpo_loss") + F.lit(gamma) * F.col("hgr_loss")).alias("total_loss"))
+    """Alpha * DPO + gamma * REINFORCE per batch (batches present in both)."""
+    j = dpo.select(by, "dpo_loss").join(reinforce.select(by, "reinforce_loss"), by)
+    return j.select(by, "dpo_loss", "reinforce_loss",
+                    (F.lit(alpha) * F.col("dpo_loss") + F.lit(gamma) * F.col("reinforce_loss")).alias("total_loss"))
 
 
 def epoch_summary(batch_losses: DataFrame, loss: str = "dpo_loss", epoch: str = "epoch") -> DataFrame:

@@ -456,15 +456,15 @@ cte("seq_lp", """SELECT vec_id, list_sum(list_transform(token_lp, lambda x, i: C
   THEN x ELSE 0.0::DOUBLE END)) / greatest(len(list_filter(labels, lambda l: l <> -100)), 1)::DOUBLE AS logp
 FROM token_lp""", ["token_lp"])
 ORACLE["a11_seq_logprob"] = build("SELECT vec_id, round(logp, 6) AS logp FROM seq_lp", "seq_lp")
-cte("hgr_rows", f"""SELECT v.vec_id, c * exp(-1.0::DOUBLE * c) AS reward, l.logp,
+cte("reward_rows", f"""SELECT v.vec_id, c * exp(-1.0::DOUBLE * c) AS reward, l.logp,
   (row_number() OVER (ORDER BY {_key('v.vec_id')}, v.vec_id) - 1) // 8 AS batch_id
 FROM vp_cos v JOIN seq_lp l ON l.vec_id = v.vec_id""", ["vp_cos", "seq_lp"])
-cte("hgr_loss", """SELECT batch_id::BIGINT AS batch_id, count(*)::BIGINT AS n,
-  -avg((reward - rbar) * logp) AS hgr_loss
-FROM (SELECT *, avg(reward) OVER (PARTITION BY batch_id) AS rbar FROM hgr_rows) GROUP BY batch_id""",
-    ["hgr_rows"])
+cte("reinforce_loss", """SELECT batch_id::BIGINT AS batch_id, count(*)::BIGINT AS n,
+  -avg((reward - rbar) * logp) AS reinforce_loss
+FROM (SELECT *, avg(reward) OVER (PARTITION BY batch_id) AS rbar FROM reward_rows) GROUP BY batch_id""",
+    ["reward_rows"])
 ORACLE["a12_reinforce_loss"] = build(
-    "SELECT batch_id, n, round(hgr_loss, 6) AS hgr_loss FROM hgr_loss", "hgr_loss")
+    "SELECT batch_id, n, round(reinforce_loss, 6) AS reinforce_loss FROM reinforce_loss", "reinforce_loss")
 cte("pref_lp", """SELECT a.vec_id AS id, a.logp AS pp, b.logp AS rp, c.logp AS pu, d.logp AS ru
 FROM seq_lp a JOIN seq_lp b ON b.vec_id = a.vec_id + 1 JOIN seq_lp c ON c.vec_id = a.vec_id + 2
 JOIN seq_lp d ON d.vec_id = a.vec_id + 3""", ["seq_lp"])
@@ -480,9 +480,9 @@ FROM (SELECT *, (row_number() OVER (ORDER BY {_key('id')}, id) - 1) // 8 AS batc
 GROUP BY batch_id""", ["pref_lp"])
 ORACLE["a13_dpo_loss"] = build(
     "SELECT batch_id, n, round(dpo_loss, 6) AS dpo_loss FROM dpo_loss", "dpo_loss")
-ORACLE["a14_combined_loss"] = build("""SELECT d.batch_id, round(d.dpo_loss, 6) AS dpo_loss, round(h.hgr_loss, 6) AS hgr_loss,
-  round(0.5::DOUBLE * d.dpo_loss + 0.5::DOUBLE * h.hgr_loss, 6) AS total_loss
-FROM dpo_loss d JOIN hgr_loss h ON h.batch_id = d.batch_id""", "dpo_loss", "hgr_loss")
+ORACLE["a14_combined_loss"] = build("""SELECT d.batch_id, round(d.dpo_loss, 6) AS dpo_loss, round(h.reinforce_loss, 6) AS reinforce_loss,
+  round(0.5::DOUBLE * d.dpo_loss + 0.5::DOUBLE * h.reinforce_loss, 6) AS total_loss
+FROM dpo_loss d JOIN reinforce_loss h ON h.batch_id = d.batch_id""", "dpo_loss", "reinforce_loss")
 ORACLE["a15_epoch_summary"] = build(f"""SELECT epoch, count(*)::BIGINT AS batches, round(avg(l), 6) AS mean_dpo_loss
 FROM (SELECT epoch, batch_id, avg({_nls(_Z)}) AS l FROM (
   SELECT *, (row_number() OVER (PARTITION BY epoch ORDER BY {_key('id', 'epoch')}, id) - 1) // 8 AS batch_id

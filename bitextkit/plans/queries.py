@@ -409,7 +409,7 @@ def a11(spark, d):
         "vec_id", F.round(V.seq_logprob("token_lp", "labels"), 6).alias("logp"))
 
 
-def _hgr_rows(spark, d):
+def _reward_rows(spark, d):
     vp = R.with_gamma_reward(R.with_cosine(fx.vec_pairs(spark, d)), "cosine", 1.0)
     lp = R.with_seq_logprob(fx.token_lp(spark, d)).select("vec_id", "logp")
     rows = vp.join(lp, "vec_id")
@@ -422,7 +422,7 @@ def _dpo_rows(spark, d):
 
 @query("a12_reinforce_loss")
 def a12(spark, d):
-    return R.reinforce_loss(_hgr_rows(spark, d)).withColumn("hgr_loss", F.round("hgr_loss", 6))
+    return R.reinforce_loss(_reward_rows(spark, d)).withColumn("reinforce_loss", F.round("reinforce_loss", 6))
 
 
 @query("a13_dpo_loss")
@@ -432,8 +432,8 @@ def a13(spark, d):
 
 @query("a14_combined_loss")
 def a14(spark, d):
-    both = R.combined_loss(R.dpo_loss(_dpo_rows(spark, d), 0.1), R.reinforce_loss(_hgr_rows(spark, d)))
-    return both.withColumns({c: F.round(c, 6) for c in ("dpo_loss", "hgr_loss", "total_loss")})
+    both = R.combined_loss(R.dpo_loss(_dpo_rows(spark, d), 0.1), R.reinforce_loss(_reward_rows(spark, d)))
+    return both.withColumns({c: F.round(c, 6) for c in ("dpo_loss", "reinforce_loss", "total_loss")})
 
 
 @query("a15_epoch_summary")

@@ -40,7 +40,7 @@ def get_session(master: str | None = None, app: str = "bitextkit",
     conf = dict(_DEFAULTS)
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor
-        conf["spark.driver.memory"] = "16g"
+        conf["spark.driver.memory"] = "8g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

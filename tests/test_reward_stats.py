@@ -41,7 +41,7 @@ def test_reinforce_identity(spark):
     df = spark.createDataFrame([(0, 1.0, -1.0), (0, 3.0, -2.0)], "batch_id long, reward double, logp double")
     r = R.reinforce_loss(df).first()
     # r - mean = (-1, 1); -mean((-1)(-1) + (1)(-2)) / 2 = -(1 - 2)/2 = 0.5
-    assert r.hgr_loss == pytest.approx(0.5)
+    assert r.reinforce_loss == pytest.approx(0.5)
 
 
 def test_cohens_d_golden(spark):
@@ -84,4 +84,4 @@ def test_randomization_of_fractional_scores_and_any_ids(spark):
 def test_reinforce_loss_does_not_cancel(spark):
     rows = [(0, 1e9 + x, y) for x, y in ((1.0, -3.0), (2.0, -9.0), (3.0, -24.0))]
     d = spark.createDataFrame(rows + [(0, None, 5.0)], "batch_id long, reward double, logp double")
-    assert abs(R.reinforce_loss(d).first().hgr_loss - 7.0) < 1e-6
+    assert abs(R.reinforce_loss(d).first().reinforce_loss - 7.0) < 1e-6
