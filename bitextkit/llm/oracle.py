@@ -1,5 +1,26 @@
-"""DuckDB SQL of the operators that SQL can express."""
+"""DuckDB SQL of the operators that SQL can express.
+
+Operator 6: exact sets of word 5-grams (as strings), all pairs that share one,
+exact Jaccard, and the transitive closure of the links.  The other operators'
+results rest on trained models, tokenizers, robust estimates, 64-bit hashes or
+look-around patterns; tests/llm holds them against brute force."""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from bitextkit.llm.common import LOWER_AZ, UPPER_AZ
+
+OP6 = f"""WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER_AZ}', '{LOWER_AZ}'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(l.m, s.doc_id)) AS component_id,
+  s.doc_id = least(s.doc_id, coalesce(l.m, s.doc_id)) AS kept
+FROM sets s LEFT JOIN least l ON l.a = s.doc_id"""
+
+ORACLE: dict[str, str] = {"op6_minhash_dedup": OP6}
