@@ -13,9 +13,10 @@
    copies costs one candidate a member, not all pairs.
 4. Candidates pass the size bound, then the union-sketch estimate, then the
    exact Jaccard of the full sets.
-5. Links give components.  Only where a list still holds several components,
-   the pairs between different components are tried as well (an exact finish:
-   a pair inside a component cannot change the result).
+5. Links give components.  Where a list still holds several components, the
+   pairs between different components that can be similar at all are found by
+   the prefixes of the full sets (:func:`cross_pairs`) and tried as well: an
+   exact finish, since a pair inside a component cannot change the result.
 
 A link can only be missed when a sketch misjudges it: at the threshold itself
 the shared values would have to fall ``SIGMAS`` standard deviations below their
@@ -100,12 +101,49 @@ def linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k:
     p = p.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     p = p.withColumn("_u", F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, k))
     p = p.withColumn("_x", F.size(F.array_intersect("_u", F.array_intersect("sketch_a", "sketch_b"))))
-    p = cut(p.filter(F.col("_x") >= F.floor(F.size("_u") * safe_share(percent, k))).select("a", "b", "n_a", "n_b"), "estimated")
+    p = p.filter(F.col("_x") >= F.floor(F.size("_u") * safe_share(percent, k))).select("a", "b", "n_a", "n_b")
     p = p.join(side(sets, ["set"], "a"), "a").join(side(sets, ["set"], "b"), "b")
     p = p.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("x"))
     return p.filter(100 * F.col("x") >= percent * (F.col("n_a") + F.col("n_b") - F.col("x"))).select("a", "b")
 
 
+def cross_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: every pair of documents of different components that can
+    be similar, by the prefixes of their full sets.  ``sets``: doc_id, set, c.
+
+    With the elements ordered by how many of these documents hold them, rarest
+    first, the overlap that similarity asks for leaves no room beyond a short
+    prefix: of the smaller set 2t / (1 + t), of the larger one t of the
+    elements must be shared, and the first shared one lies in both prefixes.
+    Elements of one document alone come first, so a document whose edits fill
+    its prefix meets nobody.  Lists are paired by component first: members of
+    one component never meet."""
+    e = sets.select("doc_id", "c", F.size("set").alias("n"), F.explode_outer("set").alias("g"))
+    often = e.groupBy("g").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    held = e.join(often, "g").groupBy("doc_id", "c", "n").agg(
+        F.sort_array(F.collect_list(F.struct("f", "g"))).alias("xs"))          # at most the set
+    n, alone = F.col("n"), F.col("n") - F.size("xs")
+    long = n - F.ceil(n * percent / F.lit(100)).cast("int") + 1
+    short = n - F.ceil(n * (2 * percent) / F.lit(100 + percent)).cast("int") + 1
+    held = held.withColumns({"alone": alone, "short": short}).withColumn(
+        "xs", F.slice("xs", F.lit(1), F.greatest(long - F.col("alone"), F.lit(0))))
+    p = cut(held.select("doc_id", "c", "n", "alone", "short", F.posexplode_outer("xs").alias("i", "x"))
+            .filter(F.col("x").isNotNull()).select(
+                F.col("x.g").alias("g"), "doc_id", "c", "n", (F.col("alone") + F.col("i")).alias("i"),
+                (F.col("alone") + F.col("i") < F.col("short")).alias("short")), "prefixes")
+    keys = ["c", "n", "i"]
+    small = p.filter("short").select("g", *[F.col(k).alias(f"{k}1") for k in keys], F.col("doc_id").alias("x"))
+    large = p.select("g", *[F.col(k).alias(f"{k}2") for k in keys], F.col("doc_id").alias("y"))
+    # members of a component with the same size and place are one row here; what
+    # can still be shared behind the places must reach the overlap asked for
+    meet = small.drop("x").distinct().join(large.drop("y").distinct(), "g").filter(
+        f"c1 <> c2 and n1 <= n2 and 100 * n1 >= {percent} * n2 "
+        f"and (100 + {percent}) * least(n1 - i1, n2 - i2) >= {percent} * (n1 + n2)")
+    pairs = meet.join(small, ["g", "c1", "n1", "i1"]).join(
+        large, ["g", "c2", "n2", "i2"]).filter("n1 < n2 or x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, k: int = K,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; a link is
@@ -115,9 +153,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, k: i
         "doc_id", F.size("set").cast("long").alias("n"), F.xxhash64("set").alias("s1"),
         F.hash("set").alias("s2"), F.slice("set", 1, k).alias("sketch"))
     d = cut(d, "sketches")
-    classes = d.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("s1", "s2", "n").agg(
-        F.min("doc_id").alias("rep"))
-    members = cut(d.drop("sketch").join(classes, ["s1", "s2", "n"], "left").select("doc_id", "n", "rep"), "members")
+    # written, so that the join below has an exchange of its own and a large class can be split
+    classes = cut(d.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("s1", "s2", "n").agg(
+        F.min("doc_id").alias("rep")), "classes")
+    members = d.drop("sketch").join(classes, ["s1", "s2", "n"], "left").select("doc_id", "n", "rep")
     reps = cut(d.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"])
                .select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]), "representatives")
 
@@ -142,17 +181,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, k: i
     found = components(links)
 
     # what is left: pairs of different components that share a list
-    place = cut(lists.join(found.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select(
-        "v", "doc_id", F.coalesce("label", "doc_id").alias("c")), "placed-lists")
-    groups = place.select("v", "c").distinct()
-    mixed = groups.groupBy("v").agg(F.count(F.lit(1)).alias("g")).filter("g > 1")
-    groups = cut(groups.join(mixed.select("v"), "v"), "mixed-lists")
-    both = groups.withColumnRenamed("c", "c1").join(groups.withColumnRenamed("c", "c2"), "v").filter("c1 < c2")
-    left = place.select("v", F.col("doc_id").alias("a"), F.col("c").alias("c1"))
-    right = place.select("v", F.col("doc_id").alias("b"), F.col("c").alias("c2"))
-    rest = both.join(left, ["v", "c1"]).join(right, ["v", "c2"]).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(rest.join(first, ["a", "b"], "left_anti"), "rest-pairs")
+    place = lists.join(found.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select(
+        "v", "doc_id", F.coalesce("label", "doc_id").alias("c"))
+    mixed = place.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    doubt = place.join(mixed.select("v"), "v").select("doc_id", "c").distinct()
+    rest = cross_pairs(sets.join(doubt, "doc_id"), percent)
+    rest = rest.join(first, ["a", "b"], "left_anti")
     more = cut(linked(rest, reps, sets, percent, k), "rest-links")
     labels = components(links.unionByName(more))
     out = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select(
