@@ -77,5 +77,5 @@ def attach(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner")
     if table.count() <= BROADCAST_ROWS:
         return df.join(F.broadcast(table), keys, how)
     salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = df.withColumn("_salt", F.floor(F.rand(17) * SALTS).cast("int"))
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)).cast("int"))
     return rows.join(salted, [*keys, "_salt"], how).drop("_salt")

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from bitextkit.llm import license_scan, quality_rules, secret_scan
+from bitextkit.llm import common, license_scan, quality_rules, secret_scan
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -174,6 +174,12 @@ def test_quality_verdicts_follow_the_labels(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
+def test_quality_beyond_the_broadcast_bound(docs001, monkeypatch):
+    want = sorted(map(tuple, quality_rules.quality_report(docs001).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, quality_rules.quality_report(docs001).collect())) == want
+
+
 def test_quality_filter_passes_other_columns(edge, empty, docs001):
     assert quality_rules.filter_quality(edge).columns == edge.columns
     assert {r.doc_id for r in quality_rules.filter_quality(edge).collect()} <= {6}
