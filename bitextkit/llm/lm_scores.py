@@ -46,9 +46,9 @@ from bitextkit.llm.common import cut, id_bucket, text_of
 N_WORDS, N_CLASSES = 128, 128
 MAX_LOCAL = 200_000            # words whose counts are broadcast
 DIM, CONTEXT = 16, 3
-NOISE, BATCH = 32, 4096
+NOISE, BATCH = 32, 2048
 PART = 1 << 16                 # tokens after which the context of a very long text starts anew
-RATE = 0.08
+RATE = 0.04
 FLUSH = 300_000                # distinct words a task holds before it passes counts on
 END = b"\n"                    # cannot be a word
 MOD, HELD_OUT = 7, 2
