@@ -7,18 +7,23 @@ a line stands under its exact template and, if it is long enough, under each
 template that leaves one part variable.  So lines that differ in one region
 only meet at one node without being compared pairwise.
 
-A template recurs if it stands in ``MIN_FAMILIES`` or more unrelated documents;
-then its lines are dropped from every document but the first one (least id).
-Whole copies of a document are no boilerplate - the near-duplicate operator
-has to see them - so documents are counted by family: the least line hash of a
-document other than the line's own, which copies share.  Families are counted
-by two 64-bit linear counters, which combine before the shuffle; a template
-whose families are under ``MIN_SHARE`` of its documents belongs to copies.
-
-Scale: one shuffle of (template hash, family, id) with map-side combination, so
-a line that a third of all documents hold is one row a task; recurring
-templates are broadcast below a counted bound, else joined by a shuffle; texts
-are shuffled once, to meet their dropped lines.
+A template recurs if it stands in two unrelated documents; then its lines are
+dropped from every document but the first one (least id).  Copies and near
+copies of a document are no boilerplate - the near-duplicate operator has to
+see them: two documents are related if the word pairs of their lines have a
+Jaccard similarity of ``RELATED`` or more, told from bottom-``SKETCH`` sketches
+(exact for documents of up to ``SKETCH`` distinct pairs).  Documents of equal
+sketch are folded first; a template recurs if any document that holds it is
+unrelated to the one of least sketch hash.  How many copies there are, and how
+many documents in all, plays no part.
+
+Scale: one shuffle of (template hash, sketch hash, id) with map-side
+combination, so a line that a third of all documents hold is one row a task.
+The least and the greatest sketch hash decide most templates; only the
+templates whose two extremes are related are joined to all their documents.
+Sketches meet in distinct pairs, two a template or one a document and
+reference; recurring templates are broadcast below a counted bound, else joined
+by a shuffle; texts are shuffled once, to meet their dropped lines.
 
 Defined results: null and empty texts have no lines and pass unchanged (null
 stays null); lines under ``MIN_TOKENS`` tokens are never dropped; rows equal in
@@ -33,8 +38,8 @@ from pyspark.sql import functions as F
 from bitextkit.llm.common import cut, packed, text_of, ws_words
 
 MIN_TOKENS = 3
-MIN_FAMILIES = 3
-MIN_SHARE = 0.05
+RELATED = 0.7
+SKETCH = 128                     # word pairs kept of a document: four bytes each
 LEAD = 2
 PARTS = 3
 MIN_PART = 2                     # least tokens in the tail for each part
@@ -63,53 +68,65 @@ def template_keys(tokens: Column) -> Column:
     return F.when(tail >= PARTS * MIN_PART, F.concat(exact, F.array(*[without(p) for p in range(PARTS)]))).otherwise(exact)
 
 
-def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line, keys, family) of every line of ``MIN_TOKENS`` tokens;
-    equal rows of ``docs`` (doc_id, text) once."""
+def parsed_docs(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, lines of (line, keys), sketch, sig) of every document with a
+    line of ``MIN_TOKENS`` tokens; equal rows of ``docs`` (doc_id, text) once."""
     d = docs.select("doc_id", text_of().alias("_t")).select(
         "doc_id", F.xxhash64("_t").alias("th"), F.split("_t", "\n").alias("_l"))
     d = d.select("doc_id", "th", F.filter(
         F.transform("_l", lambda x, i: F.struct(i.alias("line"), ws_words(mask(x)).alias("w"))),
-        lambda s: F.size(s["w"]) >= MIN_TOKENS).alias("_l"))
+        lambda s: F.size(s["w"]) >= MIN_TOKENS).alias("_l")).filter(F.size("_l") > 0)
+    pairs = F.flatten(F.transform("_l", lambda s: F.zip_with(
+        F.slice(s["w"], F.lit(1), F.size(s["w"]) - 1), F.slice(s["w"], F.lit(2), F.size(s["w"]) - 1),
+        lambda a, b: F.hash(a, b))))
     d = d.select("doc_id", "th", F.transform("_l", lambda s: F.struct(
-        s["line"].alias("line"), template_keys(s["w"]).alias("keys"))).alias("_l"))
-    d = d.withColumn("_least", F.slice(F.sort_array(F.array_distinct(
-        F.transform("_l", lambda s: s["keys"][0]))), 1, 2))
-    # outer: an inner explode would first filter by the size of the array, and so parse twice
-    d = d.select("doc_id", "th", "_least", F.explode_outer("_l").alias("_l")).filter(F.col("_l").isNotNull()).select(
-        "doc_id", "th", "_l.line", "_l.keys",
-        F.when(F.col("_l.keys")[0] != F.col("_least")[0], F.col("_least")[0])
-        .otherwise(F.coalesce(F.get("_least", F.lit(1)), F.col("th"))).alias("family"))
-    return d
-
-
-def recurring(lines: DataFrame) -> DataFrame:
-    """(k, first_id, first_th, n_docs): templates that recur in unrelated documents."""
-    seen = lines.select("doc_id", "th", "family", F.explode("keys").alias("k"))
-
-    def bit(seed):
-        return F.call_function("shiftleft", F.lit(1).cast("long"),
-                               F.pmod(F.xxhash64("family", F.lit(seed)), F.lit(64)).cast("int"))
-
-    t = seen.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_or(bit(1)).alias("b1"), F.bit_or(bit(2)).alias("b2"),
-        F.min("doc_id").alias("first_id"), F.min("family").alias("f1"), F.max("family").alias("f2"))
-    ones = F.greatest(F.bit_count("b1"), F.bit_count("b2"))
-    families = F.when(ones >= 64, F.lit(1e18)).otherwise(F.lit(-64.0) * F.log(1.0 - ones / 64.0))
-    return t.filter((F.col("f1") != F.col("f2")) & (ones >= MIN_FAMILIES)
-                    & ((ones >= 60) | (families >= F.lit(MIN_SHARE) * F.col("n")))).select(
-        "k", "first_id", "n")
+        s["line"].alias("line"), template_keys(s["w"]).alias("keys"))).alias("lines"),
+        F.slice(F.sort_array(F.array_distinct(pairs)), 1, SKETCH).alias("sketch"))
+    return d.withColumn("sig", F.xxhash64("sketch"))
+
+
+def related(a: Column, b: Column) -> Column:
+    """Whether the sets of two bottom-k sketches have a Jaccard similarity of ``RELATED``."""
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(F.array_intersect(a, b), union)) >= F.size(union) * F.lit(RELATED)
+
+
+def unrelated_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (s1, s2: sketch hashes) whose documents are unrelated."""
+    p = pairs.distinct()
+    p = p.join(sketches.select(F.col("sig").alias("s2"), F.col("sketch").alias("_b")), "s2")
+    p = p.join(sketches.select(F.col("sig").alias("s1"), F.col("sketch").alias("_a")), "s1")
+    return p.filter(~related(F.col("_a"), F.col("_b"))).select("s1", "s2")
+
+
+def recurring(docs: DataFrame) -> DataFrame:
+    """(k, first_id): templates of ``docs`` (of :func:`parsed_docs`) that stand
+    in two unrelated documents."""
+    seen = docs.select("doc_id", "sig", F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("k"))
+    t = cut(seen.groupBy("k").agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("s1"), F.max("sig").alias("s2"))
+            .filter(F.col("s1") != F.col("s2")), "shared-templates")
+    sketches = docs.select("sig", "sketch").dropDuplicates(["sig"])
+    apart = cut(unrelated_pairs(t.select("s1", "s2"), sketches), "unrelated-extremes")
+    t = cut(t.join(apart.withColumn("_apart", F.lit(True)), ["s1", "s2"], "left"), "judged-templates")
+    sure, rest = t.filter("_apart").select("k", "first_id"), t.filter("_apart IS NULL").select("k", "first_id", "s1")
+    # the rest: every document against the one of least sketch hash
+    held = cut(seen.select("k", F.col("sig").alias("s2")).join(rest, "k").filter(F.col("s1") != F.col("s2"))
+               .select("k", "first_id", "s1", "s2").distinct(), "template-holders")
+    apart = unrelated_pairs(held.select("s1", "s2"), sketches)
+    return sure.unionByName(held.join(apart, ["s1", "s2"], "left_semi").select("k", "first_id").distinct())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the dropped lines cut out of the text, plus ``_n_lines``
     and ``_n_dropped``; all rows stay."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = cut(parsed_lines(d), "lines")
-    often = cut(recurring(lines), "line-templates")
+    parsed = cut(parsed_docs(d), "lines")
+    often = cut(recurring(parsed), "line-templates")
     if often.count() <= MAX_BROADCAST:
         often = F.broadcast(often)
-    gone = lines.select("doc_id", "th", "line", F.explode("keys").alias("k")).join(often, "k").filter(
+    lines = parsed.select("doc_id", "th", F.explode("lines").alias("_l")).select(
+        "doc_id", "th", "_l.line", F.explode("_l.keys").alias("k"))
+    gone = lines.join(often, "k").filter(
         ~F.col("doc_id").eqNullSafe(F.col("first_id")))
     gone = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).agg(
         F.collect_set("line").alias("_gone"))

@@ -194,3 +194,28 @@ def test_line_templates_beyond_the_broadcast_bound(docs001, monkeypatch):
     want = sorted(map(tuple, line_dedup.line_report(docs001).collect()))
     monkeypatch.setattr(line_dedup, "MAX_BROADCAST", 0)
     assert sorted(map(tuple, line_dedup.line_report(docs001).collect())) == want
+
+
+def line_groups(rnd):
+    def own(n=12):
+        return " ".join("".join(rnd.choice("abcdefghij") for _ in range(9)) for _ in range(n))
+
+    def edited(lines, at):
+        w = lines[at].split(" ")
+        w[rnd.randrange(len(w))] = own(1)
+        return [*lines[:at], " ".join(w), *lines[at + 1:]]
+    return own, edited
+
+
+@pytest.mark.parametrize("n_copies", [1, 60])
+def test_lines_of_exact_and_near_copies_stay(spark, n_copies):
+    """Copies, and near copies with one edit in any one line: one group, no recurrence."""
+    own, edited = line_groups(random.Random(7))
+    texts = {}
+    for g in range(8):
+        base = [own() for _ in range(6)]
+        group = [base] * n_copies + [edited(base, at) for at in range(6)]
+        texts |= {1000 * g + i: "\n".join(x) for i, x in enumerate(group)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.line_report(d).collect()}
+    assert out == {k: (x, 0) for k, x in texts.items()}
