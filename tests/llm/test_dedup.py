@@ -219,3 +219,21 @@ def test_lines_of_exact_and_near_copies_stay(spark, n_copies):
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.line_report(d).collect()}
     assert out == {k: (x, 0) for k, x in texts.items()}
+
+
+def test_passages_of_unrelated_documents_go_whatever_copies_there_are(spark):
+    own, edited = line_groups(random.Random(8))
+    texts, passages = {}, {}
+    for g, (length, holders) in enumerate([(1, 2), (3, 2), (3, 3), (3, 5), (5, 10)] * 4):
+        passage = [own() for _ in range(length)]
+        for i in range(holders):
+            texts[100 * g + i] = "\n".join([own() for _ in range(5)] + passage)
+            passages[100 * g + i] = (length, i > 0)
+    base = [own() for _ in range(6)]                                       # a hot group that holds a line of others too
+    texts |= {10_000 + i: "\n".join(base if i % 10 else edited(base, 1 + i % 5)) for i in range(300)}
+    texts |= {20_000 + i: own() + "\n" + base[0] + "\n" + own() for i in range(3)}
+    passages |= {k: (1, k > 10_000) for k in texts if k >= 10_000}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in line_dedup.line_report(d).collect():
+        length, later = passages[r.doc_id]
+        assert r.n_dropped == length * later, r.doc_id
