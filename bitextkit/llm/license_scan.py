@@ -3,8 +3,10 @@
 A document first passes a keyword gate over its raw text; only the few that
 pass are normalised to ``word word word`` and tried against the rules whose own
 keyword they contain.  The rules (several hundred regular expressions) are the
-written name patterns of :data:`LICENSES` in each form of :data:`FORMS`, plus
-:data:`OTHER`.  A detection that lies inside another one of the same or a
+SPDX identifiers of :data:`SPDX` (as tags, and without a tag where they carry a
+version), the written names of :data:`LICENSES` alone and after a verb, the short
+names of :data:`SHORT` in their everyday forms, and the notices, headers and
+addresses of :data:`OTHER`.  A detection that lies inside another one of the same or a
 stronger priority is suppressed (the first in rule order wins between equal
 intervals); the labels of the rest are reported.  Everything is an expression
 over one row: map-only, no shuffle, no Python.
@@ -29,8 +31,8 @@ GAP_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"),
         ("cc by", "cc-by"), ("mit license", "mit")]
 
-V = "(?:version |v |ver )?"
-ONLY = "(?: only| or later| or any later version)?"
+V = "(?:version |ver |v ?)?"
+ONLY = "(?: only| or later| or (?:at your option )?any later version)?"
 
 # SPDX identifier -> (keyword, name pattern), more specific ones first.
 LICENSES = [
@@ -68,7 +70,7 @@ LICENSES = [
     ("mpl-1.1", "mozilla", f"mozilla public licen[cs]e {V}1 1"),
     ("mpl-2.0", "mozilla", f"mozilla public licen[cs]e {V}2(?: 0)?"),
     ("mpl", "mozilla", "mozilla public licen[cs]e"),
-    ("mpl-2.0", "mpl", f"mpl {V}2(?: 0)?"),
+    ("mpl-2.0", "mpl", f"mpl ?{V}2(?: 0)?"),
     ("epl-1.0", "eclipse", f"eclipse public licen[cs]e {V}1(?: 0)?"),
     ("epl-2.0", "eclipse", f"eclipse public licen[cs]e {V}2(?: 0)?"),
     ("epl", "eclipse", "eclipse public licen[cs]e"),
@@ -111,12 +113,50 @@ for _m, _names in CC_MODULES:
         LICENSES.append((f"cc-{_m}" + (f"-{_v}" if _v else ""), "creative commons",
                          f"creative commons attribution{_long}(?: international| unported)?(?: licen[cs]e)?{_ver}"))
 
-# Forms a name is written in: (priority, before, after).
-FORMS = [
-    (1, "spdx licen[cs]e identifier ", ""),
-    (2, "(?:licen[cs]ed|released|distributed|published|available|covered) under (?:the )?(?:terms of )?(?:the )?", ""),
-    (3, "", ""),
+# SPDX identifiers; the label is the identifier without "-only" and "-or-later".
+SPDX = """0BSD AFL-3.0 AGPL-1.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.0 Apache-1.1 Apache-2.0 APSL-2.0
+Artistic-1.0 Artistic-2.0 Beerware BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause
+BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CAL-1.0 CC0-1.0 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0
+CC-BY-NC-2.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-2.0 CC-BY-NC-SA-3.0
+CC-BY-NC-SA-4.0 CC-BY-ND-3.0 CC-BY-ND-4.0 CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CC-BY-SA-4.0 CDDL-1.0 CDDL-1.1
+CECILL-2.1 CECILL-B CECILL-C CPL-1.0 curl ECL-2.0 EFL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 FTL GFDL-1.1 GFDL-1.2
+GFDL-1.3 GFDL-1.3-only GFDL-1.3-or-later GPL-1.0 GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0-only GPL-2.0-or-later
+GPL-3.0 GPL-3.0-only GPL-3.0-or-later HPND ICU IJG IPL-1.0 ISC LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1
+LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPL-1.02 LPPL-1.3c MIT MIT-0 MPL-1.0 MPL-1.1
+MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 ODC-By-1.0 OFL-1.0 OFL-1.1 OpenSSL OSL-2.1 OSL-3.0 PDDL-1.0 PHP-3.0
+PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SSPL-1.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11
+Zlib ZPL-2.0 ZPL-2.1""".split()
+TAG_ONLY = {"mit-0", "php-3.0", "php-3.01", "python-2.0", "ipl-1.0", "cal-1.0", "upl-1.0"}   # else no licence for certain
+# Short name -> label, for the everyday forms in which a licence is only named.
+SHORT = {"mit": "mit", "isc": "isc", "bsd": "bsd", "gpl": "gpl", "gnu gpl": "gpl", "lgpl": "lgpl", "gnu lgpl": "lgpl",
+         "agpl": "agpl", "gnu agpl": "agpl", "apache": "apache", "mpl": "mpl", "epl": "epl", "eupl": "eupl-1.2",
+         "cddl": "cddl-1.0", "zlib": "zlib", "expat": "mit", "x11": "x11", "cc0": "cc0-1.0", "gfdl": "gfdl", "ofl": "ofl-1.1",
+         "wtfpl": "wtfpl", "unlicense": "unlicense"}
+VERB = "(?:licen[cs]ed|released|distributed|published|available|covered|provided|offered) under "
+TERMS = "(?:(?:the )?terms (?:and conditions )?of )?"
+# Versions of short names beside the ones in LICENSES: (label, keyword, pattern, example).
+VERSIONS = [
+    ("gpl-1.0", "gpl", f"(?:gnu )?gpl ?{V}1(?: 0)?{ONLY}", "GPLv1"),
+    ("agpl-1.0", "agpl", f"(?:gnu )?agpl ?{V}1(?: 0)?{ONLY}", "AGPLv1"),
+    ("lgpl-2.0", "lgpl", f"(?:gnu )?lgpl ?{V}2(?: 0)?{ONLY}", "LGPLv2+"),
+    ("mpl-1.1", "mpl", f"mpl ?{V}1 1", "MPLv1.1"),
+    ("epl-1.0", "epl", f"epl ?{V}1(?: 0)?", "EPLv1.0"),
+    ("epl-2.0", "epl", f"epl ?{V}2(?: 0)?", "EPL v2"),
+    ("eupl-1.1", "eupl", f"eupl ?{V}1 1", "EUPLv1.1"),
+    ("eupl-1.2", "eupl", f"eupl ?{V}1 2", "EUPL v1.2"),
+    ("gfdl-1.2", "gfdl", f"(?:gnu )?gfdl ?{V}1 2{ONLY}", "GFDL v1.2"),
+    ("gfdl-1.3", "gfdl", f"(?:gnu )?gfdl ?{V}1 3{ONLY}", "GFDLv1.3"),
+    ("apache-2.0", "asl", f"asl ?{V}2(?: 0)?", "ASLv2"),
 ]
+FSF = " as published by the free software foundation (?:either )?version "
+for _l, _n in (("gpl", ""), ("lgpl", "lesser "), ("agpl", "affero ")):
+    for _v, _e in (("1.0", "1"), ("2.0", "2"), ("2.1", "2 1"), ("3.0", "3")):
+        if (_l, _v) not in (("gpl", "2.1"), ("lgpl", "1.0"), ("agpl", "2.0"), ("agpl", "2.1")):
+            VERSIONS.append((f"{_l}-{_v}", f"{_n}general public license as published",
+                             f"gnu {_n}general public license{FSF}{_e}(?: 0)?(?: of the license)?{ONLY}",
+                             f"GNU {_n}General Public License as published by the Free Software Foundation; "
+                             f"either version {_e.replace(' ', '.')} of the License, or (at your option) any later version"))
+
 OTHER = [
     ("all-rights-reserved", 3, "rights reserved", "all rights reserved"),
     ("public-domain", 3, "public domain", "(?:in|into|to) the public domain"),
@@ -129,6 +169,32 @@ OTHER = [
     ("mit", 2, "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", 2, "permission to use", "permission to use copy modify and or distribute this software for any purpose"),
     ("bsd", 2, "redistribution and use", "redistribution and use in source and binary forms with or without modification"),
+    ("apache-2.0", 2, "may not use this file", "you may not use this file except in compliance with the license"),
+    ("mpl-2.0", 2, "source code form is subject",
+     "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("bsd-3-clause", 2, "neither the name", "neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors"),
+    ("zlib", 2, "in no event will the authors",
+     "without any express or implied warranty in no event will the authors be held liable"),
+    ("gpl", 2, "this program is free software", "this program is free software you can redistribute it and or modify it"),
+    ("lgpl", 2, "this library is free software", "this library is free software you can redistribute it and or modify it"),
+    ("unlicense", 2, "free and unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("bsl-1.0", 2, "any person or organization",
+     "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("openssl", 2, "developed by the openssl", "this product includes software developed by the openssl project"),
+    ("agpl-3.0", 1, "gnu org", "www gnu org licenses agpl 3 0"),
+    ("lgpl-3.0", 1, "gnu org", "www gnu org licenses lgpl 3 0"),
+    ("lgpl-2.1", 1, "gnu org", "www gnu org licenses old licenses lgpl 2 1"),
+    ("gpl-2.0", 1, "gnu org", "www gnu org licenses old licenses gpl 2 0"),
+    ("gpl-3.0", 1, "gnu org", "www gnu org licenses gpl 3 0"),
+    ("bsd-3-clause", 1, "opensource org", "opensource org licenses bsd 3 clause"),
+    ("bsd-2-clause", 1, "opensource org", "opensource org licenses bsd 2 clause"),
+    ("isc", 1, "opensource org", "opensource org licenses isc"),
+    ("apache-2.0", 1, "opensource org", "opensource org licenses apache 2 0"),
+    ("bsl-1.0", 1, "boost org", "www boost org license 1 0"),
+    ("epl-2.0", 1, "eclipse org", "www eclipse org legal epl (?:v20|2 0)"),
+    ("epl-1.0", 1, "eclipse org", "www eclipse org legal epl v10"),
+    ("cc0-1.0", 1, "creativecommons org", "creativecommons org publicdomain zero 1 0"),
+    ("ofl-1.1", 1, "sil org", "scripts sil org ofl"),
     ("unknown-license", 4, "licen", "(?:licen[cs]ed|released|distributed) under [^ ]+ [^ ]+ [^ ]+"),
     ("copyright", 4, "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]"),
 ]
@@ -136,15 +202,47 @@ GATE = ("(?i)licen[cs]e|spdx|affero|gpl|general" + GAP_ANY_CASE + "public|free"
         + "documentation|apache|expat|mit" + GAP_ANY_CASE + "no|0bsd|bsd|x11|mozilla|\\bmpl\\b|eclipse|zlib|odbl|wtfpl|cc0"
         + "|cc" + GAP_ANY_CASE + "by|creative" + GAP_ANY_CASE + "commons|rights" + GAP_ANY_CASE + "reserved|public"
         + GAP_ANY_CASE + "domain|proprietary|copyright|creativecommons|opensource" + GAP_ANY_CASE
-        + "org|permission|redistribution")
+        + "org|permission|redistribution|(?:gnu|boost|eclipse|sil)" + GAP_ANY_CASE + "org|free" + GAP_ANY_CASE + "(?:software|and"
+        + GAP_ANY_CASE + "unencumbered)|neither" + GAP_ANY_CASE + "the" + GAP_ANY_CASE + "name|may" + GAP_ANY_CASE + "not"
+        + GAP_ANY_CASE + "use" + GAP_ANY_CASE + "this" + GAP_ANY_CASE + "file|source" + GAP_ANY_CASE + "code"
+        + GAP_ANY_CASE + "form|no" + GAP_ANY_CASE + "event|openssl|(?:under|of)" + GAP_ANY_CASE + "(?:the" + GAP_ANY_CASE
+        + ")?(?:" + "|".join(n.replace(" ", GAP_ANY_CASE) for n in SHORT) + ")\\b|\\b(?:"
+        + "|".join(sorted({x.split("-")[0].lower() for x in SPDX if "-" in x and x.lower() not in TAG_ONLY} | {"asl"}))
+        + ")(?:" + GAP_ANY_CASE + ")?[0-9v]|ms" + GAP_ANY_CASE + "[pr]l|unicode" + GAP_ANY_CASE + "dfs|odc" + GAP_ANY_CASE
+        + "by|cecill|bsd")
 CONFIDENCE = {1: 0.99, 2: 0.9, 3: 0.7, 4: 0.4}
 
 
+def spdx_words(name: str) -> str:
+    return name.lower().replace("-", " ").replace(".", " ")
+
+
+def signatures() -> list[tuple[str, int, str, str, str | None]]:
+    """(label, priority, keyword, pattern, example) in rule order; no example
+    where the pattern is a written name or notice."""
+    out = []
+    for name in SPDX:
+        label, words = name.lower().removesuffix("-only").removesuffix("-or-later"), spdx_words(name)
+        out.append((label, 1, f"identifier {words}", f"spdx licen[cs]e identifier {words}", f"SPDX-License-Identifier: {name}"))
+        if " " in words and label not in TAG_ONLY:
+            out.append((label, 3, words, words, f"deps: {name}"))
+    for label, key, pat, example in VERSIONS:
+        out.append((label, 2, key, f"{VERB}{TERMS}(?:the )?(?:{pat})", f"available under the {example}"))
+        out.append((label, 3, key, pat, example))
+    for name, label in SHORT.items():
+        out.append((label, 2, f"the {name}", f"{VERB}{TERMS}the {name}", f"Released under the terms of the {name.upper()}."))
+        out.append((label, 2, f"under {name}", f"{VERB}{name}", f"distributed under {name.upper()}."))
+        out.append((label, 2, f"{name} licen", f"{name} licen[cs]ed", f"It is {name.upper()}-licensed."))
+    for label, key, name in LICENSES:
+        out.append((label, 2, key, f"{VERB}{TERMS}(?:the )?(?:{name})", None))
+        out.append((label, 3, key, f"(?:{name})", None))
+    out = [(label, prio, key, f"(?<= )(?:{pat})(?= )", example) for label, prio, key, pat, example in out]
+    return out + [(label, prio, key, f"(?<= )(?:{pat})(?= )", None) for label, prio, key, pat in OTHER]
+
+
 def rules() -> list[tuple[str, int, str, str]]:
     """(label, priority, keyword, pattern) in rule order."""
-    out = [(label, prio, key, f"(?<= ){before}(?:{name}){after}(?= )")
-           for prio, before, after in FORMS for label, key, name in LICENSES]
-    return out + [(label, prio, key, f"(?<= )(?:{pat})(?= )") for label, prio, key, pat in OTHER]
+    return [x[:4] for x in signatures()]
 
 
 def _rule_array(table) -> Column:

@@ -186,3 +186,37 @@ def test_quality_filter_passes_other_columns(edge, empty, docs001):
     assert quality_rules.filter_quality(empty).collect() == [] and quality_rules.quality_report(empty).collect() == []
     kept = {r.doc_id for r in quality_rules.quality_report(docs001).collect() if r.kept}
     assert {r.doc_id for r in quality_rules.filter_quality(docs001).collect()} == kept
+
+
+def positive(pattern):
+    """One text that the pattern describes: first branches, optional parts taken out."""
+    x = pattern.removeprefix("(?<= )").removesuffix("(?= )").replace("(?:[^ ]+ ){1,12}", "its owner ")
+    x = x.replace("[^ ]+", "foo").replace("[a-z ]*", "").replace("[0-9][0-9]", "21").replace("[cs]", "c")
+    while "(?:" in x:
+        x = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(\??)", lambda m: "" if m[2] else m[1], x)
+    return re.sub(" ?\\?", "", x.split("|")[0])
+
+
+def test_license_a_positive_text_for_every_rule(spark):
+    table = license_scan.signatures()
+    texts = [x[4] or f"text. {positive(x[3])}. end" for x in table]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(d).collect()}
+    for n, (label, prio, key, pat, _) in enumerate(table):
+        w = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[n].translate(UP))) + " "
+        assert key in w and re.search(pat, w), (key, pat, w)
+        assert got[n].n_detections > 0 and got[n].score > 0, (pat, texts[n])
+        if table[n][4]:
+            assert label in got[n].labels.split(","), (label, texts[n], got[n].labels)
+
+
+def test_license_everyday_forms(spark):
+    want = {"GPLv3": "gpl-3.0", "GPL v3": "gpl-3.0", "GPLv2+": "gpl-2.0", "LGPLv2.1": "lgpl-2.1", "AGPLv3": "agpl-3.0",
+            "licensed under the GPL.": "gpl", "released under the MIT": "mit", "MIT licensed": "mit",
+            "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: ISC": "isc",
+            "SPDX-License-Identifier: EPL-2.0": "epl-2.0", "SPDX-License-Identifier: Zlib": "zlib",
+            "SPDX-License-Identifier: BSL-1.0": "bsl-1.0", "General Public License v3.0": "gpl-3.0",
+            "wir kommen mit dem Zug": "", "there is no event today": ""}
+    d = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(d).collect()}
+    assert [got[n] for n in range(len(want))] == list(want.values())
