@@ -9,6 +9,11 @@ are compared: the question counts as re-used if at least ``SIMILARITY`` of the
 item's fillers are replaced consistently (one filler by one filler
 everywhere).  So a copy is caught, and also a copy with other numbers or names.
 
+Which words are names hangs on capitals, so each text also has windows of a
+second, plain form: lower-cased, with placeholders for numbers and units only.
+A copy in other letter case is found by these.  Both forms first collapse white
+space and drop quotes around words; a run of names is one slot.
+
 Scale: the benchmark's windows are broadcast below a counted bound
 (``MAX_BENCHMARK_WINDOWS``), so documents are exploded and probed where they
 lie; beyond it the windows are joined by a shuffle on their hash, which AQE
@@ -38,22 +43,33 @@ UNITS = ["percent", "kg", "g", "mg", "km", "m", "cm", "mm", "miles?", "feet", "f
          "dollars?", "euros?", "cents?", "usd", "eur", "degrees?", "celsius", "fahrenheit", "mph", "kmh", "volts?",
          "watts?", "joules?", "newtons?", "hz", "mb", "gb"]
 NAME, NUMBER, UNIT, POINT = "\ue001", "\ue002", "\ue003", "\ue004"
+QUOTES = "[\"'`«»‘-‟‹›]+"
+QUOTE_AT = f"(?<![\\p{{L}}\\p{{N}}]){QUOTES}|{QUOTES}(?![\\p{{L}}\\p{{N}}])"
 NAME_AT = "(?<=[\\p{L}\\p{N},;:] )\\p{Lu}\\p{Ll}+(?![\\p{L}])"
 NUMBER_AT = f"(?<![\\p{{L}}\\p{{N}}{POINT}])[0-9][0-9{POINT}]*(?![\\p{{L}}])"
 UNIT_AT = f"(?<=[0-9{NUMBER}] )(?i:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])"
 
 
-def template_tokens(text: Column, fillers: bool = False) -> Column:
+def template_tokens(text: Column, fillers: bool = False, plain: bool = False) -> Column:
     """Template tokens in order; with ``fillers`` a placeholder is followed by
-    what it stands for (the places are the same)."""
+    what it stands for (the places are the same); ``plain`` keeps names as words."""
     keep = "$0" if fillers else ""
-    x = F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", POINT)
-    x = F.regexp_replace(x, NAME_AT, NAME + keep)
+    x = F.regexp_replace(F.regexp_replace(text, QUOTE_AT, ""), "[\\s\\x{A0}]+", " ")
+    x = F.regexp_replace(x, "(?<=[0-9])[.,](?=[0-9])", POINT)
+    if not plain:
+        x = F.regexp_replace(x, NAME_AT, NAME + keep)
+        x = F.regexp_replace(x, f"(?<={NAME}\\p{{L}}{{0,200}}) {NAME}", POINT if fillers else "")
     x = F.regexp_replace(x, UNIT_AT, UNIT + keep)
     x = F.regexp_replace(x, NUMBER_AT, NUMBER + keep)
     return F.array_remove(F.split(F.lower(x), f"[^\\p{{L}}\\p{{N}}{NAME}-{POINT}]+"), "")
 
 
+def both_forms(text: Column) -> Column:
+    """(form, k) of a text: 0 with names replaced, 1 plain."""
+    return F.array(*[F.struct(F.lit(form).alias("form"), template_tokens(text, plain=form == 1).alias("k"))
+                     for form in (0, 1)])
+
+
 def windows(tokens: Column, n: int = WINDOW) -> Column:
     """Hashes of all windows of ``n`` tokens (empty below ``n``)."""
     return F.when(F.size(tokens) >= n, F.transform(
@@ -62,37 +78,38 @@ def windows(tokens: Column, n: int = WINDOW) -> Column:
 
 
 def benchmark_windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, th, j, h, need): the windows of at least two literal words, and
+    """(item_id, ith, form, j, h, need): the windows of at least two literal words, and
     how many of an item's distinct windows a document must hold."""
     b = bench.select(F.col(item_col).alias("item_id"), text_of(text_col).alias("_t")).distinct()
-    b = b.select("item_id", F.xxhash64("_t").alias("ith"), template_tokens(F.col("_t")).alias("_k"))
-    w = b.select("item_id", "ith", "_k", F.posexplode(windows(F.col("_k"))).alias("j", "h"))
+    b = b.select("item_id", F.xxhash64("_t").alias("ith"), F.inline(both_forms(F.col("_t"))))
+    b = b.withColumnRenamed("k", "_k")
+    w = b.select("item_id", "ith", "form", "_k", F.posexplode(windows(F.col("_k"))).alias("j", "h"))
     literal = F.size(F.filter(F.slice("_k", F.col("j") + 1, WINDOW),
                               lambda x: ~x.rlike(f"^[{NAME}-{POINT}]"))) >= 2
-    w = w.filter(literal).select("item_id", "ith", "j", "h")
-    need = w.groupBy("item_id", "ith").agg(F.ceil(F.count_distinct("h") * SIMILARITY).alias("need"))
-    return w.join(need, ["item_id", "ith"])
+    w = w.filter(literal).select("item_id", "ith", "form", "j", "h")
+    need = w.groupBy("item_id", "ith", "form").agg(F.ceil(F.count_distinct("h") * SIMILARITY).alias("need"))
+    return w.join(need, ["item_id", "ith", "form"])
 
 
 def candidates(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """(doc_id, th, item_id, ith, n_matched, need, shift): documents that hold
+    """(doc_id, th, item_id, ith, form, n_matched, need, shift): documents that hold
     enough of an item's windows, and the alignment that most of them have.
     ``docs`` has doc_id, text; ``bench`` item_id, text."""
     b = cut(benchmark_windows(bench), "benchmark-windows")
     if b.count() <= MAX_BENCHMARK_WINDOWS:
         b = F.broadcast(b)
     d = docs.select("doc_id", text_of().alias("_t")).select(
-        "doc_id", F.xxhash64("_t").alias("th"), template_tokens(F.col("_t")).alias("_k"))
-    d = d.select("doc_id", "th", F.posexplode(windows(F.col("_k"))).alias("i", "h"))
-    hits = d.join(b, "h").groupBy("doc_id", "th", "item_id", "ith", "need",
+        "doc_id", F.xxhash64("_t").alias("th"), F.inline(both_forms(F.col("_t"))))
+    d = d.select("doc_id", "th", "form", F.posexplode(windows(F.col("k"))).alias("i", "h"))
+    hits = d.join(b, ["h", "form"]).groupBy("doc_id", "th", "item_id", "ith", "form", "need",
                                   (F.col("i") - F.col("j")).alias("shift")).agg(
         F.collect_set("h").alias("hs"))
     # at most one entry for each distinct window of the item: bounded by the item
-    per = hits.groupBy("doc_id", "th", "item_id", "ith", "need").agg(
+    per = hits.groupBy("doc_id", "th", "item_id", "ith", "form", "need").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("n_matched"),
         F.max(F.struct(F.size("hs").alias("n"), F.col("shift"))).alias("best"))
     return per.filter(F.col("n_matched") >= F.col("need")).select(
-        "doc_id", "th", "item_id", "ith", "n_matched", "need", F.col("best.shift").alias("shift"))
+        "doc_id", "th", "item_id", "ith", "form", "n_matched", "need", F.col("best.shift").alias("shift"))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -106,13 +123,16 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     texts = d.select("doc_id", text_of().alias("_t")).distinct().withColumn("th", F.xxhash64("_t"))
     keys = c.select("doc_id", "th").distinct()
     texts = texts.join(keys, texts.doc_id.eqNullSafe(keys.doc_id) & (texts.th == keys.th), "left_semi").select(
-        "doc_id", "th", template_tokens(F.col("_t"), True).alias("dk"))
+        "doc_id", "th", template_tokens(F.col("_t"), True).alias("dk0"), template_tokens(F.col("_t"), True, True).alias("dk1"))
     items = b.select("item_id", text_of().alias("_t")).distinct().select(
-        "item_id", F.xxhash64("_t").alias("ith"), template_tokens(F.col("_t"), True).alias("ik"))
+        "item_id", F.xxhash64("_t").alias("ith"), template_tokens(F.col("_t"), True).alias("ik0"),
+        template_tokens(F.col("_t"), True, True).alias("ik1"))
     c = c.join(items.withColumnRenamed("item_id", "_i"),
                F.col("item_id").eqNullSafe(F.col("_i")) & (c.ith == items.ith)).drop("_i").drop(items.ith)
     c = c.join(texts.withColumnRenamed("doc_id", "_d"),
                F.col("doc_id").eqNullSafe(F.col("_d")) & (c.th == texts.th)).drop("_d").drop(texts.th)
+    c = c.withColumns({x: F.when(F.col("form") == 0, F.col(f"{x}0")).otherwise(F.col(f"{x}1")) for x in ("ik", "dk")}).drop(
+        "ik0", "ik1", "dk0", "dk1")
     mark = f"^[{NAME}-{UNIT}]"
     slots = F.filter(
         F.transform("ik", lambda x, j: F.struct(x.alias("item"), F.get("dk", j + F.col("shift")).alias("doc"))),
@@ -121,10 +141,14 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     fillers = F.array_distinct(F.transform("_s", lambda s: s["item"]))
     c = c.withColumn("_f", fillers)
     one = F.size(F.filter("_f", lambda f: F.size(F.filter("_s", lambda s: s["item"] == f)) == 1))
-    c = c.select("doc_id", "th", "item_id", F.col("need").cast("long").alias("n_windows"),
+    c = c.select("doc_id", "th", "item_id", c.ith, "form", F.col("need").cast("long").alias("n_windows"),
                  F.col("n_matched").cast("long").alias("n_matched"), F.size("_f").cast("long").alias("n_slots"),
                  one.cast("long").alias("n_consistent"))
-    return c.filter(F.col("n_consistent") >= F.col("n_slots") * SIMILARITY)
+    c = c.filter(F.col("n_consistent") >= F.col("n_slots") * SIMILARITY)
+    # one verdict: of the form with names, if both hold
+    names = ["n_windows", "n_matched", "n_slots", "n_consistent"]
+    return c.groupBy("doc_id", "th", "item_id", "ith").agg(F.min(F.struct("form", *names)).alias("_v")).select(
+        "doc_id", "th", "item_id", *[F.col(f"_v.{n}").alias(n) for n in names])
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

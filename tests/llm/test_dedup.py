@@ -116,6 +116,16 @@ def test_reparameterised_questions(spark):
     assert [r.doc_id for r in decontaminate.remove_contaminated(d, b).orderBy("doc_id").collect()] == [3, 4, 5]
 
 
+def test_plain_copies_do_not_depend_on_capitals_quotes_or_line_breaks(spark):
+    copies = [ITEM.lower(), ITEM.upper(), ITEM.replace("Rome", "\nRome"), ITEM.replace("Rome", '"Rome"').replace("Paris", "“Paris”"),
+              ITEM.replace("Rome", "New York"), ITEM.replace(" ", "  \n"), ITEM.replace("Rome", "New York").replace("Paris", "San Juan Bautista")]
+    other = ["train a leaves oslo early at 60 km per hour and nobody reaches rome, how far is it then", "Rome Paris Rome Paris"]
+    d = spark.createDataFrame(list(enumerate(copies + other)), "doc_id long, text string")
+    b = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    got = sorted(r.doc_id for r in decontaminate.contaminated(d, b).collect())
+    assert got == list(range(len(copies)))
+
+
 def test_leaks_beyond_the_broadcast_bound(spark, docs001, monkeypatch):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.contaminated(docs001, bench).collect()))
