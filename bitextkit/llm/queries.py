@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bitextkit.llm import (
-    decontaminate, license_scan, line_dedup, lm_scores, near_dedup, packing, quality_rules, secret_scan,
-    token_counts, toxicity, vector_search)
+    decontaminate, license_scan, line_dedup, lm_scores, near_dedup, packing, periodic_runs, quality_rules,
+    secret_scan, token_counts, toxicity, vector_search)
 from bitextkit.llm.common import documents
 from bitextkit.session import read_table
 
@@ -52,10 +52,14 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_report(documents(spark, sf_dir))
+
+
 def op12_nearest_neighbours(spark, sf_dir):
     return vector_search.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_lm_scores, op2_secret_scan, op3_decontamination, op4_quality_rules, op5_toxicity, op6_minhash_dedup, op7_line_dedup,
-    op8_token_counts, op9_packing, op10_license_scan, op12_nearest_neighbours)}
+    op8_token_counts, op9_packing, op10_license_scan, op11_periodic_runs, op12_nearest_neighbours)}
