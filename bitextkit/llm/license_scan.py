@@ -24,7 +24,7 @@ from bitextkit.llm.common import lower_az, text_of
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"             # in lower-cased text
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-WORD_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+WORD_CHAR = "[a-zA-Z0-9\\x{80}-\\x{10FFFF}]"      # before lower-casing; the commonest range first
 GAP_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 # Base phrases and their labels.
@@ -198,18 +198,27 @@ OTHER = [
     ("unknown-license", 4, "licen", "(?:licen[cs]ed|released|distributed) under [^ ]+ [^ ]+ [^ ]+"),
     ("copyright", 4, "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]"),
 ]
-GATE = ("(?i)licen[cs]e|spdx|affero|gpl|general" + GAP_ANY_CASE + "public|free" + GAP_ANY_CASE
-        + "documentation|apache|expat|mit" + GAP_ANY_CASE + "no|0bsd|bsd|x11|mozilla|\\bmpl\\b|eclipse|zlib|odbl|wtfpl|cc0"
-        + "|cc" + GAP_ANY_CASE + "by|creative" + GAP_ANY_CASE + "commons|rights" + GAP_ANY_CASE + "reserved|public"
-        + GAP_ANY_CASE + "domain|proprietary|copyright|creativecommons|opensource" + GAP_ANY_CASE
-        + "org|permission|redistribution|(?:gnu|boost|eclipse|sil)" + GAP_ANY_CASE + "org|free" + GAP_ANY_CASE + "(?:software|and"
-        + GAP_ANY_CASE + "unencumbered)|neither" + GAP_ANY_CASE + "the" + GAP_ANY_CASE + "name|may" + GAP_ANY_CASE + "not"
-        + GAP_ANY_CASE + "use" + GAP_ANY_CASE + "this" + GAP_ANY_CASE + "file|source" + GAP_ANY_CASE + "code"
-        + GAP_ANY_CASE + "form|no" + GAP_ANY_CASE + "event|openssl|(?:under|of)" + GAP_ANY_CASE + "(?:the" + GAP_ANY_CASE
-        + ")?(?:" + "|".join(n.replace(" ", GAP_ANY_CASE) for n in SHORT) + ")\\b|\\b(?:"
-        + "|".join(sorted({x.split("-")[0].lower() for x in SPDX if "-" in x and x.lower() not in TAG_ONLY} | {"asl"}))
-        + ")(?:" + GAP_ANY_CASE + ")?[0-9v]|ms" + GAP_ANY_CASE + "[pr]l|unicode" + GAP_ANY_CASE + "dfs|odc" + GAP_ANY_CASE
-        + "by|cecill|bsd")
+# Beginnings of what the rules match; a space stands for any gap.  A text without one has no licence.
+GATE_PHRASES = """licen|spdx|affero|gpl|lgpl|agpl|general public|free documentation|free software|free and unencumbered|apache|expat
+mit no|0bsd|bsd|x11|mozilla|mpl|eclipse|zlib|odbl|wtfpl|cc0|cc by|creative commons|rights reserved|public domain|proprietary
+copyright|creativecommons|opensource org|permission|redistribution|gnu org|boost org|sil org|neither the name
+may not use this file|source code form|no event|openssl|ms pl|ms rl|unicode dfs|odc by|cecill""".replace("\n", "|").split("|")
+
+
+def gate() -> str:
+    """The gate's pattern.  It tries its branches at the beginnings of words
+    only, and only those of the first letter at hand."""
+    gap = GAP_ANY_CASE
+    short = "(?:" + "|".join(n.replace(" ", gap) for n in SHORT) + ")(?![a-z0-9_])"
+    tags = sorted({x.split("-")[0].lower() for x in SPDX if "-" in x and x.lower() not in TAG_ONLY} | {"asl"})
+    branches = [p.replace(" ", gap) for p in GATE_PHRASES] + [f"{x}(?:{gap})?[0-9v]" for x in tags] + [
+        f"{x}{gap}(?:the{gap})?{short}" for x in ("under", "of")]
+    letters = sorted({x[0] for x in branches})
+    return f"(?<!{WORD_CHAR})(?i:" + "|".join(
+        f"{c}(?:" + "|".join(x[1:] for x in branches if x[0] == c) + ")" for c in letters) + ")"
+
+
+GATE = gate()
 CONFIDENCE = {1: 0.99, 2: 0.9, 3: 0.7, 4: 0.4}
 
 
@@ -254,23 +263,50 @@ def _rule_array(table) -> Column:
     return F.from_json(F.lit(body), "array<struct<n:int,label:string,p:int,key:string,pat:string>>")
 
 
+SPAN_BLOCK = 256                 # matches whose places are summed up in one array
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def match_spans(text: Column, pattern: Column) -> Column:
     """(s, e) of every non-overlapping match, in characters from 0, e exclusive.
 
-    A match begins where the pieces and matches before it end."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    A match begins where the pieces and matches before it end.  The lengths are
+    summed up in blocks, first over the blocks and then within each, so the
+    work grows with the matches and not with their square."""
     empty = F.array().cast("array<struct<s:int,e:int>>")
-    zipped = F.zip_with(F.transform(found, lambda x: F.length(x)), between,
-                        lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    walked = F.aggregate(
-        F.filter(zipped, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
+
+    def walk(block, at):
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), lambda acc, x: F.struct(
             (acc["at"] + x["b"] + x["m"]).alias("at"),
             F.concat(acc["out"], F.array(F.struct((acc["at"] + x["b"]).alias("s"),
-                                                  (acc["at"] + x["b"] + x["m"]).alias("e")))).alias("out")))
-    return F.when(F.size(found) > 0, walked["out"]).otherwise(empty)
+                                                  (acc["at"] + x["b"] + x["m"]).alias("e")))).alias("out")),
+            lambda acc: acc["out"])
+
+    def starts(blocks):
+        """Where each block begins: sums of the blocks before it."""
+        return F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(
+            F.element_at(acc, -1) + F.aggregate(b, F.lit(0), lambda n, x: n + x["b"] + x["m"]))))
+
+    def placed(lengths):
+        blocks = F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(SPAN_BLOCK)),
+                             lambda i: F.slice(lengths, i, F.lit(SPAN_BLOCK)))
+        return F.when(F.size(lengths) <= SPAN_BLOCK, walk(lengths, F.lit(0))).otherwise(
+            _with(blocks, lambda bs: F.flatten(F.transform(F.filter(
+                F.zip_with(bs, starts(bs), lambda b, at: F.struct(b.alias("b"), at.alias("at"))),
+                lambda z: z["b"].isNotNull()), lambda z: walk(z["b"], z["at"])))))
+
+    def lengths(found):
+        between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+        return F.zip_with(F.transform(found, lambda x: F.length(x)),
+                          F.slice(between, F.lit(1), F.size(found)),
+                          lambda m, b: F.struct(m.alias("m"), b.alias("b")))
+
+    return _with(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(
+        F.size(found) > 0, _with(lengths(found), placed)).otherwise(empty))
 
 
 def word_form(text: Column) -> Column:
@@ -283,7 +319,7 @@ def scan_licenses(docs: DataFrame, table=None, id_col: str = "doc_id", text_col:
     score, n_detections`` for every row."""
     text = F.col("_t")
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t"))
-    d = d.select("doc_id", F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
+    d = d.select("doc_id", F.regexp_count(text, F.lit(WORD_CHAR + "++")).cast("long").alias("n_words"),
                  F.when(text.rlike(GATE), word_form(text)).alias("_w"))
     w = F.col("_w")
     union = "(?<= )(?:" + "|".join(p for p, _ in BASE) + ")(?= )"

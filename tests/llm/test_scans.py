@@ -1,9 +1,12 @@
 """Operators 2, 4 and 10 against brute force."""
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from bitextkit.llm import common, license_scan, quality_rules, secret_scan
 
@@ -113,6 +116,16 @@ def test_license_suppression_against_brute_force(spark):
         assert r.labels == ",".join(sorted(base | set(brute_rules(texts[r.doc_id], table))))
 
 
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 700, 100_000])
+def test_spans_of_many_matches(spark, n):
+    """Places of all matches of one text, over the bounds of the blocks and in linear time."""
+    rnd = random.Random(n)
+    text = " é\U0001f600".join(f"{rnd.getrandbits(120):030x}" for _ in range(n)) + " zz"
+    d = spark.createDataFrame([(text,)], "t string")
+    got = d.select(license_scan.match_spans(F.col("t"), F.lit("[0-9a-f]{24,}")).alias("m")).first().m
+    assert [(x.s, x.e) for x in got] == [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
+
+
 def test_license_edges(edge, empty):
     assert len(license_scan.scan_licenses(edge).collect()) == edge.count()
     assert license_scan.scan_licenses(empty).collect() == []
