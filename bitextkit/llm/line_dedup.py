@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitextkit.llm.common import cut, packed, text_of, ws_words
+from bitextkit.llm.common import SALTS, attach, cut, packed, text_of
 
 MIN_TOKENS = 3
 RELATED = 0.7
@@ -44,6 +44,8 @@ LEAD = 2
 PARTS = 3
 MIN_PART = 2                     # least tokens in the tail for each part
 MAX_BROADCAST = 500_000          # recurring templates: two longs each
+HOT_KEY = 256                    # pairs of one sketch hash beyond which they are dealt out by salt
+OTHER_WS = "[\\x09\\x0B-\\x0D]"    # white space beside space and line feed
 VARIABLE = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+"
 
 
@@ -52,10 +54,16 @@ def mask(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
 
 
+def line_tokens(line: Column) -> Column:
+    """Hashes of a line's words, words with a digit alike; ``line`` has spaces
+    as its only white space."""
+    return F.transform(F.array_remove(F.split(mask(line), " "), ""), lambda x: F.xxhash64(x))
+
+
 def template_keys(tokens: Column) -> Column:
-    """Hashes of the templates a line stands under: the exact one first, then
-    one for each variable part.  Every hash covers the token count and the
-    leading tokens."""
+    """Hashes of the templates a line of ``tokens`` (word hashes) stands under:
+    the exact one first, then one for each variable part.  Every hash covers
+    the token count and the leading tokens."""
     n = F.size(tokens)
     tail = n - LEAD
     exact = F.array(F.xxhash64(F.lit(-1), n, tokens))
@@ -72,9 +80,9 @@ def parsed_docs(docs: DataFrame) -> DataFrame:
     """(doc_id, th, lines of (line, keys), sketch, sig) of every document with a
     line of ``MIN_TOKENS`` tokens; equal rows of ``docs`` (doc_id, text) once."""
     d = docs.select("doc_id", text_of().alias("_t")).select(
-        "doc_id", F.xxhash64("_t").alias("th"), F.split("_t", "\n").alias("_l"))
+        "doc_id", F.xxhash64("_t").alias("th"), F.split(F.regexp_replace("_t", OTHER_WS, " "), "\n").alias("_l"))
     d = d.select("doc_id", "th", F.filter(
-        F.transform("_l", lambda x, i: F.struct(i.alias("line"), ws_words(mask(x)).alias("w"))),
+        F.transform("_l", lambda x, i: F.struct(i.alias("line"), line_tokens(x).alias("w"))),
         lambda s: F.size(s["w"]) >= MIN_TOKENS).alias("_l")).filter(F.size("_l") > 0)
     pairs = F.flatten(F.transform("_l", lambda s: F.zip_with(
         F.slice(s["w"], F.lit(1), F.size(s["w"]) - 1), F.slice(s["w"], F.lit(2), F.size(s["w"]) - 1),
@@ -91,11 +99,26 @@ def related(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(F.array_intersect(a, b), union)) >= F.size(union) * F.lit(RELATED)
 
 
+def with_sketch(rows: DataFrame, pairs: DataFrame, sketches: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` (s1, s2) with the sketch of their ``key`` as ``name``.  A line
+    that many documents share gives its least or greatest sketch hash to very
+    many pairs: such keys, found by a count over the written ``pairs``, are
+    dealt out by a salt, for which their one sketch is repeated."""
+    hot = cut(pairs.groupBy(key).count().filter(F.col("count") > HOT_KEY).select(key, F.lit(True).alias("_hot")),
+              "hot-sketches")
+    side = attach(sketches.select(F.col("sig").alias(key), F.col("sketch").alias(name)), hot, [key], "left")
+    side = side.withColumn("_part", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
+                                              .otherwise(F.array(F.lit(0))))).drop("_hot")
+    rows = attach(rows, hot, [key], "left").withColumn("_part", F.when(
+        F.col("_hot"), F.pmod(F.xxhash64("s1", "s2"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    return rows.join(side, [key, "_part"]).drop("_part")
+
+
 def unrelated_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The rows of ``pairs`` (s1, s2: sketch hashes) whose documents are unrelated."""
-    p = pairs.distinct()
-    p = p.join(sketches.select(F.col("sig").alias("s2"), F.col("sketch").alias("_b")), "s2")
-    p = p.join(sketches.select(F.col("sig").alias("s1"), F.col("sketch").alias("_a")), "s1")
+    p = cut(pairs.distinct(), "sketch-pairs")
+    p = with_sketch(p, p, sketches, "s2", "_b")
+    p = with_sketch(p, p, sketches, "s1", "_a")
     return p.filter(~related(F.col("_a"), F.col("_b"))).select("s1", "s2")
 
 
