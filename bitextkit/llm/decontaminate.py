@@ -43,47 +43,64 @@ UNITS = ["percent", "kg", "g", "mg", "km", "m", "cm", "mm", "miles?", "feet", "f
          "dollars?", "euros?", "cents?", "usd", "eur", "degrees?", "celsius", "fahrenheit", "mph", "kmh", "volts?",
          "watts?", "joules?", "newtons?", "hz", "mb", "gb"]
 NAME, NUMBER, UNIT, POINT = "\ue001", "\ue002", "\ue003", "\ue004"
-QUOTES = "[\"'`«»‘-‟‹›]+"
-QUOTE_AT = f"(?<![\\p{{L}}\\p{{N}}]){QUOTES}|{QUOTES}(?![\\p{{L}}\\p{{N}}])"
-NAME_AT = "(?<=[\\p{L}\\p{N},;:] )\\p{Lu}\\p{Ll}+(?![\\p{L}])"
-NUMBER_AT = f"(?<![\\p{{L}}\\p{{N}}{POINT}])[0-9][0-9{POINT}]*(?![\\p{{L}}])"
-UNIT_AT = f"(?<=[0-9{NUMBER}] )(?i:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])"
-
-
-def template_tokens(text: Column, fillers: bool = False, plain: bool = False) -> Column:
-    """Template tokens in order; with ``fillers`` a placeholder is followed by
-    what it stands for (the places are the same); ``plain`` keeps names as words."""
+QUOTES = "[\"'`«»‘-‟‹›]"
+# Every pattern begins with the rare characters it is about and looks back from there: a
+# look-behind in front would be tried at every character of a text.
+QUOTE_AT = f"{QUOTES}(?:(?<![\\p{{L}}\\p{{N}}]{QUOTES})|(?![\\p{{L}}\\p{{N}}]))"
+SPACE_AT = "[\\s\\x{A0}&&[^ ]][\\s\\x{A0}]*| [\\s\\x{A0}]+"
+POINT_AT = "[.,](?<=[0-9][.,])(?=[0-9])"
+NAME_AT = "\\p{Lu}(?<=[\\p{L}\\p{N},;:] \\p{Lu})\\p{Ll}+(?![\\p{L}])"
+# the rest of a run of names: the literal comes first, so that the look-behind is tried at names only
+RUN_AT = f" {NAME}(?<={NAME}\\p{{L}}{{0,200}} {NAME})"
+NUMBER_AT = f"[0-9](?<![\\p{{L}}\\p{{N}}{POINT}][0-9])[0-9{POINT}]*(?![\\p{{L}}])"
+UNIT_AT = f" (?<=[0-9{NUMBER}] )((?i:{'|'.join(UNITS)}))(?![\\p{{L}}\\p{{N}}])"
+
+
+def folded(text: Column) -> Column:
+    """A text without quotes around words, with single spaces, and with a mark
+    for the points inside numbers: what both forms begin with."""
+    x = F.regexp_replace(F.regexp_replace(text, QUOTE_AT, ""), SPACE_AT, " ")
+    return F.regexp_replace(x, POINT_AT, POINT)
+
+
+def template_tokens(x: Column, fillers: bool = False, plain: bool = False) -> Column:
+    """Template tokens of a folded text in order; with ``fillers`` a placeholder
+    is followed by what it stands for (the places are the same); ``plain`` keeps
+    names as words."""
     keep = "$0" if fillers else ""
-    x = F.regexp_replace(F.regexp_replace(text, QUOTE_AT, ""), "[\\s\\x{A0}]+", " ")
-    x = F.regexp_replace(x, "(?<=[0-9])[.,](?=[0-9])", POINT)
     if not plain:
         x = F.regexp_replace(x, NAME_AT, NAME + keep)
-        x = F.regexp_replace(x, f"(?<={NAME}\\p{{L}}{{0,200}}) {NAME}", POINT if fillers else "")
-    x = F.regexp_replace(x, UNIT_AT, UNIT + keep)
+        x = F.regexp_replace(x, RUN_AT, POINT if fillers else "")
+    x = F.regexp_replace(x, UNIT_AT, f" {UNIT}" + ("$1" if fillers else ""))
     x = F.regexp_replace(x, NUMBER_AT, NUMBER + keep)
-    return F.array_remove(F.split(F.lower(x), f"[^\\p{{L}}\\p{{N}}{NAME}-{POINT}]+"), "")
+    return F.array_remove(F.split(F.lower(x), f"[^a-z0-9\\p{{L}}\\p{{N}}{NAME}-{POINT}]+"), "")
 
 
-def both_forms(text: Column) -> Column:
-    """(form, k) of a text: 0 with names replaced, 1 plain."""
-    return F.array(*[F.struct(F.lit(form).alias("form"), template_tokens(text, plain=form == 1).alias("k"))
+def both_forms(x: Column) -> Column:
+    """(form, k) of a folded text: 0 with names replaced, 1 plain."""
+    return F.array(*[F.struct(F.lit(form).alias("form"), template_tokens(x, plain=form == 1).alias("k"))
                      for form in (0, 1)])
 
 
-def windows(tokens: Column, n: int = WINDOW) -> Column:
-    """Hashes of all windows of ``n`` tokens (empty below ``n``)."""
-    return F.when(F.size(tokens) >= n, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))),
-        lambda i: F.xxhash64(F.slice(tokens, i, n)))).otherwise(F.array().cast("array<bigint>"))
+def windows(hashes: Column, form: Column, n: int = WINDOW) -> Column:
+    """Hashes of a form's windows of ``n`` tokens (empty below ``n``), from the
+    tokens' own hashes: a token's letters are read once, not once a window."""
+    return F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - n + 1, F.lit(0))),
+                       lambda h, i: F.xxhash64(form, h, *[F.get(hashes, i + k) for k in range(1, n)]))
+
+
+def token_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x))
 
 
 def benchmark_windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, ith, form, j, h, need): the windows of at least two literal words, and
     how many of an item's distinct windows a document must hold."""
     b = bench.select(F.col(item_col).alias("item_id"), text_of(text_col).alias("_t")).distinct()
-    b = b.select("item_id", F.xxhash64("_t").alias("ith"), F.inline(both_forms(F.col("_t"))))
-    b = b.withColumnRenamed("k", "_k")
-    w = b.select("item_id", "ith", "form", "_k", F.posexplode(windows(F.col("_k"))).alias("j", "h"))
+    b = b.select("item_id", F.xxhash64("_t").alias("ith"), folded(F.col("_t")).alias("_x"))
+    b = b.select("item_id", "ith", F.inline(both_forms(F.col("_x"))))
+    b = b.withColumnRenamed("k", "_k").withColumn("_kh", token_hashes(F.col("_k")))
+    w = b.select("item_id", "ith", "form", "_k", F.posexplode(windows(F.col("_kh"), F.col("form"))).alias("j", "h"))
     literal = F.size(F.filter(F.slice("_k", F.col("j") + 1, WINDOW),
                               lambda x: ~x.rlike(f"^[{NAME}-{POINT}]"))) >= 2
     w = w.filter(literal).select("item_id", "ith", "form", "j", "h")
@@ -99,9 +116,11 @@ def candidates(docs: DataFrame, bench: DataFrame) -> DataFrame:
     if b.count() <= MAX_BENCHMARK_WINDOWS:
         b = F.broadcast(b)
     d = docs.select("doc_id", text_of().alias("_t")).select(
-        "doc_id", F.xxhash64("_t").alias("th"), F.inline(both_forms(F.col("_t"))))
-    d = d.select("doc_id", "th", "form", F.posexplode(windows(F.col("k"))).alias("i", "h"))
-    hits = d.join(b, ["h", "form"]).groupBy("doc_id", "th", "item_id", "ith", "form", "need",
+        "doc_id", F.xxhash64("_t").alias("th"), folded(F.col("_t")).alias("_x"))
+    d = d.select("doc_id", "th", F.inline(both_forms(F.col("_x"))))
+    d = d.select("doc_id", "th", "form", token_hashes(F.col("k")).alias("kh"))
+    d = d.select("doc_id", "th", "form", F.posexplode(windows(F.col("kh"), F.col("form"))).alias("i", "h"))
+    hits = d.drop("form").join(b, "h").groupBy("doc_id", "th", "item_id", "ith", "form", "need",
                                   (F.col("i") - F.col("j")).alias("shift")).agg(
         F.collect_set("h").alias("hs"))
     # at most one entry for each distinct window of the item: bounded by the item
@@ -123,10 +142,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     texts = d.select("doc_id", text_of().alias("_t")).distinct().withColumn("th", F.xxhash64("_t"))
     keys = c.select("doc_id", "th").distinct()
     texts = texts.join(keys, texts.doc_id.eqNullSafe(keys.doc_id) & (texts.th == keys.th), "left_semi").select(
-        "doc_id", "th", template_tokens(F.col("_t"), True).alias("dk0"), template_tokens(F.col("_t"), True, True).alias("dk1"))
+        "doc_id", "th", template_tokens(folded(F.col("_t")), True).alias("dk0"), template_tokens(folded(F.col("_t")), True, True).alias("dk1"))
     items = b.select("item_id", text_of().alias("_t")).distinct().select(
-        "item_id", F.xxhash64("_t").alias("ith"), template_tokens(F.col("_t"), True).alias("ik0"),
-        template_tokens(F.col("_t"), True, True).alias("ik1"))
+        "item_id", F.xxhash64("_t").alias("ith"), template_tokens(folded(F.col("_t")), True).alias("ik0"),
+        template_tokens(folded(F.col("_t")), True, True).alias("ik1"))
     c = c.join(items.withColumnRenamed("item_id", "_i"),
                F.col("item_id").eqNullSafe(F.col("_i")) & (c.ith == items.ith)).drop("_i").drop(items.ith)
     c = c.join(texts.withColumnRenamed("doc_id", "_d"),
