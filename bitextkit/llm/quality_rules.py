@@ -221,12 +221,10 @@ def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
                    source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns as they are."""
     lang, source = _group_of(lang_col, source_col)
-    narrow = with_statistics(docs.select(F.col(text_col).alias("text"), lang.alias("_lang"),
-                                         source.alias("_source")))
-    groups, params = _fit(cut(narrow.select("_lang", "_source", "_q.base_failed",
-                                            *[f"_q.{k}" for k in NAMES]), "quality"))
-    rows = with_statistics(docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("text"),
-        lang.alias("_lang"), source.alias("_source"))).drop("text")
+    # the statistics are computed once and written beside the rows they are of
+    rows = cut(with_statistics(docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("text"),
+        lang.alias("_lang"), source.alias("_source"))).drop("text"), "quality")
+    groups, params = _fit(rows.select("_lang", "_source", "_q.base_failed", *[f"_q.{k}" for k in NAMES]))
     out = _verdict(rows, groups, params, F.col("_q.base_failed"), lambda k: F.col(f"_q.{k}"))
     return out.filter(F.col("_kept") & (F.col("_row_no") >= 0)).select("_row.*")
