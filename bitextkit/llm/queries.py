@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bitextkit.llm import (
-    decontaminate, license_scan, line_dedup, lm_scores, near_dedup, packing, periodic_runs, quality_rules,
+    collocations, decontaminate, license_scan, line_dedup, lm_scores, near_dedup, packing, periodic_runs, quality_rules,
     secret_scan, token_counts, toxicity, vector_search)
 from bitextkit.llm.common import documents
 from bitextkit.session import read_table
@@ -60,6 +60,10 @@ def op12_nearest_neighbours(spark, sf_dir):
     return vector_search.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_scores, op2_secret_scan, op3_decontamination, op4_quality_rules, op5_toxicity, op6_minhash_dedup, op7_line_dedup,
-    op8_token_counts, op9_packing, op10_license_scan, op11_periodic_runs, op12_nearest_neighbours)}
+    op8_token_counts, op9_packing, op10_license_scan, op11_periodic_runs, op12_nearest_neighbours, op13_collocations)}
