@@ -263,6 +263,9 @@ def tok_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEDGER_NULL_MOD = 50
 LEDGER_NO_TRACK_MOD = 37
 
+# The kinds of events, conditions of the variance analysis over users.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
 # The decode grid of the reference's sweep (54 configurations).
 GRID = {"num_beams": [4, 6, 8], "max_length": [48, 64, 80],
         "length_penalty": [0.8, 1.0, 1.2], "repetition_penalty": [1.0, 1.1]}

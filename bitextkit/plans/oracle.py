@@ -601,3 +601,50 @@ ORACLE["s07_read_ledger"] = build("SELECT iter, coalesce(track, 'main') AS track
 ORACLE["s08_scrape_metric"] = build("""SELECT arg_max(round(abs(value)::DECIMAL(24, 8), 2)::DOUBLE, iter) AS final_bleu,
   count(*)::BIGINT AS occurrences FROM ledger WHERE value IS NOT NULL""", "ledger")
 ORACLE["s13_split_round_trip"] = build("SELECT pair_id, direction, split FROM split3", "split3")
+
+# ------------------------------------------------------------ promised by the reference, without code there
+_bare = "regexp_replace(source, '^translate [^:]*: ', '')"
+cte("sided", f"SELECT p.pair_id, p.direction, s.split, least({_bare}, p.target) AS k1, greatest({_bare}, p.target) AS k2 "
+    "FROM pairs p JOIN split3 s ON s.pair_id = p.pair_id AND s.direction = p.direction", ["pairs", "split3"])
+ORACLE["s210_leakage_exclusion"] = build(
+    "SELECT pair_id, direction FROM sided a WHERE NOT EXISTS (SELECT 1 FROM sided t WHERE t.split = 'test' "
+    "AND t.k1 = a.k1 AND t.k2 = a.k2)", "sided")
+ORACLE["s210_shared_split"] = build(f"""SELECT p.pair_id, p.direction, g.split
+FROM pairs p JOIN (
+  SELECT pair_id, CASE WHEN place < floor(n * 0.8::DOUBLE) THEN 'train'
+    WHEN place < floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT pair_id, sum(w) OVER () AS n, coalesce(sum(w) OVER (ORDER BY {_key('pair_id')}, pair_id
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+        FROM (SELECT pair_id, count(*) AS w FROM pairs GROUP BY pair_id))) g ON g.pair_id = p.pair_id""", "pairs")
+
+# The regularised incomplete beta function as its power series (the operator uses a continued fraction).
+_TAIL = """(SELECT id, CASE WHEN flip THEN 1 - front * total / a ELSE front * total / a END AS p FROM (
+  SELECT id, any_value(a) AS a, any_value(flip) AS flip,
+    any_value(exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x))) AS front, sum(term) AS total
+  FROM (SELECT *, exp(coalesce(sum(ln((a + b + m) / (a + 1 + m) * x)) OVER (PARTITION BY id ORDER BY m
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS term
+        FROM (SELECT id, x0 > 0.9 AS flip, CASE WHEN x0 > 0.9 THEN 1 - x0 ELSE x0 END AS x,
+                CASE WHEN x0 > 0.9 THEN b0 ELSE a0 END AS a, CASE WHEN x0 > 0.9 THEN a0 ELSE b0 END AS b FROM tails),
+             range(0, 20000) AS r(m)) GROUP BY id))"""
+_cells = """SELECT user_id, event_type, avg(value) AS x FROM events WHERE value IS NOT NULL GROUP BY user_id, event_type"""
+cte("cells", f"""SELECT * FROM ({_cells}) WHERE user_id IN (
+  SELECT user_id FROM ({_cells}) GROUP BY user_id HAVING count(*) = 5)""")
+cte("sums_of_squares", """SELECT count(DISTINCT user_id)::DOUBLE AS n, 5::DOUBLE AS k, sum((c.by_type - c.grand) ** 2) AS ss_systems,
+  sum((c.by_user - c.grand) ** 2) AS ss_subjects, sum((c.x - c.by_user - c.by_type + c.grand) ** 2) AS ss_error
+FROM (SELECT user_id, x, avg(x) OVER (PARTITION BY event_type) AS by_type, avg(x) OVER (PARTITION BY user_id) AS by_user,
+        avg(x) OVER () AS grand FROM cells) c""", ["cells"])
+cte("f_value", """SELECT *, (ss_systems / (k - 1)) / (ss_error / ((n - 1) * (k - 1))) AS f FROM sums_of_squares""", ["sums_of_squares"])
+_F_TAILS = """(SELECT 1 AS id, (n - 1) * (k - 1) / ((n - 1) * (k - 1) + (k - 1) * f) AS x0,
+  (n - 1) * (k - 1) / 2 AS a0, (k - 1) / 2 AS b0 FROM f_value)"""
+ORACLE["s210_anova"] = build(f"""SELECT n::BIGINT AS n, (SELECT count(DISTINCT user_id) FROM events)::BIGINT - n::BIGINT AS n_dropped,
+  k::BIGINT AS k, (k - 1)::BIGINT AS df_systems, ((n - 1) * (k - 1))::BIGINT AS df_error, round(ss_systems, 3) AS ss_systems,
+  round(ss_subjects, 3) AS ss_subjects, round(ss_error, 3) AS ss_error, round(f, 6) AS f, round(p, 6) AS p_value
+FROM f_value, {_TAIL.replace('FROM tails', 'FROM ' + _F_TAILS)}""", "f_value")
+cte("t_value", """SELECT row_number() OVER (ORDER BY system_a, system_b) AS id, *, mean_diff / (s / sqrt(n)) AS t FROM (
+  SELECT a.event_type AS system_a, b.event_type AS system_b, count(*) AS n, avg(a.x - b.x) AS mean_diff, stddev_samp(a.x - b.x) AS s
+  FROM cells a JOIN cells b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY 1, 2)""", ["cells"])
+_T_TAILS = "(SELECT id, (n - 1) / (n - 1 + t * t) AS x0, (n - 1) / 2 AS a0, 0.5::DOUBLE AS b0 FROM t_value)"
+ORACLE["s210_posthoc_t"] = build(f"""SELECT system_a, system_b, n, n - 1 AS df, round(mean_diff, 6) AS mean_diff, round(t, 6) AS t,
+  round(p, 6) AS p_value, round(max(least(1, step * p)) OVER (ORDER BY p, system_a, system_b), 6) AS p_holm
+FROM (SELECT v.*, q.p, count(*) OVER () - row_number() OVER (ORDER BY q.p, system_a, system_b) + 1 AS step
+      FROM t_value v JOIN {_TAIL.replace('FROM tails', 'FROM ' + _T_TAILS)} q ON q.id = v.id)""", "t_value")

@@ -592,3 +592,43 @@ def s13(spark, d):
     s = P.split_by(fx.pairs(spark, d)).select("pair_id", "direction", "split")
     return spark.read.parquet(_written(spark, "split", lambda p: IO.write_split(s, p))).select(
         "pair_id", "direction", "split")
+
+
+# ------------------------------------------------------------ promised by the reference, without code there
+
+from bitextkit.operators import anova as AN  # noqa: E402
+from bitextkit.operators import leakage as LK  # noqa: E402
+from bitextkit.operators.shared_split import split_groups  # noqa: E402
+
+
+@query("s210_leakage_exclusion")
+def leakage(spark, d):
+    """Preference rows (both directions) without the pairs of the test split, in either order."""
+    rows = fx.pairs(spark, d).select("pair_id", "direction", "source", "target")
+    test = P.split_by(rows).filter(F.col("split") == "test")
+    sides = (LK.bare_prompt("source"), F.col("target"))
+    return LK.exclude_pairs(rows, test, sides, sides).select("pair_id", "direction")
+
+
+@query("s210_shared_split")
+def shared_split(spark, d):
+    return split_groups(fx.pairs(spark, d), "pair_id").select("pair_id", "direction", "split")
+
+
+def _by_event_type(spark, d):
+    return read_table(spark, d, "events").select("user_id", "event_type", "value")
+
+
+@query("s210_anova")
+def anova(spark, d):
+    a = AN.repeated_measures_anova(_by_event_type(spark, d), fx.EVENT_TYPES, "user_id", "event_type", "value")
+    return a.select("n", "n_dropped", "k", "df_systems", "df_error", F.round("ss_systems", 3).alias("ss_systems"),
+                    F.round("ss_subjects", 3).alias("ss_subjects"), F.round("ss_error", 3).alias("ss_error"),
+                    F.round("f", 6).alias("f"), F.round("p_value", 6).alias("p_value"))
+
+
+@query("s210_posthoc_t")
+def posthoc(spark, d):
+    t = AN.paired_t_tests(_by_event_type(spark, d), fx.EVENT_TYPES, "user_id", "event_type", "value")
+    return t.select("system_a", "system_b", "n", "df", *[F.round(c, 6).alias(c) for c in (
+        "mean_diff", "t", "p_value", "p_holm")])
