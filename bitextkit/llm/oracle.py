@@ -28,22 +28,24 @@ OP13 = f"""WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER_AZ}', '{LOWER_AZ}'),
     '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
 words AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
-grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
   FROM words, (VALUES (1), (2), (3)) AS t(k) WHERE len(w) >= k),
-f AS (SELECT lang, g, count(*) AS a FROM grams GROUP BY lang, g),
-total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
-c AS (SELECT * FROM f WHERE len(g) >= 2 AND a >= 10),
-cuts AS (SELECT c.lang, c.g, c.a, k.k, x.a AS l, y.a AS r,
-    ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
-  FROM c JOIN (VALUES (1), (2)) AS k(k) ON k.k < len(c.g)
-  JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k.k + 1:]),
-least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
-inner_ AS (SELECT lang, g, max(longer) AS longer FROM (
-    SELECT lang, g[1:2] AS g, a AS longer FROM c WHERE len(g) = 3
-    UNION ALL SELECT lang, g[2:3], a FROM c WHERE len(g) = 3) GROUP BY lang, g),
-kept AS (SELECT s.lang, array_to_string(s.g, ' ') AS phrase, s.a, s.l, s.r, s.score
-  FROM least s LEFT JOIN inner_ i ON i.lang = s.lang AND i.g = s.g
-  WHERE i.longer IS NULL OR len(s.g) = 3 OR 100 * i.longer < 50 * s.a),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS a FROM grams GROUP BY lang, k, g),
+total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+often AS MATERIALIZED (SELECT lang, g, a FROM f WHERE a >= 10),
+c AS MATERIALIZED (SELECT lang, k, g, a, string_split(g, ' ') AS w FROM f WHERE k >= 2 AND a >= 10),
+parts AS MATERIALIZED (
+  SELECT lang, g, a, 1 AS cut, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM c
+  UNION ALL SELECT lang, g, a, 2, array_to_string(w[1:2], ' '), w[3] FROM c WHERE k = 3),
+lefts AS MATERIALIZED (SELECT p.*, o.a AS l FROM parts p JOIN often o ON o.lang = p.lang AND o.g = p.x),
+cuts AS (SELECT p.lang, p.g, p.a, p.cut, p.l, o.a AS r, ((1000000::HUGEINT * p.a * p.a) // (p.l::HUGEINT * o.a))::BIGINT AS score
+  FROM lefts p JOIN often o ON o.lang = p.lang AND o.g = p.y),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+around AS (SELECT lang, g, max(longer) AS longer FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS g, a AS longer FROM c WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) GROUP BY lang, g),
+kept AS (SELECT s.lang, s.g AS phrase, s.a, s.l, s.r, s.score FROM least s LEFT JOIN around i ON i.lang = s.lang AND i.g = s.g
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * s.a),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN total t ON t.lang = r.lang WHERE r.rank <= 2000"""
 
