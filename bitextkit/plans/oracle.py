@@ -494,17 +494,25 @@ cte("scores", """SELECT a.id, a.s AS score_a, b.s AS score_b FROM
   (SELECT id, round(""" + _CHRF + """ * 10000.0::DOUBLE)::BIGINT AS s FROM sb_stats) b ON a.id = b.id""",
     ["sa_stats", "sb_stats"])
 ORACLE["j05_paired_scores"] = build("SELECT id, score_a, score_b FROM scores", "scores")
-_bit = ("(((instr('0123456789abcdef', substring(h, j // 4 + 1, 1)) - 1) // (CASE j % 4 WHEN 0 THEN 8 "
-        "WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END)) % 2)")
-ORACLE["a16_randomization_test"] = build(f"""SELECT hits, trials, hits::DOUBLE / trials AS p_value, observed_abs_sum
+# splitmix64 in 128-bit arithmetic, modulo 2^64.
+def _mix_step(x, shift, times):
+    return f"((xor({x}, {x} >> {shift})::UHUGEINT * {times}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+cte("coin_rows", """SELECT (row_number() OVER (ORDER BY id) - 1) // 64 AS blk, (row_number() OVER (ORDER BY id) - 1) % 64 AS j,
+  score_a - score_b AS d FROM scores""", ["scores"])
+cte("coin_words", f"""SELECT blk, trial, xor(z2, z2 >> 31) AS w FROM (
+  SELECT blk, trial, {_mix_step('z1', 27, 0x94D049BB133111EB)} AS z2 FROM (
+    SELECT blk, trial, {_mix_step('z0', 30, 0xBF58476D1CE4E5B9)} AS z1 FROM (
+      SELECT blk, trial, ((blk::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT + trial::UHUGEINT * {0xD1B54A32D192ED03}::UHUGEINT + 42)
+        % 18446744073709551616::UHUGEINT)::UBIGINT AS z0
+      FROM (SELECT DISTINCT blk FROM coin_rows), range(0, 10000) t(trial))))""", ["coin_rows"])
+ORACLE["a16_randomization_test"] = build("""SELECT hits, trials, hits::DOUBLE / trials AS p_value, observed_abs_sum
 FROM (SELECT count(*) FILTER (WHERE abs(s) >= (SELECT abs(sum(score_a - score_b)) FROM scores))::BIGINT AS hits,
              count(*)::BIGINT AS trials,
              (SELECT abs(sum(score_a - score_b)) FROM scores)::BIGINT AS observed_abs_sum
-      FROM (SELECT trial, sum((1 - 2 * {_bit}) * d) AS s
-            FROM (SELECT blk, trial, md5(concat_ws(':', '42', trial, blk)) AS h
-                  FROM (SELECT DISTINCT id // 128 AS blk FROM scores), range(0, 10000) t(trial)) c
-            JOIN (SELECT id // 128 AS blk, id % 128 AS j, score_a - score_b AS d FROM scores) x USING (blk)
-            GROUP BY trial))""", "scores")
+      FROM (SELECT trial, sum(CASE WHEN (w >> j::UBIGINT) & 1 = 1 THEN -d ELSE d END) AS s
+            FROM coin_words JOIN coin_rows USING (blk) GROUP BY trial))""", "coin_words", "scores")
 ORACLE["a17_cohens_d"] = build("""SELECT count(*)::BIGINT AS n,
   round(avg(d) / (stddev_samp(d) + 1e-10), 6) AS cohens_d, round(avg(d), 6) AS mean_diff
 FROM (SELECT (score_a - score_b)::DOUBLE / 10000.0::DOUBLE AS d FROM scores)""", "scores")

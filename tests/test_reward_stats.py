@@ -1,5 +1,7 @@
 import math
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,32 @@ def test_reinforce_loss_does_not_cancel(spark):
     rows = [(0, 1e9 + x, y) for x, y in ((1.0, -3.0), (2.0, -9.0), (3.0, -24.0))]
     d = spark.createDataFrame(rows + [(0, None, 5.0)], "batch_id long, reward double, logp double")
     assert abs(R.reinforce_loss(d).first().reinforce_loss - 7.0) < 1e-6
+
+
+def test_randomization_against_the_coins(spark):
+    """Every trial's sum again in plain Python, with gaps between ids, text ids and large differences."""
+    rnd = random.Random(7)
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2 ** 64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2 ** 64
+        return x ^ x >> 31
+
+    for ids, kind in ((sorted(rnd.sample(range(-10**15, 10**15), 150)), "long"), (sorted(f"s{i}" for i in range(70)), "string")):
+        diff = [rnd.choice([-1, 0, 1, 2, 10**12, -10**9]) * rnd.randrange(1, 50) for _ in ids]
+        rows = [(i, d, 0) for i, d in zip(ids, diff)] + [(ids[3], 5, 0)]         # an id twice
+        diff[3] += 5
+        hits = 0
+        for t in range(120):
+            words = [mix((42 + b * 0x9E3779B97F4A7C15 + t * 0xD1B54A32D192ED03) % 2 ** 64) for b in range(len(ids) // 64 + 1)]
+            hits += abs(sum(-d if words[i // 64] >> i % 64 & 1 else d for i, d in enumerate(diff))) >= abs(sum(diff))
+        df = spark.createDataFrame(rows, f"id {kind}, score_a long, score_b long").repartition(5)
+        r = ST.randomization_test(df, trials=120).first()
+        assert (r.hits, r.trials, r.observed_abs_sum) == (hits, 120, abs(sum(diff)))
+
+
+def test_dense_numbers(spark):
+    ids = [None, -5, 0, 3, 10**17] + list(range(1000, 3000, 7))
+    got = ST.dense_numbers(spark.createDataFrame([(i,) for i in ids], "id long").repartition(9)).collect()
+    assert [r.number for r in sorted(got, key=lambda r: (r.id is not None, r.id or 0))] == list(range(len(ids)))
+    assert ST.dense_numbers(spark.createDataFrame([], "id long")).collect() == []
