@@ -176,10 +176,11 @@ def _solver(batches):
 
 # ------------------------------------------------------------ documents
 
-def with_words(docs: DataFrame) -> DataFrame:
-    """(id, th, w) of ``docs`` (id, text): words after the rule of the contract:
-    with h = crc32 of the id, where h ends in 0 the words from a on repeat."""
-    d = docs.select("id", F.xxhash64(text_of()).alias("th"), ws_words(text_of()).alias("_w"),
+def with_words(docs: DataFrame, *more: str) -> DataFrame:
+    """(id, th, w) of ``docs`` (id, text), and more of its columns: words after
+    the rule of the contract: with h = crc32 of the id, where h ends in 0 the
+    words from a on repeat."""
+    d = docs.select("id", *more, F.xxhash64(text_of()).alias("th"), ws_words(text_of()).alias("_w"),
                     F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")).alias("_h"))
     n, g = F.size("_w"), F.floor(F.col("_h") / 10)
     rule = (F.col("_h") % 10 == 0) & (n > 0)
@@ -188,7 +189,7 @@ def with_words(docs: DataFrame) -> DataFrame:
     d = d.withColumn("_p", F.when(rule, 1 + F.floor((n - F.col("_a")) / (3 + g % 8))).cast("int"))
     moved = F.transform("_w", lambda x, i: F.when(i < F.col("_a"), x).otherwise(
         F.get("_w", F.col("_a") + (i - F.col("_a")) % F.col("_p"))))
-    return d.select("id", "th", F.when(F.col("_p").isNotNull(), moved).otherwise(F.col("_w")).alias("w"))
+    return d.select("id", "th", *more, F.when(F.col("_p").isNotNull(), moved).otherwise(F.col("_w")).alias("w"))
 
 
 def tiles(words: DataFrame) -> DataFrame:
@@ -240,9 +241,10 @@ def run_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     per = runs(d).groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "period", "length"))).alias("_runs"))
     per = cut(per, "runs")
-    w = with_words(d)
-    out = w.join(per.withColumnsRenamed({"id": "_i", "th": "_t"}),
-                 F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left").drop("_i", "_t")
+    # texts are shuffled, not their words, and not sorted: the runs are the smaller side
+    found = per.withColumnsRenamed({"id": "_i", "th": "_t"}).hint("shuffle_hash")
+    out = d.join(found, F.col("id").eqNullSafe(F.col("_i")) & (F.xxhash64(text_of()) == F.col("_t")), "left")
+    out = with_words(out, "_runs")
     none = F.array().cast(per.schema["_runs"].dataType)
     all_runs = F.coalesce(F.col("_runs"), none)
     best = F.aggregate(all_runs, F.get(all_runs, F.lit(0)), lambda acc, r: F.when(
