@@ -11,6 +11,7 @@ outputs (J02) becomes impossible to get wrong.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -115,31 +116,51 @@ def model_reward(df: DataFrame, scorer_factory, batch_size: int = 8, input_forma
 
 # ------------------------------------------------------------ U06
 
+def generate_for_grid(df: DataFrame, grid: dict[str, list], generator_factory, input: str, output: str,
+                      configs: str, batch_size: int = 64) -> DataFrame:
+    """Every row once for each *different* output of the grid's configurations:
+    ``df`` plus ``output`` (stripped) and ``configs``, the sorted ids of the
+    configurations that gave it.  Rows times configurations are never a table."""
+    names = list(grid)
+    cells = [dict(zip(names, x)) for x in itertools.product(*grid.values())]
+    schema = T.StructType(df.schema.fields + [T.StructField(output, T.StringType(), True),
+                                              T.StructField(configs, T.ArrayType(T.IntegerType()), True)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = generator_factory()
+        frames = [pd.DataFrame([cell] * batch_size, columns=names) for cell in cells]
+        for pdf in batches:
+            for start in range(0, len(pdf), batch_size):
+                chunk = pdf.iloc[start:start + batch_size].reset_index(drop=True)
+                made: list[dict] = [{} for _ in range(len(chunk))]
+                for c, cfg in enumerate(frames):
+                    for seen, text in zip(made, model(chunk[input], cfg.iloc[:len(chunk)])):
+                        seen.setdefault(text.strip() if isinstance(text, str) else text, []).append(c)
+                out = chunk.loc[[i for i, seen in enumerate(made) for _ in seen]].reset_index(drop=True)
+                out[output] = [text for seen in made for text in seen]
+                out[configs] = [ids for seen in made for ids in seen.values()]
+                yield out
+
+    return df.mapInPandas(run, schema)
+
+
 def sweep(df: DataFrame, grid: dict[str, list], generator_factory, input: str = "source",
           ref: str = "ref", id_col: str = "id", batch_size: int = 64) -> DataFrame:
-    """Every decode configuration of ``grid`` over the evaluation set in
-    ONE job: rows x configs by a Generate over the (bounded, driver-side) grid,
-    generation with the config columns, then BLEU (effective order) and chrF++
-    per config from one pass of sufficient statistics."""
-    from bitextkit.operators.mt_metrics import corpus_scores, sentence_stats
-    names = list(grid)
-    x = df.select(F.col(id_col).alias("_rid"), input, ref).withColumn(
-        "_cfg", F.explode(grid_array(grid))).select("_rid", input, ref, "_cfg.*")
-    n_cfg = 1
-    for v in grid.values():
-        n_cfg *= len(v)
-    gen = generate_rejected(x, generator_factory, batch_size, input=input, output="_hyp",
-                            config_cols=names)
-    gen = gen.withColumn("_sid", F.col("_rid") * F.lit(n_cfg) + F.col("config_id"))
-    # the grid multiplies the rows by n_cfg: scale the statistics stage's
-    # partition count with it so per-task aggregation state stays constant
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    st = sentence_stats(gen, "_sid", "_hyp", ref, keep=("config_id",),
-                        num_partitions=base * max(1, n_cfg // 4))
-    res = corpus_scores(st, by=("config_id",))
+    """BLEU (effective order) and chrF++ of every decode configuration of
+    ``grid`` over the evaluation set, in one job.
+
+    Outputs that several configurations share are scored once; their sufficient
+    statistics are summed by set of configurations (few sets, one small row each)
+    and only these sums are given to the single configurations."""
+    from bitextkit.operators.mt_metrics import STAT_COLS_BLEU, STAT_COLS_CHRF, corpus_scores, sentence_stats
+    x = df.select(F.col(id_col).alias("_rid"), input, ref)
+    made = generate_for_grid(x, grid, generator_factory, input, "_hyp", "_configs", batch_size)
+    st = sentence_stats(made, "_rid", "_hyp", ref, keep=("_configs",))
+    sums = st.groupBy("_configs").agg(F.count(F.lit(1)).alias("_rows"), *[
+        F.sum(c).alias(c) for c in STAT_COLS_BLEU + STAT_COLS_CHRF])
+    res = corpus_scores(sums.withColumn("config_id", F.explode("_configs")), by=("config_id",))
     cfgs = df.sparkSession.range(1).select(F.inline(grid_array(grid)))
-    return cfgs.join(res, "config_id").select("config_id", *names, F.col("bleu_eff").alias("bleu"),
-                                             "chrf")
+    return cfgs.join(res, "config_id").select("config_id", *grid, F.col("bleu_eff").alias("bleu"), "chrf")
 
 
 # ------------------------------------------------------------ P15

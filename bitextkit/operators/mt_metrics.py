@@ -4,35 +4,32 @@ reference pairing (J01) and clipped n-gram matches (J03).
 
 Plan::
 
-    rows(id, hyp, ref) -> Exchange hash(id)            <- the only shuffle
-      -> Generate n-grams (hyp and ref, tagged)         two-level, O(len) per row
-      -> HashAggregate (id, order, gram)  min(hyp, ref) no exchange: hash(id) satisfies it
-      -> HashAggregate (id)               per-sentence matches, pivoted by order
-      -> join row lengths (co-partitioned by id)       per-sentence stats table
-      -> rollup(direction) sums -> closed-form score   partial aggregation, tiny
-
-Hypothesis/reference n-gram *totals* come from lengths (no explode), so empty
-hypotheses keep their brevity-penalty contribution.  Nothing here is a Python
-UDF: A01/A02 are decomposed into sums, never a UDAF.
+    rows(id, hyp, ref) -> native units (13a tokens, characters, words) of both sides
+      -> Arrow batch: n-grams of all its sentences as numbers, clipped overlap
+         per sentence                                   no row a gram, no exchange
+      -> rollup(direction) sums -> closed-form score    partial aggregation, tiny
+
+A gram is the number of (its first n - 1 units, its last unit), where numbers
+begin at (sentence, unit): equal numbers are equal grams of one sentence, exactly.
+Counting an order is one sort of a batch's positions.  Totals come from lengths, so
+empty hypotheses keep their brevity-penalty contribution.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitextkit.functions.text import chrf_chars, chrf_words, tokenize_13a
-from bitextkit.session import input_bytes
 
 BLEU_ORDER = 4      # fixed value: max n-gram order of BLEU
 CHAR_ORDER = 6      # fixed values: chrF++ character and word orders, beta
 WORD_ORDER = 2
 CHRF_BETA = 2
 
-# order codes in the n-gram table: BLEU 1..4, chrF chars 11..16, chrF words 21..22
 BLEU_CODES = list(range(1, BLEU_ORDER + 1))
-CHAR_CODES = [10 + n for n in range(1, CHAR_ORDER + 1)]
-WORD_CODES = [20 + n for n in range(1, WORD_ORDER + 1)]
+UNITS = 1 << 21     # units of both sides that are counted together
 
 
 def prepare(df: DataFrame, id_col: str = "id", hyp: str = "hyp", ref: str = "ref",
@@ -47,118 +44,107 @@ def prepare(df: DataFrame, id_col: str = "id", hyp: str = "hyp", ref: str = "ref
     return df.select(*cols)
 
 
-def _char_windows(col: str, width: int) -> Column:
-    """For every code point position: the next up-to-``width`` characters.
-    The match looks ahead and then consumes one character, so it stands once
-    at each code point (a match of no width would also stand inside a surrogate
-    pair); one native regex pass, no lambda."""
-    return F.regexp_extract_all(F.col(col), F.lit(f"(?s)(?=(.{{1,{width}}}))."), 1)
-
-
-def _token_windows(col: str, width: int) -> Column:
-    """For every token start: the next up-to-``width`` tokens, space-joined
-    (tokens never contain a space)."""
-    joined = F.array_join(F.col(col), " ")
-    pattern = f"(?:^| )(?=([^ ]+(?: [^ ]+){{0,{width - 1}}}))"
-    return F.regexp_extract_all(joined, F.lit(pattern), 1)
-
-
-def ngram_counts(units: DataFrame, keep=(), bleu: bool = True, chrf: bool = True) -> DataFrame:
-    """Per (id, keep..., order code): hyp n-gram total, ref n-gram total
-    and clipped matches sum_g min(hyp count, ref count).  ``units`` must be
-    hash-partitioned by id (then no further exchange is planned).
-
-    Two code-generated Generate steps: (1) one row per (side, unit kind,
-    start position) holding the window string; (2) the <= 6 grams starting
-    there (prefixes of the window).  One marker row per sentence (order 0)
-    keeps sentences without any n-gram in the result."""
-    keep = list(keep)
-    kinds = []
-    if bleu:
-        kinds.append(("tok", 0, BLEU_ORDER, False))
-    if chrf:
-        kinds += [("chr", 10, CHAR_ORDER, True), ("wrd", 20, WORD_ORDER, False)]
-    entries = [F.struct(F.lit("m").alias("side"), F.lit(-1).alias("base"), F.lit(False).alias("tok"),
-                        F.lit(0).alias("width"), F.array(F.lit("")).alias("wins"))]
-    for side in ("h", "r"):
-        for name, base, width, is_string in kinds:
-            col = f"{name}_{side}"
-            wins = _char_windows(col, width) if is_string else _token_windows(col, width)
-            entries.append(F.struct(F.lit(side).alias("side"), F.lit(base).alias("base"),
-                                    F.lit(not is_string).alias("tok"),
-                                    F.lit(width).alias("width"), wins.alias("wins")))
-    per_kind = units.select("id", *keep, F.inline(F.array(*entries)))
-    wins = per_kind.select("id", *keep, "side", "base", "tok", "width", F.explode("wins").alias("w"))
-    n_units = F.when(F.col("tok"), F.length("w") - F.length(F.replace(F.col("w"), F.lit(" "), F.lit("")))
-                     + 1).otherwise(F.length("w"))
-    max_width = max(k[2] for k in kinds)
-    grams = [F.when(F.col("base") == -1, F.struct(F.lit(0).alias("o"), F.lit("").alias("g")))]
-    for n in range(1, max_width + 1):
-        g = F.when(F.col("tok"), F.substring_index(F.col("w"), " ", n)).otherwise(
-            F.substring(F.col("w"), 1, n))
-        grams.append(F.when((F.col("base") >= 0) & (F.lit(n) <= n_units) & (F.lit(n) <= F.col("width")),
-                            F.struct((F.col("base") + n).alias("o"), g.alias("g"))))
-    per = wins.select("id", *keep, "side", F.explode(F.array(*grams)).alias("x")).filter(
-        F.col("x").isNotNull()).select("id", *keep, "side", "x.o", "x.g")
-    per_gram = per.groupBy("id", *keep, "o", "g").agg(
-        F.count(F.when(F.col("side") == "h", 1)).alias("hc"),
-        F.count(F.when(F.col("side") == "r", 1)).alias("rc"))
-    return per_gram.groupBy("id", *keep, "o").agg(
-        F.sum("hc").cast("long").alias("hyp_total"), F.sum("rc").cast("long").alias("ref_total"),
-        F.sum(F.least("hc", "rc")).cast("long").alias("matches"))
-
-
-def ngram_matches(units: DataFrame, bleu: bool = True, chrf: bool = True) -> DataFrame:
-    """J03 (matches only): (id, o, matches)."""
-    return ngram_counts(units, (), bleu, chrf).filter(F.col("o") > 0).select("id", "o", "matches")
-
-
-#: Bytes of estimated input for each partition behind the sentence exchange.
-PARTITION_BYTES = 8 << 20
-
-
-def partitions_for(df: DataFrame) -> int:
-    """``spark.sql.shuffle.partitions``, or more if the size of the input asks for it."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, input_bytes(df) // PARTITION_BYTES)
+def clipped_matches(hyp, hyp_len, ref, ref_len, order: int):
+    """Sum over grams of min(count in hyp, count in ref) for n = 1..order
+    and every sentence (order x sentences).  ``hyp`` and ``ref`` are the units of
+    all sentences as numbers, one after another."""
+    import numpy as np
+    n_rows, n_hyp = len(hyp_len), len(hyp)
+    unit = np.concatenate([hyp, ref]).astype(np.int64)
+    length = np.concatenate([hyp_len, ref_len]).astype(np.int64)
+    row = np.repeat(np.concatenate([np.arange(n_rows)] * 2), length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(unit))      # units up to the sentence's end
+    base = int(unit.max(initial=0)) + 1
+    out = np.zeros((order, n_rows), dtype=np.int64)
+    gram, at = row * base + unit, np.arange(len(unit))
+    for n in range(1, order + 1):
+        if n > 1:
+            stays = left[at] >= n
+            at = at[stays]
+            gram = gram[stays] * base + unit[at + n - 1]
+        if not len(at):
+            break
+        _, first, gram = np.unique(gram, return_index=True, return_inverse=True)
+        ours = at < n_hyp
+        both = np.minimum(np.bincount(gram[ours], minlength=len(first)), np.bincount(gram[~ours], minlength=len(first)))
+        out[n - 1] = np.bincount(row[at[first]], weights=both, minlength=n_rows).astype(np.int64)
+    return out
+
+
+def _numbers(column) -> tuple:
+    """(units, units a row) of an Arrow
+    column of strings (their characters) or of arrays of strings."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    if pa.types.is_list(column.type):
+        return column.flatten(), pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    return (np.frombuffer("".join(column.to_pylist()).encode("utf-32-le"), dtype=np.uint32),
+            pc.utf8_length(column).to_numpy(zero_copy_only=False))
+
+
+def _count_batch(batch, kinds) -> dict:
+    """Totals and matches of an Arrow batch: {(kind, "h" or "r" or "m", n): numbers}."""
+    import numpy as np
+    import pyarrow as pa
+    out = {}
+    for kind, order in kinds:
+        (h, hn), (r, rn) = (_numbers(batch.column(f"{kind}_{side}")) for side in "hr")
+        if isinstance(h, pa.Array):
+            both = pa.concat_arrays([h, r]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            h, r = both[:len(h)], both[len(h):]
+        else:
+            both = np.unique(np.concatenate([h, r]), return_inverse=True)[1]
+            h, r = both[:len(h)], both[len(h):]
+        matches = np.zeros((order, len(hn)), dtype=np.int64)
+        ends_h, ends_r = np.cumsum(hn), np.cumsum(rn)
+        i = 0
+        while i < len(hn):                      # slices of so many units, one sentence at least
+            done = int(ends_h[i - 1] + ends_r[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends_h + ends_r, done + UNITS, "right")))
+            a, b = (int(e[i - 1]) if i else 0 for e in (ends_h, ends_r))
+            matches[:, i:j] = clipped_matches(h[a:int(ends_h[j - 1])], hn[i:j], r[b:int(ends_r[j - 1])], rn[i:j], order)
+            i = j
+        for n in range(1, order + 1):
+            out[kind, "h", n], out[kind, "r", n] = np.maximum(hn - n + 1, 0), np.maximum(rn - n + 1, 0)
+            out[kind, "m", n] = matches[n - 1]
+    return out
 
 
 def sentence_stats(df: DataFrame, id_col: str = "id", hyp: str = "hyp", ref: str = "ref",
-                   keep=("direction",), bleu: bool = True, chrf: bool = True,
-                   num_partitions: int | None = None) -> DataFrame:
-    """Per-sentence sufficient statistics for BLEU and chrF++.
+                   keep=("direction",), bleu: bool = True, chrf: bool = True) -> DataFrame:
+    """Per-sentence sufficient statistics for BLEU and chrF++, map-only.
 
     Columns: id, keep..., bleu_hyp_len, bleu_ref_len, bleu_m{n}, bleu_t{n},
-    chrf_h{k}, chrf_r{k}, chrf_m{k} for k = 1..8 (chars 1-6, words 1-2).
-
-    One explicit ``repartition(n, id)`` of the sentences as they are (the texts
-    travel once, units are made behind the exchange); every later aggregation
-    is keyed by id and row and reuses that partitioning.  Rows that share an id
-    stay apart.  The partition count is explicit because the n-gram explosion
-    multiplies the work ~100x after the shuffle (AQE would otherwise coalesce
-    by the small shuffle size); it follows the estimated input size."""
+    chrf_h{k}, chrf_r{k}, chrf_m{k} for k = 1..8 (chars 1-6, words 1-2).  Units
+    are made natively; the grams of a batch are counted in one Arrow pass.  Rows
+    that share an id stay apart."""
     keep = list(keep)
-    rows = df.select(F.col(id_col).alias("id"), *keep, F.col(hyp).alias("_hyp"), F.col(ref).alias("_ref"),
-                     F.monotonically_increasing_id().alias("_row"))
-    rows = rows.repartition(num_partitions or partitions_for(df), "id")
-    units = prepare(rows, "id", "_hyp", "_ref", [*keep, "_row"], chrf=chrf, bleu=bleu)
-    keep.append("_row")
-    c = ngram_counts(units, keep, bleu, chrf)
-    out = []
-
-    def total(code, field):
-        return F.coalesce(F.sum(F.when(F.col("o") == code, F.col(field))), F.lit(0)).cast("long")
-    if bleu:
-        out += [total(1, "hyp_total").alias("bleu_hyp_len"), total(1, "ref_total").alias("bleu_ref_len")]
-        for n in BLEU_CODES:
-            out += [total(n, "matches").alias(f"bleu_m{n}"), total(n, "hyp_total").alias(f"bleu_t{n}")]
-    if chrf:
-        for k, code in enumerate(CHAR_CODES + WORD_CODES, start=1):
-            r = total(code, "ref_total")
-            out += [F.when(r > 0, total(code, "hyp_total")).otherwise(F.lit(0)).cast("long")
-                    .alias(f"chrf_h{k}"), r.alias(f"chrf_r{k}"),
-                    total(code, "matches").alias(f"chrf_m{k}")]
-    return c.groupBy("id", *keep).agg(*out).drop("_row")
+    units = prepare(df, id_col, hyp, ref, keep, chrf=chrf, bleu=bleu)
+    kinds = ([("tok", BLEU_ORDER)] if bleu else []) + ([("chr", CHAR_ORDER), ("wrd", WORD_ORDER)] if chrf else [])
+    names = (STAT_COLS_BLEU if bleu else []) + (STAT_COLS_CHRF if chrf else [])
+    schema = T.StructType([units.schema[c] for c in ["id", *keep]] + [T.StructField(c, T.LongType()) for c in names])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            got = _count_batch(batch, kinds)
+            cols = {}
+            if bleu:
+                cols["bleu_hyp_len"], cols["bleu_ref_len"] = got["tok", "h", 1], got["tok", "r", 1]
+                for n in BLEU_CODES:
+                    cols[f"bleu_m{n}"], cols[f"bleu_t{n}"] = got["tok", "m", n], got["tok", "h", n]
+            if chrf:
+                orders = [("chr", n) for n in range(1, CHAR_ORDER + 1)] + [("wrd", n) for n in range(1, WORD_ORDER + 1)]
+                for k, (kind, n) in enumerate(orders, start=1):
+                    r = got[kind, "r", n]
+                    cols[f"chrf_h{k}"] = np.where(r > 0, got[kind, "h", n], 0)
+                    cols[f"chrf_r{k}"], cols[f"chrf_m{k}"] = r, got[kind, "m", n]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ["id", *keep]] + [
+                pa.array(np.asarray(cols[c], dtype=np.int64)) for c in names], names=["id", *keep, *names])
+
+    return units.mapInArrow(run, schema)
 
 
 STAT_COLS_BLEU = (["bleu_hyp_len", "bleu_ref_len"]
@@ -166,8 +152,7 @@ STAT_COLS_BLEU = (["bleu_hyp_len", "bleu_ref_len"]
 STAT_COLS_CHRF = [f"chrf_{x}{k}" for k in range(1, CHAR_ORDER + WORD_ORDER + 1) for x in "hrm"]
 
 
-# ------------------------------------------------------------ closed-form scores (SQL text
-# shared with the oracle; both engines evaluate it on their own aggregated statistics)
+# ------------------------------------------------------------ closed-form scores (as SQL text)
 
 def _d(x) -> str:
     return f"CAST({x} AS DOUBLE)"

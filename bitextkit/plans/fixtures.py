@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bitextkit.functions.text import WS_RUN
 from bitextkit.operators.clean import clean_parallel, normalize_pairs, pair_groups
 from bitextkit.operators.pairs import expand_directions
-from bitextkit.session import read_table
+from bitextkit.session import partitions_for, read_table
 
 # Language names of the corpus metadata.
 SRC_LANG = "kangri"
@@ -38,9 +38,9 @@ def memo(fn):
         if df is None:
             from bitextkit.session import scratch_path
             path = scratch_path(spark, f"fixture-{fn.__name__}")
-            # spread the (small) fixture like a multi-file table would be
-            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            fn(spark, sf_dir).repartition(n).write.parquet(path)
+            # spread the fixture like a table of many files would be
+            made = fn(spark, sf_dir)
+            made.repartition(partitions_for(made)).write.parquet(path)
             df = spark.read.parquet(path)
             _MEMO[key] = df
         return df
@@ -269,9 +269,14 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 # The decode grid of the reference's sweep (54 configurations).
 GRID = {"num_beams": [4, 6, 8], "max_length": [48, 64, 80],
         "length_penalty": [0.8, 1.0, 1.2], "repetition_penalty": [1.0, 1.1]}
-# The registered sweep runs over whole texts, with a grid of four.
-SWEEP_GRID = {"num_beams": [4, 8], "max_length": [64], "length_penalty": [0.8, 1.0],
-              "repetition_penalty": [1.0]}
+
+
+@memo
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decode sweep over all of :data:`GRID` with the dropping stand-in."""
+    from bitextkit.operators.infer import sweep as run
+    from bitextkit.plans.standins import dropping_generator
+    return run(hyps(spark, sf_dir).select("id", "source", "ref"), GRID, dropping_generator(3))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,7 +247,7 @@ WHERE rn <= 100""", "prompts")
 from bitextkit.operators import mt_metrics as _M  # noqa: E402
 from bitextkit.plans.fixtures import (ALL_MASKED_MOD, HYP_EMPTY_MOD, HYP_EQUAL_MOD,  # noqa: E402
                                       LABEL_MASK_MOD, LEDGER_NO_TRACK_MOD, LEDGER_NULL_MOD,
-                                      NULL_DIR_MOD, SWEEP_GRID)
+                                      NULL_DIR_MOD, GRID)
 
 
 def _drop_every(x: str, k) -> str:
@@ -264,6 +264,11 @@ FROM (SELECT *, pair_id * 2 + CASE WHEN direction = 'tgt2src' THEN 1 ELSE 0 END
     ["pairs"])
 
 
+# order codes of the gram table: BLEU 1..4, characters 11..16, words 21..22
+_CHAR_CODES = [10 + n for n in range(1, 7)]
+_WORD_CODES = [20 + n for n in range(1, 3)]
+
+
 def stats_ctes(p: str, src: str, id_expr: str, hyp: str, ref: str, keep: list[str],
                deps: list[str]) -> str:
     """Register CTEs {p}_u, {p}_g, {p}_m, {p}_stats: per-sentence statistics
@@ -282,7 +287,7 @@ def stats_ctes(p: str, src: str, id_expr: str, hyp: str, ref: str, keep: list[st
         parts.append(f"""SELECT id, '{side}', 20 + n, array_to_string(wrd_{side}[p:p + n - 1], ' ')
   FROM {p}_u, range(1, len(wrd_{side}) + 1) rp(p), range(1, 3) rn(n) WHERE p + n - 1 <= len(wrd_{side})""")
     cte(f"{p}_g", "\nUNION ALL ".join(parts), [f"{p}_u"])
-    codes = _M.BLEU_CODES + _M.CHAR_CODES + _M.WORD_CODES
+    codes = _M.BLEU_CODES + _CHAR_CODES + _WORD_CODES
     piv = ", ".join(f"sum(least(hc, rc)) FILTER (WHERE o = {c}) AS m{c}" for c in codes)
     cte(f"{p}_m", f"""SELECT id, {piv} FROM (
   SELECT id, o, g, count(*) FILTER (WHERE side = 'h') AS hc, count(*) FILTER (WHERE side = 'r') AS rc
@@ -292,8 +297,8 @@ def stats_ctes(p: str, src: str, id_expr: str, hyp: str, ref: str, keep: list[st
         cols.append(f"coalesce(m.m{n}, 0)::BIGINT AS bleu_m{n}")
         cols.append(f"greatest(len(tok_h) - {n} + 1, 0)::BIGINT AS bleu_t{n}")
     k = 0
-    for hcol, rcol, codes_k, fn in (("chr_h", "chr_r", _M.CHAR_CODES, "length"),
-                                    ("wrd_h", "wrd_r", _M.WORD_CODES, "len")):
+    for hcol, rcol, codes_k, fn in (("chr_h", "chr_r", _CHAR_CODES, "length"),
+                                    ("wrd_h", "wrd_r", _WORD_CODES, "len")):
         for code in codes_k:
             k += 1
             n = code % 10
@@ -536,21 +541,28 @@ FROM hyps ORDER BY {_key('id')}, id LIMIT 30""", "hyps")
 
 # ------------------------------------------------------------ sweep
 _grid_rows = [f"({i}, {nb}, {ml}, {lp!r}::DOUBLE, {rp!r}::DOUBLE)"
-              for i, (nb, ml, lp, rp) in enumerate(itertools.product(*SWEEP_GRID.values()))]
+              for i, (nb, ml, lp, rp) in enumerate(itertools.product(*GRID.values()))]
 cte("grid", "SELECT * FROM (VALUES " + ", ".join(_grid_rows)
     + ") AS g(config_id, num_beams, max_length, length_penalty, repetition_penalty)")
-cte("sw_in", f"""SELECT h.id * {len(_grid_rows)} + g.config_id AS sid, g.config_id, h.ref,
+cte("sw_out", f"""SELECT h.id, g.config_id, h.ref,
   {S.strip_ws("array_to_string(CASE WHEN g.length_penalty < 1 AND len(w) > 1 THEN w[1:len(w) - 1] ELSE w END, ' ')")} AS hyp
 FROM (SELECT h.*, g.config_id AS cfg, list_filter(string_split({_sent.replace('source', 'h.source')}, ' '),
         lambda x, i: i % (g.num_beams // 2 + 1 + CASE WHEN g.repetition_penalty > 1 THEN 1 ELSE 0 END) <> 0)
         [1:g.max_length // 8] AS w
       FROM hyps h, grid g) h JOIN grid g ON g.config_id = h.cfg""", ["hyps", "grid"])
-stats_ctes("sw", "sw_in", "sid", "hyp", "ref", ["config_id"], ["sw_in"])
+# equal outputs of a sentence are scored once
+cte("sw_in", "SELECT row_number() OVER (ORDER BY id, hyp) AS sid, id, hyp, any_value(ref) AS ref FROM sw_out GROUP BY id, hyp",
+    ["sw_out"])
+stats_ctes("sw", "sw_in", "sid", "hyp", "ref", [], ["sw_in"])
 cte("sweep", f"""SELECT g.config_id, g.num_beams, g.max_length, g.length_penalty, g.repetition_penalty,
   round({_BLEU_EFF}, 4) AS bleu, round({_CHRF}, 4) AS chrf
-FROM (SELECT config_id, {_SUMS} FROM sw_stats GROUP BY config_id) s JOIN grid g ON g.config_id = s.config_id""",
-    ["sw_stats", "grid"])
+FROM (SELECT config_id, {_SUMS} FROM sw_stats t JOIN sw_in i ON i.sid = t.id
+      JOIN sw_out o ON o.id = i.id AND o.hyp = i.hyp GROUP BY config_id) s JOIN grid g ON g.config_id = s.config_id""",
+    ["sw_stats", "sw_in", "sw_out", "grid"])
 ORACLE["u06_sweep"] = build("SELECT * FROM sweep", "sweep")
+ORACLE["a18_best_decode"] = build("SELECT * FROM sweep ORDER BY bleu DESC, config_id LIMIT 1", "sweep")
+ORACLE["l04_top_decodes"] = build("SELECT * FROM sweep ORDER BY bleu DESC, config_id LIMIT 10", "sweep")
+ORACLE["j06_param_grid"] = build("SELECT (SELECT count(*) FROM hyps) AS n, g.* FROM grid g", "hyps", "grid")
 
 # ------------------------------------------------------------ ledger
 cte("ledger", f"""SELECT event_id AS iter,

@@ -471,8 +471,7 @@ def u02(spark, d):
 
 @query("u06_sweep")
 def u06(spark, d):
-    h = fx.hyps(spark, d).select("id", "source", "ref")
-    return U.sweep(h, fx.SWEEP_GRID, SI.dropping_generator(3))
+    return fx.sweep(spark, d)
 
 
 @query("a18_best_run")
@@ -480,11 +479,28 @@ def a18(spark, d):
     return LG.best_run(fx.ledger(spark, d), "value", "iter")
 
 
+@query("a18_best_decode")
+def a18_decode(spark, d):
+    return LG.best_run(fx.sweep(spark, d), "bleu", "config_id")
+
+
 @query("l04_top_k")
 def l04(spark, d):
     return LG.top_k(fx.ledger(spark, d), "value", 10, "iter")
 
 
+@query("l04_top_decodes")
+def l04_decodes(spark, d):
+    return LG.top_k(fx.sweep(spark, d), "bleu", 10, "config_id")
+
+
+@query("j06_param_grid")
+def j06(spark, d):
+    """The grid itself, with the number of evaluated sentences of every configuration."""
+    n = fx.hyps(spark, d).agg(F.count(F.lit(1)).alias("n"))
+    return n.select("n", F.inline(LG.grid_array(fx.GRID)))
+
+
 @query("l03_inspection_sample")
 def l03(spark, d):
     h = fx.hyps(spark, d).select("id", "source", F.col("ref").alias("reference"),

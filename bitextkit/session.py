@@ -98,3 +98,14 @@ def input_bytes(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     return sum(x for x in sizes if x < UNKNOWN_BYTES)
+
+
+#: Bytes of estimated input for each partition of a stage whose work its shuffle's bytes do not show.
+PARTITION_BYTES = 8 << 20
+
+
+def partitions_for(df: DataFrame, times: int = 1) -> int:
+    """``spark.sql.shuffle.partitions``, or more if the size of the input (read
+    ``times`` times) asks for it."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, times * input_bytes(df) // PARTITION_BYTES)

@@ -53,3 +53,22 @@ def test_metric_delta(spark):
     df = spark.createDataFrame([("baseline", "bleu", 22.4497), ("candidate", "bleu", 21.8603)],
                                "run string, metric string, value double")
     assert LG.metric_delta(df).first().delta == -0.5894
+
+
+def test_sweep_scores_equal_outputs_once(spark):
+    """Folded outputs give what every configuration alone gives."""
+    from bitextkit.operators import mt_metrics as M
+    from bitextkit.plans.fixtures import GRID
+    from bitextkit.plans.standins import dropping_generator
+    rows = [(i, f"translate a to b: {' '.join(f'w{(i * k) % 7}' for k in range(1, n))}", f"w1 w2 w{i % 5} w3 w4")
+            for i, n in enumerate([1, 2, 5, 9, 14, 20, 33])]
+    d = spark.createDataFrame(rows, "id long, source string, ref string")
+    got = U.sweep(d, GRID, dropping_generator(3), batch_size=3).collect()
+    assert len(got) == 54 and len({r.config_id for r in got}) == 54
+    folded = U.generate_for_grid(d, GRID, dropping_generator(3), "source", "hyp", "configs", 2).collect()
+    assert len(folded) == len({(r.id, r.hyp) for r in folded}) < 54 * len(rows)
+    for r in got[::11]:
+        alone = spark.createDataFrame([(f.id, f.hyp, f.ref) for f in folded if r.config_id in f.configs],
+                                      "id long, hyp string, ref string")
+        want = M.corpus_scores(M.sentence_stats(alone, keep=())).first()
+        assert alone.count() == len(rows) and (r.bleu, r.chrf) == (want.bleu_eff, want.chrf)

@@ -117,3 +117,27 @@ def test_metric_subsets(spark):
     for bad in (("bertscore",), ("rouge",), ()):
         with pytest.raises(ValueError):
             evaluate(d, bad)
+
+
+def test_clipped_matches_against_counters():
+    """Grams counted one by one, over slices and sentences of every length."""
+    import collections
+
+    import numpy as np
+    rnd = np.random.default_rng(5)
+    h = [rnd.integers(0, 4, n).tolist() for n in (0, 1, 2, 7, 30, 0, 12)]
+    r = [rnd.integers(0, 4, n).tolist() for n in (3, 0, 2, 9, 25, 0, 12)]
+    got = M.clipped_matches(np.array(sum(h, [])), np.array([len(x) for x in h]),
+                            np.array(sum(r, [])), np.array([len(x) for x in r]), 6)
+    for n in range(1, 7):
+        for i, (a, b) in enumerate(zip(h, r)):
+            ca, cb = (collections.Counter(tuple(x[j:j + n]) for j in range(len(x) - n + 1)) for x in (a, b))
+            assert got[n - 1, i] == sum((ca & cb).values())
+
+
+def test_statistics_do_not_depend_on_slices(spark, monkeypatch):
+    rows = [(i, "the cat \U0001f600 sat. " * (i % 5), "the cat sat on \U0001f600, " * (i % 4)) for i in range(40)]
+    d = spark.createDataFrame(rows, "id long, hyp string, ref string")
+    want = sorted(M.sentence_stats(d, keep=()).collect())
+    monkeypatch.setattr(M, "UNITS", 50)
+    assert sorted(M.sentence_stats(d, keep=()).collect()) == want

@@ -9,12 +9,10 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_bleu_chrf_one_shuffle_no_join_no_python(spark):
+def test_bleu_chrf_no_row_a_gram_and_no_shuffle_of_sentences(spark):
     p = plan_of(QUERIES["a06_evaluate_by_direction"](spark, SF001))
-    assert len(re.findall(r"hashpartitioning\(id#", p)) == 1
-    assert "Join" not in p
-    assert "Python" not in p and "ArrowEval" not in p
-    assert "SortAggregate" not in p
+    assert "Generate" not in p and "Join" not in p and "SortAggregate" not in p
+    assert len(re.findall(r"Exchange ", p)) == 1 and len(re.findall(r"MapInArrow", p)) == 1
 
 
 def test_funnel_single_aggregate_shuffle(spark):
