@@ -613,6 +613,8 @@ ORACLE["s02_read_strict_csv"] = build("SELECT src, tgt FROM parallel_fx", "paral
 ORACLE["s03_csv_quality"] = build(
     "SELECT count(*)::BIGINT AS raw_lines, count(*)::BIGINT AS parsed, 0::BIGINT AS malformed FROM parallel_fx",
     "parallel_fx")
+ORACLE["s01_read_multi_line_csv"] = """SELECT '"' || doc_id || '",' AS src, length(t) AS n_chars, md5(t) AS text_md5
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n', chr(10), 'g') AS t FROM documents)"""
 ORACLE["s04_load_jsonl"] = build("SELECT src AS source, tgt AS target FROM clean", "clean")
 ORACLE["s05_triplet_round_trip"] = build("SELECT source, preferred, unpreferred, direction FROM gen3", "gen3")
 ORACLE["s06_line_pairs"] = build(

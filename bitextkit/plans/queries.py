@@ -564,9 +564,17 @@ def s02(spark, d):
 
 @query("s03_csv_quality")
 def s03(spark, d):
-    path = _written(spark, "one-csv", lambda p: IO.write_csv(
-        fx.parallel(spark, d).select("src", "tgt").coalesce(1), p))     # one file: one header line
-    return IO.csv_quality(spark, path)
+    return IO.csv_quality(spark, _csv(spark, d))
+
+
+@query("s01_read_multi_line_csv")
+def s01_multi(spark, d):
+    """Whole documents, line breaks and quotes inside their cells, read back from splits."""
+    docs = read_table(spark, d, "documents").select(
+        F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('",')).alias("src"), F.coalesce("text", F.lit("")).alias("tgt"))
+    path = _written(spark, "multi-csv", lambda p: IO.write_csv(docs, p))
+    rows = IO.read_parallel_csv(spark, path, na_values=(), multi_line="split")
+    return rows.select("src", F.length("tgt").cast("long").alias("n_chars"), F.md5("tgt").alias("text_md5"))
 
 
 @query("s04_load_jsonl")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bitextkit.sources.csv_blocks import csv_records, without_headers
+
 # The strings pandas' CSV reader treats as missing by default.
 PANDAS_DEFAULT_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                      "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
@@ -31,7 +33,7 @@ def _csv_reader(spark: SparkSession, multi_line: bool):
 
 def read_parallel_csv(spark: SparkSession, path: str, src: str = "src", tgt: str = "tgt",
                       tolerant: bool = True, na_values=PANDAS_DEFAULT_NA,
-                      multi_line: bool = True) -> DataFrame:
+                      multi_line: bool | str = True) -> DataFrame:
     """CSV with header (UTF-8, doubled quotes), columns by name.
 
     The header's names are read first (one line); ``src`` and ``tgt`` must be
@@ -41,19 +43,27 @@ def read_parallel_csv(spark: SparkSession, path: str, src: str = "src", tgt: str
     kept with NULLs (pandas ``on_bad_lines='skip'``).
     tolerant=False: FAILFAST (stricter than pandas: short rows fail too).
     ``na_values`` cells become NULL, as in pandas.  ``multi_line`` allows line
-    breaks inside quotes and makes a file one task; without it large files are
-    split."""
+    breaks inside quotes and makes a file one task; ``multi_line="split"`` allows
+    them too, and large files are split (tolerant only); without it they are split
+    and every line is a record."""
+    if multi_line == "split" and not tolerant:
+        raise ValueError("the strict reader takes a file as one task: multi_line=True")
     names = _csv_reader(spark, False).csv(path).columns
     missing = [c for c in (src, tgt) if c not in names]
     if missing:
         raise ValueError(f"missing columns {missing}; found {names}")
     fields = [T.StructField(c, T.StringType(), True) for c in names]
-    reader = _csv_reader(spark, multi_line)
-    if tolerant:
+    if multi_line == "split":
+        schema = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in [*fields, T.StructField(EXTRA, T.StringType())])
+        df = without_headers(csv_records(spark, path)).select(F.from_csv(
+            "record", schema, {"quote": '"', "escape": '"', "nullValue": "\x00\x01", "emptyValue": "", "mode": "PERMISSIVE"}
+            ).alias("_r")).select("_r.*").filter(F.col(EXTRA).isNull())
+    elif tolerant:
+        reader = _csv_reader(spark, multi_line)
         df = reader.schema(T.StructType([*fields, T.StructField(EXTRA, T.StringType(), True)])).option(
             "mode", "PERMISSIVE").csv(path).filter(F.col(EXTRA).isNull())
     else:
-        df = reader.schema(T.StructType(fields)).option("mode", "FAILFAST").csv(path)
+        df = _csv_reader(spark, multi_line).schema(T.StructType(fields)).option("mode", "FAILFAST").csv(path)
     df = df.select(src, tgt)
     if na_values:
         na = list(na_values)
@@ -83,11 +93,12 @@ def numbered_lines(spark: SparkSession, path: str, name: str = "value") -> DataF
 
 
 def csv_quality(spark: SparkSession, path: str, src: str = "src", tgt: str = "tgt") -> DataFrame:
-    """raw_lines (physical lines minus the header), parsed rows, and
+    """raw_lines (physical lines minus one header a file), parsed rows, and
     malformed = raw_lines - parsed (a quoted multi-line cell counts as extra
-    physical lines, as in the reference)."""
-    raw = spark.read.text(path).agg((F.count(F.lit(1)) - 1).cast("long").alias("raw_lines"))
-    parsed = read_parallel_csv(spark, path, src, tgt).agg(
+    physical lines, as in the reference).  Files may be many and are split."""
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("_f")).agg((F.count(F.lit(1)) - 1).alias("n"))
+    raw = files.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("raw_lines"))
+    parsed = read_parallel_csv(spark, path, src, tgt, multi_line="split").agg(
         F.count(F.lit(1)).cast("long").alias("parsed"))
     one = F.lit(1)
     return (raw.withColumn("_k", one).join(parsed.withColumn("_k", one), "_k").drop("_k")
