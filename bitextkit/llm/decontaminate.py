@@ -23,7 +23,8 @@ for their slots.
 Defined results: null or empty texts, and items of fewer than ``WINDOW`` tokens
 (or without a window of two literal words), match nothing; repeated rows of
 documents or items give one verdict; other columns pass through
-:func:`remove_contaminated` whatever their names.
+:func:`remove_contaminated` whatever their names; an empty table of documents or
+items gives no verdict.  Ties between alignments go to the larger shift.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ intervals); the labels of the rest are reported.  Everything is an expression
 over one row: map-only, no shuffle, no Python.
 
 Defined results: null and empty texts have no words and no labels; repeated
-rows are scanned one by one; only the id and text columns are read.
+rows are scanned one by one; only the id and text columns are read; an empty
+table has no rows; a very long text is scanned whole, in time linear in its matches.
 """
 
 from __future__ import annotations

@@ -27,7 +27,8 @@ by a shuffle; texts are shuffled once, to meet their dropped lines.
 
 Defined results: null and empty texts have no lines and pass unchanged (null
 stays null); lines under ``MIN_TOKENS`` tokens are never dropped; rows equal in
-id and text count once and are treated alike; other columns pass through.
+id and text count once and are treated alike; other columns pass through; an empty
+table stays empty.
 """
 
 from __future__ import annotations

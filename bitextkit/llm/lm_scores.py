@@ -25,7 +25,8 @@ carries only those words.
 
 Defined results: null and empty texts hold the end token alone; a null id is
 bucketed as the empty text; repeated rows are scored one by one; without
-training words the model is uniform over one output.
+training words the model is uniform over one output; an empty table has no scores;
+only the id and text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -26,6 +26,8 @@ Defined results: null and empty texts and texts without words have an empty
 set, are linked with nothing and are kept; texts under five words have one
 shingle; a null id has the component null and is kept; rows that share an id
 count as one document.  Other columns pass through :func:`drop_near_duplicates`.
+Which text stands for an id that has several is not defined.  An empty table has no
+components.
 """
 
 from __future__ import annotations

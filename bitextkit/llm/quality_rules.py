@@ -19,7 +19,8 @@ keys, since one source may hold a third of the rows.
 Defined results: a null text has no words and fails the plain rules; null
 languages and sources form groups of their own; repeated rows get the same
 verdict; a pool of fewer than ``MIN_GROUP`` documents rejects none; other
-columns (whatever their names) pass through :func:`filter_quality`.
+columns (whatever their names) pass through :func:`filter_quality`; an empty table
+has no verdicts.
 """
 
 from __future__ import annotations
