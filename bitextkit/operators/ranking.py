@@ -62,16 +62,32 @@ def with_hash_key(df: DataFrame, seed, id_cols, key: str = "_hkey",
         "_bucket", F.substring(F.col(key), 1, bucket_hex))
 
 
-def bucket_offsets(keyed: DataFrame, by: list[str]) -> DataFrame:
+COARSE_HEX = 3            # digits of the upper level of the prefix sum: 4096 rows a stratum
+
+
+def bucket_offsets(keyed: DataFrame, by: list[str], bucket_hex: int = 4) -> DataFrame:
     """(by..., _bucket, _bcount, _boffset, _n) with _boffset = rows of the
-    stratum in earlier buckets and _n = stratum size."""
+    stratum in earlier buckets and _n = stratum size.
+
+    Up to 65,536 buckets a stratum the prefix sum is one window.  Beyond, it has two
+    levels: sums by the first ``COARSE_HEX`` digits are summed up, and inside
+    each of these the buckets are, so no task sees all buckets."""
     counts = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_bcount"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    w_run = w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.select(
-        *by, "_bucket", "_bcount",
-        (F.sum("_bcount").over(w_run) - F.col("_bcount")).alias("_boffset"),
-        F.sum("_bcount").over(w).alias("_n"))
+
+    def summed(df, keys, order, count, before, total):
+        w = Window.partitionBy(*keys)
+        run = w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({before: F.sum(count).over(run) - F.col(count), total: F.sum(count).over(w)})
+
+    if bucket_hex <= 4:
+        return summed(counts, by, "_bucket", "_bcount", "_boffset", "_n").select(
+            *by, "_bucket", "_bcount", "_boffset", "_n")
+    counts = counts.withColumn("_coarse", F.substring("_bucket", 1, COARSE_HEX))
+    upper = counts.groupBy(*by, "_coarse").agg(F.sum("_bcount").alias("_rows"))
+    upper = summed(upper, by, "_coarse", "_rows", "_before", "_n").drop("_rows")
+    counts = summed(counts, [*by, "_coarse"], "_bucket", "_bcount", "_inner", "_all")
+    joined = join_null_safe(counts, upper, [*by, "_coarse"])
+    return joined.select(*by, "_bucket", "_bcount", (F.col("_before") + F.col("_inner")).alias("_boffset"), "_n")
 
 
 def _join_offsets(keyed: DataFrame, offsets: DataFrame, by: list[str]) -> DataFrame:
@@ -91,8 +107,9 @@ def global_rank(df: DataFrame, seed, id_cols, by=(), rank_col: str = "rank",
     stratum."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     by = list(by)
-    keyed = with_hash_key(df, seed, ids, bucket_hex=bucket_hex or bucket_digits(df))
-    joined = _join_offsets(keyed, bucket_offsets(keyed, by), by)
+    digits = bucket_hex or bucket_digits(df)
+    keyed = with_hash_key(df, seed, ids, bucket_hex=digits)
+    joined = _join_offsets(keyed, bucket_offsets(keyed, by, digits), by)
     ranked = _inner_rank(joined, by, ids, "_hkey")
     return ranked.withColumn(rank_col, F.col("_rank").cast("long")).drop(
         "_hkey", "_bucket", "_bcount", "_boffset", "_rank").withColumnRenamed("_n", "_stratum_n")
@@ -109,8 +126,9 @@ def assign_by_thresholds(df: DataFrame, seed, id_cols, by, cuts, labels, out: st
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     by = list(by)
-    keyed = with_hash_key(df, seed, ids, bucket_hex=bucket_hex or bucket_digits(df))
-    offsets = bucket_offsets(keyed, by)
+    digits = bucket_hex or bucket_digits(df)
+    keyed = with_hash_key(df, seed, ids, bucket_hex=digits)
+    offsets = bucket_offsets(keyed, by, digits)
     n = F.col("_n")
     cut_cols = cuts(n)
 

@@ -239,7 +239,7 @@ ORACLE["l02_sample_per_direction"] = build(f"""SELECT pair_id, direction, stratu
     SELECT *, 'src2tgt' AS stratum FROM prompts WHERE contains(source, '{SRC_LANG} to {TGT_LANG}')
     UNION ALL
     SELECT *, 'tgt2src' AS stratum FROM prompts WHERE contains(source, '{TGT_LANG} to {SRC_LANG}')))
-WHERE rn <= 100""", "prompts")
+WHERE rn <= 5000""", "prompts")
 
 
 # ------------------------------------------------------------ metric fixtures and statistics
@@ -622,6 +622,10 @@ ORACLE["s06_line_pairs"] = build(
 ORACLE["s07_read_ledger"] = build("SELECT iter, coalesce(track, 'main') AS track, value AS score FROM ledger", "ledger")
 ORACLE["s08_scrape_metric"] = build("""SELECT arg_max(round(abs(value)::DECIMAL(24, 8), 2)::DOUBLE, iter) AS final_bleu,
   count(*)::BIGINT AS occurrences FROM ledger WHERE value IS NOT NULL""", "ledger")
+ORACLE["s11_metrics_document"] = build(f"""SELECT d.direction, d.n, d.bleu, d.chrf, o.bleu AS overall_bleu, o.chrf AS overall_chrf
+FROM (SELECT direction, n, round({_BLEU_EFF}, 4) AS bleu, round({_CHRF}, 4) AS chrf FROM (
+      SELECT direction, count(*)::BIGINT AS n, {_SUMS} FROM sa_stats WHERE direction IS NOT NULL GROUP BY direction)) d,
+  (SELECT round({_BLEU_EFF}, 4) AS bleu, round({_CHRF}, 4) AS chrf FROM (SELECT {_SUMS} FROM sa_stats)) o""", "sa_stats")
 ORACLE["s13_split_round_trip"] = build("SELECT pair_id, direction, split FROM split3", "split3")
 
 # ------------------------------------------------------------ promised by the reference, without code there

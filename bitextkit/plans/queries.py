@@ -239,7 +239,7 @@ def l01(spark, d):
 
 @query("l02_sample_per_direction")
 def l02(spark, d):
-    return P.sample_per_direction(fx.prompts(spark, d), 100, fx.SRC_LANG, fx.TGT_LANG).select(
+    return P.sample_per_direction(fx.prompts(spark, d), 5_000, fx.SRC_LANG, fx.TGT_LANG).select(
         "pair_id", "direction", "stratum", "source")
 
 
@@ -611,6 +611,18 @@ def s08(spark, d):
     return IO.scrape_metric(spark, _written(spark, "log", lambda p: log.write.text(p)))
 
 
+@query("s11_metrics_document")
+def s11(spark, d):
+    """The nested metrics document of A06, written and read back as rows."""
+    scores = M.evaluate_by(_stats_a(spark, d), "direction", overall="all").select(
+        "direction", "n", F.col("bleu_eff").alias("bleu"), "chrf")
+    path = _written(spark, "metrics", lambda p: IO.write_metrics(scores, p))
+    doc = spark.read.schema("overall_bleu double, overall_chrf double, "
+                            "per_direction map<string, struct<bleu: double, chrf: double, n: bigint>>").json(path)
+    return doc.select("overall_bleu", "overall_chrf", F.explode("per_direction").alias("direction", "s")).select(
+        "direction", "s.n", "s.bleu", "s.chrf", "overall_bleu", "overall_chrf")
+
+
 @query("s13_split_round_trip")
 def s13(spark, d):
     s = P.split_by(fx.pairs(spark, d)).select("pair_id", "direction", "split")

@@ -72,3 +72,18 @@ def test_sweep_scores_equal_outputs_once(spark):
                                       "id long, hyp string, ref string")
         want = M.corpus_scores(M.sentence_stats(alone, keep=())).first()
         assert alone.count() == len(rows) and (r.bleu, r.chrf) == (want.bleu_eff, want.chrf)
+
+
+def test_embed_against_plain_trigram_counts(spark):
+    """Every vector of the hashing stand-in again, trigram by trigram."""
+    import math
+    import zlib
+    texts = ["", None, "a", "abc abc", "é\U0001f600 x" * 5, "the cat"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    got = {r.id: r.embedding for r in U.embed(d, "t", SI.hashing_encoder(16), batch_size=2).collect()}
+    for i, t in enumerate(texts):
+        s, want = f"  {t or ''} ", [0.0] * 16
+        for j in range(len(s) - 2):
+            want[zlib.crc32(s[j:j + 3].encode()) % 16] += 1.0
+        norm = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert [round(x, 5) for x in got[i]] == [round(x / norm, 5) for x in want]

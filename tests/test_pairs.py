@@ -70,3 +70,13 @@ def test_null_stratum_is_split_and_batched(spark):
     b = P.assign_batches(d, 8, 42, ("pair_id",), by=("direction",)).collect()
     assert len(b) == 90 and {r.batch_id for r in b if r.direction is None} == {0, 1, 2, 3}
     assert P.sample_k(d, 5, 42, ("pair_id",), by=("direction",)).count() == 15
+
+
+def test_two_level_prefix_sums_give_the_same_ranks(spark):
+    from bitextkit.operators.ranking import global_rank
+    d = spark.range(3000).selectExpr("id", "nullif(id % 3, 2) AS s")
+    want = sorted(map(tuple, global_rank(d, 42, "id", by=("s",), bucket_hex=2).select("id", "rank", "_stratum_n").collect()))
+    got = global_rank(d.repartition(5), 42, "id", by=("s",), bucket_hex=5).select("id", "rank", "_stratum_n")
+    assert sorted(map(tuple, got.collect())) == want
+    plain = global_rank(d, 42, "id", bucket_hex=6).select("id", "rank").collect()
+    assert sorted(r.rank for r in plain) == list(range(1, 3001))
