@@ -134,8 +134,8 @@ def recurring(docs: DataFrame) -> DataFrame:
     t = cut(t.join(apart.withColumn("_apart", F.lit(True)), ["s1", "s2"], "left"), "judged-templates")
     sure, rest = t.filter("_apart").select("k", "first_id"), t.filter("_apart IS NULL").select("k", "first_id", "s1")
     # the rest: every document against the one of least sketch hash
-    held = cut(seen.select("k", F.col("sig").alias("s2")).join(rest, "k").filter(F.col("s1") != F.col("s2"))
-               .select("k", "first_id", "s1", "s2").distinct(), "template-holders")
+    held = attach(seen.select("k", F.col("sig").alias("s2")), cut(rest, "doubtful-templates"), ["k"])
+    held = cut(held.filter(F.col("s1") != F.col("s2")).select("k", "first_id", "s1", "s2").distinct(), "template-holders")
     apart = unrelated_pairs(held.select("s1", "s2"), sketches)
     return sure.unionByName(held.join(apart, ["s1", "s2"], "left_semi").select("k", "first_id").distinct())
 
