@@ -46,7 +46,7 @@ INSIDE_PERCENT = 50               # a phrase goes if a longer one around it has
 TOP = 2000
 KEY_BITS, MAP_BITS = 40, 28       # bits of a proposed phrase's key, and of its place in the bit map (32 MB)
 RANGE_BYTES = 16 << 20            # input bytes for each key range
-TRIE_PHRASES = 500_000            # candidates of one trie: 16 bytes a state and their words
+TRIE_PHRASES = 300_000            # candidates of one trie: 16 bytes a state and their words
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]   # odd multipliers
 
 # A-Z in lower case; the piece separators all as line feeds; tabs as spaces.
@@ -215,47 +215,63 @@ def candidates(docs: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
 
 # ------------------------------------------------------------ tries
 
-class DoubleArray:
-    """A trie of phrases over numbered words.  State c is word c; the state after
-    another word c is ``base[state] + c`` where ``check`` names the state."""
+WINDOW = 4096                     # slots looked at for a free place at a time
+
 
-    def __init__(self, phrases: list[tuple[int, ...]], n_words: int):
-        size = 2 * (n_words + len(phrases)) + 16
-        self.base, self.check = np.zeros(size, np.int64), np.full(size, -1, np.int64)
-        self.check[:n_words + 1] = 0
+class DoubleArray:
+    """A trie of phrases over numbered words (1 .. ``n_words``).  State c is word
+    c; the state after another word c is ``base[state] + c`` where ``check`` names
+    the state.  ``phrases`` is an array of 3 columns, the last 0 for pairs;
+    ``states`` has the accepting state of each row."""
+
+    def __init__(self, phrases: np.ndarray, n_words: int):
+        self.base = np.zeros(n_words + 1, np.int64)
+        self.check = np.zeros(n_words + 1, np.int64)
         self.top = self.free = n_words + 1
-        self.state = {(c,): c for p in phrases for c in p[:1]}
-        for length in range(2, max(map(len, phrases), default=1) + 1):
-            after: dict[tuple, list[int]] = {}
-            for p in phrases:
-                if len(p) >= length:
-                    after.setdefault(p[:length - 1], []).append(p[length - 1])
-            for prefix, codes in sorted(after.items(), key=lambda x: -len(x[1])):
-                self._place(prefix, np.unique(codes))
-
-    def _place(self, prefix, codes):
-        """The first free place for the states after ``prefix``; the end, if the
-        first tries fail."""
-        at, tries = self.free, 0
+        second = self._level(phrases[:, 0], phrases[:, 1])
+        third = phrases[:, 2] > 0
+        self.states = second.copy()
+        self.states[third] = self._level(second[third], phrases[third, 2])
+
+    def _level(self, parents: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Places the states after ``parents`` for ``codes``; returns them row by row."""
+        if not len(parents):
+            return np.zeros(0, np.int64)
+        width = int(codes.max()) + 1
+        keys, back = np.unique(parents * width + codes, return_inverse=True)
+        parent, code = keys // width, keys % width
+        first = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
+        size = np.diff(np.r_[first, len(parent)])
+        for g in first[np.argsort(-size, kind="stable")][:int((size > 1).sum())]:
+            n = int(np.searchsorted(parent, parent[g], "right")) - g
+            self._place(int(parent[g]), code[g:g + n])
+        # states after which one word only follows take the free slots in order
+        alone = first[size == 1]
+        self._grow(self.top + len(alone) + 1)
+        slots = self.free + np.flatnonzero(self.check[self.free:] == -1)[:len(alone)]
+        self.base[parent[alone]], self.check[slots] = slots - code[alone], parent[alone]
+        self.top = max(self.top, int(slots[-1]) + 1 if len(slots) else 0)
+        self.free += int((np.append(self.check[self.free:], -1) == -1).argmax())
+        return (self.base[parent] + code)[back]
+
+    def _place(self, parent: int, codes: np.ndarray):
+        """The first slots, from the first free one on, that take all ``codes``."""
+        span, at = codes - codes[0], self.free
         while True:
-            base = at - codes[0]
-            self._grow(base + codes[-1] + 1)
-            if (self.check[base + codes] == -1).all():
+            self._grow(at + WINDOW + int(span[-1]) + 1)
+            tried = at + np.flatnonzero(self.check[at:at + WINDOW] == -1)[:64]
+            fits = (self.check[tried[:, None] + span] == -1).all(axis=1)
+            if fits.any():
                 break
-            tries += 1
-            at = at + 1 + int((self.check[at + 1:] == -1).argmax()) if tries < 8 else self.top
-        state = self.state[prefix]
-        self.base[state], self.check[base + codes] = base, state
-        self.top = max(self.top, int(base + codes[-1]) + 1)
-        while self.check[self.free] != -1:
-            self.free += 1
-            self._grow(self.free + 1)
-        for c in codes.tolist():
-            self.state[prefix + (c,)] = int(base + c)
-
-    def _grow(self, size):
-        if size >= len(self.check):
-            more = max(size + 1, 2 * len(self.check)) - len(self.check)
+            at = int(tried[-1]) + 1 if len(tried) else at + WINDOW
+        slots = tried[int(fits.argmax())] + span
+        self.base[parent], self.check[slots] = slots[0] - codes[0], parent
+        self.top = max(self.top, int(slots[-1]) + 1)
+        self.free += int((self.check[self.free:self.free + WINDOW] == -1).argmax())
+
+    def _grow(self, size: int):
+        if size > len(self.check):
+            more = max(size, 2 * len(self.check)) - len(self.check)
             self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
             self.check = np.concatenate([self.check, np.full(more, -1, np.int64)])
 
@@ -270,18 +286,25 @@ def advance(base: np.ndarray, check: np.ndarray, states: np.ndarray, codes: np.n
     return np.where((to > 0) & (check[to] == states), to, 0)
 
 
+def coded_phrases(held: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """The phrases (lang, words) as rows of 3 word numbers, 0 for none, and the
+    words of the numbers 1, 2, ... as ``lang NUL word``."""
+    words = held.column("words").combine_chunks()
+    size = pc.list_value_length(words).to_numpy()
+    lang = held.column("lang").combine_chunks().take(pa.array(np.repeat(np.arange(len(size)), size)))
+    named = pc.binary_join_element_wise(lang, words.flatten(), pa.scalar("\0")).dictionary_encode()
+    out = np.zeros((len(size), 3), np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = named.indices.to_numpy() + 1
+    return out, named.dictionary
+
+
 def _count_in_trie(docs: DataFrame, held: pa.Table) -> DataFrame:
     """(lang, words, a): exact counts of the phrases of one trie."""
     spark = docs.sparkSession
-    langs, phrases = held.column("lang").to_pylist(), held.column("words").to_pylist()
-    names = sorted({f"{lang}\0{w}" for lang, p in zip(langs, phrases) for w in p})
-    code = {x: i + 1 for i, x in enumerate(names)}
-    coded = [tuple(code[f"{lang}\0{w}"] for w in p) for lang, p in zip(langs, phrases)]
+    coded, names = coded_phrases(held)
     trie = DoubleArray(coded, len(names))
-    longest = max(map(len, coded))
-    shared = spark.sparkContext.broadcast((pa.array(names, pa.string()), *trie.tables()))
-    at_state = {trie.state[c]: i for i, c in enumerate(coded)}
-    texts = spark.sparkContext.broadcast((at_state, langs, phrases))
+    shared = spark.sparkContext.broadcast((names, *trie.tables()))
     range_bits = 16
 
     def run(batches):
@@ -293,7 +316,7 @@ def _count_in_trie(docs: DataFrame, held: pa.Table) -> DataFrame:
                 number = number.fill_null(-1).to_numpy() + 1
                 c = np.where(codes >= 0, number[np.maximum(codes, 0)], 0) if len(codes) else codes
                 states = c
-                for n in range(2, longest + 1):
+                for n in (2, 3):
                     states = advance(base, check, states[:-1], c[n - 1:])
                     total += np.bincount(states, minlength=len(base))
         total[0] = 0
@@ -301,13 +324,12 @@ def _count_in_trie(docs: DataFrame, held: pa.Table) -> DataFrame:
         yield shards(seen.astype(np.uint64), total[seen], range_bits)
 
     def use(r, keys, counts):
-        where, lang, phrase = texts.value
-        rows = [(where[int(k)], int(c)) for k, c in zip(keys, counts) if int(k) in where]
-        return pa.RecordBatch.from_arrays([pa.array([lang[i] for i, _ in rows], pa.string()),
-                                           pa.array([phrase[i] for i, _ in rows], pa.list_(pa.string())),
-                                           pa.array([c for _, c in rows], pa.int64())], names=["lang", "words", "a"])
+        often = counts >= MIN_COUNT
+        return pa.RecordBatch.from_arrays([pa.array(keys[often].astype(np.int64)), pa.array(counts[often])], names=["state", "a"])
     parts = (len(trie.tables()[0]) >> range_bits) + 1
-    return merged(docs.mapInArrow(run, SHARD), parts, use, "lang string, words array<string>, a long")
+    counted = merged(docs.mapInArrow(run, SHARD), parts, use, "state long, a long")
+    phrases = spark.createDataFrame(held.append_column("state", pa.array(trie.states)))
+    return counted.join(phrases, "state").select("lang", "words", "a")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -335,7 +357,7 @@ def phrase_counts(docs: DataFrame) -> DataFrame:
     for i in range(tries):
         held = found.filter(F.pmod(F.xxhash64("lang", F.col("words")[0]), F.lit(tries)) == i).toArrow()
         if held.num_rows:
-            counted.append(cut(_count_in_trie(docs, held).filter(F.col("a") >= MIN_COUNT), f"phrase-counts{i}"))
+            counted.append(cut(_count_in_trie(docs, held), f"phrase-counts{i}"))
     out = docs.sparkSession.createDataFrame([], "lang string, words array<string>, a long")
     for c in counted:
         out = out.unionByName(c)
