@@ -227,7 +227,7 @@ class DoubleArray:
     def __init__(self, phrases: np.ndarray, n_words: int):
         self.base = np.zeros(n_words + 1, np.int64)
         self.check = np.zeros(n_words + 1, np.int64)
-        self.top = self.free = n_words + 1
+        self.top = self.free = self.start = n_words + 1
         second = self._level(phrases[:, 0], phrases[:, 1])
         third = phrases[:, 2] > 0
         self.states = second.copy()
@@ -255,19 +255,24 @@ class DoubleArray:
         return (self.base[parent] + code)[back]
 
     def _place(self, parent: int, codes: np.ndarray):
-        """The first slots, from the first free one on, that take all ``codes``."""
-        span, at = codes - codes[0], self.free
+        """Slots that take all ``codes``: the first found in some windows, else
+        the end.  Windows that are nearly full are not looked at again; the states
+        that stand alone fill them."""
+        span, at, looked = codes - codes[0], self.start, 0
         while True:
             self._grow(at + WINDOW + int(span[-1]) + 1)
-            tried = at + np.flatnonzero(self.check[at:at + WINDOW] == -1)[:64]
+            open_ = np.flatnonzero(self.check[at:at + WINDOW] == -1)
+            if at == self.start and len(open_) < WINDOW // 8:
+                self.start += WINDOW
+            tried = at + open_[:max(64, 100_000 // len(codes))]
             fits = (self.check[tried[:, None] + span] == -1).all(axis=1)
             if fits.any():
                 break
-            at = int(tried[-1]) + 1 if len(tried) else at + WINDOW
+            looked += 1
+            at = at + WINDOW if looked < 400 else max(self.top, at + WINDOW)
         slots = tried[int(fits.argmax())] + span
         self.base[parent], self.check[slots] = slots[0] - codes[0], parent
         self.top = max(self.top, int(slots[-1]) + 1)
-        self.free += int((self.check[self.free:self.free + WINDOW] == -1).argmax())
 
     def _grow(self, size: int):
         if size > len(self.check):
