@@ -73,3 +73,24 @@ def test_direction_rules(spark):
                   T.direction_of("s", "kangri", "hindi", "prefix").alias("b")).collect()
     assert [x.a for x in r] == ["src2tgt", "tgt2src", None]
     assert [x.b for x in r] == ["src2tgt", "tgt2src", "tgt2src"]
+
+
+def test_units_of_odd_texts(spark):
+    import string
+    from bitextkit.functions.text import chrf_words, norm_text, tokenize_13a
+    texts = ['"abc" d', "..", '" a', "a\u2003\u00a0b.", "1,5 x-y 3-4", "a. .b &quot;c", "\x1ca\x85 b", "\U0001f600. 'q"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = d.select("t", chrf_words("t").alias("w"), tokenize_13a("t").alias("k"), norm_text("t").alias("n")).orderBy("i").collect()
+    marks = set(string.punctuation)
+
+    def words(t):
+        for w in t.split():
+            if len(w) > 1 and w[-1] in marks:
+                yield from (w[:-1], w[-1])
+            elif len(w) > 1 and w[0] in marks:
+                yield from (w[0], w[1:])
+            else:
+                yield w
+    assert [r.w for r in got] == [list(words(t)) for t in texts]
+    assert [r.n for r in got] == [" ".join(t.split()).strip('"').strip("'") for t in texts]
+    assert got[3].k == ["a", "b", "."] and got[4].k == ["1,5", "x-y", "3", "-", "4"] and got[5].k == ["a", ".", ".", "b", '"', "c"]
