@@ -51,3 +51,20 @@ def test_quality_profile_independent(spark):
     r = C.quality_profile(g).first()
     assert r.rows == 3510
     assert 0 < r.pct_ratio_outlier < 100
+
+
+def test_filters_normalise_each_side_once(spark):
+    from bitextkit.operators.clean import clean_pairs_fast, drop_heavy_latin
+    d = spark.createDataFrame([(1, ' "abc" ', "\u0915\u0916"), (2, None, "x")], "pair_id long, src string, tgt string")
+    for out in (drop_heavy_latin(C.normalize_pairs(d)), clean_pairs_fast(d)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("\\u1680") == 4      # the class of blanks names it twice, once a side
+
+
+def test_parallel_is_dealt_out_and_costs_the_same_again(spark):
+    """No table of an earlier run is used: a run's cost says nothing about which ran before."""
+    p = fx.parallel(spark, SF001)
+    assert "Repartition" in p._jdf.queryExecution().optimizedPlan().toString()
+    assert fx.stored(p, "a").inputFiles() != fx.stored(p, "a").inputFiles()
+    dup = p.filter(f"pair_id >= {fx.DUP_OFFSET}")
+    assert dup.count() == p.filter(f"pair_id < {fx.DUP_OFFSET} AND pair_id % {fx.DUP_MOD} = 0").count()
