@@ -117,14 +117,16 @@ def model_reward(df: DataFrame, scorer_factory, batch_size: int = 8, input_forma
 # ------------------------------------------------------------ U06
 
 def generate_for_grid(df: DataFrame, grid: dict[str, list], generator_factory, input: str, output: str,
-                      configs: str, batch_size: int = 64) -> DataFrame:
+                      configs: str, batch_size: int = 64, nested: bool = False) -> DataFrame:
     """Every row once for each *different* output of the grid's configurations:
     ``df`` plus ``output`` (stripped) and ``configs``, the sorted ids of the
-    configurations that gave it.  Rows times configurations are never a table."""
+    configurations that gave it.  Rows times configurations are never a table.
+    ``nested``: every row once, with arrays of its outputs and of their ``configs``."""
     names = list(grid)
     cells = [dict(zip(names, x)) for x in itertools.product(*grid.values())]
-    schema = T.StructType(df.schema.fields + [T.StructField(output, T.StringType(), True),
-                                              T.StructField(configs, T.ArrayType(T.IntegerType()), True)])
+    text, ids_of = T.StringType(), T.ArrayType(T.IntegerType())
+    schema = T.StructType(df.schema.fields + [T.StructField(output, T.ArrayType(text) if nested else text, True),
+                                              T.StructField(configs, T.ArrayType(ids_of) if nested else ids_of, True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = generator_factory()
@@ -136,6 +138,11 @@ def generate_for_grid(df: DataFrame, grid: dict[str, list], generator_factory, i
                 for c, cfg in enumerate(frames):
                     for seen, text in zip(made, model(chunk[input], cfg.iloc[:len(chunk)])):
                         seen.setdefault(text.strip() if isinstance(text, str) else text, []).append(c)
+                if nested:
+                    chunk[output] = [list(seen) for seen in made]
+                    chunk[configs] = [list(seen.values()) for seen in made]
+                    yield chunk
+                    continue
                 out = chunk.loc[[i for i, seen in enumerate(made) for _ in seen]].reset_index(drop=True)
                 out[output] = [text for seen in made for text in seen]
                 out[configs] = [ids for seen in made for ids in seen.values()]
@@ -149,13 +156,14 @@ def sweep(df: DataFrame, grid: dict[str, list], generator_factory, input: str =
     """BLEU (effective order) and chrF++ of every decode configuration of
     ``grid`` over the evaluation set, in one job.
 
-    Outputs that several configurations share are scored once; their sufficient
+    Outputs that several configurations share are scored once, against units of the
+    reference that are made once a sentence; their sufficient
     statistics are summed by set of configurations (few sets, one small row each)
     and only these sums are given to the single configurations."""
     from bitextkit.operators.mt_metrics import STAT_COLS_BLEU, STAT_COLS_CHRF, corpus_scores, sentence_stats
     x = df.select(F.col(id_col).alias("_rid"), input, ref)
-    made = generate_for_grid(x, grid, generator_factory, input, "_hyp", "_configs", batch_size)
-    st = sentence_stats(made, "_rid", "_hyp", ref, keep=("_configs",))
+    made = generate_for_grid(x, grid, generator_factory, input, "_hyp", "_configs", batch_size, nested=True)
+    st = sentence_stats(made, "_rid", "_hyp", ref, keep=(), many=("_configs",))
     sums = st.groupBy("_configs").agg(F.count(F.lit(1)).alias("_rows"), *[
         F.sum(c).alias(c) for c in STAT_COLS_BLEU + STAT_COLS_CHRF])
     res = corpus_scores(sums.withColumn("config_id", F.explode("_configs")), by=("config_id",))

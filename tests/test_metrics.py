@@ -141,3 +141,46 @@ def test_statistics_do_not_depend_on_slices(spark, monkeypatch):
     want = sorted(M.sentence_stats(d, keep=()).collect())
     monkeypatch.setattr(M, "UNITS", 50)
     assert sorted(M.sentence_stats(d, keep=()).collect()) == want
+
+
+def test_counts_of_wide_units_equal_counters():
+    """Units of 41 bits: numbers pass 63 bits and are ranked in between."""
+    import collections
+    import numpy as np
+    from bitextkit.operators.mt_metrics import clipped_matches
+    rng = np.random.default_rng(5)
+    for step in (1, 1 << 38):
+        hn, rn = rng.integers(0, 25, 40), rng.integers(0, 25, 40)
+        h, r = (rng.integers(0, 6, n.sum()) * step for n in (hn, rn))
+        got = clipped_matches(h, hn, r, rn, 6)
+        ends = [np.cumsum(x) for x in (hn, rn)]
+        for i in range(40):
+            x, y = (u[e[i] - k[i]:e[i]].tolist() for u, e, k in zip((h, r), ends, (hn, rn)))
+            for n in range(1, 7):
+                a, b = (collections.Counter(tuple(z[j:j + n]) for j in range(len(z) - n + 1)) for z in (x, y))
+                assert got[n - 1, i] == (a & b).total()
+
+
+def test_exact_meteor_shuffles_texts_once(spark):
+    from bitextkit.operators import meteor as ME
+    rows = [(1, "a b a c", "a a b c"), (2, "", "a"), (None, "a", "a"), (3, "A b", "b a"), (4, "x y", "x y"), (4, "y z", "z y")]
+    d = spark.createDataFrame(rows, "id long, hyp string, ref string")
+    s = ME.sentence_meteor(d, keep=())
+    got = sorted((r.id or 0, r.hyp_len, r.ref_len, r.m, r.chunks) for r in s.collect())
+    # texts that share an id are one sentence, a NULL id matches nothing
+    tok = [ME._positions(d, c, c) for c in ("hyp", "ref")]
+    want = {r.id: (r.m, r.chunks) for r in ME.chunks(ME.align_exact(*tok)).collect()}
+    assert got == sorted((i or 0, len(h.split()), len(r.split()), *want.get(i, (0, 0))) for i, h, r in rows)
+    plan = ME.sentence_meteor(d, keep=())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "posexplode" not in plan
+
+
+def test_statistics_of_several_hypotheses_of_a_reference(spark):
+    from pyspark.sql import functions as F
+    rows = [(1, "a b. c", ["a b", "", "a b. c"], ["p", "q", "r"]), (2, "x", ["y x"], ["p"]), (3, "", [], []), (4, None, [None, "z"], ["s", "t"])]
+    d = spark.createDataFrame(rows, "id long, ref string, hyp array<string>, name array<string>")
+    flat = d.select("id", "ref", F.inline(F.arrays_zip("hyp", "name")))
+    got = M.sentence_stats(d, keep=(), many=("name",))
+    want = M.sentence_stats(flat, keep=("name",))
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
