@@ -200,7 +200,7 @@ OTHER = [
     ("copyright", 4, "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]"),
 ]
 # Beginnings of what the rules match; a space stands for any gap.  A text without one has no licence.
-GATE_PHRASES = """licen|spdx|affero|gpl|lgpl|agpl|general public|free documentation|free software|free and unencumbered|apache|expat
+GATE_PHRASES = """licen|unlicen|spdx|affero|gpl|lgpl|agpl|general public|free documentation|free software|free and unencumbered|apache|expat
 mit no|0bsd|bsd|x11|mozilla|mpl|eclipse|zlib|odbl|wtfpl|cc0|cc by|creative commons|rights reserved|public domain|proprietary
 copyright|creativecommons|opensource org|permission|redistribution|gnu org|boost org|sil org|neither the name
 may not use this file|source code form|no event|openssl|ms pl|ms rl|unicode dfs|odc by|cecill""".replace("\n", "|").split("|")
