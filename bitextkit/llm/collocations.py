@@ -1,7 +1,8 @@
-"""Operator 13, collocations counted by broadcast double-array tries.
+"""Operator 13, collocations counted by double-array tries.
 
 Every language is counted by itself.  Texts are read in Arrow batches whose words
-are numbered at once, so all positions of a batch are numpy arrays:
+are numbered at once, so all positions of a language's texts (up to ``SLICE_BYTES``
+of them at a time) are numpy arrays:
 
 1. Words are counted exactly.  Word pairs are proposed: the numbers of a batch's
    pairs are added up under 40-bit keys, the shards of all batches are merged by
@@ -10,19 +11,23 @@ are numbered at once, so all positions of a batch are numpy arrays:
    fixed size.
 2. Triples are proposed alike, but only where both pairs inside are in the bit map
    (the Apriori rule: no phrase is more frequent than its parts).
-3. The phrases under the proposed keys are the candidates.  They become double-array
-   tries of at most ``TRIE_PHRASES`` phrases (more candidates, more tries), which are
-   broadcast.  The states of all positions advance one word at a time: the state
-   after word c is ``base[state] + c`` if ``check`` there names the state.  Accepting
-   states are counted by bincount and the shards added up: the exact counts.
+3. The phrases under the proposed keys are the candidates.  Their keys deal them
+   out to tries; a task sends each trie its candidates as arrays of word numbers,
+   with the number of their places.  The task of a trie numbers the words anew,
+   makes a double-array trie of the distinct candidates and lets the states of all
+   arrays advance one word at a time: the state after word c is ``base[state] + c``
+   if ``check`` there names the state.  The places are added up by accepting state:
+   the exact counts.
 
 Scores, cuts and the suppression of phrases inside longer ones are DataFrame
 expressions over the candidates, in decimals of 38 digits.
 
-Scale: no row is made for a word or a phrase of the text; a task sends packed
-arrays of its distinct keys.  Key ranges follow the input size.  A word that a
-third of all positions hold is one number a batch.  Bit maps have ``2 ** MAP_BITS``
-bits at any size, tries a counted bound.
+Scale: no row is made for a place of the text; a task sends packed arrays of its
+distinct keys or candidates.  Key ranges and tries follow the input size, and every
+text is read four times however many candidates there are.  A word or phrase that a
+third of all positions hold is one number a slice; a trie is chosen by the whole
+phrase, so the phrases around a frequent word lie in all tries.  Bit maps have
+``2 ** MAP_BITS`` bits at any size and are all that the driver gets.
 
 Defined results: null and empty texts have no words; a null language is ``und``;
 repeated rows count as often as they stand; an empty table has no phrases; only
@@ -38,15 +43,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitextkit.llm.common import cut
+from bitextkit.llm.common import SALTS, cut
 from bitextkit.session import input_bytes
 
 MIN_COUNT = 10
 INSIDE_PERCENT = 50               # a phrase goes if a longer one around it has this share of its count
 TOP = 2000
 KEY_BITS, MAP_BITS = 40, 28       # bits of a proposed phrase's key, and of its place in the bit map (32 MB)
-RANGE_BYTES = 16 << 20            # input bytes for each key range
-TRIE_PHRASES = 300_000            # candidates of one trie: 16 bytes a state and their words
+RANGE_BYTES = 8 << 20             # input bytes for each key range
+TRIE_BYTES = 16 << 20             # input bytes for each trie, and
+TRIE_PHRASES = 300_000            # its share of the keys in the bit maps
+SLICE_BYTES = 4 << 20             # bytes of text whose words are numbered together
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]   # odd multipliers
 
 # A-Z in lower case; the piece separators all as line feeds; tabs as spaces.
@@ -61,15 +68,24 @@ _FOLD = bytes(_FOLD)
 
 # ------------------------------------------------------------ batches of words
 
+def slices(batch: pa.RecordBatch):
+    """(lang, texts) of a batch (lang, text): every language's texts, at most
+    ``SLICE_BYTES`` at a time or one text."""
+    langs, texts = batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())
+    size = pc.binary_length(texts).to_numpy()
+    by_lang: dict[str, list] = {}
+    for i, lang in enumerate(langs):
+        by_lang.setdefault(lang, []).append(i)
+    for lang, rows in by_lang.items():
+        part = np.cumsum(size[rows], dtype=np.int64) // SLICE_BYTES
+        for some in np.split(np.array(rows), np.flatnonzero(np.diff(part)) + 1):
+            yield lang, texts.take(pa.array(some)).to_pylist()
+
+
 def word_batches(batch: pa.RecordBatch):
-    """(lang, codes, words) for every language of a batch (lang, text): the
+    """(lang, codes, words) for every slice of a batch (lang, text): the
     positions of all its texts, -1 between pieces, and the words of the codes."""
-    langs = batch.column("lang").to_pylist()
-    texts = batch.column("text").cast(pa.binary()).to_pylist()
-    by_lang: dict[str, list] = {}
-    for lang, text in zip(langs, texts):
-        by_lang.setdefault(lang, []).append(text)
-    for lang, group in by_lang.items():
+    for lang, group in slices(batch):
         blob = b"\n".join(group).translate(_FOLD).replace(b"\n", b" \n ")
         tokens = pc.split_pattern(pa.array([blob], pa.large_binary()), b" ").values
         coded = tokens.dictionary_encode()
@@ -112,7 +128,7 @@ def shards(keys: np.ndarray, counts: np.ndarray, range_bits: int) -> pa.RecordBa
     ends = list(zip(np.r_[0, cuts], np.r_[cuts, len(keys)])) if len(keys) else []
     return pa.RecordBatch.from_arrays([
         pa.array([part[i] for i, _ in ends], pa.int32()), pa.array([keys[i:j].tobytes() for i, j in ends], pa.binary()),
-        pa.array([counts[i:j].astype(np.int64).tobytes() for i, j in ends], pa.binary())], names=["range", "keys", "counts"])
+        pa.array([counts[i:j].astype(np.uint32).tobytes() for i, j in ends], pa.binary())], names=["range", "keys", "counts"])
 
 
 def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +145,9 @@ def merged(found: DataFrame, parts: int, use, kind: str) -> DataFrame:
         held: dict[int, tuple] = {}
         for b in batches:
             new: dict[int, list] = {}
-            for r, k, c in zip(*(b.column(x).to_pylist() for x in ("range", "keys", "counts"))):
-                new.setdefault(r, []).append((np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)))
+            for r, k, c in zip(*(b.column(x) for x in ("range", "keys", "counts"))):
+                new.setdefault(r.as_py(), []).append((np.frombuffer(k.as_buffer(), np.uint64),
+                                                      np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64)))
             for r, pieces in new.items():
                 pieces += [held[r]] if r in held else []
                 held[r] = add_up(*(np.concatenate(x) for x in zip(*pieces)))
@@ -181,36 +198,62 @@ def bit_map(found: DataFrame, range_bits: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array([r] if some else [], pa.int32()),
                                            pa.array([piece.tobytes()] if some else [], pa.binary())], names=["range", "piece"])
     out = np.zeros(size * ranges, np.uint8)
-    for row in merged(found, ranges, use, "range int, piece binary").toLocalIterator():
+    for row in merged(found, ranges, use, "range int, piece binary").collect():      # 2 ** MAP_BITS bits at most
         out[row["range"] * size:(row["range"] + 1) * size] = np.frombuffer(row["piece"], np.uint8)
     return out
 
 
-def candidates(docs: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
-    """(lang, words): the distinct phrases whose keys, and whose parts' keys, are
-    in the bit maps of their lengths."""
+PHRASES = "trie int, lang string, words array<string>, codes binary, counts binary"
+
+
+def candidates(docs: DataFrame, maps: dict[int, np.ndarray], tries: int) -> DataFrame:
+    """The distinct phrases of every slice whose keys, and whose parts' keys, are
+    in the bit maps of their lengths, one row a slice and trie: the slice's words
+    that they hold, the phrases as rows of 3 numbers of these words (from 1; 0 for
+    none) and how many places each has."""
     shared = docs.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches):
         for batch in batches:
-            langs, phrases = [], []
             for lang, codes, words in word_batches(batch):
                 h, ok, number = hashes(lang, words), codes >= 0, codes
+                rows, places, trie = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for n, bits in sorted(shared.value.items()):
                     at, keys = phrase_keys(h, codes, n)
-                    at = at[in_map(bits, keys) & ok[at] & ok[at + 1]]
+                    some = in_map(bits, keys) & ok[at] & ok[at + 1]
+                    at, keys = at[some], keys[some]
                     ok = np.zeros(len(codes) + 1, dtype=bool)
                     ok[at] = True
                     # phrases numbered by the numbers of their first words and their last word
                     pair = number[at] * len(words) + codes[at + n - 1]
-                    _, first, back = np.unique(pair, return_index=True, return_inverse=True)
+                    _, first, back, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
                     number = np.zeros(len(codes) + 1, dtype=np.int64)
                     number[at] = back
-                    langs += [lang] * len(first)
-                    phrases += [[words[c].decode() for c in codes[i:i + n]] for i in at[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.list_(pa.string()))],
-                                             names=["lang", "words"])
-    return docs.mapInArrow(run, "lang string, words array<string>").distinct()
+                    held = np.zeros((len(first), 3), np.int64)
+                    held[:, :n] = codes[at[first][:, None] + np.arange(n)] + 1
+                    rows.append(held)
+                    places.append(count)
+                    trie.append((keys[first] % np.uint64(tries)).astype(np.int64))
+                yield packed_phrases(lang, pa.array(words, pa.binary()).cast(pa.string()),
+                                     *(np.concatenate(x) for x in (rows, places, trie)))
+    return docs.mapInArrow(run, PHRASES)
+
+
+def packed_phrases(lang: str, words: pa.Array, rows: np.ndarray, places: np.ndarray, trie: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(trie, kind="stable")
+    rows, places, trie = rows[order], places[order], trie[order]
+    cuts = np.r_[0, np.flatnonzero(np.diff(trie)) + 1, len(trie)] if len(trie) else np.zeros(1, int)
+    used, codes = [np.zeros(0, np.int64)], []
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        own, back = np.unique(np.append(rows[i:j].ravel(), 0), return_inverse=True)      # 0 always is the first
+        used.append(own[1:] - 1)
+        codes.append(back[:-1].astype(np.uint32).tobytes())
+    ends = np.cumsum([0, *(len(x) for x in used[1:])])
+    return pa.RecordBatch.from_arrays([
+        pa.array(trie[cuts[:-1]], pa.int32()), pa.array([lang] * len(codes), pa.string()),
+        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.take(pa.array(np.concatenate(used)))),
+        pa.array(codes, pa.binary()), pa.array([places[i:j].astype(np.uint32).tobytes() for i, j in zip(cuts[:-1], cuts[1:])],
+                                               pa.binary())], names=["trie", "lang", "words", "codes", "counts"])
 
 
 # ------------------------------------------------------------ tries
@@ -291,50 +334,45 @@ def advance(base: np.ndarray, check: np.ndarray, states: np.ndarray, codes: np.n
     return np.where((to > 0) & (check[to] == states), to, 0)
 
 
-def coded_phrases(held: pa.Table) -> tuple[np.ndarray, pa.Array]:
-    """The phrases (lang, words) as rows of 3 word numbers, 0 for none, and the
-    words of the numbers 1, 2, ... as ``lang NUL word``."""
+def coded_phrases(held: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """The phrases of rows of ``PHRASES`` as rows of 3 word numbers, 0 for none;
+    their places; the languages and words of the numbers 1, 2, ..."""
     words = held.column("words").combine_chunks()
-    size = pc.list_value_length(words).to_numpy()
-    lang = held.column("lang").combine_chunks().take(pa.array(np.repeat(np.arange(len(size)), size)))
-    named = pc.binary_join_element_wise(lang, words.flatten(), pa.scalar("\0")).dictionary_encode()
-    out = np.zeros((len(size), 3), np.int64)
-    row = np.repeat(np.arange(len(size)), size)
-    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = named.indices.to_numpy() + 1
-    return out, named.dictionary
-
-
-def _count_in_trie(docs: DataFrame, held: pa.Table) -> DataFrame:
-    """(lang, words, a): exact counts of the phrases of one trie."""
-    spark = docs.sparkSession
-    coded, names = coded_phrases(held)
-    trie = DoubleArray(coded, len(names))
-    shared = spark.sparkContext.broadcast((names, *trie.tables()))
-    range_bits = 16
-
-    def run(batches):
-        vocabulary, base, check = shared.value
-        total = np.zeros(len(base), np.int64)
-        for batch in batches:
-            for lang, codes, words in word_batches(batch):
-                number = pc.index_in(pa.array([f"{lang}\0{w.decode()}" for w in words], pa.string()), vocabulary)
-                number = number.fill_null(-1).to_numpy() + 1
-                c = np.where(codes >= 0, number[np.maximum(codes, 0)], 0) if len(codes) else codes
-                states = c
-                for n in (2, 3):
-                    states = advance(base, check, states[:-1], c[n - 1:])
-                    total += np.bincount(states, minlength=len(base))
-        total[0] = 0
-        seen = np.flatnonzero(total)
-        yield shards(seen.astype(np.uint64), total[seen], range_bits)
-
-    def use(r, keys, counts):
-        often = counts >= MIN_COUNT
-        return pa.RecordBatch.from_arrays([pa.array(keys[often].astype(np.int64)), pa.array(counts[often])], names=["state", "a"])
-    parts = (len(trie.tables()[0]) >> range_bits) + 1
-    counted = merged(docs.mapInArrow(run, SHARD), parts, use, "state long, a long")
-    phrases = spark.createDataFrame(held.append_column("state", pa.array(trie.states)))
-    return counted.join(phrases, "state").select("lang", "words", "a")
+    starts = words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
+    langs = held.column("lang").combine_chunks().dictionary_encode()
+    of_word = langs.indices.take(pa.array(np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())))
+    named = pc.binary_join_element_wise(of_word.cast(pa.string()), words.flatten(), pa.scalar(" ")).dictionary_encode()
+    number = np.append(named.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, 0)
+    out, places = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.int64)]
+    for start, codes, counts in zip(starts, held.column("codes"), held.column("counts")):
+        c = np.frombuffer(codes.as_buffer(), np.uint32).astype(np.int64).reshape(-1, 3)
+        out.append(number[np.where(c > 0, start + c - 1, -1)])
+        places.append(np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64))
+    names = [x.split(" ", 1) for x in named.dictionary.to_pylist()]
+    return (np.concatenate(out), np.concatenate(places), langs.dictionary.take(pa.array([int(x) for x, _ in names], pa.int32())),
+            pa.array([x for _, x in names], pa.string()))
+
+
+def count_in_trie(held: pa.Table) -> pa.Table:
+    """(lang, words, a): the phrases of one trie that reach ``MIN_COUNT``, with their exact counts."""
+    rows, places, langs, words = coded_phrases(held)
+    width = len(words) + 1
+    _, pair = np.unique(rows[:, 0] * width + rows[:, 1], return_inverse=True)
+    _, first = np.unique(pair * width + rows[:, 2], return_index=True)
+    trie = DoubleArray(rows[first], len(words))
+    base, check = trie.tables()
+    states = advance(base, check, rows[:, 0], rows[:, 1])
+    third = rows[:, 2] > 0
+    states[third] = advance(base, check, states[third], rows[third, 2])
+    total = np.zeros(len(base), np.int64)
+    np.add.at(total, states, places)
+    often = total[trie.states] >= MIN_COUNT
+    found = rows[first[often]]
+    size = 2 + (found[:, 2] > 0)
+    return pa.table({"lang": langs.take(pa.array(found[:, 0] - 1)),
+                     "words": pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, size]), pa.int32()),
+                                                       words.take(pa.array(found[found > 0] - 1))),
+                     "a": pa.array(total[trie.states[often]])})
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -356,17 +394,10 @@ def phrase_counts(docs: DataFrame) -> DataFrame:
     range_bits = KEY_BITS - ranges.bit_length() + 1
     maps = {2: bit_map(proposals(docs, 2, range_bits), range_bits)}
     maps[3] = bit_map(proposals(docs, 3, range_bits, maps[2]), range_bits)
-    found = cut(candidates(docs, maps), "phrases")
-    tries = -(-found.count() // TRIE_PHRASES)
-    counted = []
-    for i in range(tries):
-        held = found.filter(F.pmod(F.xxhash64("lang", F.col("words")[0]), F.lit(tries)) == i).toArrow()
-        if held.num_rows:
-            counted.append(cut(_count_in_trie(docs, held), f"phrase-counts{i}"))
-    out = docs.sparkSession.createDataFrame([], "lang string, words array<string>, a long")
-    for c in counted:
-        out = out.unionByName(c)
-    return out
+    keys = sum(int(np.bitwise_count(bits).sum()) for bits in maps.values())
+    tries = max(64, input_bytes(docs) // TRIE_BYTES, -(-keys // TRIE_PHRASES))
+    found = candidates(docs, maps, tries).groupBy("trie").applyInArrow(count_in_trie, "lang string, words array<string>, a long")
+    return cut(found, "phrase-counts")
 
 
 # ------------------------------------------------------------ scores
@@ -409,7 +440,10 @@ def collocations(docs: DataFrame, top: int = TOP, text_col: str = "text", lang_c
     three = three.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a",
                          F.when(early, F.col("l1")).otherwise(F.col("l2")).alias("l"),
                          F.when(early, F.col("r1")).otherwise(F.col("r2")).alias("r"), F.least("s1", "s2").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = two.unionByName(three).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # first the best of every part of a language, so that no task ranks a whole language
+    best = two.unionByName(three).withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    for keys in (["lang", "_part"], ["lang"]):
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= top)
     return best.join(F.broadcast(n), "lang").select(          # one row a language
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bitextkit.llm import collocations as C
@@ -69,6 +70,30 @@ def test_collisions_of_proposed_keys_change_nothing(spark, monkeypatch):
     assert rows(C.collocations(spark.createDataFrame([(l, t) for l, t in docs], "lang string, text string"))) == brute(docs)
 
 
+def test_phrases_stay_off_the_driver_and_the_texts_are_read_once_for_all_tries(spark, monkeypatch):
+    """Small slices and many tries: the driver gets no phrases, and no trie reads the texts again."""
+    docs = corpus(11, 150)
+    d = spark.createDataFrame(docs, "lang string, text string").repartition(2)
+    monkeypatch.setattr(C, "TRIE_PHRASES", 5)
+    monkeypatch.setattr(C, "SLICE_BYTES", 500)
+
+    def refuse(*_, **__):
+        raise AssertionError("phrases on the driver")
+    monkeypatch.setattr(type(d), "toArrow", refuse)
+    read, passes = [], type(d).mapInArrow
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, *a, **k: read.append("text" in self.columns) or passes(self, *a, **k))
+    assert rows(C.collocations(d)) == brute(docs)
+    assert sum(read) == 4
+
+
+def test_slices_keep_to_their_bytes_and_lose_no_text(monkeypatch):
+    monkeypatch.setattr(C, "SLICE_BYTES", 100)
+    texts = [("en" if i % 3 else "de", "w" * (i * 7 % 60) + "\u00fc") for i in range(200)] + [("en", "x" * 1000)]
+    got = list(C.slices(pa.RecordBatch.from_pydict({"lang": [x for x, _ in texts], "text": [x for _, x in texts]})))
+    assert sorted((lang, t.decode()) for lang, part in got for t in part) == sorted(texts)
+    assert all(sum(map(len, part)) < 2 * 100 or len(part) == 1 or max(map(len, part)) > 100 for _, part in got) and len(got) > 20
+
+
 def test_empty(spark, empty, edge):
     assert C.collocations(empty).collect() == []
     docs = [(r.lang, r.text) for r in edge.collect()]
