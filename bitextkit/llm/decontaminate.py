@@ -38,17 +38,20 @@ WINDOW = 5
 SIMILARITY = 0.8
 MAX_BENCHMARK_WINDOWS = 500_000          # 16 bytes each and a hash table: some 30 MB
 
-# Unit words; private-use characters that mark the placeholders.
+# Unit words; characters that mark the placeholders.  They are ASCII, so that texts in
+# ASCII stay so: other texts are much slower to match and to lower-case.
 UNITS = ["percent", "kg", "g", "mg", "km", "m", "cm", "mm", "miles?", "feet", "foot", "inch(?:es)?", "pounds?", "lbs?",
          "litres?", "liters?", "ml", "hours?", "minutes?", "seconds?", "days?", "weeks?", "months?", "years?",
          "dollars?", "euros?", "cents?", "usd", "eur", "degrees?", "celsius", "fahrenheit", "mph", "kmh", "volts?",
          "watts?", "joules?", "newtons?", "hz", "mb", "gb"]
-NAME, NUMBER, UNIT, POINT = "\ue001", "\ue002", "\ue003", "\ue004"
+NAME, NUMBER, UNIT, POINT = MARKS = "\x01\x02\x03\x04"
+OTHER = "\x05"                           # in a text's own control characters' stead
+GIVEN = "\ue001\ue002\ue003\ue004"      # placeholders if a text has them itself
 QUOTES = "[\"'`«»‘-‟‹›]"
 # Every pattern begins with the rare characters it is about and looks back from there: a
 # look-behind in front would be tried at every character of a text.
 QUOTE_AT = f"{QUOTES}(?:(?<![\\p{{L}}\\p{{N}}]{QUOTES})|(?![\\p{{L}}\\p{{N}}]))"
-SPACE_AT = "[\\s\\x{A0}&&[^ ]][\\s\\x{A0}]*| [\\s\\x{A0}]+"
+SPACE_AT = "[\\s\\x{A0}](?:(?<! )[\\s\\x{A0}]*|[\\s\\x{A0}]+)"      # but not a single space
 POINT_AT = "[.,](?<=[0-9][.,])(?=[0-9])"
 NAME_AT = "\\p{Lu}(?<=[\\p{L}\\p{N},;:] \\p{Lu})\\p{Ll}+(?![\\p{L}])"
 # the rest of a run of names: the literal comes first, so that the look-behind is tried at names only
@@ -60,6 +63,12 @@ UNIT_AT = f" (?<=[0-9{NUMBER}] )((?i:{'|'.join(UNITS)}))(?![\\p{{L}}\\p{{N}}])"
 def folded(text: Column) -> Column:
     """A text without quotes around words, with single spaces, and with a mark
     for the points inside numbers: what both forms begin with."""
+    freed = text
+    for mark in MARKS:
+        freed = F.replace(freed, F.lit(mark), F.lit(OTHER))
+    for given, mark in zip(GIVEN, MARKS):
+        freed = F.replace(freed, F.lit(given), F.lit(mark))
+    text = F.when(text.rlike(f"[{MARKS}{GIVEN}]"), freed).otherwise(text)
     x = F.regexp_replace(F.regexp_replace(text, QUOTE_AT, ""), SPACE_AT, " ")
     return F.regexp_replace(x, POINT_AT, POINT)
 
@@ -83,11 +92,17 @@ def both_forms(x: Column) -> Column:
                      for form in (0, 1)])
 
 
-def windows(hashes: Column, form: Column, n: int = WINDOW) -> Column:
-    """Hashes of a form's windows of ``n`` tokens (empty below ``n``), from the
-    tokens' own hashes: a token's letters are read once, not once a window."""
-    return F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - n + 1, F.lit(0))),
-                       lambda h, i: F.xxhash64(form, h, *[F.get(hashes, i + k) for k in range(1, n)]))
+def with_windows(rows: DataFrame, hashes: str, at: str, n: int = WINDOW) -> DataFrame:
+    """One row for each window of ``n`` tokens (none below ``n``), with its place
+    ``at`` and hash ``h``, from the hashes of a form's tokens: a token's letters
+    are read once, not once a window.  The window's tokens are zipped and hashed
+    after they are exploded, in compiled code."""
+    kh = F.col(hashes)
+    size = F.greatest(F.size(kh) - n + 1, F.lit(0))
+    zipped = F.arrays_zip(*[F.slice(kh, k + 1, size).alias(f"t{k}") for k in range(n)])
+    keep = [c for c in rows.columns if c != hashes]
+    return rows.select(*keep, F.posexplode(zipped).alias(at, "_w")).select(
+        *keep, at, F.xxhash64("form", *[f"_w.t{k}" for k in range(n)]).alias("h"))
 
 
 def token_hashes(tokens: Column) -> Column:
@@ -101,7 +116,7 @@ def benchmark_windows(bench: DataFrame, item_col: str = "item_id", text_col: str
     b = b.select("item_id", F.xxhash64("_t").alias("ith"), folded(F.col("_t")).alias("_x"))
     b = b.select("item_id", "ith", F.inline(both_forms(F.col("_x"))))
     b = b.withColumnRenamed("k", "_k").withColumn("_kh", token_hashes(F.col("_k")))
-    w = b.select("item_id", "ith", "form", "_k", F.posexplode(windows(F.col("_kh"), F.col("form"))).alias("j", "h"))
+    w = with_windows(b, "_kh", "j")
     literal = F.size(F.filter(F.slice("_k", F.col("j") + 1, WINDOW),
                               lambda x: ~x.rlike(f"^[{NAME}-{POINT}]"))) >= 2
     w = w.filter(literal).select("item_id", "ith", "form", "j", "h")
@@ -120,7 +135,7 @@ def candidates(docs: DataFrame, bench: DataFrame) -> DataFrame:
         "doc_id", F.xxhash64("_t").alias("th"), folded(F.col("_t")).alias("_x"))
     d = d.select("doc_id", "th", F.inline(both_forms(F.col("_x"))))
     d = d.select("doc_id", "th", "form", token_hashes(F.col("k")).alias("kh"))
-    d = d.select("doc_id", "th", "form", F.posexplode(windows(F.col("kh"), F.col("form"))).alias("i", "h"))
+    d = with_windows(d, "kh", "i")
     hits = d.drop("form").join(b, "h").groupBy("doc_id", "th", "item_id", "ith", "form", "need",
                                   (F.col("i") - F.col("j")).alias("shift")).agg(
         F.collect_set("h").alias("hs"))

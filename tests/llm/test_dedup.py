@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from bitextkit.llm import decontaminate, line_dedup, near_dedup
 
@@ -142,6 +143,28 @@ def test_leak_edges(spark, edge, empty):
     assert decontaminate.contaminated(edge, b.filter("false")).collect() == []
 
 
+def test_placeholders_keep_a_text_in_ascii_and_stand_apart_from_its_own_control_characters(spark):
+    """Matching and lower-casing texts beyond ASCII is slow."""
+    text = "We paid Anna 1.5 kg at  9 and \x01 took\x02 2\x04 more"
+    d = spark.createDataFrame([(text,)], "t string").select(decontaminate.folded(F.col("t")).alias("x"))
+    named, plain = d.select(decontaminate.template_tokens(F.col("x")), decontaminate.template_tokens(F.col("x"), plain=True)).first()
+    n, u, p = decontaminate.NUMBER, decontaminate.UNIT, decontaminate.NAME
+    assert "".join(named + plain).isascii()
+    assert named == ["we", "paid", p, n, u, "at", n, "and", "took", n, "more"]
+    assert plain == ["we", "paid", "anna", n, u, "at", n, "and", "took", n, "more"]
+
+
+def test_windows_are_hashed_from_their_tokens_in_compiled_code(spark):
+    d = spark.createDataFrame([(1, 0, list(range(8))), (2, 1, list(range(5))), (3, 0, [1, 2, 3, 4]), (4, 1, [])],
+                              "id long, form int, kh array<long>")
+    out = decontaminate.with_windows(d, "kh", "i")
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.i): r.h for r in out.collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 2), (1, 3), (2, 0)}
+    want = d.filter("id = 1").select(F.xxhash64(F.lit(0), *[F.col("kh")[k] for k in range(3, 8)])).first()[0]
+    assert got[1, 3] == want
+
+
 # ------------------------------------------------------------ lines
 
 def brute_lines(texts):
