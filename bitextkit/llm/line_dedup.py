@@ -33,6 +33,9 @@ table stays empty.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,35 +64,48 @@ def line_tokens(line: Column) -> Column:
     return F.transform(F.array_remove(F.split(mask(line), " "), ""), lambda x: F.xxhash64(x))
 
 
-def template_keys(tokens: Column) -> Column:
-    """Hashes of the templates a line of ``tokens`` (word hashes) stands under:
-    the exact one first, then one for each variable part.  Every hash covers
-    the token count and the leading tokens."""
-    n = F.size(tokens)
-    tail = n - LEAD
-    exact = F.array(F.xxhash64(F.lit(-1), n, tokens))
+def part_hashes(tokens: Column) -> Column:
+    """Hashes of the leading tokens and of each part of the rest, so that every
+    token is read once however many templates a line stands under."""
+    tail = F.size(tokens) - LEAD
+
+    def part(p):
+        a, b = ((tail * x / PARTS).cast("int") for x in (p, p + 1))
+        return F.xxhash64(F.slice(tokens, LEAD + 1 + a, b - a))
+
+    return F.array(F.xxhash64(F.slice(tokens, 1, LEAD)), *[part(p) for p in range(PARTS)])
 
-    def without(p):
-        a = LEAD + (tail * p / PARTS).cast("int")          # tokens before the variable part
-        b = LEAD + (tail * (p + 1) / PARTS).cast("int")    # tokens up to its end
-        return F.xxhash64(F.lit(p), n, F.slice(tokens, F.lit(1), a), F.slice(tokens, b + 1, F.greatest(n - b, F.lit(0))))
 
-    return F.when(tail >= PARTS * MIN_PART, F.concat(exact, F.array(*[without(p) for p in range(PARTS)]))).otherwise(exact)
+def template_keys(n: Column, parts: Column) -> Column:
+    """Hashes of the templates a line of ``n`` tokens stands under, from its
+    ``part_hashes``: the exact one first, then one for each variable part.  Every
+    hash covers the token count and the leading tokens."""
+    def key(p):
+        return F.xxhash64(F.lit(p), n, *[F.get(parts, F.lit(i)) for i in range(PARTS + 1) if i != p + 1])
+
+    return F.when(n - LEAD >= PARTS * MIN_PART, F.array(key(-1 - PARTS), *[key(p) for p in range(PARTS)])).otherwise(
+        F.array(key(-1 - PARTS)))
 
 
 def parsed_docs(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, lines of (line, keys), sketch, sig) of every document with a
-    line of ``MIN_TOKENS`` tokens; equal rows of ``docs`` (doc_id, text) once."""
+    """(doc_id, th, lines of (line, keys), sketch, sig) of every document, the
+    lines those of ``MIN_TOKENS`` tokens or more.  No filter on the lines may
+    stand here: Spark would push it below and parse every text for it as well."""
+    # looking for a character is much cheaper than a pattern, and few texts hold one
+    other = reduce(or_, [F.contains(F.col("_t"), F.lit(c)) for c in "\x09\x0b\x0c\x0d"])
+    spaced = F.when(other, F.regexp_replace("_t", OTHER_WS, " ")).otherwise(F.col("_t"))
     d = docs.select("doc_id", text_of().alias("_t")).select(
-        "doc_id", F.xxhash64("_t").alias("th"), F.split(F.regexp_replace("_t", OTHER_WS, " "), "\n").alias("_l"))
+        "doc_id", F.xxhash64("_t").alias("th"), F.split(spaced, "\n").alias("_l"))
     d = d.select("doc_id", "th", F.filter(
         F.transform("_l", lambda x, i: F.struct(i.alias("line"), line_tokens(x).alias("w"))),
-        lambda s: F.size(s["w"]) >= MIN_TOKENS).alias("_l")).filter(F.size("_l") > 0)
+        lambda s: F.size(s["w"]) >= MIN_TOKENS).alias("_l"))
     pairs = F.flatten(F.transform("_l", lambda s: F.zip_with(
         F.slice(s["w"], F.lit(1), F.size(s["w"]) - 1), F.slice(s["w"], F.lit(2), F.size(s["w"]) - 1),
         lambda a, b: F.hash(a, b))))
-    d = d.select("doc_id", "th", F.transform("_l", lambda s: F.struct(
-        s["line"].alias("line"), template_keys(s["w"]).alias("keys"))).alias("lines"),
+    parts = F.transform("_l", lambda s: F.struct(
+        s["line"].alias("line"), F.size(s["w"]).alias("n"), part_hashes(s["w"]).alias("p")))
+    d = d.select("doc_id", "th", F.transform(parts, lambda s: F.struct(
+        s["line"].alias("line"), template_keys(s["n"], s["p"]).alias("keys"))).alias("lines"),
         F.slice(F.sort_array(F.array_distinct(pairs)), 1, SKETCH).alias("sketch"))
     return d.withColumn("sig", F.xxhash64("sketch"))
 
@@ -144,7 +160,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with the dropped lines cut out of the text, plus ``_n_lines``
     and ``_n_dropped``; all rows stay."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parsed = cut(parsed_docs(d), "lines")
+    parsed = cut(parsed_docs(d), "lines").filter(F.size("lines") > 0)
     often = cut(recurring(parsed), "line-templates")
     if often.count() <= MAX_BROADCAST:
         often = F.broadcast(often)
@@ -155,15 +171,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).agg(
         F.collect_set("line").alias("_gone"))
     text = F.col("text")
-    all_lines = F.split(text, "\n")
-    out = packed(docs, id_col, text_col).join(gone.hint("shuffle_hash"), (F.xxhash64(text_of()) == F.col("_gone_th"))
+    names = [c for c in docs.columns if c != text_col]
+    rows = packed(docs, id_col, text_col).withColumn("_row", F.struct(*[F.col(f"_row.`{c}`").alias(c) for c in names]))
+    out = rows.join(gone.hint("shuffle_hash"), (F.xxhash64(text_of()) == F.col("_gone_th"))
                                               & F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left")
-    out = out.withColumn("_n", F.when(text.isNull() | (text == ""), 0).otherwise(F.size(all_lines)))
+    out = out.withColumn("_l", F.split(text, "\n"))
+    out = out.withColumn("_n", F.when(text.isNull() | (text == ""), 0).otherwise(F.size("_l")))
     some = F.col("_gone").isNotNull()
-    out = out.withColumns({"_l": F.when(some, all_lines), "_kept": F.when(some, F.array_except(
-        F.sequence(F.lit(0), F.col("_n") - 1), "_gone"))})
+    out = out.withColumn("_kept", F.when(some, F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), "_gone")))
     new = F.when(some, F.array_join(F.transform("_kept", lambda i: F.get("_l", i)), "\n")).otherwise(text)
-    names = [c for c in docs.columns if c != text_col]
     return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], new.alias(text_col),
                       F.col("_n").alias("_n_lines"), F.when(some, F.size("_gone")).otherwise(0).alias("_n_dropped"))
 

@@ -270,3 +270,16 @@ def test_passages_of_unrelated_documents_go_whatever_copies_there_are(spark):
     for r in line_dedup.line_report(d).collect():
         length, later = passages[r.doc_id]
         assert r.n_dropped == length * later, r.doc_id
+
+
+def test_lines_are_parsed_once_and_their_tokens_hashed_once_for_all_templates(spark):
+    d = spark.createDataFrame([(1, "a b c d e f g h 1\nx y\nthree word line"), (2, "x"), (3, None)], "doc_id long, text string")
+    parsed = line_dedup.parsed_docs(d)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<*>") == 1
+    got = {r.doc_id: [(x.line, len(set(x["keys"]))) for x in r.lines] for r in parsed.collect()}
+    assert got == {1: [(0, 1 + line_dedup.PARTS), (2, 1)], 2: [], 3: []}
+    lines = ["a b c d e f g h 1", "a b c d e f g h 22", "a b c d e f g z 1", "a b z d e f g h 1", "a z c d e f g h 1", "a b c d e f g h"]
+    tokens = spark.createDataFrame([(x,) for x in lines], "x string").select(line_dedup.line_tokens(F.col("x")).alias("w"))
+    keys = [set(r[0]) for r in tokens.select(line_dedup.template_keys(F.size("w"), line_dedup.part_hashes(F.col("w")))).collect()]
+    assert [len(keys[0] & k) for k in keys] == [4, 4, 1, 1, 0, 0]
