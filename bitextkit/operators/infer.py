@@ -116,6 +116,8 @@ def model_reward(df: DataFrame, scorer_factory, batch_size: int = 8, input_forma
 
 # ------------------------------------------------------------ U06
 
+OUT_CHARS = 1 << 22     # characters of outputs that go out in one Arrow batch, about
+
 def generate_for_grid(df: DataFrame, grid: dict[str, list], generator_factory, input: str, output: str,
                       configs: str, batch_size: int = 64, nested: bool = False) -> DataFrame:
     """Every row once for each *different* output of the grid's configurations:
@@ -128,27 +130,46 @@ def generate_for_grid(df: DataFrame, grid: dict[str, list], generator_factory, i
     schema = T.StructType(df.schema.fields + [T.StructField(output, T.ArrayType(text) if nested else text, True),
                                               T.StructField(configs, T.ArrayType(ids_of) if nested else ids_of, True)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def with_outputs(rows, made):
+        import numpy as np
+        import pyarrow as pa
+        count = [len(seen) for seen in made]
+        texts = pa.array([t for seen in made for t in seen], type=pa.string(), from_pandas=True)
+        ids = pa.array([ids for seen in made for ids in seen.values()], type=pa.list_(pa.int32()))
+        if nested:
+            ends = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
+            columns = [*rows.columns, *[pa.ListArray.from_arrays(ends, x) for x in (texts, ids)]]
+        else:
+            at = pa.array(np.repeat(np.arange(len(made)), count))
+            columns = [*[c.take(at) for c in rows.columns], texts, ids]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def run(batches):
         model = generator_factory()
         frames = [pd.DataFrame([cell] * batch_size, columns=names) for cell in cells]
-        for pdf in batches:
-            for start in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[start:start + batch_size].reset_index(drop=True)
-                made: list[dict] = [{} for _ in range(len(chunk))]
-                for c, cfg in enumerate(frames):
-                    for seen, text in zip(made, model(chunk[input], cfg.iloc[:len(chunk)])):
-                        seen.setdefault(text.strip() if isinstance(text, str) else text, []).append(c)
-                if nested:
-                    chunk[output] = [list(seen) for seen in made]
-                    chunk[configs] = [list(seen.values()) for seen in made]
-                    yield chunk
-                    continue
-                out = chunk.loc[[i for i, seen in enumerate(made) for _ in seen]].reset_index(drop=True)
-                out[output] = [text for seen in made for text in seen]
-                out[configs] = [ids for seen in made for ids in seen.values()]
-                yield out
-
-    return df.mapInPandas(run, schema)
+        for batch in batches:
+            begin, made, chars = 0, [], 0
+            for start in range(0, len(batch), batch_size):
+                prompts = batch.slice(start, batch_size).column(input).to_pandas()
+                outs = [model(prompts, cfg if len(prompts) == batch_size else cfg.iloc[:len(prompts)]) for cfg in frames]
+                for outs_of_row in zip(*outs):
+                    seen: dict = {}
+                    for c, out in enumerate(outs_of_row):
+                        if out in seen:
+                            seen[out].append(c)
+                        else:
+                            seen[out] = [c]
+                    for out in [x for x in seen if isinstance(x, str) and x.strip() != x]:
+                        seen[out.strip()] = sorted(seen.pop(out) + seen.get(out.strip(), []))
+                    made.append(seen)
+                    chars += sum(map(len, filter(None, seen)))
+                if chars >= OUT_CHARS:
+                    yield with_outputs(batch.slice(begin, len(made)), made)
+                    begin, made, chars = begin + len(made), [], 0
+            if made:
+                yield with_outputs(batch.slice(begin, len(made)), made)
+
+    return df.mapInArrow(run, schema)
 
 
 def sweep(df: DataFrame, grid: dict[str, list], generator_factory, input: str = "source",
@@ -156,16 +177,15 @@ def sweep(df: DataFrame, grid: dict[str, list], generator_factory, input: str =
     """BLEU (effective order) and chrF++ of every decode configuration of
     ``grid`` over the evaluation set, in one job.
 
-    Outputs that several configurations share are scored once, against units of the
-    reference that are made once a sentence; their sufficient
-    statistics are summed by set of configurations (few sets, one small row each)
-    and only these sums are given to the single configurations."""
+    Outputs that several configurations share are scored once, those that another one
+    begins with within that one; their sufficient statistics are summed by set of
+    configurations in the batch (few sets, one small row each) and only these sums are
+    given to the single configurations."""
     from bitextkit.operators.mt_metrics import STAT_COLS_BLEU, STAT_COLS_CHRF, corpus_scores, sentence_stats
     x = df.select(F.col(id_col).alias("_rid"), input, ref)
     made = generate_for_grid(x, grid, generator_factory, input, "_hyp", "_configs", batch_size, nested=True)
-    st = sentence_stats(made, "_rid", "_hyp", ref, keep=(), many=("_configs",))
-    sums = st.groupBy("_configs").agg(F.count(F.lit(1)).alias("_rows"), *[
-        F.sum(c).alias(c) for c in STAT_COLS_BLEU + STAT_COLS_CHRF])
+    st = sentence_stats(made, "_rid", "_hyp", ref, keep=(), many=("_configs",), summed=True)
+    sums = st.groupBy("_configs").agg(*[F.sum(c).alias(c) for c in ["n_rows", *STAT_COLS_BLEU, *STAT_COLS_CHRF]])
     res = corpus_scores(sums.withColumn("config_id", F.explode("_configs")), by=("config_id",))
     cfgs = df.sparkSession.range(1).select(F.inline(grid_array(grid)))
     return cfgs.join(res, "config_id").select("config_id", *grid, F.col("bleu_eff").alias("bleu"), "chrf")

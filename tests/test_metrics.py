@@ -184,3 +184,51 @@ def test_statistics_of_several_hypotheses_of_a_reference(spark):
     want = M.sentence_stats(flat, keep=("name",))
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+ODD_TEXTS = ["", " ", "a", "-", "a.b, c", "U.S. 3.5,6 1-2 -3", '"quoted" (x)', "a-\nb\n", "line\nnext -\n", "x&quot;y &amp;lt; <skipped>z",
+             "<skip<skipped>ped> -<skipped>\nq", "अआ. अइ, \U0001f600! \U0001f601", "a b c\u0085d\x1ce", "...!? ,,. . .", "'tis don't 'a'", "a\tb-", "​zero", "$5 50%-60%", None]
+
+
+def test_units_of_strings_equal_the_columns(spark):
+    from pyspark.sql import functions as F
+    from bitextkit.functions import text as TX
+    d = spark.createDataFrame([(t,) for t in ODD_TEXTS], "t string")
+    for t, tok, chars, words in d.select("t", TX.tokenize_13a("t"), TX.chrf_chars("t"), TX.chrf_words("t")).collect():
+        assert (TX.py_tokenize_13a(t or ""), TX.py_chrf_chars(t or ""), TX.py_chrf_words(t or "")) == (tok, chars, words), t
+        if "\n" not in (t or ""):       # word by word
+            assert sum(map(TX.py_tokenize_13a, (t or "").split()), []) == tok
+
+
+def test_hypotheses_that_begin_alike_are_counted_together(spark, monkeypatch):
+    """Every beginning of odd texts, in lists with each other: as one by one, and only the whole ones are laid out."""
+    import numpy as np
+    rnd = np.random.default_rng(7)
+    texts = [t for t in ODD_TEXTS if t] + ["a b a b a c. a b", "a b a b", "a  b a", "a b c", "a bc"]
+    hyps, refs = [], []
+    for t in texts:
+        words = t.split(" ")
+        hyps.append([" ".join(words[:i]).strip() for i in range(len(words) + 1)] + ["a b", "", "a b"])
+        refs.append(" ".join(rnd.permutation(words)) + " a b. a")
+    cut = M._cutters(M.KINDS)
+    got = M._count_hypotheses(hyps, [M._words(r) for r in refs], cut)
+    flat = [(M._words(h), M._words(r)) for x, r in zip(hyps, refs) for h in x]
+    want = M._count_texts([h for h, _ in flat], [r for _, r in flat], np.arange(len(flat)), cut)
+    assert all((got[k] == want[k]).all() for k in want) and got.keys() == want.keys()
+    whole, of = M._beginnings(["a b c", "a", "a b", "", "a bc", "a"])
+    assert whole == [["a", "bc"], ["a", "b", "c"]] and of == [(1, 3), (1, 1), (1, 2), (1, 0), (0, 2), (1, 1)]
+
+
+def test_partial_sums_of_batches(spark):
+    rows = [(i, "the cat sat. " * (i % 5), "the cat sat on, " * (i % 4), (None, "x", "y")[i % 3]) for i in range(40)]
+    d = spark.createDataFrame(rows, "id long, hyp string, ref string, direction string").coalesce(1)
+    part = M.sentence_stats(d, summed=True)
+    assert part.count() == 3 and "id" not in part.columns       # not a row a sentence
+    for overall in ("all", "matched"):
+        assert sorted(M.evaluate_by(part, overall=overall).collect()) == sorted(M.evaluate_by(M.sentence_stats(d), overall=overall).collect())
+    empty = M.corpus_scores(M.sentence_stats(d.limit(0), keep=(), summed=True)).first()
+    assert empty == M.corpus_scores(M.sentence_stats(d.limit(0), keep=())).first() and empty.n == 0
+    lists = spark.createDataFrame([(1, "a b", ["a", "a b", "b"], [[1], [1, 2], [3]]), (2, "x", ["x", "y"], [[1, 2], [1]])],
+                                  "id long, ref string, hyp array<string>, sets array<array<int>>").coalesce(1)
+    got = {tuple(r.sets): r.n_rows for r in M.sentence_stats(lists, keep=(), many=("sets",), summed=True).collect()}
+    assert got == {(1,): 2, (1, 2): 2, (3,): 1}
