@@ -16,10 +16,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_triplets(df: DataFrame, path: str, fmt: str = "jsonl", mode: str = "overwrite") -> None:
-    """Triplets as JSON Lines (HF ``to_json`` default) or Parquet.  A
+    """Triplets as JSON Lines (HF ``to_json`` default; each file gzipped, which
+    Spark's and pandas' readers undo by its name) or Parquet.  A
     pretty JSON array needs a single writer and is not offered."""
     if fmt == "jsonl":
-        df.write.mode(mode).json(path)
+        df.write.mode(mode).option("compression", "gzip").json(path)
     elif fmt == "parquet":
         df.write.mode(mode).parquet(path)
     else:

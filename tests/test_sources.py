@@ -137,3 +137,12 @@ def test_metrics_json_shape(spark):
     assert set(doc["per_direction"]) == {"src2tgt", "tgt2src"}
     assert doc["per_direction"]["src2tgt"]["bleu"] == 100.0
     assert "overall_bleu" in doc
+
+
+def test_triplet_lines_are_compressed(spark, tmp_path):
+    rows = [(f"translate a to b: {i} अआ", "x\ny", None if i % 3 else "z", "src2tgt") for i in range(300)]
+    df = spark.createDataFrame(rows, "source string, preferred string, unpreferred string, direction string")
+    SRC.write_triplets(df, str(tmp_path / "t.jsonl"))
+    parts = list((tmp_path / "t.jsonl").glob("part-*"))
+    assert parts and all(p.name.endswith(".json.gz") for p in parts)
+    assert sorted(map(str, SRC.read_triplets(spark, str(tmp_path / "t.jsonl")).collect())) == sorted(map(str, df.collect()))
