@@ -232,3 +232,38 @@ def test_partial_sums_of_batches(spark):
                                   "id long, ref string, hyp array<string>, sets array<array<int>>").coalesce(1)
     got = {tuple(r.sets): r.n_rows for r in M.sentence_stats(lists, keep=(), many=("sets",), summed=True).collect()}
     assert got == {(1,): 2, (1, 2): 2, (3,): 1}
+
+
+def test_token_match_of_sentences_of_every_shape(spark, monkeypatch):
+    """Sentences multiplied together give what each gives alone; the encoder sees one text a call."""
+    import numpy as np
+    from bitextkit.operators import evaluate as EV
+    monkeypatch.setattr(EV, "MATCH_ROWS", 7)
+    monkeypatch.setattr(EV, "MATCH_CELLS", 30)
+
+    def factory():
+        place = lambda tokens: [[len(t), ord(t[0]) % 5, i + 1.0, -1.0] for i, t in enumerate(tokens)]
+        return place            # a token's vector depends on its place in the text
+    rnd = np.random.default_rng(3)
+    words = ["a", "bb", "ccc", "d-d", "e"]
+    texts = [" ".join(rnd.choice(words, n)) for n in [*range(9), 3, 3, 3, 40]]
+    rows = [(i, texts[i % 13], texts[(5 * i + 2) % 13] if i % 11 else None) for i in range(60)]
+    d = spark.createDataFrame(rows, "id long, hyp string, ref string").coalesce(1)
+    got = {r.id: r.f for r in d.select("id", EV.token_match_f1(d.hyp, d.ref, factory).alias("f")).collect()}
+    for i, h, r in rows:
+        h, r = (np.array(factory()((t or "").split())).reshape(-1, 4) for t in (h, r))
+        if not len(h) or not len(r):
+            assert got[i] == 0
+            continue
+        sim = (h / np.linalg.norm(h, axis=1, keepdims=True)) @ (r / np.linalg.norm(r, axis=1, keepdims=True)).T
+        p, q = sim.max(axis=1).mean(), sim.max(axis=0).mean()
+        assert got[i] == pytest.approx(2 * p * q / (p + q) if p + q > 0 else 0.0)
+
+
+def test_corpus_queries_send_sums_not_sentences(spark):
+    """Out of the Arrow pass of a corpus query come sums of batches."""
+    from bitextkit.plans.queries import QUERIES
+    from conftest import SF001
+    for q in ("a05_metric_bundle", "a06_evaluate_by_direction_matched", "u06_sweep"):
+        plan = QUERIES[q](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+        assert "n_rows" in plan, q
