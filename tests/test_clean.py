@@ -68,3 +68,8 @@ def test_parallel_is_dealt_out_and_costs_the_same_again(spark):
     assert fx.stored(p, "a").inputFiles() != fx.stored(p, "a").inputFiles()
     dup = p.filter(f"pair_id >= {fx.DUP_OFFSET}")
     assert dup.count() == p.filter(f"pair_id < {fx.DUP_OFFSET} AND pair_id % {fx.DUP_MOD} = 0").count()
+
+
+def test_a_row_meets_each_funnel_test_once(spark):
+    p = C.pair_groups(fx.parallel(spark, SF001))._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("[A-Za-z]") == 2         # the Latin share of both sides
